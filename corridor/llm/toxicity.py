@@ -143,8 +143,8 @@ class Model:
 
 
 def _design(x: np.ndarray) -> np.ndarray:
-    one, two = (np.clip(x[:, k], -4, 12) / 4 for k in (1, 2))
-    return np.stack([np.ones(len(x)), np.clip(x[:, 0], -1, 1) * 5, one, two, np.log1p(x[:, 3])], 1)
+    one, two = (1 / (1 + np.exp(2 * EXCESS - np.clip(x[:, k], -20, 20))) for k in (1, 2))
+    return np.stack([np.ones(len(x)), np.clip(x[:, 0], -1, 1) * 5, one, two, np.log1p(x[:, 3]) / 4], 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
