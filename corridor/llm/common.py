@@ -50,3 +50,13 @@ def bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+
+
+#: Rows of two small columns that a broadcast may hold; longer sides are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, settled, with a broadcast hint if a count shows that it has at most ``rows`` rows."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= rows else df

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import bounded, fold, settled
+from corridor.llm.common import bounded, fold, settled, small_side
 
 #: Characters of an n-gram, bits of a character's code, discount.
 ORDER, BITS, DISCOUNT = 6, 6, 0.75
@@ -196,7 +196,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"))
     marks = marks.where(fold(F.col("doc_id"), 5) != 0)
-    model = fit(docs.select("doc_id", "text").join(marks, "doc_id"))
+    # the side of labels is small or both are shuffled; either way the texts that teach are read twice, never kept
+    model = fit(docs.select("doc_id", "text").join(small_side(marks), "doc_id"))
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     out = featured(docs, model, ["doc_id"]) if model else docs.select("doc_id", F.lit(0.0).alias("score"))
     return out.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
