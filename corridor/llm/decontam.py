@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import settled
+from corridor.llm.common import small_side
 
 #: An item counts as leaked where a passage of the text is within this share of its words in edits.
 MAX_EDITS = 0.2
@@ -234,5 +234,5 @@ def _arrow(kind: str) -> pa.DataType:
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; rows without a doc_id stay."""
-    bad = settled(find_leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
+    bad = small_side(find_leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

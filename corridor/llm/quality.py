@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import bounded, fold, settled
+from corridor.llm.common import bounded, fold, settled, small_side
 
 #: Labelled rows that are fitted, at most; chosen by a hash of doc_id. Everything else covers all rows.
 MAX_LABELLED = 200_000
@@ -177,4 +177,4 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; rows without a doc_id stay."""
     bad = score_quality(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(settled(bad), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_side(bad), "doc_id", "left_anti").select(docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import settled
+from corridor.llm.common import settled, small_side
 from corridor.llm.components import connected_components
 
 #: Most differing bits of a link that the covering below is proven for (tests/llm enumerates all patterns).
@@ -220,8 +220,8 @@ def drop_near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_
     are one document and stay once; rows without a doc_id are left as they are.
     """
     found = settled(near_duplicates(docs, n_words, max_bits))
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").unionAll(docs.where("doc_id is null"))
+    first = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    kept = docs.join(small_side(first.where("not first").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():
         return kept
     once = kept.withColumn("_text", F.xxhash64("text"))
