@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_BITS)
     classes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(near_links(classes, max_bits)).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    smallest = settled(classes.groupBy("root").agg(F.min("first").alias("component_id")))  # apart, so that a large root can be split
+    named = classes.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
