@@ -202,10 +202,14 @@ def _parts(data: bytes | None) -> list | None:
     return shape()
 
 
-@F.pandas_udf(f"array<{VERTICES}>")
-def wkb_to_parts(wkb: pd.Series) -> pd.Series:
+def wkb_to_parts(wkb: Column) -> Column:
     """Geometry bytes to parts of vertices; 4.1's own spatial functions are switched off."""
-    return wkb.map(_parts)
+
+    @F.pandas_udf(f"array<{VERTICES}>")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(_parts)
+
+    return run(wkb)
 
 
 def _simplified(line: list | None, tolerance: float) -> list | None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys, measures
-from corridor.operators import gates, linref, metrics, ranking, spatial, timeseries
+from corridor.operators import depth, gates, linref, metrics, models, ranking, spatial, timeseries
 from corridor.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,6 +525,33 @@ def mod7_mean_of_views(spark, d):
     return e.select("label", F.posexplode(vec).alias("k", "v")).groupBy("label", "k").agg(F.round(F.avg("v"), 6).alias("mean"))
 
 
+# ground samples and models
+
+
+@query("SELECT pt_id AS pt, z FROM pt LEFT JOIN (SELECT CAST(floor(mid_x / 250) AS BIGINT) AS c, CAST(floor(mid_y / 250) AS BIGINT) AS r, max(rating) AS z FROM seg GROUP BY 1, 2) g ON c = CAST(floor((200000 + (pt_id * 31) % 60000) / 250) AS BIGINT) AND r = CAST(floor((100000 + (pt_id * 17) % 60000) / 250) AS BIGINT)")
+def ras1_sample_nearest(spark, d):
+    cells = fx.segments(spark, d).groupBy(F.floor(F.col("mid_x") / 250).alias("col"), F.floor(F.col("mid_y") / 250).alias("row")).agg(F.max("rating").alias("z"))
+    pts = fx.points(spark, d).select(F.col("pt_id").alias("pt"), (200000 + (F.col("pt_id") * 31) % 60000).alias("x"), (100000 + (F.col("pt_id") * 17) % 60000).alias("y"))
+    return depth.sample_nearest(cells, pts, 250)
+
+
+@query()
+def mod1_oof(spark, d):
+    p = fx.predictions(spark, d).withColumn("fold", keys.fold_of(keys.block_id(F.col("mid_x"), F.col("mid_y"))))
+    p = p.withColumn("wear", (100 - F.col("rating")) / F.col("age"))
+    return models.oof(p, "seg_id", ["age", "crack_mil", "flood_mil"], [], "wear", "rate", iterations=3)
+
+
+@query()
+def mod6_pca(spark, d):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    e = fx.table(spark, d, "embeddings")
+    vec = next(f.name for f in e.schema if f.dataType.typeName() == "array")
+    out = models.centred_pca(e.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>"))), "_v", 16)
+    return out.select(*[c for c in e.columns if c != vec], vector_to_array("pca").alias("pca"))
+
+
 @query("""SELECT rid, n, coverage, seg_id FROM (SELECT rid, count(*) AS n, round(least(sum(coalesce(ov, 0)) / sum(len)::DOUBLE, 1), 6) AS coverage, arg_min(seg_id, (coalesce(ytp_milli, 1000000), seg_id)) AS seg_id FROM
   (SELECT s.rid, s.seg_id, len, ytp_milli, ov FROM seg s JOIN (SELECT seg_id, ytp_milli FROM pred) p USING (seg_id) LEFT JOIN
    (SELECT seg_id, sum(least("end", pe) - greatest(beg, pb)) AS ov FROM seg JOIN piece USING (rid) WHERE greatest(beg, pb) < least("end", pe) GROUP BY 1) o USING (seg_id)) z GROUP BY 1) y""")
