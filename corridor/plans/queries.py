@@ -562,3 +562,125 @@ def flagship_route_worklist(spark, d):
     covered = F.least(F.sum(F.coalesce("ov", F.lit(0))) / F.sum("len"), F.lit(1.0))
     first = F.min(F.struct(F.coalesce("ytp_milli", F.lit(1000000)).alias("y"), "seg_id"))["seg_id"]
     return p.groupBy("rid").agg(F.count("*").alias("n"), F.round(covered, 6).alias("coverage"), first.alias("seg_id"))
+
+
+# sets, lists and shares
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT x) AS places FROM (SELECT source, x FROM report UNION ALL SELECT 'segment', mid_x FROM seg) z GROUP BY 1")
+def set1_union_evidence(spark, d):
+    s = fx.segments(spark, d).select(F.lit("segment").alias("source"), F.col("mid_x").alias("x"))
+    both = fx.reports(spark, d).select("source", "x").unionByName(s, allowMissingColumns=True)
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("x").alias("places"))
+
+
+@query("SELECT rid, 'both' AS side FROM (SELECT rid FROM seg INTERSECT SELECT rid FROM pt) a UNION ALL SELECT rid, 'left' FROM (SELECT rid FROM seg EXCEPT SELECT rid FROM pt) b")
+def set2_key_sets(spark, d):
+    a, b = fx.segments(spark, d).select("rid"), fx.points(spark, d).select("rid")
+    return a.intersect(b).withColumn("side", F.lit("both")).unionAll(a.subtract(b).withColumn("side", F.lit("left")))
+
+
+@query("SELECT seg_id, flood_mil, row_number() OVER (ORDER BY flood_mil DESC, seg_id) AS place FROM pred WHERE in_zone ORDER BY 2 DESC, 1 LIMIT 200")
+def win8_storm_list(spark, d):
+    top = fx.predictions(spark, d).where("in_zone").select("seg_id", "flood_mil").orderBy(F.desc("flood_mil"), "seg_id").limit(200)
+    return ranking.global_rank(top, [F.desc("flood_mil"), F.asc("seg_id")], "place")
+
+
+@query("SELECT seg_id, ytp_milli FROM pred ORDER BY ytp_milli ASC NULLS LAST, seg_id LIMIT 300")
+def win10_queue_sort(spark, d):
+    return ranking.worklist(fx.predictions(spark, d).select("seg_id", "ytp_milli"), "ytp_milli", False, 300, 0, ("ytp_milli",))
+
+
+@query("SELECT seg_id, crack_mil FROM pred WHERE crack_mil >= 950")
+def win11_alerts_over_threshold(spark, d):
+    return fx.predictions(spark, d).where("crack_mil >= 950").select("seg_id", "crack_mil").orderBy(F.desc("crack_mil"), "seg_id")
+
+
+@query("SELECT camera_id, event_id, row_number() OVER (PARTITION BY camera_id ORDER BY event_id) AS turn FROM reading WHERE p_mil >= 900")
+def win16_round_robin(spark, d):
+    return ranking.round_robin(fx.readings(spark, d).where("p_mil >= 900").select("camera_id", "event_id"), "camera_id", "event_id").withColumn("turn", F.col("turn").cast("long"))
+
+
+@query()
+def win17_reproducible_sample(spark, d):
+    return ranking.reproducible_sample(fx.segments(spark, d).select("seg_id", "rating"), "seg_id", 100, 7)
+
+
+@query("SELECT seg_id, camera, depth, min_pair FROM (SELECT camera_id AS camera, event_id AS seg_id, depth_cm AS depth, least(depth_cm, coalesce(lead(depth_cm) OVER w, depth_cm)) AS min_pair FROM reading WINDOW w AS (PARTITION BY camera_id ORDER BY time, event_id)) z")
+def win14_pair_min(spark, d):
+    w = Window.partitionBy("camera_id").orderBy("time", "event_id")
+    pair = F.least("depth_cm", F.coalesce(F.lead("depth_cm").over(w), F.col("depth_cm")))
+    return fx.readings(spark, d).select(F.col("event_id").alias("seg_id"), F.col("camera_id").alias("camera"), F.col("depth_cm").alias("depth"), pair.alias("min_pair"))
+
+
+@query("""SELECT CAST(floor(x / 5000) AS BIGINT) AS cx, bool_or(source = 'raleigh') AS any_raleigh, count(*) FILTER (source = 'raleigh') AS n_raleigh, count(*) FILTER (source = 'charlotte') AS n_charlotte FROM report GROUP BY 1""")
+def agg7_evidence_flags(spark, d):
+    r = fx.reports(spark, d)
+    return r.groupBy(F.floor(F.col("x") / 5000).alias("cx")).agg(F.bool_or(F.col("source") == "raleigh").alias("any_raleigh"), F.count_if(F.col("source") == "raleigh").alias("n_raleigh"), F.count_if(F.col("source") == "charlotte").alias("n_charlotte"))
+
+
+@query("""SELECT seg_id, n, CASE WHEN mid_x < 240000 THEN n > 0 END AS any_report FROM (SELECT s.seg_id, s.mid_x, count(r.report_id) AS n FROM seg s LEFT JOIN
+  (SELECT report_id, seg_id FROM (SELECT report_id, seg_id, (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) AS d2, row_number() OVER (PARTITION BY report_id ORDER BY (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y), seg_id) AS k
+   FROM report JOIN seg ON abs(mid_x - x) <= 60 AND abs(mid_y - y) <= 60) z WHERE k = 1 AND d2 <= 3600) r USING (seg_id) GROUP BY 1, 2) y""")
+def agg8_report_labels(spark, d):
+    s = fx.segments(spark, d)
+    near = spatial.nearest_point(fx.reports(spark, d).select("report_id", "x", "y"), s.select("seg_id", F.col("mid_x").alias("px"), F.col("mid_y").alias("py")), 60, "report_id", "seg_id")
+    n = near.where("seg_id is not null").groupBy("seg_id").agg(F.count("*").alias("n"))
+    out = s.select("seg_id", "mid_x").join(n, "seg_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("seg_id", "n", F.when(F.col("mid_x") < 240000, F.col("n") > 0).alias("any_report"))
+
+
+@query("SELECT count(*) FILTER (crack_mil <= 300) AS n FROM pred WHERE crack_mil <= 1000")
+def agg13_count_at_most(spark, d):
+    h = ranking.histogram(fx.predictions(spark, d).where("crack_mil <= 1000"), "crack_mil", 50, 1000)
+    counts = F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"])
+    return h.agg(counts.alias("h")).select(ranking.count_at_most(F.col("h"), 50, 300).alias("n"))
+
+
+@query("SELECT county, count(*) AS n FROM (SELECT CAST(substr(seg_id, 15, 3) AS INTEGER) AS county FROM pred ORDER BY flood_mil DESC, seg_id LIMIT 500) z GROUP BY 1")
+def agg21_by_county(spark, d):
+    top = fx.predictions(spark, d).select("seg_id", "flood_mil").orderBy(F.desc("flood_mil"), "seg_id").limit(500)
+    return top.groupBy(keys.parse_seg_id(F.col("seg_id"))["county"].alias("county")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(avg((crack_mil > 700)::INT) FILTER (depth_m >= 0.3), 6) AS wet, round(avg((crack_mil > 700)::INT) FILTER (depth_m < 0.3), 6) AS dry FROM (SELECT crack_mil, flood_mil / 1000.0 AS depth_m FROM pred) z")
+def agg23_labels_check(spark, d):
+    bad = (F.col("crack_mil") > 700).cast("int")
+    wet = F.col("flood_mil") / 1000 >= 0.3
+    return fx.predictions(spark, d).agg(F.round(F.avg(F.when(wet, bad)), 6).alias("wet"), F.round(F.avg(F.when(~wet, bad)), 6).alias("dry"))
+
+
+@query("SELECT round(quantile_cont(r, 0.25), 6) AS q25, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(avg((r BETWEEN 0.5 AND 2)::INT), 6) AS inside FROM (SELECT rating / age::DOUBLE AS r FROM pred) z")
+def agg24_ratio_quantiles(spark, d):
+    r = fx.predictions(spark, d).select((F.col("rating") / F.col("age")).alias("r"))
+    q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return r.agg(q.alias("q"), F.avg(F.col("r").between(0.5, 2).cast("int")).alias("i")).select(*[F.round(F.get("q", k), 6).alias(n) for k, n in enumerate(("q25", "q50", "q75"))], F.round("i", 6).alias("inside"))
+
+
+@query("SELECT greatest((SELECT max(time) FROM reading), (SELECT max(time) FROM report)) AS latest")
+def agg25_latest_reading(spark, d):
+    a, b = fx.readings(spark, d).agg(F.max("time").alias("a")), fx.reports(spark, d).agg(F.max("time").alias("b"))
+    return a.crossJoin(b).select(F.greatest("a", "b").alias("latest"))  # one row each
+
+
+@query("SELECT source, count(*) AS n FROM report WHERE report_id NOT IN (SELECT report_id FROM report JOIN seg ON abs(mid_x - x) <= 60 AND abs(mid_y - y) <= 60 AND (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) <= 3600) GROUP BY 1")
+def jon16_unmatched(spark, d):
+    r = fx.reports(spark, d).select("report_id", "source", "x", "y")
+    near = spatial.nearest_point(r, fx.segments(spark, d).select("seg_id", F.col("mid_x").alias("px"), F.col("mid_y").alias("py")), 60, "report_id", "seg_id")
+    return r.join(near.where("seg_id is null"), "report_id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT bucket, coalesce(a.n, 0) AS cameras, coalesce(b.n, 0) AS reports FROM (SELECT date_trunc('month', time) AS bucket, count(*) AS n FROM reading GROUP BY 1) a
+  FULL JOIN (SELECT date_trunc('month', time) AS bucket, count(*) AS n FROM report GROUP BY 1) b USING (bucket)""")
+def jon15_full_outer(spark, d):
+    month = F.date_trunc("month", "time").alias("bucket")
+    a = fx.readings(spark, d).groupBy(month).agg(F.count("*").alias("cameras"))
+    b = fx.reports(spark, d).groupBy(month).agg(F.count("*").alias("reports"))
+    return a.join(b, "bucket", "full").select("bucket", F.coalesce("cameras", F.lit(0)).alias("cameras"), F.coalesce("reports", F.lit(0)).alias("reports"))
+
+
+@query("""SELECT seg_id, d2 FROM (SELECT seg_id, ytp_milli, (mid_x - 230000)*(mid_x - 230000) + (mid_y - 130000)*(mid_y - 130000) AS d2 FROM pred ORDER BY 3, 1 LIMIT 5) z ORDER BY ytp_milli NULLS LAST, seg_id""")
+def jon19_near_me(spark, d):
+    x, y = F.col("mid_x") - 230000, F.col("mid_y") - 130000
+    near = fx.predictions(spark, d).select("seg_id", "ytp_milli", (x * x + y * y).alias("d2")).orderBy("d2", "seg_id").limit(5)
+    return near.orderBy(F.asc_nulls_last("ytp_milli"), "seg_id").select("seg_id", "d2")
