@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from corridor.llm.common import bounded, fold, settled, small_side
 
-#: Characters of an n-gram, bits of a character's code, discount.
-ORDER, BITS, DISCOUNT = 6, 6, 0.75
+#: Bytes of an n-gram (long enough for a stem with the gap before it, in letters of two bytes too), bits of a code, discount.
+ORDER, BITS, DISCOUNT = 10, 6, 0.75
 #: The table of log-likelihood ratios has two to this many places, whatever the corpus.
-TABLE_BITS = 20
+TABLE_BITS = 22
 #: A document is judged as a whole and by its words whose log ratio is over this much.
 EXCESS = 3.0
 #: Bytes of text that are scored at once.
