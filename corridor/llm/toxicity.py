@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.llm.common import bounded, fold, settled, small_side
 
-#: Bytes of an n-gram (long enough for a stem with the gap before it, in letters of two bytes too), bits of a code, discount.
-ORDER, BITS, DISCOUNT = 10, 6, 0.75
+#: Codes of an n-gram (long enough for a stem with the gap before it), bits of a code, discount.
+ORDER, BITS, DISCOUNT = 8, 6, 0.75
 #: The table of log-likelihood ratios has two to this many places, whatever the corpus.
 TABLE_BITS = 22
 #: A document is judged as a whole and by its words whose log ratio is over this much.
@@ -42,7 +42,8 @@ def grams(data: bytes) -> np.ndarray:
 
     Runs of gaps are one gap, and one stands at each end.
     """
-    c = CODE[np.frombuffer(b" " + data + b" ", np.uint8)]
+    b = np.frombuffer(b" " + data + b" ", np.uint8)
+    c = CODE[b[(b < 0xC0) | (b >= 0xE0)]]  # a letter of two bytes is its second
     c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])]
     out, inside = c.copy(), np.ones(len(c), bool)
     for k in range(1, ORDER):
@@ -82,24 +83,24 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     mask = (1 << BITS * (ORDER - 1)) - 1
     c = counts.withColumns({"h": F.shiftright("gram", BITS), "low": F.col("gram").bitwiseAND(F.lit(mask))})
-    c = c.withColumn("lowh", F.shiftright("low", BITS))
-    context = c.groupBy("h").agg(
-        F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no"), F.count_if(F.col("toxic") > 0).alias("tt"), F.count_if(F.col("ordinary") > 0).alias("to")
-    )
-    follow = c.groupBy("low", "lowh").agg(F.count("*").alias("k"))
-    whole = follow.groupBy("lowh").agg(F.sum("k").alias("all"))
-    lower = follow.join(whole, "lowh").select("low", ((F.col("k") - DISCOUNT / 2) / F.col("all")).alias("p"))
-
-    def likelihood(n: str, total: str, kinds: str, p) -> F.Column:
-        seen = (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * p) / F.col(total)
-        return F.when(F.col(total) > 0, seen).otherwise(p)
-
-    both = c.join(context, "h").join(lower, "low")
-    r = F.log(likelihood("toxic", "nt", "tt", F.col("p")) / likelihood("ordinary", "no", "to", F.col("p")))
+    # all that is counted together shares the middle of the n-gram, so one shuffle serves every window;
+    # a middle has at most 2^(2 BITS) n-grams
+    c = c.withColumn("middle", F.shiftright("low", BITS)).repartition("middle")
+    of_h, of_low, of_middle = (Window.partitionBy("middle", *k) for k in (["h"], ["low"], []))
+    totals = {"nt": F.sum("toxic"), "no": F.sum("ordinary"), "tt": F.count_if(F.col("toxic") > 0), "to": F.count_if(F.col("ordinary") > 0)}
+    follow, whole = F.count("*").over(of_low), F.count("*").over(of_middle)
+    both = c.withColumns({k: v.over(of_h) for k, v in totals.items()} | {"p": (follow - DISCOUNT / 2) / whole})
+
+    def likelihood(n: str, total: str, kinds: str) -> Column:
+        seen = (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("p")) / F.col(total)
+        return F.when(F.col(total) > 0, seen).otherwise(F.col("p"))
+
+    r = F.log(likelihood("toxic", "nt", "tt") / likelihood("ordinary", "no", "to"))
     seen = both.select("gram", r.alias("r"), (F.col("toxic") + F.col("ordinary")).alias("n"))
+    context = counts.groupBy(F.shiftright("gram", BITS).alias("context")).agg(*[v.alias(k) for k, v in totals.items()])
     one = F.lit(1.0)
     rest = [F.when(F.col(n) > 0, DISCOUNT * F.col(t) / F.col(n)).otherwise(one) for n, t in (("nt", "tt"), ("no", "to"))]
-    return seen, context.select(F.col("h").alias("context"), F.log(rest[0] / rest[1]).alias("r"), (F.col("nt") + F.col("no")).alias("n"))
+    return seen, context.select("context", F.log(rest[0] / rest[1]).alias("r"), (F.col("nt") + F.col("no")).alias("n"))
 
 
 def _table(df: DataFrame, key: str) -> np.ndarray:
@@ -163,7 +164,6 @@ def fit(labelled: DataFrame) -> Model | None:
     """``labelled``: doc_id, text, toxic (0 or 1). A quarter of the ids calibrates, the rest is counted in full."""
     part = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(4)) == 0
     seen, rest = ratios(settled(count_grams(labelled.where(~part))))
-    seen, rest = settled(seen), settled(rest)
     blank = Model(_table(seen, "gram"), _table(rest, "context"), np.zeros(5))
     held = bounded(labelled.where(part).select("doc_id", "text", "toxic"), MAX_CALIBRATION, "doc_id")
     rows = featured(held, blank, ["doc_id", "toxic"]).select("toxic", *FEATURES).toArrow()
