@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys, measures
-from corridor.operators import depth, gates, linref, metrics, models, ranking, spatial, timeseries
+from corridor.operators import checks, depth, gates, linref, metrics, models, ranking, spatial, timeseries
 from corridor.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -684,3 +684,63 @@ def jon19_near_me(spark, d):
     x, y = F.col("mid_x") - 230000, F.col("mid_y") - 130000
     near = fx.predictions(spark, d).select("seg_id", "ytp_milli", (x * x + y * y).alias("d2")).orderBy("d2", "seg_id").limit(5)
     return near.orderBy(F.asc_nulls_last("ytp_milli"), "seg_id").select("seg_id", "d2")
+
+
+# reports that hold scores against what was seen
+
+
+CHECK_SQL = """, long AS (SELECT seg_id, CASE WHEN rid % 3 = 0 THEN 'raleigh' ELSE 'charlotte' END AS city, age % 3 AS band, flood_mil % 7 AS events, age AS exposure, unnest(['rating', 'crack']) AS score,
+  unnest([100 - rating, crack_mil]) AS s FROM pred),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY city, score ORDER BY s, seg_id) AS r, count(*) OVER (PARTITION BY city, score) AS n,
+    row_number() OVER (PARTITION BY city, score, band ORDER BY s, seg_id) AS rb, count(*) OVER (PARTITION BY city, score, band) AS nb FROM long),
+  cut AS (SELECT *, CASE WHEN n < 50 THEN 0 ELSE ceil(5 * r / n::DOUBLE) END AS f, CASE WHEN nb < 50 THEN 0 ELSE ceil(5 * rb / nb::DOUBLE) END AS fb FROM ranked)"""
+
+
+def _checked(spark, d):
+    p = fx.predictions(spark, d)
+    pairs = F.array(F.struct(F.lit("rating").alias("score"), (100 - F.col("rating")).cast("long").alias("s")), F.struct(F.lit("crack").alias("score"), F.col("crack_mil").cast("long").alias("s")))
+    city = F.when(F.col("rid") % 3 == 0, "raleigh").otherwise("charlotte").alias("city")
+    long = p.select("seg_id", city, (F.col("age") % 3).alias("band"), (F.col("flood_mil") % 7).alias("events"), F.col("age").alias("exposure"), keys.block_id(F.col("mid_x"), F.col("mid_y")).alias("block"), F.explode(pairs).alias("p"))
+    return long.select("*", "p.*").drop("p")
+
+
+@query(f"""{CHECK_SQL} SELECT city, score, count(*) AS n, CAST(sum(events) AS BIGINT) AS events, CAST(sum(exposure) AS BIGINT) AS exposure, count(*) FILTER (fb = 0) AS n_left_out,
+  round(sum(events) FILTER (f = 5) / (sum(exposure) FILTER (f = 5))::DOUBLE / (sum(events) FILTER (f = 1) / (sum(exposure) FILTER (f = 1))::DOUBLE), 6) AS raw_lift,
+  round(sum(events) FILTER (fb = 5) / (sum(exposure) FILTER (fb = 5))::DOUBLE / (sum(events) FILTER (fb = 1) / (sum(exposure) FILTER (fb = 1))::DOUBLE), 6) AS adjusted_lift FROM cut GROUP BY 1, 2""")
+def qry7_report_check(spark, d):
+    out = checks.report_check(_checked(spark, d), ["city", "score"], "band", "s", "events", "exposure", "seg_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("raw_lift", "adjusted_lift")})
+
+
+@query()
+def qry7_lift_range(spark, d):
+    parts = checks.group_parts(_checked(spark, d), "s", 5, ["city", "score", "band"], "seg_id", checks.LEAST_IN_BAND, "fifth")
+    return checks.lift_range(parts, ["city", "score"], "fifth", "events", "exposure", "block", 500)
+
+
+@query(f"""{CHECK_SQL}, g AS (SELECT score, unnest([city, 'all']) AS roads, s, seg_id, (events > 4)::INT::DOUBLE AS hit FROM long),
+  t AS (SELECT *, ceil(3 * row_number() OVER (PARTITION BY score, roads ORDER BY s, seg_id) / (count(*) OVER (PARTITION BY score, roads))::DOUBLE) AS third FROM g)
+  SELECT score, roads, count(*) AS n, count(*) < 30 AS too_few, round(avg(hit), 6) AS share_damaged, round(avg(hit) FILTER (third = 3), 6) AS worst_third, round(avg(hit) FILTER (third = 1), 6) AS best_third,
+  round(avg(hit) FILTER (third = 3) / avg(hit) FILTER (third = 1), 6) AS ratio FROM t GROUP BY 1, 2""")
+def qry8_camera_check(spark, d):
+    graded = _checked(spark, d).withColumnRenamed("city", "roads").withColumn("hit", F.col("events") > 4)
+    out = checks.damage_shares(graded, "score", "roads", "s", "hit", "seg_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("share_damaged", "worst_third", "best_third", "ratio")})
+
+
+@query("""SELECT camera_id, min(file) AS file, arg_min(damage, file) AS damage FROM (SELECT doc_id % 97 AS camera_id, doc_id AS file, CASE WHEN toxic = 1 THEN 'pothole' WHEN doc_id % 5 = 0 THEN 'cant_tell' ELSE 'none' END AS damage
+  FROM labels WHERE quality = 1) z WHERE damage <> 'cant_tell' GROUP BY 1""")
+def met10_decided(spark, d):
+    labels = fx.table(spark, d, "labels")
+    damage = F.when(F.col("toxic") == 1, "pothole").when(F.col("doc_id") % 5 == 0, "cant_tell").otherwise("none")
+    view = F.when(F.col("quality") == 1, "clear").otherwise("unusable")
+    grades = labels.select((F.col("doc_id") % 97).alias("camera_id"), F.col("doc_id").alias("file"), F.lit(1).alias("pass"), view.alias("view"), F.when(F.col("quality") == 1, damage).otherwise("").alias("damage"))
+    return checks.decided(grades)
+
+
+STATS = ("orders", "lineitem", "events", "documents", "pages")
+
+
+@query(" SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in STATS) + ") z")
+def str14_table_stats(spark, d):
+    return checks.table_stats({t: fx.table(spark, d, t) for t in STATS}).select("table", "n_rows")
