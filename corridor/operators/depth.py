@@ -7,21 +7,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Metres to the side and past an end, between marks, and of water over ground that are still believed.
-SIDE, END, REACH, TOO_DEEP = 300.0, 100.0, 1000.0, 15.0
+# Fixed values, metres: to the side of a line, past its end, along it to a mark, moved from the nearer mark's level,
+# to a mark that is close by, water over ground that is still believed, to a listed bridge, depth of a notch, and the
+# climb of a bank in BANK_STEP metres.
+SIDE, END, REACH, LIFT, CLOSE, TOO_DEEP = 300.0, 100.0, 1000.0, 2.0, 250.0, 15.0
+BRIDGE, NOTCH, BANK, BANK_STEP = 60.0, 3.0, 2.0, 30.0
 
 
 def build_lines(marks: DataFrame, merge: float = 1.0) -> DataFrame:
     """Marks (stream, mark, order_key, x, y, z) to water lines (stream, k, x, y, z, station, marks).
 
-    Along a stream, marks closer than ``merge`` metres to the one before become one with their means. The chain goes
-    mark by mark, so a stream's marks are taken together: surveyed marks are few.
+    Along a stream, marks closer than ``merge`` metres to the first of their run become one with their means. A run
+    goes mark by mark, so a stream's marks are taken together: surveyed marks are few.
     """
 
     def run(m: pd.DataFrame) -> pd.DataFrame:
         m = m.sort_values(["order_key", "mark"])
-        step = np.hypot(m.x.diff(), m.y.diff()).fillna(np.inf)
-        g = m.assign(k=(step >= merge).cumsum() - 1).groupby("k").agg(stream=("stream", "first"), x=("x", "mean"), y=("y", "mean"), z=("z", "mean"), marks=("mark", "size")).reset_index()
+        places, first, k = np.empty(len(m), np.int64), None, -1
+        for i, spot in enumerate(zip(m.x, m.y, strict=True)):
+            if first is None or np.hypot(spot[0] - first[0], spot[1] - first[1]) >= merge:
+                first, k = spot, k + 1
+            places[i] = k
+        g = m.assign(k=places).groupby("k").agg(stream=("stream", "first"), x=("x", "mean"), y=("y", "mean"), z=("z", "mean"), marks=("mark", "size")).reset_index()
         return g.assign(station=np.hypot(g.x.diff(), g.y.diff()).fillna(0).cumsum())[["stream", "k", "x", "y", "z", "station", "marks"]]
 
     return marks.groupBy("stream").applyInPandas(run, "stream string, k long, x double, y double, z double, station double, marks long")
@@ -36,11 +43,12 @@ def line_pieces(lines: DataFrame) -> DataFrame:
     return p.withColumn("final", F.lead("k").over(w).isNull())
 
 
-def locate(points: DataFrame, pieces: DataFrame, lift: float = 2.0) -> DataFrame:
-    """Points (pt, x, y) with the level of the nearest line that speaks there, its distance and the gap between its marks.
+def answers(points: DataFrame, pieces: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """For each point (pt, x, y) and line within SIDE: the line's nearest spot to it, and whether it speaks there.
 
-    A line's nearest spot decides whether it speaks: not over SIDE to the side, END past an end, between marks over
-    REACH apart, or with a level that climbs over ``lift`` times the gap's hundredth. Pieces meet points by grid cells.
+    It speaks past an end up to END metres; between marks where the nearer one is within REACH along the line and the
+    level has moved LIFT at most from that mark's. mark_dist goes along to the nearer mark and across to the point.
+    Pieces meet points by grid cells, and by the columns ``on`` where a point is for some lines only.
     """
     size = 2 * SIDE
     box = [F.floor((F.least(a, b) - SIDE) / size) for a, b in (("x1", "x2"), ("y1", "y2"))] + [F.floor((F.greatest(a, b) + SIDE) / size) for a, b in (("x1", "x2"), ("y1", "y2"))]
@@ -48,25 +56,61 @@ def locate(points: DataFrame, pieces: DataFrame, lift: float = 2.0) -> DataFrame
     b = pieces.withColumnsRenamed({"x": "x1", "y": "y1", "z": "z1", "station": "s1", "station2": "s2"}).withColumn("_c", F.explode(cells))
     a = points.withColumn("_c", F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = F.coalesce(((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    gap = F.col("s2") - F.col("s1")
-    past = F.greatest(F.when(F.col("first"), -along).otherwise(0.0), F.when(F.col("final"), along - 1).otherwise(0.0)) * gap
-    spot = F.struct(
-        F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy).alias("dist"), F.col("k"), (F.col("z1") + t * (F.col("z2") - F.col("z1"))).alias("level"), gap.alias("gap"), past.alias("past"), F.abs(F.col("z2") - F.col("z1")).alias("climb")
-    )
-    near = a.join(b, "_c").groupBy("pt", "stream").agg(F.min(spot).alias("m"))
-    speaks = (F.col("m.dist") <= SIDE) & (F.col("m.past") <= END) & (F.col("m.gap") <= REACH) & (F.col("m.climb") <= F.greatest(F.lit(lift), lift * F.col("m.gap") / 100))
-    best = near.where(speaks).groupBy("pt").agg(F.min(F.struct("m.dist", "stream", "m.level", "m.gap")).alias("b"))
-    return points.select("pt").join(best, "pt", "left").select("pt", "b.stream", "b.level", "b.dist", "b.gap")
-
-
-def notch(ground: str, seg: list[str], order: str, drop: float = 3.0) -> Column:
-    """Ground at least ``drop`` below a neighbour within two places on each side: a bridge or culvert cut."""
+    gap = F.hypot(dx, dy)
+    ahead = F.coalesce(((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(gap, F.lit(0.0)), F.lit(0.0))
+    foot = F.least(F.greatest(ahead, F.lit(0.0)), gap)
+    t = F.coalesce(foot / F.nullif(gap, F.lit(0.0)), F.lit(0.0))
+    along = F.least(foot, gap - foot)
+    at_end = (F.col("first") & (ahead < 0)) | (F.col("final") & (ahead > gap)) | (gap <= 0)
+    lift = F.when(at_end, 0.0).otherwise(F.coalesce(along * F.abs(F.col("z2") - F.col("z1")) / F.nullif(gap, F.lit(0.0)), F.lit(0.0)))
+    dist = F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy)
+    spot = F.struct(dist.alias("dist"), F.col("k"), (F.col("z1") + t * (F.col("z2") - F.col("z1"))).alias("level"), along.alias("along"), lift.alias("lift"), at_end.alias("at_end"))
+    near = a.join(b, ["_c", *on]).groupBy("pt", "stream").agg(F.min(spot).alias("m")).select("pt", "stream", "m.*").where(F.col("dist") <= SIDE)
+    speaks = F.when(F.col("at_end"), F.col("dist") <= END).otherwise((F.col("along") <= REACH) & (F.col("lift") <= LIFT))
+    return near.withColumns({"speaks": speaks, "mark_dist": F.hypot("along", "dist")})
+
+
+def nearest_answer(found: DataFrame) -> DataFrame:
+    """pt with the nearest line that speaks (ties: the first stream), its level, distances, and whether a mark is close."""
+    best = found.where("speaks").groupBy("pt").agg(F.min(F.struct("dist", "stream", "level", "mark_dist", "at_end")).alias("b"))
+    return best.select("pt", "b.stream", "b.level", "b.dist", "b.mark_dist", (~F.col("b.at_end") & (F.col("b.mark_dist") <= CLOSE)).alias("close"))
+
+
+def locate(points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Points (pt, x, y) with the level of the nearest line that speaks there; nulls where none does.
+
+    A line that may not speak at its own nearest spot is silent: no farther spot of it answers instead.
+    """
+    return points.select("pt").join(nearest_answer(answers(points, pieces)), "pt", "left")
+
+
+def notch(ground: str, seg: list[str], order: str, drop: float = NOTCH) -> Column:
+    """Ground at least ``drop`` below both neighbours one place away, or both two places away: a bridge or culvert cut."""
+    w = Window.partitionBy(*seg).orderBy(order)
+    below = [F.least(F.lag(ground, k).over(w), F.lead(ground, k).over(w)) - F.col(ground) >= drop for k in (1, 2)]
+    whole = [F.lag(ground, k).over(w).isNotNull() & F.lead(ground, k).over(w).isNotNull() for k in (1, 2)]
+    return F.coalesce(whole[0] & below[0], F.lit(False)) | F.coalesce(whole[1] & below[1], F.lit(False))
+
+
+def set_aside(points: DataFrame, near_bridge: Column, seg: list[str], order: str, ground: str = "ground", step_m: str = "step_m") -> DataFrame:
+    """``points`` with aside: by a bridge, in a notch, or on a bank that climbs away from such a point.
+
+    A bank point is set aside while the ground climbs over BANK metres in BANK_STEP from the seed through to the point
+    after it, on either side, so that the top is kept. With the places of the last seed and of the last step that does
+    not climb, this is two running maxima a side; ``order`` numbers the points of a part and ``step_m`` is one for it.
+    """
     w = Window.partitionBy(*seg).orderBy(order)
-    before = F.greatest(F.lag(ground, 1).over(w), F.lag(ground, 2).over(w))
-    after = F.greatest(F.lead(ground, 1).over(w), F.lead(ground, 2).over(w))
-    return F.coalesce((before - F.col(ground) >= drop) & (after - F.col(ground) >= drop), F.lit(False))
+    df = points.withColumn("_seed", F.coalesce(near_bridge, F.lit(False)) | notch(ground, seg, order))
+    banks = []
+    for nxt, way in ((F.lead, w), (F.lag, Window.partitionBy(*seg).orderBy(F.desc(order)))):
+        place = F.col(order) if nxt is F.lead else -F.col(order)
+        climbs = F.coalesce(nxt(ground, 1).over(w) - F.col(ground) > F.lit(BANK / BANK_STEP) * F.col(step_m), F.lit(False))
+        c = f"_climbs{len(banks)}"
+        df = df.withColumn(c, climbs)
+        seed = F.max(F.when(F.col("_seed"), place)).over(way.rowsBetween(Window.unboundedPreceding, -1))
+        stop = F.max(F.when(~F.col(c), place)).over(way.rowsBetween(Window.unboundedPreceding, 0))
+        banks.append(seed.isNotNull() & (stop.isNull() | (seed > stop)))
+    return df.withColumn("aside", F.col("_seed") | banks[0] | banks[1]).drop("_seed", "_climbs0", "_climbs1")
 
 
 def depth(level: Column, ground: Column) -> Column:

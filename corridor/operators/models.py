@@ -54,6 +54,17 @@ def oof(df: DataFrame, key: str, numbers: list[str], words: list[str], label: st
     return reduce(DataFrame.unionAll, parts)
 
 
+def fit_predict(train: DataFrame, rows: DataFrame, key: str, numbers: list[str], words: list[str], label: str, kind: str, iterations: int = 30) -> DataFrame:
+    """key and full: ``rows`` predicted by one model of all labelled rows of ``train``; none where these are of one class."""
+    check_features([*numbers, *words])
+    t = _with_blanks(train, numbers, words).where(F.col(label).isNotNull())
+    n, s = t.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
+    if not n or (kind != "rate" and (s == 0 or s == n)):
+        return rows.select(key, F.lit(None).cast("double").alias("full")).limit(0)
+    model = Pipeline(stages=[*_prepared(numbers, words), estimator(kind, label, iterations)]).fit(t)
+    return _predicted(model.transform(_with_blanks(rows, numbers, words)), kind, "full").select(key, "full")
+
+
 def heldout_then_model(df: DataFrame, oof_rows: DataFrame, full: DataFrame, key: str) -> DataFrame:
     """pred: the held-out value where there is one, else the full model's; heldout says which."""
     both = df.select(key).join(oof_rows.select(key, "oof"), key, "left").join(full.select(key, "full"), key, "left")
