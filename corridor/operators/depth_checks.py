@@ -104,8 +104,8 @@ def tape_tests(marks: DataFrame, hidden: DataFrame) -> DataFrame:
     own = taped.select(F.lit("own level").alias("test"), (F.col("z") - F.col("ground")).alias("d"), "tape")
     guess = hidden.where("stretch = 0 and guess is not null").select("stream", "mark", "guess")
     end = taped.where("draws").join(guess, ["stream", "mark"]).select(F.lit("end to end").alias("test"), (F.col("guess") - F.col("ground")).alias("d"), "tape")
-    steady = (F.count("*") >= 3) & (F.stddev_pop("d") > 0) & (F.stddev_pop("tape") > 0)
-    return own.unionAll(end).groupBy("test").agg(*misses(F.col("d") - F.col("tape")), F.when(steady, F.corr("d", "tape")).alias("corr"))
+    corr = F.covar_pop("d", "tape") / F.nullif(F.stddev_pop("d") * F.stddev_pop("tape"), F.lit(0.0))
+    return own.unionAll(end).groupBy("test").agg(*misses(F.col("d") - F.col("tape")), F.when(F.count("*") >= 3, corr).alias("corr"))
 
 
 def gate_report(marks: DataFrame, hidden: DataFrame, coarse: str = "ground30") -> DataFrame:
