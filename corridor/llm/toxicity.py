@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from corridor.llm.common import bounded, fold, settled, small_side
 
 #: Codes of an n-gram (long enough for a stem with the gap before it), bits of a code, discount.
 ORDER, BITS, DISCOUNT = 8, 6, 0.75
-#: The table of log-likelihood ratios has two to this many places, whatever the corpus.
-TABLE_BITS = 22
+#: N-grams, and contexts, whose ratios a task holds: the most frequent. Words with others are scored by joins.
+MAX_HELD = 1 << 22
 #: A document is judged as a whole and by its words whose log ratio is over this much.
 EXCESS = 3.0
 #: Bytes of text that are scored at once.
@@ -44,7 +46,10 @@ def grams(data: bytes) -> np.ndarray:
     """
     b = np.frombuffer(b" " + data + b" ", np.uint8)
     c = CODE[b[(b < 0xC0) | (b >= 0xE0)]]  # a letter of two bytes is its second
-    c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])]
+    return _of_codes(c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])])
+
+
+def _of_codes(c: np.ndarray) -> np.ndarray:
     out, inside = c.copy(), np.ones(len(c), bool)
     for k in range(1, ORDER):
         before = np.concatenate([np.zeros(min(k, len(c)), np.int64), c[:-k]])
@@ -53,10 +58,6 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
-def place(key: np.ndarray) -> np.ndarray:
-    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
 def count_grams(texts: DataFrame) -> DataFrame:
     """gram, toxic and ordinary: how often each n-gram occurs in the texts of either class (columns text, toxic)."""
 
@@ -103,44 +104,99 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen, context.select("context", F.log(rest[0] / rest[1]).alias("r"), (F.col("nt") + F.col("no")).alias("n"))
 
 
-def _table(df: DataFrame, key: str) -> np.ndarray:
-    """One number a place: the mean of what falls there, weighted by counts. The rows gathered are bounded by the table."""
+class Table:
+    """A number for each of the n-grams given, by the n-gram itself: open addressing, at most half of the places taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.__setstate__((keys, values))
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys[self.keys >= 0], self.values[self.keys >= 0]
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        keys, values = state
+        self.bits = max(1, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several, one stays
+            put = self.keys[at] == keys
+            self.values[at[put]] = values[put]
+            keys, values, at = keys[~put], values[~put], self._next(at[~put])
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 & (1 << self.bits) - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers, NaN where there is none."""
+        out, todo, at = np.full(len(keys), np.nan), np.arange(len(keys)), self._place(keys)
+        while len(todo):
+            there = self.keys[at]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            on = ~hit & (there >= 0)
+            todo, at = todo[on], self._next(at[on])
+        return out
+
+
+def _held(df: DataFrame, key: str) -> tuple[Table, DataFrame]:
+    """The most frequent MAX_HELD rows or fewer as a table, and the other rows."""
+    least, rows = None, 0
+    for r in sorted(df.groupBy("n").count().collect(), reverse=True):  # few: counts differ
+        rows += r["count"]
+        if rows > MAX_HELD:
+            break
+        least = r["n"]
+    near = F.lit(False) if least is None else F.col("n") >= least
+    return _gathered(df.where(near), key), df.where(~near).select(key, F.col("r").cast("float").alias("r"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = place(b.column(0).to_numpy(zero_copy_only=False))
-            n = b.column(2).to_numpy(zero_copy_only=False).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(b.column(1).to_numpy(zero_copy_only=False) * n), pa.array(n)], ["at", "s", "n"])
-
-    summed = df.select(key, "r", "n").mapInArrow(run, "at long, s double, n double").groupBy("at").agg((F.sum("s") / F.sum("n")).cast("float").alias("r"))
-    rows = summed.select(F.col("at").cast("int"), "r").toArrow()
-    out = np.full(1 << TABLE_BITS, np.nan, np.float32)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
+
+def _gathered(df: DataFrame, key: str) -> Table:
+    rows = df.select(key, F.col("r").cast("float")).toArrow()
+    return Table(rows.column(0).to_numpy(), rows.column(1).to_numpy())
 
 
 @dataclass(frozen=True)
-class Model:
-    seen: np.ndarray
-    rest: np.ndarray
-    beta: np.ndarray
+class Held:
+    """The ratios that a task holds; ``whole`` if there are no others."""
+
+    seen: Table
+    rest: Table
+    whole: bool
 
-    def features(self, data: bytes) -> tuple[float, float, float, float]:
-        """Log ratios of a whole text: the mean of its characters, of its two most toxic words, and what exceeds EXCESS."""
-        total, n, excess, top = 0.0, 0, 0.0, np.array([-EXCESS, -EXCESS])
+    def parts(self, data: bytes) -> tuple[float, int, float, float, float, Counter[bytes]]:
+        """Log ratios of a text: sum, number of characters, two most toxic words and what exceeds EXCESS, of the words whose
+        n-grams are all held (all words, if the tables are whole); and the codes of each other word, with how often it occurs."""
+        total, n, excess, top, left = 0.0, 0, 0.0, np.array([-EXCESS, -EXCESS]), Counter()
         for k in range(0, max(len(data), 1), PIECE):  # long texts piece by piece
             g = grams(data[k : k + PIECE])
-            r = self.seen[place(g)]
-            other = self.rest[place(g >> BITS)]
-            r = np.where(np.isnan(r), np.where(np.isnan(other), 0, other), r).astype(np.float64)
-            total, n = total + float(r.sum()), n + len(r)
-            word = np.add.reduceat(r, np.concatenate([[0], np.flatnonzero(g & (1 << BITS) - 1 == 0)[:-1] + 1]))
+            r = self.seen.find(g)
+            miss = np.flatnonzero(np.isnan(r))
+            starts = np.concatenate([[0], np.flatnonzero(g & (1 << BITS) - 1 == 0)[:-1] + 1])
+            r[miss] = np.nan_to_num(self.rest.find(g[miss] >> BITS)) if self.whole else 0
+            word = np.add.reduceat(r, starts)
+            n += len(r)
+            if len(miss) and not self.whole:
+                unknown = np.unique(np.searchsorted(starts, miss, "right") - 1)
+                code, ends = (g & (1 << BITS) - 1).astype(np.uint8), np.append(starts[1:], len(g))
+                left.update(code[starts[w] : ends[w]].tobytes() for w in unknown)
+                word = np.delete(word, unknown)
+            total += float(word.sum())
             excess += float(np.maximum(word - EXCESS, 0).sum())
             top = np.sort(np.concatenate([top, word]))[-2:]
-        return total / n, float(top[1]), float(top[0]), excess
+        return total, n, float(top[1]), float(top[0]), excess, left
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design(x) @ self.beta, -30, 30)))
+
+@dataclass(frozen=True)
+class Model:
+    held: Held
+    #: What is not held, of (gram, r) and (context, r).
+    far: tuple[DataFrame, DataFrame] | None
+    beta: np.ndarray
 
 
 def _design(x: np.ndarray) -> np.ndarray:
@@ -160,31 +216,105 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return beta
 
 
+def _model(counts: DataFrame) -> Model:
+    seen, rest = ratios(counts)
+    if counts.count() <= MAX_HELD:
+        return Model(Held(_gathered(seen, "gram"), _gathered(rest, "context"), True), None, np.zeros(5))
+    (near, far), (near_rest, far_rest) = _held(settled(seen), "gram"), _held(settled(rest), "context")
+    return Model(Held(near, near_rest, False), (far, far_rest), np.zeros(5))
+
+
 def fit(labelled: DataFrame) -> Model | None:
     """``labelled``: doc_id, text, toxic (0 or 1). A quarter of the ids calibrates, the rest is counted in full."""
     part = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(4)) == 0
-    seen, rest = ratios(settled(count_grams(labelled.where(~part))))
-    blank = Model(_table(seen, "gram"), _table(rest, "context"), np.zeros(5))
+    blank = _model(settled(count_grams(labelled.where(~part))))
     held = bounded(labelled.where(part).select("doc_id", "text", "toxic"), MAX_CALIBRATION, "doc_id")
     rows = featured(held, blank, ["doc_id", "toxic"]).select("toxic", *FEATURES).toArrow()
     y, *x = (rows.column(k).to_numpy().astype(float) for k in range(5))
     if not len(y) or y.min() == y.max():
         return None
-    return Model(blank.seen, blank.rest, logistic(_design(np.stack(x, 1)), y))
+    return replace(blank, beta=logistic(_design(np.stack(x, 1)), y))
 
 
 def featured(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` of each row, and FEATURES and score from its text, with the model's tables broadcast: bounded in size."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """``keep`` of each row, and FEATURES and score from its text, each n-gram with its own ratio.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Where a task can't hold all ratios, the words of other n-grams are joined with theirs, each distinct word once.
+    """
+    held, beta = docs.sparkSession.sparkContext.broadcast(model.held), model.beta
+    texts = docs.select(F.col("text").cast("binary"), *keep)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    scored = f"{kinds}, " + ", ".join(f"{c} double" for c in (*FEATURES, "score"))
+
+    def batch(own: list[pa.Array], parts: list[tuple]) -> pa.RecordBatch:
+        x = np.array([(total / n, *rest) for total, n, *rest in parts]).reshape(-1, 4)
+        score = 1 / (1 + np.exp(-np.clip(_design(x) @ beta, -30, 30)))
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(x[:, k]) for k in range(4)), pa.array(score)], [*keep, *FEATURES, "score"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([held.value.features(t.as_py() or b"") for t in b.column(0)]).reshape(-1, 4)
-            score = held.value.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(x[:, k]) for k in range(4)), pa.array(score)], [*keep, *FEATURES, "score"])
+            yield batch(b.columns[1:], [held.value.parts(t.as_py() or b"")[:5] for t in b.column(0)])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").cast("binary"), *keep).mapInArrow(run, f"{kinds}, " + ", ".join(f"{c} double" for c in (*FEATURES, "score")))
+    if model.far is None:
+        return texts.mapInArrow(whole, scored)
+
+    left = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    names, part_kinds = ["total", "n", *FEATURES[1:], "left"], "total double, n long, first double, second double, excess double"
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [held.value.parts(t.as_py() or b"") for t in b.column(0)]
+            words = pa.array([[{"word": w, "times": k} for w, k in p[5].items()] for p in parts], left)
+            kinds = [pa.float64(), pa.int64(), *[pa.float64()] * 3]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([p[k] for p in parts], t) for k, t in enumerate(kinds)), words], [*keep, *names])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, parts = b.columns[: len(keep)], []
+            for total, n, first, second, excess, words in zip(*(c.to_pylist() for c in b.columns[len(keep) :]), strict=True):
+                top = sorted([first, second, *(w["score"] for w in words for _ in range(min(w["times"], 2)))])[-2:]
+                total += sum(w["score"] * w["times"] for w in words)
+                excess += sum(max(w["score"] - EXCESS, 0) * w["times"] for w in words)
+                parts.append((total, n, top[1], top[0], excess))
+            yield batch(own, parts)
+
+    rows = settled(texts.mapInArrow(near, f"{kinds}, {part_kinds}, left array<struct<word:binary,times:bigint>>").withColumn("row", F.monotonically_increasing_id()))
+    scores = small_side(_word_scores(rows.select(F.explode("left.word").alias("word")).distinct(), held, model.far))
+    flat = rows.select("row", F.struct(*keep, *names[:-1]).alias("own"), F.posexplode_outer("left").alias("at", "w"))
+    # a row's own columns go with its first word; rows without such words get keys of their own
+    alone = F.concat(F.unhex(F.lit("FF")), F.col("row").cast("string").cast("binary"))
+    flat = flat.select("row", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("own")).alias("own"), F.coalesce("w.word", alone).alias("word"), "w.times")
+    joined = flat.join(scores, "word", "left").groupBy("row").agg(
+        F.first("own", ignorenulls=True).alias("own"), F.collect_list(F.when(F.col("times").isNotNull(), F.struct("score", "times"))).alias("left")
+    )
+    return joined.select("own.*", "left").mapInArrow(both, scored)
+
+
+def _word_scores(words: DataFrame, held: Broadcast[Held], far: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """word and score: the log ratios of all n-grams of a word, given as its codes up to the gap after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_pylist()
+            if not own:
+                continue
+            g = _of_codes(np.frombuffer(b"\0" + b"".join(own), np.uint8).astype(np.int64))[1:]
+            word = np.repeat(np.arange(len(own)), [len(w) for w in own])
+            r = held.value.seen.find(g)
+            miss = np.flatnonzero(np.isnan(r))
+            known = np.bincount(word, np.nan_to_num(r), len(own))
+            known = np.where(np.diff(word[miss], prepend=-1) > 0, known[word[miss]], 0)  # with the first n-gram that is not held
+            other = held.value.rest.find(g[miss] >> BITS)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(word[miss])), pa.array(known), pa.array(g[miss]), pa.array(g[miss] >> BITS), pa.array(other, from_pandas=True)], ["word", "known", "gram", "context", "other"]
+            )
+
+    missed = words.mapInArrow(run, "word binary, known double, gram long, context long, other double")
+    seen, rest = far[0], far[1].withColumnRenamed("r", "backoff")
+    missed = missed.join(seen, "gram", "left")
+    ask = F.col("r").isNull() & F.col("other").isNull()
+    missed = missed.withColumn("context", F.when(ask, F.col("context")).otherwise(-1 - F.col("gram"))).join(rest, "context", "left")
+    return missed.groupBy("word").agg(F.sum(F.col("known") + F.coalesce("r", "other", "backoff", F.lit(0.0))).alias("score"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -273,6 +273,35 @@ def test_quality_held_out_accuracy(spark):
     assert (out.held_out == out.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)).all()
 
 
+@pytest.mark.parametrize("held", [None, 400])
+def test_toxicity_every_gram_has_its_own_ratio(spark, monkeypatch, held):
+    """Features against sums over plain dictionaries, where all ratios are held by a task and where most are joined."""
+    if held:
+        monkeypatch.setattr(toxicity, "MAX_HELD", held)
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 11))) for _ in range(4000)]
+    text = lambda lo, n: " ".join(rng.choice(vocabulary[lo : lo + 3000], n))
+    made = [(d, text(1000 * (d % 2), 60), d % 2) for d in range(300)]
+    labelled = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    docs = [(0, "zzq qqz zzq zzq"), (0, ""), (1, None), *((2 + k, t) for k, (_, t, _) in enumerate(made[:40])), (99, "né " * 3 + text(0, 400))]
+    model = toxicity.fit(labelled)
+    part = F.pmod(F.xxhash64(F.lit(toxicity.SEED), F.col("doc_id")), F.lit(4)) == 0
+    seen, rest = ({r[0]: r[1] for r in df.collect()} for df in toxicity.ratios(toxicity.count_grams(labelled.where(~part))))
+    want = []
+    for d, t in docs:
+        words = [[]]
+        for g in toxicity.grams((t or "").encode()).tolist():
+            words[-1].append(seen.get(g, rest.get(g >> toxicity.BITS, 0.0)))
+            if g % 64 == 0:
+                words.append([])
+        sums = [sum(w) for w in words if w]
+        top = sorted([-3.0, -3.0, *sums])
+        want.append((d, sum(sums) / sum(map(len, words)), top[-1], top[-2], sum(max(x - 3, 0) for x in sums)))
+    out = toxicity.featured(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), model, ["doc_id"])
+    got = sorted((r["doc_id"], r["whole"], r["first"], r["second"], r["excess"]) for r in rows(out))
+    assert np.allclose(got, sorted(want), atol=1e-4)
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
