@@ -67,14 +67,16 @@ class Shape:
 
 
 def shape_of(n: int) -> Shape:
-    """The windows for items of ``n`` words: any passage within the allowed edits holds a whole aligned window."""
-    edits = int(n * MAX_EDITS)
+    """The windows for items of ``n`` words: short ones, many to an item, so that some hold few of the allowed edits.
+
+    A window's chance to be met falls with the edits in it, which grow with its width: wider windows for longer items
+    would lose edited passages. Any passage within the allowed edits holds a whole aligned window.
+    """
     if n < 9:
-        return Shape(n - edits, 1)
-    width = 1 << (n - edits).bit_length() - 1
-    while width > 8 and width + width // 4 - 1 > n:
-        width //= 2
-    return Shape(width, width // 4)
+        return Shape(n - int(n * MAX_EDITS), 1)
+    if n < 12:
+        return Shape(7, 1)
+    return Shape(8, 2) if n < 32 else Shape(16, 4)
 
 
 def _walk_keys(words: np.ndarray, starts: np.ndarray, last: np.ndarray, shape: Shape) -> Iterator[np.ndarray]:

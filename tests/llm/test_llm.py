@@ -151,6 +151,25 @@ def test_leaks_against_brute_force_with_edits(spark):
     assert exact <= got
 
 
+@pytest.mark.parametrize("n", [5, 9, 11, 20, 31, 32, 39, 100, 200, 400])
+def test_leaks_recall_by_length_and_edits(n):
+    for share in (0.1, 0.2):
+        rng = np.random.default_rng([5, n, int(share * 10)])
+        words = lambda k: [f"w{v}" for v in rng.integers(1 << 40, size=k)]
+        items = [words(n) for _ in range(60)]
+        index, texts, true = decontam.Index([(k, " ".join(v)) for k, v in enumerate(items)]), [], []
+        for k, v in enumerate(items):
+            v = list(v)
+            for _ in range(int(n * share)):
+                at = int(rng.integers(len(v)))
+                v[at : at + 1] = [[], words(1), [v[at], *words(1)]][rng.integers(3)]
+            texts.append(" ".join(words(int(rng.integers(30, 60))) + v + words(40)).encode())
+            if decontam.edit_distance(index.items[k][1], decontam.word_hashes(texts[-1]))[0] <= int(n * decontam.MAX_EDITS):
+                true.append((k, k))
+        got = {(d, i) for d, i, *_ in index.leaks(texts)}
+        assert got <= set(true) and len(got) >= 0.95 * len(true) > 50
+
+
 def test_leaks_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "same row twice here"), (2, None), (3, ""), (4, "same row twice here"), (5, "?!")], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in rows(decontam.find_leaks(odd, items))) == [(5, 1), (5, 1), (5, 4), (5, 4)]
