@@ -539,7 +539,7 @@ def ras1_sample_nearest(spark, d):
 def mod1_oof(spark, d):
     p = fx.predictions(spark, d).withColumn("fold", keys.fold_of(keys.block_id(F.col("mid_x"), F.col("mid_y"))))
     p = p.withColumn("wear", (100 - F.col("rating")) / F.col("age"))
-    return models.oof(p, "seg_id", ["age", "crack_mil", "flood_mil"], [], "wear", "rate", iterations=3)
+    return models.oof(p, "seg_id", ["age", "crack_mil", "flood_mil"], [], "wear", "rate")
 
 
 @query()

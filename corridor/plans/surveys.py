@@ -157,7 +157,7 @@ def _folded(spark, d):
 @query()
 def mod3_ablation(spark, d):
     ladder = [("age", ["age"]), ("+ cracks", ["age", "crack_mil"]), ("+ flood", ["age", "crack_mil", "flood_mil"])]
-    return ablation.ablation(_folded(spark, d), "seg_id", ladder, "bad", "yes", "block", iterations=3)
+    return ablation.ablation(_folded(spark, d), "seg_id", ladder, "bad", "yes", "block")
 
 
 @query()
@@ -169,7 +169,7 @@ def qry9_traffic_crash_ablation(spark, d):
     crashes = linref.points_on_segments(s, fx.points(spark, d), "pt_id").where("seg_id is not null").groupBy("seg_id").agg(F.count("*").alias("crashes"))
     df = _folded(spark, d).join(traffic, "seg_id", "left").join(crashes, "seg_id", "left").withColumn("crashes", F.coalesce("crashes", F.lit(0)))
     ladder = [("map", ["age"]), ("+ traffic", ["age", "traffic"]), ("+ crashes", ["age", "crashes"]), ("+ both", ["age", "traffic", "crashes"])]
-    return ablation.ablation(df, "seg_id", ladder, "wear", "rate", "block", draws=300, iterations=3)
+    return ablation.ablation(df, "seg_id", ladder, "wear", "rate", "block", draws=300)
 
 
 @query()
@@ -182,4 +182,4 @@ def mod4_rescale(spark, d):
 
 @query()
 def mod8_transfer(spark, d):
-    return ablation.transfer_test(_folded(spark, d), "seg_id", ["age", "crack_mil", "flood_mil"], ["age"], "bad", "place", "west", "east", F.col("age") < 11, "crack_mil", iterations=3)
+    return ablation.transfer_test(_folded(spark, d), "seg_id", ["age", "crack_mil", "flood_mil"], ["age"], "bad", "place", "west", "east", F.col("age") < 11, "crack_mil")

@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corridor.common import Refused
 from corridor.operators import ablation, chips, depth, depth_checks, models
+from corridor.plans import queries as road
+from corridor.plans import surveys  # noqa: F401  registers its queries
 
 
 def chips_of(spark, n, side=8, seed=3):
@@ -143,3 +146,17 @@ def test_ablation_and_transfer(spark):
     assert got["moved", "model"].ap > 0.95 > 0.6 > got["moved", "plain model"].ap and got["held out", "model"].n == df.where("place = 'w' and year < 2002").count()
     one_class = models.fit_predict(df.where("hit = 1"), df, "id", ["a"], [], "hit", "yes")
     assert one_class.count() == 0
+
+
+@pytest.mark.parametrize("name", ["mod1_oof", "mod3_ablation", "qry9_traffic_crash_ablation", "mod8_transfer"])
+def test_fitted_queries_run_the_default_rounds(spark, sf, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    def estimator(kind, label, iterations):
+        raise Reached(iterations)
+
+    monkeypatch.setattr(models, "estimator", estimator)
+    with pytest.raises(Reached) as e:
+        road.QUERIES[name](spark, sf)
+    assert e.value.args == (inspect.signature(models.oof).parameters["iterations"].default,) == (30,)
