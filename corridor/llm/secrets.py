@@ -24,11 +24,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[a-z]+_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
+DIGITS = frozenset("0123456789 -")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", re.A)
 IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Z0-9])")
 KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END (?:[A-Z]+ )*PRIVATE KEY-----")
-#: Characters around a keyword in which an expression without a keyword of its own is looked for.
-NEAR = 64
+#: Characters around a keyword in which an expression without a keyword of its own is looked for, and more than the
+#: longest of them has: what starts within reach is read to its end and one character on.
+NEAR, LONGEST = 64, 64
 
 
 def base62_crc(body: str) -> bool:
@@ -77,6 +79,7 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
             if good(m):
                 spans.add((m.start(), KINDS.index(kind), m.end()))
 
+    reach: list[list[int]] = []  # neighbourhoods of keywords, those that meet made one
     for end, (kind, n) in sorted(words.iter(_lower(text)), key=lambda x: x[0] - x[1][1]):
         start = end - n + 1
         if kind == "assign":
@@ -87,11 +90,22 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
             at(kind, TOKEN, start, lambda m: base62_crc(m[1]))
         elif kind == "key":
             at(kind, KEY, start, lambda m: True)
+        elif reach and start - NEAR <= reach[-1][1]:
+            reach[-1][1] = max(reach[-1][1], end + NEAR)
         else:
-            for name, pattern, good in (("card", CARD, luhn), ("iban", IBAN, iban)):
-                for m in pattern.finditer(text, max(0, start - NEAR), end + NEAR):
-                    if good(m[0]):
-                        spans.add((m.start(), KINDS.index(name), m.end()))
+            reach.append([max(0, start - NEAR), end + NEAR])
+    for lo, hi in reach:
+        for name, pattern, good in (("card", CARD, luhn), ("iban", IBAN, iban)):
+            at_least = ends[name]
+            back = lo  # a number that a neighbourhood cuts is read from where it begins
+            while name == "card" and back > at_least and text[back - 1] in DIGITS:
+                back -= 1
+            for m in pattern.finditer(text, max(back, at_least), hi + LONGEST):
+                if m.start() > hi:
+                    break
+                ends[name] = m.end()
+                if m.end() > lo and good(m[0]):
+                    spans.add((m.start(), KINDS.index(name), m.end()))
     spans.update((m.start(), 2, m.end()) for m in HEX.finditer(text))
     return sorted(spans)
 
@@ -108,8 +122,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, code points, end exclusive) of each row.
 
     The keyword kinds are tried only where the automaton hits; runs of hex digits have no keyword and are searched for
-    in the whole text. Tokens count with a right crc32, card numbers near a keyword with a right Luhn digit, IBANs with
-    remainder 1. A null text is empty: no spans, and the hash of the empty string. Repeated rows are scanned each.
+    in the whole text. Tokens count with a right crc32, card numbers that touch a keyword's neighbourhood with a right
+    Luhn digit, IBANs with remainder 1; numbers are never cut out of longer runs of digits. A null text is empty: no spans, and the hash of the empty string. Repeated rows are scanned each.
     """
 
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
