@@ -12,10 +12,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.llm.common import bounded, fold, settled, small_side
+from corridor.llm.common import fold, settled, small_side
 
-#: Codes of an n-gram (long enough for a stem with the gap before it), bits of a code, discount.
-ORDER, BITS, DISCOUNT = 8, 6, 0.75
+#: Codes of an n-gram (five, six and eight were compared among the rows that teach), bits of a code, discount.
+ORDER, BITS, DISCOUNT = 8, 7, 0.75
 #: N-grams, and contexts, whose ratios a task holds: the most frequent. Words with others are scored by joins.
 MAX_HELD = 1 << 22
 #: A document is judged as a whole and by its words whose log ratio is over this much.
@@ -28,11 +28,13 @@ FEATURES = ("whole", "first", "second", "excess")
 
 
 def _code_table() -> np.ndarray:
-    """Bytes to codes: 0 is a gap between words, letters and digits follow, bytes beyond ASCII share what is left."""
+    """Bytes to codes: 0 is a gap between words, letters and digits follow, then bytes beyond ASCII: the 64 that go on with
+    a letter each have one of their own, those that begin one share the 27 left."""
     code = np.zeros(256, np.int64)
     for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
         code[ord(c)] = code[ord(c.upper())] = k + 1
-    code[128:] = 37 + np.arange(128) % 27
+    code[128:192] = 37 + np.arange(64)
+    code[192:] = 101 + np.arange(64) % 27
     return code
 
 
@@ -58,39 +60,77 @@ def _of_codes(c: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(data: bytes) -> Iterator[bytes]:
+    """A text in pieces of PIECE bytes or less, cut between words; only a word longer than that is cut where a piece ends."""
+    k = 0
+    while len(data) - k > PIECE:
+        gap = np.flatnonzero(CODE[np.frombuffer(data, np.uint8, PIECE, k)] == 0)
+        end = k + int(gap[-1]) + 1 if len(gap) else k + PIECE
+        yield data[k:end]
+        k = end
+    yield data[k:]
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
     """gram, toxic and ordinary: how often each n-gram occurs in the texts of either class (columns text, toxic)."""
 
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(n * (key & 1)), pa.array(n * (1 - (key & 1)))], ["gram", "toxic", "ordinary"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 256):
-                parts = [(grams(x) << 1) + y for x, y in zip(texts[k : k + 256], toxic[k : k + 256], strict=True) if x]
-                if parts:
-                    key, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(n * (key & 1)), pa.array(n * (1 - (key & 1)))], ["gram", "toxic", "ordinary"])
+            parts, size = [], 0
+            for text, toxic in zip(b.column(0), b.column(1), strict=True):
+                for piece in pieces(text.as_py() or b""):
+                    parts.append((grams(piece) << 1) + toxic.as_py())
+                    size += len(parts[-1])
+                    if size > PIECE:
+                        yield counted(parts)
+                        parts, size = [], 0
+            if parts:
+                yield counted(parts)
+
+    rows = texts.where("text != ''").select(F.col("text").cast("binary"), F.col("toxic").cast("int"))
+    return rows.mapInArrow(run, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
-    counted = texts.select(F.col("text").cast("binary"), F.col("toxic").cast("int")).mapInArrow(run, "gram long, toxic long, ordinary long")
-    return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+def _low(gram: str, order: int) -> Column:
+    """The last ``order`` codes."""
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * order) - 1))
+
+
+def continuation(counts: DataFrame) -> DataFrame:
+    """(low, p) of the n-grams one code shorter: how likely the last code is after the others, whatever the class.
+
+    An n-gram's weight is the number of longer ones, kept of either class, that end with it; each order gives what it
+    discounts to the next lower one, down to single codes, which share theirs evenly.
+    """
+    kinds, orders = counts.select("gram"), []
+    for k in range(ORDER - 1, 0, -1):
+        kinds = settled(kinds.groupBy(_low("gram", k).alias("gram")).agg(F.count("*").alias("n")))
+        orders.append((k, kinds))
+    p = None
+    for k, own in reversed(orders):
+        after = Window.partitionBy("h")  # at most 2^BITS rows
+        own = own.withColumn("h", F.shiftright("gram", BITS)).withColumns({"total": F.sum("n").over(after), "kinds": F.count("*").over(after)})
+        lower = F.lit(1 / (1 << BITS)) if p is None else F.col("p")
+        own = own if p is None else own.withColumn("low", _low("gram", k - 1)).join(p, "low")
+        p = own.select(F.col("gram").alias("low"), ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * lower) / F.col("total")).alias("p"))
+    return p
 
 
 def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Log-likelihood ratios of n-grams seen, (gram, r, n), and of what follows a context otherwise, (context, r, n).
 
     In class c, P(x|h) = (max(n_c(h,x) - D, 0) + D t_c(h) P(x|h')) / n_c(h), with t_c(h) the n-grams of h that c has.
-    P(x|h') is the share of the pooled n-grams' distinct first characters, common to both classes: an n-gram that
-    neither has, or whose context one lacks, tells little, however few the toxic texts are.
+    P(x|h') is common to both classes (``continuation``): an n-gram that neither has, or whose context one lacks, tells
+    little, however few the toxic texts are.
     """
-    mask = (1 << BITS * (ORDER - 1)) - 1
-    c = counts.withColumns({"h": F.shiftright("gram", BITS), "low": F.col("gram").bitwiseAND(F.lit(mask))})
-    # all that is counted together shares the middle of the n-gram, so one shuffle serves every window;
-    # a middle has at most 2^(2 BITS) n-grams
-    c = c.withColumn("middle", F.shiftright("low", BITS)).repartition("middle")
-    of_h, of_low, of_middle = (Window.partitionBy("middle", *k) for k in (["h"], ["low"], []))
     totals = {"nt": F.sum("toxic"), "no": F.sum("ordinary"), "tt": F.count_if(F.col("toxic") > 0), "to": F.count_if(F.col("ordinary") > 0)}
-    follow, whole = F.count("*").over(of_low), F.count("*").over(of_middle)
-    both = c.withColumns({k: v.over(of_h) for k, v in totals.items()} | {"p": (follow - DISCOUNT / 2) / whole})
+    after = Window.partitionBy("h")  # at most 2^BITS rows
+    c = counts.withColumn("h", F.shiftright("gram", BITS)).withColumns({k: v.over(after) for k, v in totals.items()})
+    both = c.withColumn("low", _low("gram", ORDER - 1)).join(continuation(counts), "low")
 
     def likelihood(n: str, total: str, kinds: str) -> Column:
         seen = (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("p")) / F.col(total)
@@ -172,8 +212,8 @@ class Held:
         """Log ratios of a text: sum, number of characters, two most toxic words and what exceeds EXCESS, of the words whose
         n-grams are all held (all words, if the tables are whole); and the codes of each other word, with how often it occurs."""
         total, n, excess, top, left = 0.0, 0, 0.0, np.array([-EXCESS, -EXCESS]), Counter()
-        for k in range(0, max(len(data), 1), PIECE):  # long texts piece by piece
-            g = grams(data[k : k + PIECE])
+        for piece in pieces(data):
+            g = grams(piece)
             r = self.seen.find(g)
             miss = np.flatnonzero(np.isnan(r))
             starts = np.concatenate([[0], np.flatnonzero(g & (1 << BITS) - 1 == 0)[:-1] + 1])
@@ -204,12 +244,13 @@ def _design(x: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(x)), np.clip(x[:, 0], -1, 1) * 5, one, two, np.log1p(x[:, 3]) / 4], 1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Coefficients for rows that count ``n`` times each."""
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        step = np.linalg.solve(x.T * w @ x + ridge * np.eye(len(beta)), x.T @ (y - p) - ridge * beta)
+        w = n * p * (1 - p) + 1e-9
+        step = np.linalg.solve(x.T * w @ x + ridge * np.eye(len(beta)), x.T @ (n * (y - p)) - ridge * beta)
         beta = beta + step
         if np.abs(step).max() < 1e-6:
             break
@@ -224,16 +265,24 @@ def _model(counts: DataFrame) -> Model:
     return Model(Held(near, near_rest, False), (far, far_rest), np.zeros(5))
 
 
-def fit(labelled: DataFrame) -> Model | None:
-    """``labelled``: doc_id, text, toxic (0 or 1). A quarter of the ids calibrates, the rest is counted in full."""
-    part = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(4)) == 0
-    blank = _model(settled(count_grams(labelled.where(~part))))
-    held = bounded(labelled.where(part).select("doc_id", "text", "toxic"), MAX_CALIBRATION, "doc_id")
-    rows = featured(held, blank, ["doc_id", "toxic"]).select("toxic", *FEATURES).toArrow()
-    y, *x = (rows.column(k).to_numpy().astype(float) for k in range(5))
-    if not len(y) or y.min() == y.max():
+def fit(labelled: DataFrame, n_ids: int) -> Model | None:
+    """``labelled``: doc_id, text, toxic (0 or 1), of ``n_ids`` ids. None where one class has no n-grams.
+
+    A quarter of the ids calibrates, MAX_CALIBRATION of them at most; all other rows are counted. Where those lack a
+    class, the plain comparison of the two likelihoods decides.
+    """
+    share = min(0.25, MAX_CALIBRATION / max(n_ids, 1))
+    part = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * share)
+    counts = settled(count_grams(labelled.where(~part)))
+    if not all(counts.agg(F.sum("toxic"), F.sum("ordinary")).first()):
         return None
-    return replace(blank, beta=logistic(_design(np.stack(x, 1)), y))
+    blank = _model(counts)
+    held = featured(labelled.where(part).select("doc_id", "text", "toxic"), blank, ["doc_id", "toxic"])
+    rows = held.groupBy("toxic", *FEATURES).count().toArrow()  # a row for each text: copies are one
+    y, *x, n = (rows.column(k).to_numpy().astype(float) for k in range(6))
+    if not len(y) or y.min() == y.max():
+        return replace(blank, beta=np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
+    return replace(blank, beta=logistic(_design(np.stack(x, 1)), y, n))
 
 
 def featured(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -321,13 +370,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``, from its whole text alone.
 
     Labels (doc_id, toxic) teach only where crc32(doc_id) mod 5 is not 0; an id labelled more than once counts as
-    toxic where most say so. Null texts score as empty ones. Without labels of both classes every score is 0.
+    toxic where most say so. Null texts score as empty ones. Without texts of both classes every score is 0.
     Repeated rows score alike. The counts cover every labelled text that teaches, so they grow with the corpus.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"))
-    marks = marks.where(fold(F.col("doc_id"), 5) != 0)
+    marks = settled(marks.where(fold(F.col("doc_id"), 5) != 0))
     # the side of labels is small or both are shuffled; either way the texts that teach are read twice, never kept
-    model = fit(docs.select("doc_id", "text").join(small_side(marks), "doc_id"))
+    model = fit(docs.select("doc_id", "text").join(small_side(marks), "doc_id"), marks.count())
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     out = featured(docs, model, ["doc_id"]) if model else docs.select("doc_id", F.lit(0.0).alias("score"))
     return out.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

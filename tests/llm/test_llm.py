@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import itertools
 import re
@@ -303,15 +304,15 @@ def test_toxicity_every_gram_has_its_own_ratio(spark, monkeypatch, held):
     made = [(d, text(1000 * (d % 2), 60), d % 2) for d in range(300)]
     labelled = spark.createDataFrame(made, "doc_id long, text string, toxic int")
     docs = [(0, "zzq qqz zzq zzq"), (0, ""), (1, None), *((2 + k, t) for k, (_, t, _) in enumerate(made[:40])), (99, "né " * 3 + text(0, 400))]
-    model = toxicity.fit(labelled)
-    part = F.pmod(F.xxhash64(F.lit(toxicity.SEED), F.col("doc_id")), F.lit(4)) == 0
+    model = toxicity.fit(labelled, 300)
+    part = F.pmod(F.xxhash64(F.lit(toxicity.SEED), F.col("doc_id")), F.lit(1_000_000)) < 250_000
     seen, rest = ({r[0]: r[1] for r in df.collect()} for df in toxicity.ratios(toxicity.count_grams(labelled.where(~part))))
     want = []
     for d, t in docs:
         words = [[]]
         for g in toxicity.grams((t or "").encode()).tolist():
             words[-1].append(seen.get(g, rest.get(g >> toxicity.BITS, 0.0)))
-            if g % 64 == 0:
+            if g % (1 << toxicity.BITS) == 0:
                 words.append([])
         sums = [sum(w) for w in words if w]
         top = sorted([-3.0, -3.0, *sums])
@@ -328,19 +329,58 @@ def test_toxicity_held_out_accuracy(spark):
     assert (out.predicted == out.toxic).mean() > 0.93 and out[out.toxic == 0].predicted.mean() < 0.02 and out[out.toxic == 1].predicted.mean() > 0.6
 
 
-def test_kneser_ney_sums_to_one(spark):
-    """Over a context's n-grams and what is left for others, class likelihoods behave as the formula says."""
-    texts = spark.createDataFrame([("aab aac aad", 1), ("aab aab aae", 0)], "text string, toxic int")
-    counts = toxicity.count_grams(texts)
-    brute = collections.Counter()
-    for t, y in (("aab aac aad", 1), ("aab aab aae", 0)):
-        for g in toxicity.grams(t.encode()):
-            brute[int(g), y] += 1
-    assert {(r["gram"], 1): r["toxic"] for r in rows(counts) if r["toxic"]} | {(r["gram"], 0): r["ordinary"] for r in rows(counts) if r["ordinary"]} == dict(brute)
-    seen, rest = toxicity.ratios(counts)
-    r = {x["gram"]: x["r"] for x in rows(seen)}
-    c, d, b = (int(toxicity.grams(w)[3]) for w in (b"aac", b"aad", b"aab"))
-    assert r[c] > 0 and r[c] == pytest.approx(r[d]) and r[b] < 0 and all(np.isfinite(x["r"]) for x in rows(rest))
+def test_kneser_ney_against_brute_force(spark):
+    """Counts, every order's continuation and both classes' likelihoods by plain recursion; likelihoods sum to one."""
+    top = toxicity.ORDER
+    rng = np.random.default_rng(6)
+    made = [(" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 11))) for _ in range(25)), k % 2) for k in range(6)]
+    counts = {y: collections.Counter(g for t, k in made if k == y for g in toxicity.grams(t.encode()).tolist()) for y in (0, 1)}
+    df = toxicity.count_grams(spark.createDataFrame(made, "text string, toxic int"))
+    assert {r["gram"]: (r["ordinary"], r["toxic"]) for r in rows(df)} == {g: (counts[0][g], counts[1][g]) for g in counts[0] | counts[1]}
+    b, d = toxicity.BITS, toxicity.DISCOUNT
+    kinds = {top: set(counts[0] | counts[1])}
+    for k in range(top - 1, 0, -1):
+        kinds[k] = {g & (1 << b * k) - 1 for g in kinds[k + 1]}
+
+    @functools.cache
+    def lower(g, k):
+        """P of the last code of ``g`` of k codes, from kinds of one code more."""
+        if k == 0:
+            return 1 / (1 << b)
+        n = collections.Counter(x & (1 << b * k) - 1 for x in kinds[k + 1])
+        total = sum(v for x, v in n.items() if x >> b == g >> b)
+        after = sum(1 for x in n if x >> b == g >> b)
+        return (max(n[g] - d, 0) + d * after * lower(g & (1 << b * (k - 1)) - 1, k - 1)) / total
+
+    def likelihood(g, y):
+        low = lower(g & (1 << b * (top - 1)) - 1, top - 1)
+        total = sum(v for x, v in counts[y].items() if x >> b == g >> b)
+        after = sum(1 for x in counts[y] if x >> b == g >> b)
+        return (max(counts[y][g] - d, 0) + d * after * low) / total if total else low
+
+    seen, rest = toxicity.ratios(df)
+    got = {r["gram"]: r["r"] for r in rows(seen)}
+    assert set(got) == kinds[top] and all(got[g] == pytest.approx(np.log(likelihood(g, 1) / likelihood(g, 0))) for g in got)
+    p = {r["low"]: r["p"] for r in rows(toxicity.continuation(df))}
+    assert set(p) == kinds[top - 1] and all(p[g] == pytest.approx(lower(g, top - 1)) for g in p)
+    # single codes: what is seen and the even share of what is not
+    assert sum(lower(x, 1) for x in kinds[1]) + (1 - len(kinds[1]) / (1 << b)) * d * len(kinds[1]) / len(kinds[2]) == pytest.approx(1)
+    assert all(np.isfinite(x["r"]) for x in rows(rest))
+
+
+def test_toxicity_pieces_and_one_sided_calibration(spark, monkeypatch):
+    text = "wort über ñandú " * 50
+    whole = collections.Counter(toxicity.grams(text.encode()).tolist())
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    cut = collections.Counter(g for x in toxicity.pieces(text.encode()) for g in toxicity.grams(x).tolist())
+    assert b"".join(toxicity.pieces(text.encode())) == text.encode() and {g: n for g, n in cut.items() if g} == {g: n for g, n in whole.items() if g}
+    assert max(map(len, toxicity.pieces(b"x" * 500))) == 64
+    monkeypatch.setattr(toxicity, "MAX_CALIBRATION", 0)
+    made = [(k, ("foul words" if k % 2 else "fair speech") + f" {k}", k % 2) for k in range(20)]
+    model = toxicity.fit(spark.createDataFrame(made, "doc_id long, text string, toxic int"), 20)
+    out = {r["doc_id"]: r["score"] for r in rows(toxicity.featured(spark.createDataFrame([(0, "fair"), (1, "foul")], "doc_id long, text string"), model, ["doc_id"]))}
+    assert out[0] < 0.5 < out[1]
+    assert toxicity.fit(spark.createDataFrame(made[::2], "doc_id long, text string, toxic int"), 10) is None
 
 
 def test_language_held_out_accuracy(spark):
