@@ -52,11 +52,33 @@ def bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
-#: Rows of two small columns that a broadcast may hold; longer sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows, and bytes of their values, that a broadcast may hold; longer sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, settled, with a broadcast hint if a count shows that it has at most ``rows`` rows."""
+def bytes_of(df: DataFrame) -> Column:
+    """About the bytes of a row's values: texts as long as they are, elements of arrays 16, others 8."""
+    size = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 16 * F.size(c)}
+    parts = [F.coalesce(size[kind](c), F.lit(0)) if (kind := f.dataType.typeName()) in size else F.lit(8) for f in df.schema for c in [F.col(f"`{f.name}`")]]
+    return sum(parts, F.lit(0)).cast("long")
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, settled, with a broadcast hint if a count shows that it has at most ``rows`` rows and ``size`` bytes."""
     df = settled(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    n, total = df.agg(F.count("*"), F.sum(bytes_of(df))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` but for the rows that have the doc_id and the text of a row of ``bad`` (doc_id, text_hash).
+
+    So each row goes by its own verdict where ids repeat, and a null id is an id like others.
+    """
+    bad = small_side(bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct())
+    same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (text_hash(docs["text"]) == bad["_bad_text"])
+    return docs.join(bad, same, "left_anti")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)

@@ -110,7 +110,7 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str]) -> Network:
 
 
 def fit(known: DataFrame) -> Network | None:
-    """A network from ``known`` (doc_id, text, lang): at most MAX_ROWS rows of a language, chosen by a hash."""
+    """A network from ``known`` (doc_id, text, lang): about MAX_ROWS rows of a language at most, chosen by a hash."""
     known = known.where("text is not null and lang is not null and length(text) > 0")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -118,7 +118,7 @@ def fit(known: DataFrame) -> Network | None:
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(1_000_000 * min(1, MAX_ROWS / n))).otherwise(share)
-    few = known.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("lang")), F.lit(1_000_000)) < share)
+    few = known.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("lang"), F.col("text")), F.lit(1_000_000)) < share)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Some windows of each whole text; what the driver gathers is bounded by rows and windows."""
@@ -129,11 +129,11 @@ def fit(known: DataFrame) -> Network | None:
             rows = pa.array([r.tobytes() for w in own for r in w], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), rows], ["lang", "window"])
 
-    rows = few.select("lang", F.col("text").cast("binary")).mapInArrow(pick, "lang string, window binary").orderBy("lang", "window").toArrow()
+    rows = few.select("lang", F.col("text").cast("binary")).mapInArrow(pick, "lang string, window binary")
+    rows = sorted(tuple(r) for r in rows.distinct().collect())  # copies are one: no repeated row makes more of them
     langs = sorted(counts)
-    x = np.stack([np.frombuffer(w, np.uint8) for w in rows.column(1).to_pylist()])
-    y = np.array([langs.index(l) for l in rows.column(0).to_pylist()])
-    return train(x, y, langs)
+    x = np.stack([np.frombuffer(w, np.uint8) for _, w in rows])
+    return train(x, np.array([langs.index(lang) for lang, _ in rows]), langs)
 
 
 def identify(docs: DataFrame) -> DataFrame:

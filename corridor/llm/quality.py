@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import bounded, fold, settled, small_side
+from corridor.llm.common import bounded, fold, settled, text_hash, without
 
 #: Labelled rows that are fitted, at most; chosen by a hash of doc_id. Everything else covers all rows.
 MAX_LABELLED = 200_000
@@ -157,7 +157,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     with its mean, null labels and ids not at all. A null text has the statistics of the empty one. Without a label to
     learn from, every score is 1: nothing speaks against a document. Repeated rows are scored alike.
     """
-    known = settled(docs.select("doc_id", statistics_of(F.col("text")).alias("x")))
+    return _scored(docs, labels).drop("text_hash")
+
+
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    known = settled(docs.select("doc_id", statistics_of(F.col("text")).alias("x"), text_hash(F.col("text")).alias("text_hash")))
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").cast("double").alias("y"))
     marks = settled(bounded(marks.where(fold(F.col("doc_id"), 4) != 2), MAX_LABELLED, "doc_id"))
     calib = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(4)) == 0
@@ -166,15 +170,14 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = model.score(_matrix(b.column(1))) if model else np.ones(len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score)], ["doc_id", "text_hash", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = known.mapInArrow(run, f"doc_id {kind}, score double")
+    out = known.mapInArrow(run, f"doc_id {kind}, text_hash long, score double")
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
-    return out.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects; rows without a doc_id stay."""
-    bad = score_quality(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(small_side(bad), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that the classifier rejects, each by its own text."""
+    return without(docs, _scored(docs, labels).where("predicted = 0"))

@@ -7,9 +7,13 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corridor.llm.common import bytes_of
+
 SHARDS = 64
 #: A prime, over fifty slots a shard: shares differ by a few hundredths, and the table stays one small broadcast.
 SLOTS = 4099
+#: Bytes of values that a task writes, about.
+PIECE_BYTES = 128 << 20
 
 
 def _number(text: str) -> int:
@@ -53,7 +57,7 @@ def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str =
     The table has ``slots`` rows, whatever the data, and is broadcast.
     """
     spark = docs.sparkSession
-    named = {c: f"_{c}" if c in docs.columns else c for c in ("slot", "shard")}
+    named = {"slot": "_slot" if "slot" in docs.columns else "slot", "shard": shard_column(docs)}
     filled = F.split(F.lit(",".join(map(str, lookup_table(shards, slots)))), ",")
     table = spark.range(1).select(F.posexplode(filled).alias("_lookup", "_to")).select("_lookup", F.col("_to").cast("int").alias(named["shard"]))
     of = F.coalesce(F.col(key).cast("string"), F.md5(F.col("text").cast("binary"))) if "text" in docs.columns else F.col(key).cast("string")
@@ -61,7 +65,23 @@ def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str =
     return out.join(F.broadcast(table), F.col(named["slot"]) == F.col("_lookup"), "left").drop("_lookup")
 
 
-def ordered_by_shard(placed: DataFrame, shard: str = "shard", parts: int = 8) -> DataFrame:
-    """Rows dealt by shard for writing; each shard falls into ``parts`` pieces by hash, so that no task has a whole one."""
-    piece = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
-    return placed.repartition(F.col(shard), piece).sortWithinPartitions(shard, "doc_id")
+def shard_column(docs: DataFrame) -> str:
+    """The name that ``place`` gives to the shard of ``docs``."""
+    return "_shard" if "shard" in docs.columns else "shard"
+
+
+def ordered_by_shard(placed: DataFrame, shard: str = "shard", shards: int = SHARDS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``placed`` dealt for writing: a task holds pieces of shards, sorted by shard and doc_id (nulls first, ties anyhow).
+
+    A shard falls into as many pieces as its share of all bytes needs, so neither a large table nor a hot key makes one
+    task hold more than about ``piece_bytes``. Pieces are drawn by a hash of doc_id, text (if there is one) and the input
+    partition: copies of one row are spread too, and a partition computed anew goes to the same pieces.
+    """
+    total = placed.agg(F.sum(bytes_of(placed))).first()[0] or 0
+    pieces = -(-total // (piece_bytes * shards)) or 1
+    tasks = max(-(-total // piece_bytes), placed.sparkSession.sparkContext.defaultParallelism)
+    names = placed.columns
+    of = [F.col(f"`{c}`") for c in ("doc_id", "text") if c in names]
+    rows = placed.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.pmod(F.xxhash64(*of, F.spark_partition_id()), F.lit(pieces)).alias("_piece"))
+    dealt = rows.repartition(min(tasks, pieces * shards), F.col(f"_row.`{shard}`"), F.col("_piece"))
+    return dealt.sortWithinPartitions(F.col(f"_row.`{shard}`"), F.col("_row.doc_id")).select("_row.*")

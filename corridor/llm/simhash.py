@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import settled, small_side
+from corridor.llm.common import settled, small_side, text_hash, without
 from corridor.llm.components import connected_components
 
 #: Most differing bits of a link that the covering below is proven for (tests/llm enumerates all patterns).
@@ -23,6 +23,8 @@ SEGMENTS = (11, 11, 11, 11, 10, 10)
 KEYS = ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))
 #: More anchored fingerprints than this at one anchor are split, so that a task holds no more of them.
 HOMES = 4096
+#: Fingerprints that one task puts at their anchors.
+PRINTS_A_TASK = 20_000
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -184,12 +186,14 @@ def _compare(max_bits: int):
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between different fingerprints that connect exactly those within ``max_bits`` bits of another.
 
-    ``prints`` has one long column ``fp``, distinct. The links span the groups: not every pair of a group is listed,
+    ``prints`` has a long column ``fp``, distinct. The links span the groups: not every pair of a group is listed,
     so a group of copies makes as many links as members, while any two fingerprints within the bound are connected.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}")
-    rows = prints.select("fp").mapInArrow(_replicate, "at long, fp long, home boolean")
+    # a fingerprint becomes about a hundred rows: as many tasks as those need, however few files the prints came in
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // PRINTS_A_TASK))
+    rows = prints.select("fp").repartition(tasks, "fp").mapInArrow(_replicate, "at long, fp long, home boolean")
     crowded = settled(rows.where("home").groupBy("at").count().where(F.col("count") > HOMES // 2))
     if crowded.isEmpty():
         dealt = rows.repartition("at").sortWithinPartitions("at", F.desc("home"))
@@ -207,27 +211,41 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_BITS)
     Null and blank texts have fingerprint zero and are linked like any other. component_id is the smallest doc_id that
     links reach; null doc_ids count for none, and a group of them alone has a null component. Repeated rows stay.
     """
-    prints = settled(docs.select("doc_id", fingerprint_of(F.col("text"), n_words).alias("fp")))
-    classes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(near_links(classes, max_bits)).withColumnRenamed("node", "fp")
-    classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = settled(classes.groupBy("root").agg(F.min("first").alias("component_id")))  # apart, so that a large root can be split
-    named = classes.join(smallest, "root").select("fp", "component_id")
+    prints, roots = _classes(docs, n_words, max_bits)
+    smallest = settled(roots.groupBy("root").agg(F.min("first.doc_id").alias("component_id")))  # apart, so that a large root can be split
+    named = roots.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _classes(docs: DataFrame, n_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash and fp of every row; and fp, root (of its component) and first (least id and text) of every print."""
+    prints = settled(docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), fingerprint_of(F.col("text"), n_words).alias("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    classes = settled(prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
+    links = connected_components(near_links(classes, max_bits)).withColumnRenamed("node", "fp")
+    return prints, classes.join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def drop_near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest doc_id. Rows that repeat a doc_id and its text
-    are one document and stay once; rows without a doc_id are left as they are.
+    """``docs`` with one row of each group: the least by doc_id (null last), then by a hash of the text.
+
+    Where that very row is there more than once, with the same id and text, one of them stays.
     """
-    found = settled(near_duplicates(docs, n_words, max_bits))
-    first = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
-    kept = docs.join(small_side(first.where("not first").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():
+    prints, roots = _classes(docs, n_words, max_bits)
+    stays = settled(roots.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
+    # only groups of two rows or more have anything to drop
+    named = roots.join(stays.where("n > 1").select("root", F.col("first").alias("_stays")), "root").select("fp", "_stays")
+    rows = settled(prints.join(named, "fp").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("_stays.doc_id")) & (F.col("text_hash") == F.col("_stays.text_hash"))).alias("stays")))
+    kept = without(docs, rows.where("not stays"))
+    again = rows.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if again.isEmpty():
         return kept
-    once = kept.withColumn("_text", F.xxhash64("text"))
-    known = once.where("doc_id is not null").dropDuplicates(["doc_id", "_text"])
-    return known.unionAll(once.where("doc_id is null")).drop("_text")
+    hidden = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = kept.select(F.col("doc_id").alias("_id"), text_hash(F.col("text")).alias("_hash"), hidden.alias("_row"))
+    again = again.select(F.col("doc_id").alias("_again"), F.col("text_hash").alias("_text"), F.lit(True).alias("_many"))
+    found = found.join(small_side(again), found["_id"].eqNullSafe(F.col("_again")) & (F.col("_hash") == F.col("_text")), "left")
+    once = found.where("_many").groupBy("_id", "_hash").agg(F.first("_row").alias("_row")).select("_row.*")  # combined before the shuffle
+    return found.where("_many is null").select("_row.*").unionAll(once)
 
 
 def covers(pattern: tuple[int, ...]) -> bool:
