@@ -5,15 +5,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.llm.common import BLANKS, settled, word_count
+from corridor.llm.common import BLANKS, bytes_of, settled, small_side, word_count
+from corridor.operators.ranking import global_rank
 
-#: The permutation key of a document has this many bits; the top BLOCK_BITS name its block within its source.
-KEY_BITS, BLOCK_BITS = 63, 10
-#: What the driver gathers is bounded by these two: a row for each source and, at most, each source's block.
-MAX_SOURCES = 2000
+#: Bits of a document's permutation key; digits of it that one round of the search for a cut looks at.
+KEY_BITS, ROUND_BITS = 63, 10
+#: Words of a block, at least, and blocks of all sources, about: beyond that blocks grow with the input. A source's blocks
+#: are so many that blocks of all sources have about as many words.
+BLOCK_WORDS, MOST_BLOCKS = 4096, 1 << 20
+#: Groups of sources whose block quotas the driver splits among shards, and shards, at most: what the driver holds.
+GROUPS, MOST_SHARDS = 32, 1 << 17
+#: Bytes of values that a task writes, about.
+PIECE_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -27,20 +34,25 @@ class Mix:
     seed: int = 42
 
 
-def targets(sizes: list[int], mix: Mix) -> list[float]:
-    """Each source's share by weight; what exceeds the cap is shared again by weight among the rest."""
-    weight = [mix.weights[i % len(mix.weights)] for i in range(len(sizes))]
-    total, out, open_ = mix.share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
-    while open_:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in open_)
-        unit = left / sum(weight[i] for i in open_)
-        over = {i for i in open_ if weight[i] * unit > mix.cap * sizes[i]}
-        for i in over or open_:
-            out[i] = mix.cap * sizes[i] if over else weight[i] * unit
-        if not over:
+def targets(sources: DataFrame, mix: Mix) -> DataFrame:
+    """``sources`` (source, n) with sid (their place by code point, null last, from 0) and target.
+
+    A source's share is by weight; what exceeds the cap is shared again by weight among the rest. Each round is one
+    aggregate over the sources, however many: it finds the share of a weight of one, given those capped so far.
+    """
+    ranked = global_rank(sources.withColumn("_null", F.col("source").isNull()), [F.asc("_null"), F.asc("source")], "sid").withColumn("sid", F.col("sid") - 1)
+    weight = F.get(F.array(*map(F.lit, mix.weights)), F.pmod("sid", F.lit(len(mix.weights))).cast("int"))
+    ranked = settled(ranked.select("source", "n", "sid", weight.alias("_weight")))
+    most = mix.cap * F.col("n")
+    size, weights = ranked.agg(F.sum("n"), F.sum("_weight")).first()
+    unit, capped = mix.share * (size or 0) / (weights or 1), -1
+    while True:
+        over = F.col("_weight") * unit > most
+        n, fixed, free = ranked.agg(F.count_if(over), F.sum(F.when(over, most)), F.sum(F.when(~over, F.col("_weight")))).first()
+        if n == capped or not free:
             break
-        open_ -= over
-    return out
+        capped, unit = n, (mix.share * size - (fixed or 0)) / free
+    return ranked.withColumn("target", F.least(F.col("_weight") * unit if free else most, most).cast("double")).drop("_weight")
 
 
 def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -64,42 +76,63 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with size (words), and _u: the place of a document in the permutation of its source."""
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("string"), F.col("source")), 1)
+    """``docs`` with size (words), and _u: the place of a document in the permutation of its source.
+
+    The text is part of it, so that rows without an id, or with one id, have places of their own.
+    """
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("string"), F.col("source"), F.col("text")), 1)
     return docs.withColumns({"size": word_count(F.col("text")), "_u": key})
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _shifted(bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", F.col("_u"), bits)
+
+
+def _reached(cells: DataFrame, due: Column) -> DataFrame:
+    """The cell of each source (_sid, _cell, n, ...) in which ``due`` words are reached, with _due: words still due there."""
+    upto = F.sum("n").over(Window.partitionBy("_sid").orderBy("_cell"))  # cells of a source are few: see ROUND_BITS, MOST_BLOCKS
+    return cells.withColumn("_due", due - (upto - F.col("n"))).where((F.col("_due") >= 0) & (F.col("_due") < F.col("n")))
 
 
-def _cuts(of: DataFrame, blocks: dict[int, dict[int, int]], need: dict[int, int]) -> dict[int, tuple[int, int, int]]:
-    """For each source the permutation key at which ``need`` words are reached: (key, words still due there, words there).
+def _cuts(of: DataFrame, blocks: DataFrame) -> DataFrame:
+    """_sid, _key, _due and _there for each source with a partial pass: the permutation key at which its words are reached,
+    the words still due there, and the words that rows of that key have.
 
     Radix selection: sums by the next digits of the key, each time among the documents of one cell of each source.
     """
-    spark, shift = of.sparkSession, KEY_BITS - BLOCK_BITS
-    of, cells, alone, due = of.where("size > 0"), blocks, False, dict(need)
-    key: dict[int, int] = {}
-    there: dict[int, int] = {}
-    while due:
-        for s in due:
-            for cell in sorted(cells[s]):
-                if due[s] < cells[s][cell]:
-                    key[s], there[s] = cell, cells[s][cell]
-                    break
-                due[s] -= cells[s][cell]
-        if shift == 0 or alone:
-            break
-        at = _frame(spark, [(s, key[s]) for s in due], "_s int, _cell long")
-        inside = of.join(F.broadcast(at), (of["_sid"] == at["_s"]) & (F.shiftrightunsigned("_u", shift) == at["_cell"]))
-        shift -= min(BLOCK_BITS, shift)
-        sums = inside.groupBy("_sid", F.shiftrightunsigned("_u", shift).alias("cell")).agg(F.sum("size"), F.min("_u"), F.max("_u")).collect()
-        alone = len(sums) == len(due) and all(lo == hi for *_, lo, hi in sums)
-        cells = {s: {} for s in due}
-        for s, cell, n, lo, _ in sums:
-            cells[s][lo if alone else cell] = n
-    return {s: (key[s], due[s], there[s]) for s in due}
+    at = settled(_reached(blocks.where("_rest > 0"), F.col("_rest")).withColumn("_shift", KEY_BITS - F.col("_bits")))
+    while not at.where("_lo < _hi").isEmpty():
+        here = small_side(at.select(F.col("_sid").alias("_s"), F.col("_cell").alias("_at"), "_shift", F.col("_due").alias("_left")))
+        inside = of.join(here, (of["_sid"] == here["_s"]) & (_shifted(F.col("_shift")) == F.col("_at")))
+        inside = inside.withColumn("_shift", F.greatest(F.col("_shift") - ROUND_BITS, F.lit(0)))
+        sums = inside.groupBy("_sid", "_shift", "_left", _shifted(F.col("_shift")).alias("_cell")).agg(F.sum("size").alias("n"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
+        at = settled(_reached(sums, F.col("_left")))
+    return at.select("_sid", F.col("_lo").alias("_key"), "_due", F.col("n").alias("_there"))
+
+
+def _dealt(blocks: DataFrame, cuts: DataFrame, words: int, mix: Mix) -> DataFrame:
+    """_sid, _block and _dealt, an array of (epoch, shard): the shards that each block's draws go to.
+
+    A tree splits the exact numbers of draws of every group of sources among the shards; a group's draws, in random
+    order, then fill its shares one after another, which among the sources of a group is the same draw once more.
+    """
+    partial = F.when(F.col("_cell") <= F.call_function("shiftrightunsigned", F.col("_key"), KEY_BITS - F.col("_bits")), 1).otherwise(0)
+    draws = blocks.join(small_side(cuts.select("_sid", "_key")), "_sid", "left").withColumn("_draws", F.col("_passes") + partial)
+    group = F.pmod("_sid", F.lit(GROUPS)).cast("int").alias("_group")
+    draws = settled(draws.where("_draws > 0").select(group, "_sid", "_cell", F.explode(F.sequence(F.lit(0), (F.col("_draws") - 1).cast("int"))).alias("epoch")))
+    counts = np.zeros(GROUPS, np.int64)
+    for g, n in draws.groupBy("_group").count().collect():
+        counts[g] = n
+    shards = max(1, min(-(-words // mix.shard_words), int(counts.sum()) // 8, MOST_SHARDS))
+    upto = draws.sparkSession.sparkContext.broadcast(np.cumsum(split(counts, shards, mix.seed), axis=0))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own, g = own.sort_values(["_sid", "_cell", "epoch"]), int(own["_group"].iloc[0])
+        place = np.random.default_rng([mix.seed, g]).permutation(len(own))
+        return own.assign(shard=np.searchsorted(upto.value[:, g], place, "right").astype(np.int32))[["_sid", "_cell", "epoch", "shard"]]
+
+    dealt = draws.groupBy("_group").applyInPandas(run, "_sid long, _cell long, epoch int, shard int")
+    return dealt.groupBy("_sid", F.col("_cell").alias("_block")).agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("_dealt"))
 
 
 def assigned(of: DataFrame, sizes_of: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -107,55 +140,35 @@ def assigned(of: DataFrame, sizes_of: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     A source's documents are permuted by a hash and cut into blocks. Whole passes repeat every block; a partial pass
     takes blocks in order up to the quota, where one document is cut so that the source's words match its target to a
-    word. The splitting tree deals the exact numbers of blocks of every source to the shards, and each shard gets the
-    next blocks of a random order. No document is drawn more often than the cap rounded up, nor above cap times its
-    size. Repeated rows of a document share what is due at the cut. Documents without words are never drawn.
+    word. The splitting tree deals the exact numbers of blocks to the shards, and each shard gets the next blocks of a
+    random order. No document is drawn more often than the cap rounded up, nor above cap times its size. Rows alike in
+    id, source and text share what is due at the cut. Documents without words are never drawn. Sources may be as many as
+    the documents: all that is known of them stays in tables, broadcast only where their size was checked.
     ``sizes_of`` holds the same rows without their texts: the sums come from it.
     """
-    spark = of.sparkSession
-    sums = sizes_of.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
-    sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["n"]) for r in sums]
-    goal = targets(sizes, mix)
-    quota = [round(t) for t in goal]
-    passes = [q // n if n else 0 for q, n in zip(quota, sizes, strict=True)]
-    rest = {i: q - p * n for i, (q, p, n) in enumerate(zip(quota, passes, sizes, strict=True)) if q > p * n}
-    ids = _frame(spark, [(i, r["source"], sizes[i], goal[i], passes[i]) for i, r in enumerate(sums)], "_sid int, _source string, source_size long, target double, _passes int")
-
-    def known(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(ids), df["source"].eqNullSafe(ids["_source"]), "left").drop("_source")
-
-    of, sizes_of = known(of), known(sizes_of)
-
-    block = F.shiftrightunsigned("_u", KEY_BITS - BLOCK_BITS)
-    blocks: dict[int, dict[int, int]] = {}
-    for s, b, n in sizes_of.groupBy("_sid", block.alias("b")).agg(F.sum("size")).collect():  # at most 2**BLOCK_BITS a source
-        if n:
-            blocks.setdefault(s, {})[b] = n
-    cuts = _cuts(sizes_of.select("_sid", "_u", "size"), blocks, rest)
-
-    order = np.random.default_rng(mix.seed)
-    drawn: list[list[tuple[int, int]]] = []
-    for i in range(len(sizes)):
-        own = [(e, b) for e in range(passes[i]) for b in blocks.get(i, {})]
-        if i in cuts:
-            own += [(passes[i], b) for b in blocks[i] if b <= cuts[i][0] >> KEY_BITS - BLOCK_BITS]
-        own.sort()
-        drawn.append([own[k] for k in order.permutation(len(own))])
-    shards = max(1, min(-(-sum(quota) // mix.shard_words), max(1, sum(map(len, drawn)) // 8)))
-    upto = np.cumsum(split(np.array([len(d) for d in drawn] or [0]), shards, mix.seed), axis=0)
-    dealt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, own in enumerate(drawn):
-        for k, (epoch, b) in enumerate(own):
-            dealt.setdefault((i, b), []).append((epoch, int(np.searchsorted(upto[:, i], k, "right"))))
-    at = _frame(spark, [(i, b, d) for (i, b), d in dealt.items()], "_s int, _b long, _dealt array<struct<epoch:int,shard:int>>")
-    ends = _frame(spark, [(i, *c) for i, c in cuts.items()], "_c int, _key long, _due long, _there long")
-
-    of = of.withColumn("_block", block)
-    of = of.join(F.broadcast(at), (of["_sid"] == at["_s"]) & (of["_block"] == at["_b"]), "left")
-    of = of.join(F.broadcast(ends), of["_sid"] == ends["_c"], "left")
+    known = targets(sizes_of.groupBy("source").agg(F.sum("size").alias("n")), mix)
+    quota = F.rint("target").cast("long")
+    passes = F.when(F.col("n") > 0, F.floor(quota / F.col("n"))).otherwise(0).cast("long")
+    known = known.withColumns({"_quota": quota, "_passes": passes}).withColumn("_rest", F.col("_quota") - F.col("_passes") * F.col("n"))
+    total, words = known.agg(F.sum("n"), F.sum("_quota")).first()
+    block = max(BLOCK_WORDS, -(-(total or 0) // MOST_BLOCKS))
+    bits = F.greatest(F.ceil(F.log2(F.col("n") / block)), F.lit(0)).cast("int")
+    known = known.select(F.col("sid").alias("_sid"), F.col("source").alias("_source"), F.col("n").alias("source_size"), "target", "_passes", "_rest", F.coalesce(bits, F.lit(0)).alias("_bits"))
+    known = small_side(known)
+
+    def of_source(df: DataFrame) -> DataFrame:
+        return df.join(known, df["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+
+    of, sizes_of = of_source(of), of_source(sizes_of)
+    cell = _shifted(KEY_BITS - F.col("_bits"))
+    drawn = sizes_of.where("size > 0")
+    blocks = settled(drawn.groupBy("_sid", "_bits", "_passes", "_rest", cell.alias("_cell")).agg(F.sum("size").alias("n"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi")))
+    cuts = settled(_cuts(drawn.select("_sid", "_u", "size"), blocks))
+    at = small_side(_dealt(blocks, cuts, words or 0, mix).withColumnsRenamed({"_sid": "_s", "_block": "_b"}))
+    ends = small_side(cuts.withColumnRenamed("_sid", "_c"))
+
+    of = of.join(at, (of["_sid"] == at["_s"]) & (cell == at["_b"]), "left")
+    of = of.join(ends, F.col("_sid") == ends["_c"], "left")
     part = (
         F.when(F.col("_u") < F.col("_key"), F.col("size"))
         .when(F.col("_u") == F.col("_key"), F.floor(F.col("_due") * F.col("size") / F.col("_there")).cast("long"))
@@ -167,7 +180,7 @@ def assigned(of: DataFrame, sizes_of: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
     of = of.withColumn("_part", part).withColumn("draws", F.filter(draws, lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return of.withColumn("taken", taken).drop("_u", "_sid", "_passes", "_block", "_s", "_b", "_dealt", "_c", "_key", "_due", "_there", "_part")
+    return of.withColumn("taken", taken).drop("_u", "_sid", "_passes", "_rest", "_bits", "_s", "_b", "_dealt", "_c", "_key", "_due", "_there", "_part")
 
 
 def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -184,7 +197,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixture itself: the columns of ``docs``, a row for each draw, and shard; dealt by shard, shuffled within.
 
     A document cut at its source's quota keeps its first words, joined by single spaces (and n_chars follows, where
-    there is one). Columns of ``docs`` keep their values; clashing names are not used.
+    there is one). Columns of ``docs`` keep their values; clashing names are not used. A shard of more than PIECE_BYTES
+    is dealt in pieces, drawn by hash, each in an order of its own: no task holds a whole large shard.
     """
     names = docs.columns
     hidden = {c: f"_in_{i}" for i, c in enumerate(names) if c not in ("doc_id", "source", "text")}
@@ -197,7 +211,13 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     if "n_chars" in hidden:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn(hidden["n_chars"], F.when(whole, F.col(hidden["n_chars"])).otherwise(F.length("text")).cast(kind))
-    out = out.withColumn("_place", F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("string"), F.col("_draw.epoch")))
-    out = out.withColumn("_shard", F.col("_draw.shard")).repartition("_shard").sortWithinPartitions("_shard", "_place")
+    words, total = docs.agg(F.sum(word_count(F.col("text"))), F.sum(bytes_of(docs))).first()
+    goal = int(mix.share * (total or 0))
+    shards = max(1, min(-(-int(mix.share * (words or 0)) // mix.shard_words), MOST_SHARDS))
+    pieces = -(-goal // (PIECE_BYTES * shards)) or 1
+    tasks = min(max(-(-goal // PIECE_BYTES), docs.sparkSession.sparkContext.defaultParallelism), shards * pieces)
+    place = F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("string"), F.col("text"), F.col("_draw.epoch"))
+    out = out.withColumn("_place", place).withColumn("_shard", F.col("_draw.shard")).withColumn("_piece", F.pmod("_place", F.lit(pieces)))
+    out = out.repartition(tasks, "_shard", "_piece").sortWithinPartitions("_shard", "_place")
     out = out.select("_shard", *[F.col(hidden.get(c, c)).alias(c) for c in names])
     return out.withColumnRenamed("_shard", "shard" if "shard" not in names else "mix_shard")

@@ -55,12 +55,59 @@ def rows(df):
 # mixing
 
 
-def test_targets_meet_cap_and_total():
-    mix = mixing.Mix()
-    t = mixing.targets([100, 50, 0, 10], mix)
-    assert sum(t) == pytest.approx(240) and t[2] == 0
-    assert all(x <= 2 * n + 1e-9 for x, n in zip(t, [100, 50, 0, 10]))
-    assert mixing.targets([], mix) == [] and mixing.targets([0, 0], mix) == [0, 0]
+def _brute_targets(sizes, mix=mixing.Mix()):
+    """sizes: dict of source to words; targets by plain rounds."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: mix.weights[k % len(mix.weights)] for k, x in enumerate(order)}
+    out, free = {}, set(order)
+    while free:
+        unit = (mix.share * sum(sizes.values()) - sum(out.values())) / sum(weight[x] for x in free)
+        over = {x for x in free if weight[x] * unit > mix.cap * sizes[x]}
+        out |= {x: mix.cap * sizes[x] for x in over} if over else {x: weight[x] * unit for x in free}
+        free = free - over if over else set()
+    return out
+
+
+def _targets(spark, sizes, mix=mixing.Mix()):
+    return {r["source"]: r["target"] for r in rows(mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long"), mix))}
+
+
+def test_targets_meet_cap_and_total(spark):
+    for sizes in ({"a": 100, "b": 50, "c": 0, None: 10}, {}, {"x": 0, None: 0}, {f"s{k}": (k * 7919) % 301 for k in range(700)}, {"Z": 5, "a": 5, "é": 900, "日": 1, "😀": 70}):
+        got = _targets(spark, sizes)
+        assert got == pytest.approx(_brute_targets(sizes)) and sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+        assert all(got[x] <= 2 * n + 1e-9 for x, n in sizes.items())
+    assert _targets(spark, {"a": 3, "b": 4}, mixing.Mix(share=3.0)) == {"a": 6, "b": 8}
+
+
+def _brute_mix(docs, mix=mixing.Mix()):
+    """docs: rows of doc_id, source, size, key; sizes, targets and words taken by a plain walk in order of the keys."""
+    by = collections.defaultdict(list)
+    for r in docs:
+        by[r["source"]].append(r)
+    target = _brute_targets({x: sum(r["size"] for r in v) for x, v in by.items()}, mix)
+    out = {}
+    for x, v in by.items():
+        size = sum(r["size"] for r in v)
+        passes, left = divmod(round(target[x]), size) if size else (0, 0)
+        for r in sorted(v, key=lambda r: r["_u"]):
+            extra = min(left, r["size"])
+            left -= extra
+            out[r["doc_id"]] = (r["size"], size, target[x], passes * r["size"] + extra)
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_mix_against_brute_force(spark, documents, monkeypatch, block):
+    """Every column of the report, with few blocks and with many, and with thousands of sources."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", block)
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2500).alias("source"), F.repeat(F.lit("w "), (F.col("id") * 31 % 17).cast("int")).alias("text"))
+    for docs in (documents.select("doc_id", "source", "text"), many):
+        keyed = mixing.sized(docs, mixing.Mix()).select("doc_id", "source", "size", "_u").collect()
+        assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", t["text"] or "")) for r, t in zip(sorted(keyed), sorted(docs.collect())))
+        want = _brute_mix(keyed)
+        got = {r["doc_id"]: (r["size"], r["source_size"], pytest.approx(r["target"]), r["taken"]) for r in rows(mixing.mix_report(docs))}
+        assert got == want and len(want) == docs.count()
 
 
 def test_split_is_exact_and_even():
@@ -91,6 +138,8 @@ def test_mix_odd_rows(odd, empty):
     out = rows(mixing.mix_report(odd))
     assert len(out) == len(ODD) and mixing.mix_report(empty).count() == 0
     assert sum(r["taken"] for r in out) == pytest.approx(1.5 * sum(r["size"] for r in out), abs=4)
+    unnamed = odd.sparkSession.createDataFrame([(None, "a", f"text {k} of no id") for k in range(500)], "doc_id long, source string, text string")
+    assert sum(r["taken"] for r in rows(mixing.mix_report(unnamed))) == 3750 and mixing.sized(unnamed, mixing.Mix()).select("_u").distinct().count() == 500
     mixed = mixing.mixed(odd)
     assert set(odd.columns) <= set(mixed.columns) and {r["target"] for r in rows(mixed)} == {2}
 
