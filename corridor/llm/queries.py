@@ -56,9 +56,19 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed().alias("base_failed"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1_mixing: all but the words that the permutation takes."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6_secrets: how many base spans of each kind."""
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_decontamination, op3_simhash, op4_quality, op5_toxicity, op6_secrets, op7_language, op8_sharding, op9_rules, op10_preferences, rule_statistics)
+    for f in (op1_mixing, op2_decontamination, op3_simhash, op4_quality, op5_toxicity, op6_secrets, op7_language, op8_sharding, op9_rules, op10_preferences, rule_statistics, mix_targets, secret_counts)
 }
 
 _TABLE = ",".join(map(str, sharding.lookup_table()))
@@ -93,6 +103,22 @@ SELECT pair_id, CAST(min(n_prefix) AS INTEGER) AS n_prefix,
   coalesce(string_agg(span, ',' ORDER BY k) FILTER (chosen AND k > n_prefix AND role = 'assistant'), '') AS chosen_spans,
   coalesce(string_agg(span, ',' ORDER BY k) FILTER (NOT chosen AND k > n_prefix AND role = 'assistant'), '') AS rejected_spans
 FROM spans GROUP BY pair_id
+""",
+    "mix_targets": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 1.5 * sum(n) OVER () AS total FROM s),
+o AS (SELECT *, 2.0 * n / w AS most, row_number() OVER (ORDER BY 2.0 * n / w, source) AS k FROM w),
+u AS (SELECT *, (total - (sum(2.0 * n) OVER r - 2.0 * n)) / (sum(w) OVER () - (sum(w) OVER r - w)) AS unit FROM o WINDOW r AS (ORDER BY k)),
+one AS (SELECT arg_min(unit, k) FILTER (unit <= most) AS unit FROM u)
+SELECT doc_id, size, n AS source_size, round(coalesce(least(w * one.unit, 2.0 * n), 2.0 * n), 4) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, one
+""",
+    "secret_counts": r"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM documents
 """,
     "rule_statistics": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ WINDOW = 5
 STATS = ("n_words", "chars_per_word", "symbols", "dup_lines", "repeats", "capitals")
 #: Thresholds tried for a statistic, at most; conjunctions and rules are kept short so that they can be read.
 CUTS, MAX_TESTS, MAX_RULES = 12, 3, 8
-#: A rule must cover this many labelled rows of the growing part and be this pure there.
+#: A rule must cover this many labelled rows of its kind in the growing part and be this pure in both parts together.
 LEAST_ROWS, PURITY = 5, 0.8
 MAX_LABELLED, SEED = 200_000, 42
 
@@ -33,13 +34,13 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     n = F.size("_words")
     at = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_windows", F.transform(at, lambda i: F.xxhash64(*[F.get("_hash", i + k) for k in range(WINDOW)])))
-    ordered = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ordered).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     again = F.filter(
         "_ordered",
         lambda x, k: F.coalesce((F.get("_ordered", k - 1)["h"] == x["h"]) | (F.get("_ordered", k + 1)["h"] == x["h"]), F.get("_ordered", k - 1)["h"] == x["h"], F.get("_ordered", k + 1)["h"] == x["h"], F.lit(False)),
     )
-    df = df.withColumn("_places", F.array_sort(F.transform(again, lambda x: x["i"])))
+    df = df.withColumn("_places", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.transform("_places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_places", k + 1) - p, F.lit(WINDOW))))
     return df.withColumns(
         {
@@ -91,63 +92,89 @@ class Rule:
         return f"if {said} then {'keep' if self.keep else 'drop'}"
 
 
-#: A cell of the labelled rows: the bin of each statistic, good and bad rows in the growing part, then in the pruning part.
-Cell = tuple[tuple[int, ...], tuple[int, int], tuple[int, int]]
+@dataclass(frozen=True)
+class Cells:
+    """Labelled rows counted by the bins of their statistics: bins (cells x statistics), and good and bad rows (cells x 2)
+    in the growing part and in the pruning part."""
+
+    bins: np.ndarray
+    grow: np.ndarray
+    prune: np.ndarray
+
+    def left(self, keep: np.ndarray) -> Cells:
+        return Cells(self.bins[keep], self.grow[keep], self.prune[keep])
 
+    def holds(self, tests: tuple[tuple[int, bool, int], ...]) -> np.ndarray:
+        out = np.ones(len(self.bins), bool)
+        for s, up, b in tests:
+            out &= (self.bins[:, s] >= b) == up
+        return out
 
-def _holds(tests: tuple[tuple[int, bool, int], ...], bins: tuple[int, ...]) -> bool:
-    return all(bins[s] >= b if up else bins[s] < b for s, up, b in tests)
 
+def _worth(counts: np.ndarray, kind: int) -> np.ndarray:
+    """Share of rows of a kind (last axis: good, bad), drawn towards even by a row of each."""
+    return (counts[..., kind] + 1) / (counts.sum(-1) + 2)
+
+
+def _grown(cells: Cells, n_bins: list[int], kind: int) -> tuple[tuple[int, bool, int], ...]:
+    """The conjunction against rows of the other kind that grows purest, a test at a time."""
+    tests: tuple[tuple[int, bool, int], ...] = ()
+    while len(tests) < MAX_TESTS:
+        inside = cells.holds(tests)
+        total = cells.grow[inside].sum(0)
+        best, best_worth = None, _worth(total, kind)
+        for s, n in enumerate(n_bins):
+            by = np.stack([np.bincount(cells.bins[inside, s], cells.grow[inside, k], n) for k in (0, 1)], 1)
+            below = np.cumsum(by, 0)[:-1]  # of thresholds 1 to n - 1
+            for up, counts in ((True, total - below), (False, below)):
+                worth = np.where(counts[:, kind] >= LEAST_ROWS, _worth(counts, kind), 0)
+                if n > 1 and worth.max() > best_worth + 1e-9:
+                    best, best_worth = (s, up, int(worth.argmax()) + 1), worth.max()
+        if best is None:
+            break
+        tests = (*tests, best)
+    return tests
 
-def _counted(cells: list[Cell], tests: tuple, part: int) -> tuple[int, int]:
-    own = [c[part] for c in cells if _holds(tests, c[0])]
-    return sum(g for g, _ in own), sum(b for _, b in own)
 
+def _pruned(cells: Cells, tests: tuple[tuple[int, bool, int], ...], kind: int) -> tuple[tuple[int, bool, int], ...]:
+    """Without the tests that the rule does no worse without on rows it was not grown on."""
+    while len(tests) > 1:
+        value = lambda t: float(_worth(cells.prune[cells.holds(t)].sum(0), kind))
+        fewer = max((tests[:k] + tests[k + 1 :] for k in range(len(tests))), key=value)
+        if value(fewer) < value(tests):
+            break
+        tests = fewer
+    return tests
 
-def _worth(good: int, bad: int) -> float:
-    """Share of bad rows, drawn towards even by two rows of each kind."""
-    return (bad + 1) / (good + bad + 2)
 
+def cover(cells: Cells, n_bins: list[int]) -> list[tuple[tuple, bool]]:
+    """Sequential covering: of the best conjunction that keeps and the best that drops, each grown and then pruned, the
+    purer one becomes the next rule; what it covers is taken away. Later rules hold only where no earlier one does.
 
-def cover(cells: list[Cell], n_bins: list[int]) -> list[tuple[tuple, bool]]:
-    """Sequential covering: grow the purest conjunction against bad rows, prune it on rows it was not grown on, take
-    what it covers away, and go on while a pure enough rule is found. What no rule covers is kept.
+    Goes on while a pure enough rule is found; the last rule, without tests, is what most of the rows left say.
     """
-    out, left = [], cells
-    while len(out) < MAX_RULES:
-        tests: tuple = ()
-        while len(tests) < MAX_TESTS:
-            best, best_worth = None, _worth(*_counted(left, tests, 1))
-            for s in range(len(n_bins)):
-                for b in range(1, n_bins[s]):
-                    for up in (True, False):
-                        good, bad = _counted(left, (*tests, (s, up, b)), 1)
-                        worth = _worth(good, bad) * (1 - 0.5 / (1 + bad))
-                        if good + bad >= LEAST_ROWS and worth > best_worth + 1e-9:
-                            best, best_worth = (s, up, b), worth
-            if best is None:
-                break
-            tests = (*tests, best)
-            if _counted(left, tests, 1)[0] == 0:
-                break
-        while len(tests) > 1:  # a test goes if the rule is no worse without it on the pruning part
-            now = _worth(*_counted(left, tests, 2))
-            fewer = max((tests[:k] + tests[k + 1 :] for k in range(len(tests))), key=lambda t: _worth(*_counted(left, t, 2)))
-            if _worth(*_counted(left, fewer, 2)) < now:
-                break
-            tests = fewer
-        good, bad = _counted(left, tests, 1) if tests else (0, 0)
-        if not tests or bad < LEAST_ROWS or bad / (good + bad) < PURITY:
+    out: list[tuple[tuple, bool]] = []
+    while len(out) < MAX_RULES and len(cells.bins):
+        found = []
+        for kind, keep in ((1, False), (0, True)):
+            tests = _pruned(cells, _grown(cells, n_bins, kind), kind)
+            inside = cells.holds(tests)
+            grown, both = cells.grow[inside].sum(0), (cells.grow + cells.prune)[inside].sum(0)
+            if tests and grown[kind] >= LEAST_ROWS and both[kind] >= PURITY * both.sum():
+                found.append((float(_worth(both, kind)), keep, tests))
+        if not found:
             break
-        out.append((tests, False))
-        left = [c for c in left if not _holds(tests, c[0])]
-    return out
+        _, keep, tests = max(found, key=lambda f: (f[0], not f[1]))  # of two as pure, the one that drops
+        out.append((tests, keep))
+        cells = cells.left(~cells.holds(tests))
+    good, bad = (cells.grow + cells.prune).sum(0) if len(cells.bins) else (0, 0)
+    return [*out, ((), bool(good >= bad))]
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
     """Rules from ``labelled`` (STATS, quality 0 or 1, grow). Rows are counted by bins of the statistics in one job.
 
-    The cells gathered are bounded by the bins and by MAX_LABELLED. No labels, or no pure enough rule: no rules.
+    The cells gathered are bounded by the bins and by MAX_LABELLED. No labels: no rules.
     """
     quantiles = labelled.agg(*[F.percentile_approx(s, [k / (CUTS + 1) for k in range(1, CUTS + 1)] + [0.97, 0.99], 10_000) for s in STATS]).first()
     if quantiles is None or quantiles[0] is None:
@@ -156,8 +183,8 @@ def learn(labelled: DataFrame) -> list[Rule]:
     bins = [sum([(F.col(s) >= c).cast("int") for c in cs], F.lit(0)).alias(s) for s, cs in zip(STATS, cuts, strict=True)]
     mark = [F.count_if(F.col("_grow") & (F.col("_good") == k)) for k in (1, 0)] + [F.count_if(~F.col("_grow") & (F.col("_good") == k)) for k in (1, 0)]
     rows = labelled.select(*bins, F.col("quality").alias("_good"), F.col("grow").alias("_grow")).groupBy(*STATS).agg(*mark).collect()
-    cells = [(tuple(r[: len(STATS)]), (r[-4], r[-3]), (r[-2], r[-1])) for r in rows]
-    found = cover(sorted(cells), [len(c) + 1 for c in cuts])
+    table = np.array(sorted(map(tuple, rows)), np.int64)
+    found = cover(Cells(table[:, : len(STATS)], table[:, -4:-2], table[:, -2:]), [len(c) + 1 for c in cuts])
     return [Rule(tuple((STATS[s], up, cuts[s][b - 1]) for s, up, b in tests), keep) for tests, keep in found]
 
 
@@ -170,7 +197,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed and kept (and rule: the place of the rule that decided, 0 for none).
+    """doc_id, the base statistics, base_failed and kept (and rule: the place of the rule that decided, 0 without rules).
 
     Rules are learned from ``labels`` (doc_id, quality): an id labelled more than once counts as good where half say
     so or more; null ids and labels do not count. Rows that fail the base rules teach nothing and are not kept. A null
