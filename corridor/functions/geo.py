@@ -167,6 +167,12 @@ def tile_of(x: Column, y: Column, size: float = 0.1) -> Column:
     return F.struct(F.floor(F.round(x / size, 9)).alias("tx"), F.floor(F.round(y / size, 9)).alias("ty"))
 
 
+def tile_name(tile: Column) -> Column:
+    """The file name of a tile: its whole latitude and longitude steps, signed, of four digits."""
+    sign = lambda c: F.concat(F.when(c < 0, "-").otherwise("+"), F.lpad(F.abs(c).cast("string"), 4, "0"))
+    return F.concat(F.lit("t_"), sign(tile["ty"]), F.lit("_"), sign(tile["tx"]), F.lit(".tif"))
+
+
 def _parts(data: bytes | None) -> list | None:
     """WKB points, lines, polygons and their multiples as parts of vertices."""
     if data is None:

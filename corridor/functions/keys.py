@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 # Route classes by the first digit of a route id.
 CLASSES = {"1": "I", "2": "US", "3": "NC", "4": "SR"}
+# How a class stands before its number; counties by code, 1 to 100.
+LABELS = {"1": "I-", "2": "US ", "3": "NC ", "4": "SR "}
+COUNTIES = (
+    "Alamance Alexander Alleghany Anson Ashe Avery Beaufort Bertie Bladen Brunswick Buncombe Burke Cabarrus Caldwell Camden Carteret Caswell "
+    "Catawba Chatham Cherokee Chowan Clay Cleveland Columbus Craven Cumberland Currituck Dare Davidson Davie Duplin Durham Edgecombe Forsyth "
+    "Franklin Gaston Gates Graham Granville Greene Guilford Halifax Harnett Haywood Henderson Hertford Hoke Hyde Iredell Jackson Johnston Jones "
+    "Lee Lenoir Lincoln Macon Madison Martin McDowell Mecklenburg Mitchell Montgomery Moore Nash New_Hanover Northampton Onslow Orange Pamlico "
+    "Pasquotank Pender Perquimans Person Pitt Polk Randolph Richmond Robeson Rockingham Rowan Rutherford Sampson Scotland Stanly Stokes Surry "
+    "Swain Transylvania Tyrrell Union Vance Wake Warren Washington Watauga Wayne Wilkes Wilson Yadkin Yancey"
+).split()
+# Words that make a structure a culvert or pipe.
+CULVERT = "culvert|pipe|rcbc|cmp|corrugated|aluminum|multi-plate"
 SEG_ID = r"^ncdot:(\d{8})(\d{3}):(\d+(?:\.\d+)?)$"
 HIGHWAY = r"(?i)^\s*(I|US|NC|SR)[-\s]*(\d+)(?:\s*(ALT|BUS|BYP))?\s*$"
 
@@ -44,8 +56,22 @@ def parse_seg_id(c: Column) -> Column:
 
 
 def route_label(seg_id: Column) -> Column:
+    """'US 13' or 'I-40' from a segment's id; a class that is not known counts as a secondary road."""
     p = parse_seg_id(seg_id)
-    return F.concat(p["class"], F.lit("-"), p["number"].cast("string"))
+    names = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return F.concat(F.coalesce(names[F.substring(p["route"], 1, 1)], F.lit(LABELS["4"])), p["number"].cast("string"))
+
+
+def county_name(code: Column) -> Column:
+    """The name of a county by its code, 1 to 100; null for others."""
+    return F.when(code.between(1, len(COUNTIES)), F.get(F.array(*[F.lit(c.replace("_", " ")) for c in COUNTIES]), code - 1))
+
+
+def road_name(seg_id: Column) -> Column:
+    """'SR 2748, Wake County (mp 0.94)'; the county is left out where its code is none."""
+    p = parse_seg_id(seg_id)
+    county = F.coalesce(F.concat(F.lit(", "), county_name(p["county"]), F.lit(" County")), F.lit(""))
+    return F.concat(route_label(seg_id), county, F.format_string(" (mp %.2f)", p["milepost"]))
 
 
 def parse_highway(c: Column) -> Column:
@@ -76,7 +102,7 @@ def contains_any(pattern: str, *texts: Column) -> Column:
 
 def is_bridge(kind: Column) -> Column:
     """Anything that is not named a culvert or a pipe; blank counts as a bridge."""
-    return ~F.lower(F.coalesce(kind, F.lit(""))).rlike("culvert|pipe")
+    return ~F.lower(F.coalesce(kind, F.lit(""))).rlike(CULVERT)
 
 
 def epoch_ms(c: Column) -> Column:

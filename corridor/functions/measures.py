@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 POOR, LEAST_RATE, MOST_YEARS, AGES = 60, 0.1, 50, (2, 40)
 # Shares of years to poor, cracking and flooding in the priority score.
 SHARES = (0.45, 0.35, 0.2)
+# Percent of a road from which it counts as cracked; edges of depth bands in metres; high flood score.
+CRACK_PCT, DEPTH_EDGES, HIGH_FLOOD = 10, (0.3, 1, 2), 0.5
 
 
 def years_to_poor(rating: Column, rate: Column) -> Column:
@@ -17,9 +19,23 @@ def years_to_poor(rating: Column, rate: Column) -> Column:
     return F.when(rating.isNull() | (rating == 0) | rate.isNull(), None).when(rating < POOR, F.lit(0.0)).otherwise(years)
 
 
+def wear_targets(rating: Column, survey_year: Column, rehab_year: Column, cracked: dict[str, Column]) -> dict[str, Column]:
+    """What models learn: age at the survey, yearly loss, years to poor, and whether over CRACK_PCT of the road is cracked.
+
+    ``cracked`` has moderate and high shares; a road whose high share was not surveyed has no crack target. A rating of 0
+    is none, and a survey before the repair, or ages out of AGES, leave no loss.
+    """
+    age = survey_year - rehab_year
+    rated = F.when(rating > 0, rating)
+    rate = wear_rate(rated, age)
+    share = F.coalesce(cracked["moderate"], F.lit(0)) + F.coalesce(cracked["high"], F.lit(0))
+    crack = F.when(cracked["high"].isNotNull(), (share > CRACK_PCT).cast("double"))
+    return {"age_at_survey": F.when(age >= 0, age), "y_rate": rate, "y_years_to_poor": years_to_poor(rated, rate), "y_crack": crack}
+
+
 def wear_rate(rating: Column, age: Column) -> Column:
-    """Points lost a year since the last repair, for ages 2 to 40; never negative."""
-    return F.when(age.between(*AGES), F.greatest((100 - rating) / age, F.lit(0.0)))
+    """Points lost a year since the last repair, for ages 2 to 40; never negative, null without a rating."""
+    return F.when(age.between(*AGES) & rating.isNotNull(), F.greatest((100 - rating) / age, F.lit(0.0)))
 
 
 def repair_bucket(years: Column) -> Column:
@@ -50,7 +66,9 @@ def priority_score(years: Column, crack: Column, flood: Column, in_zone: Column)
 
 
 def condition_score(mode: str, years: Column, crack: Column, flood: Column) -> Column:
-    """0 (good) to 1 (bad) for one colour scale."""
+    """0 (good) to 1 (bad) for one colour scale; ``years_linear`` is the plain share of 35 years that is gone."""
+    if mode == "years_linear":
+        return 1 - F.least(F.greatest(years / 35, F.lit(0.0)), F.lit(1.0))
     if mode == "years":
         return 1 - F.sqrt(F.least(F.greatest(years, F.lit(0.0)), F.lit(30.0)) / 30)
     return F.least(F.greatest(crack if mode == "crack" else flood, F.lit(0.0)), F.lit(1.0))
@@ -61,13 +79,46 @@ def project_rating(rating: Column, rate: Column, years: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(years)), lambda t: F.greatest(rating - rate * t, F.lit(0.0)))
 
 
+def crossing_year(rating: Column, rate: Column) -> Column:
+    """Years until the straight line of ``project_rating`` reaches POOR; null where it falls nowhere or has passed."""
+    return F.when((rate > 0) & (rating > POOR), (rating - POOR) / rate)
+
+
+def no_estimate_reason(rating: Column, rehab_year: Column, survey_year: Column) -> Column:
+    """Why a road has no forecast, as a sentence."""
+    older = F.format_string("It was resurfaced in %d, after its %d inspection, so the rating describes the old surface.", rehab_year.cast("int"), survey_year.cast("int"))
+    outdated = F.lit("Its rating is out of date (resurfaced after the last inspection).")
+    return F.when(rating == 0, "Its rating is 0, so there is nothing left to count down.").when(rehab_year > survey_year, older).otherwise(outdated)
+
+
+def flood_rank(flood: Column, in_zone: Column) -> Column:
+    high = F.coalesce(flood >= HIGH_FLOOD, F.lit(False))
+    outside = ~F.coalesce(in_zone, F.lit(False))
+    return F.when(outside, "Not scored (outside the Helene zone)").when(high, "High flood score (Helene zone)").otherwise("Lower flood score (Helene zone)")
+
+
 def depth_on_road(level: Column, road_level: Column, always_dry: Column) -> Column:
     """Centimetres of water over the road; 0 where always dry; null where the road's level is unknown."""
     return F.when(always_dry, F.lit(0.0)).when(road_level.isNull(), None).otherwise(F.greatest((level - road_level) * 100, F.lit(0.0)))
 
 
 def depth_band(depth_m: Column) -> Column:
-    return F.when(depth_m.isNull(), None).when(depth_m <= 0, "dry").when(depth_m < 0.3, "under 0.3 m").when(depth_m < 1, "0.3 to 1 m").otherwise("over 1 m")
+    """Dry, or between which of DEPTH_EDGES, the lower one included; null without a depth."""
+    a, b, c = DEPTH_EDGES
+    wet = F.when(depth_m < a, f"under {a} m").when(depth_m < b, f"{a} to {b} m").when(depth_m < c, f"{b} to {c} m").otherwise(f"over {c} m")
+    return F.when(depth_m.isNull(), None).when(depth_m <= 0, "dry").otherwise(wet)
+
+
+def typical_miss(dist: Column, bands: list[tuple[float, float, float | None, bool]]) -> Column:
+    """The median miss of the band (lo, hi] that holds a distance, 0 in the first; null in a band with too few marks.
+
+    ``bands`` has lo, hi, median and too_few of the few distance bands.
+    """
+    out = F.lit(None).cast("double")
+    for lo, hi, median, too_few in reversed(bands):
+        inside = (dist > lo) & (dist <= hi) | (dist == 0) & F.lit(lo == 0)
+        out = F.when(inside, F.lit(None if too_few else median).cast("double")).otherwise(out)
+    return out
 
 
 def guarded(a: Column, b: Column) -> Column:
@@ -90,4 +141,5 @@ def exposure_years(window_start: Column, rehab_year: Column, end: Column) -> Col
 
 
 def is_live(as_of: Column, now: Column) -> Column:
-    return as_of >= F.date_trunc("hour", now) - F.expr("interval 1 hour")
+    """Whether ``as_of`` is now or up to an hour ago."""
+    return (now >= as_of) & (now <= as_of + F.make_interval(hours=F.lit(1)))

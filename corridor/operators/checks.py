@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import Refused, checkpointed
-from corridor.operators.ranking import global_rank
+from corridor.operators.ranking import drawn, ntile_by_rank
 
 # Answers a grader may give, those that decide, and fewest rows and draws.
 VIEWS = ("clear", "far", "unusable")
@@ -17,17 +17,6 @@ DECIDED = ("none", "cracks_or_patches", "pothole")
 LEAST_IN_BAND, LEAST_CAMERAS, LEAST_DRAWS = 50, 30, 500
 
 
-def group_parts(df: DataFrame, score: str, k: int, group: list[str], tie: str, least: int, name: str) -> DataFrame:
-    """Rows with a score and their part 1 to k of the group by rank, highest last; 0 in groups of fewer than ``least``.
-
-    Ranks run over ranges of all groups together, so a group of any size is many tasks.
-    """
-    known = global_rank(df.where(F.col(score).isNotNull()), [F.asc(c) for c in (*group, score, tie)], "_r")
-    sizes = known.groupBy(*group).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
-    part = F.ceil(k * (F.col("_r") - F.col("_first") + 1) / F.col("_n"))
-    return known.join(sizes, group).withColumn(name, F.when(F.col("_n") < least, 0).otherwise(part).cast("int")).drop("_r", "_first", "_n")
-
-
 def _lift(worst: tuple[Column, Column], best: tuple[Column, Column]) -> Column:
     rate = [events / F.nullif(exposure.cast("double"), F.lit(0.0)) for events, exposure in (worst, best)]
     return rate[0] / F.nullif(rate[1], F.lit(0.0))
@@ -43,8 +32,8 @@ def report_check(scored: DataFrame, by: list[str], band: str, score: str, events
     raw_lift cuts fifths over all rows of ``by``, adjusted_lift within each band; a higher score is worse.
     Bands of fewer than LEAST_IN_BAND rows are left out of the cut and counted in n_left_out.
     """
-    raw = group_parts(scored, score, 5, by, tie, LEAST_IN_BAND, "raw_fifth")
-    both = group_parts(raw, score, 5, [*by, band], tie, LEAST_IN_BAND, "fifth")
+    raw = ntile_by_rank(scored, score, 5, by, tie, LEAST_IN_BAND, "raw_fifth")
+    both = ntile_by_rank(raw, score, 5, [*by, band], tie, LEAST_IN_BAND, "fifth")
     r, a = (_sums(c, events, exposure) for c in ("raw_fifth", "fifth"))
     return both.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(events).alias("events"), F.sum(exposure).alias("exposure"), F.count_if(F.col("fifth") == 0).alias("n_left_out"),
@@ -62,7 +51,7 @@ def lift_range(parts: DataFrame, by: list[str], fifth: str, events: str, exposur
     numbered = totals.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(block)) - 1)
     slots = totals.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     slots = slots.withColumn("_slot", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
-    taken = slots.groupBy(*by, "_d", F.pmod(F.xxhash64(F.lit(seed), *by, "_d", "_slot"), F.col("_n")).cast("int").alias("_k")).agg(F.count("*").alias("_t"))
+    taken = slots.groupBy(*by, "_d", drawn(F.col("_n"), seed, *[F.col(c) for c in by], F.col("_d"), F.col("_slot")).cast("int").alias("_k")).agg(F.count("*").alias("_t"))
     w = [F.sum(F.col(n) * F.col("_t")) for n in names]
     each = taken.join(numbered, [*by, "_k"]).groupBy(*by, "_d").agg(_lift((w[0], w[1]), (w[2], w[3])).alias("m"))
     out = each.groupBy(*by).agg(F.count("m").alias("draws"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
@@ -75,7 +64,7 @@ def damage_shares(graded: DataFrame, by: str, roads: str, score: str, damaged: s
     Fewer than LEAST_CAMERAS rows: too_few, with null shares.
     """
     every = graded.withColumn(roads, F.explode(F.array(F.col(roads), F.lit("all"))))
-    thirds = group_parts(every, score, 3, [by, roads], tie, LEAST_CAMERAS, "_third")
+    thirds = ntile_by_rank(every, score, 3, [by, roads], tie, LEAST_CAMERAS, "_third")
     hit = F.col(damaged).cast("double")
     share = {"share_damaged": F.avg(hit), "worst_third": F.avg(F.when(F.col("_third") == 3, hit)), "best_third": F.avg(F.when(F.col("_third") == 1, hit))}
     n = F.count("*")

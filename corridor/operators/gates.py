@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import Refused
+from corridor.functions.keys import block_id, epoch_ms, fold_of
 
-# What no model may see, by name and by prefix.
-BANNED = {"seg_id", "fold", "split_block", "mid_x", "mid_y"}
-BANNED_PREFIXES = ("y_", "pred_", "pv_RTG", "pv_PCS")
+# What no model may see because it was measured in the same survey or is a label, by name and by prefix.
+BANNED = frozenset(
+    "pv_RTG_NBR pv_GFP_CODE pv_AVERAGE_IRI pv_IRI_YEAR pv_AVERAGE_RUT_DEPTH pv_PMS_TREATMENT_NAME pv_TREATMENT_COST pv_PMS_BUDGET_GROUP_NAME "
+    "pv_PCS_SRVY_YR pv_asph_RTG_NBR pv_asph_PMS_TREATMENT_NAME pv_asph_TREATMENT_COST pv_asph_PMS_BUDGET_GROUP_NAME pv_asph_SRVY_YR "
+    "pv_asph_PCS_COMMENT pv_asph_PVD_SHLDR_COND_CD pv_asph_TRNSVRS_CD pv_asph_RUT_CD pv_asph_RVL_CD pv_asph_OXDTN_CD pv_asph_BLD_CD "
+    "pv_asph_PTCH_CD pv_asph_RIDE_CD pv_asph_SHLDR_RPR_PCT pv_asph_ALGTR_NONE_PCT pv_asph_ALGTR_LOW_PCT pv_asph_ALGTR_MDRT_PCT "
+    "pv_asph_ALGTR_HGH_PCT in_helene_zone".split()
+)
+BANNED_PREFIXES = ("y_", "pred_", "n_", "im_vit_")
+# Edge of a fold block in metres, folds, share of repeated reports that refuses a pull, hashes of a result.
+BLOCK_M, FOLDS, MOST_REPEATED, HASHES = 5000, 5, 0.01, ("code", "table", "manifest")
 
 
 def key_report(df: DataFrame, *key: str) -> DataFrame:
@@ -37,10 +46,11 @@ def same_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def merge_one_to_one(d: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join of a table with as many rows out as in: the key is unique and whole on both sides, and no column clashes."""
     clash = (set(d.columns) & set(other.columns)) - {key}
     if clash:
         raise Refused(f"columns on both sides: {sorted(clash)}")
-    return d.join(assert_key(other, key), key, "left")
+    return assert_key(d, key).join(assert_key(other, key), key, "left").select(*d.columns, *[c for c in other.columns if c != key])
 
 
 def attach_with_rename(d: DataFrame, side: DataFrame, key: str, suffix: str = "_d8") -> DataFrame:
@@ -52,8 +62,18 @@ def attach_with_rename(d: DataFrame, side: DataFrame, key: str, suffix: str = "_
     return merge_one_to_one(d.withColumnsRenamed({c: c + suffix for c in clash}), side, key)
 
 
-def check_features(columns: list[str]) -> list[str]:
-    bad = sorted(c for c in columns if c in BANNED or c.startswith(BANNED_PREFIXES))
+def side_tables(d: DataFrame, key: str, *sides: DataFrame) -> DataFrame:
+    """A table with the columns of many per-key tables, each joined one to one; keys that a side lacks get nulls."""
+    return reduce(lambda a, b: merge_one_to_one(a, b, key), sides, d)
+
+
+def prefix_columns(df: DataFrame, prefix: str, *but: str) -> DataFrame:
+    """A group prefix on every column but the keys and those that have it already."""
+    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in but and not c.startswith(prefix)})
+
+
+def check_features(columns: list[str], banned: frozenset[str] = BANNED, prefixes: tuple[str, ...] = BANNED_PREFIXES) -> list[str]:
+    bad = sorted(c for c in columns if c in banned or c.startswith(prefixes))
     if bad:
         raise Refused(f"columns that leak: {bad}")
     return columns
@@ -114,3 +134,121 @@ def first_reason(**reasons: Column) -> Column:
     for name, c in reversed(list(reasons.items())):
         out = F.when(c, name).otherwise(out)
     return out
+
+
+def clean_numbers(df: DataFrame, singles: tuple[str, ...] = (), places: int = 3) -> DataFrame:
+    """NaN becomes null; ``singles``, once rounded to ``places`` and kept as floats, are doubles of that rounding again.
+
+    An infinity refuses, and so does a time without a zone: Spark has such times as timestamp_ntz.
+    """
+    naive = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+    if naive:
+        raise Refused(f"times without a zone: {naive}")
+    numbers = [f.name for f in df.schema if f.dataType.typeName() in ("float", "double")]
+    rules = {c: ~F.abs(F.col(c)).eqNullSafe(F.lit(float("inf"))) for c in numbers}
+    if rules:
+        assert_domain(df, rules)
+    plain = {c: F.round(F.col(c).cast("double"), places) if c in singles else F.col(c) for c in numbers}
+    return df.withColumns({c: F.when(~F.isnan(c), v) for c, v in plain.items()})
+
+
+def contract_report(df: DataFrame, columns: list[str], key: str = "seg_id", x: str = "mid_x", y: str = "mid_y", block: str = "split_block", fold: str = "fold") -> DataFrame:
+    """rule and broken: what a table of labels and folds breaks of its contract, recomputed row by row.
+
+    Columns that are missing refuse at once. The block must be that of the midpoint and the fold the crc32 of the block,
+    exactly: a fold of 2.5, a null or a text is not.
+    """
+    lacking = sorted({*columns, key, x, y, block, fold} - set(df.columns))
+    if lacking:
+        raise Refused(f"columns missing: {lacking}")
+    kind = df.schema[fold].dataType.typeName()
+    whole = F.col(fold).cast("double") if kind in ("integer", "long", "short", "byte", "float", "double") else F.lit(None).cast("double")
+    k = key_report(df, key).select(F.stack(F.lit(2), F.lit("key missing"), F.col("n_null"), F.lit("key repeated"), F.col("n_repeated")).alias("rule", "broken"))
+    rules = {
+        "midpoint missing": F.col(x).isNotNull() & F.col(y).isNotNull(),
+        "block": F.col(block).eqNullSafe(block_id(F.col(x), F.col(y), BLOCK_M)) | F.col(x).isNull() | F.col(y).isNull(),
+        "fold": whole.eqNullSafe(fold_of(F.col(block), FOLDS).cast("double")),
+    }
+    return domain_report(df, rules).unionByName(k)
+
+
+def assert_contract(df: DataFrame, columns: list[str], **names: str) -> DataFrame:
+    bad = contract_report(df, columns, **names).where("broken > 0").collect()
+    if bad:
+        raise Refused("; ".join(f"{r['rule']}: {r['broken']} rows" for r in bad))
+    return df
+
+
+def different_hashes(a: DataFrame, b: DataFrame, names: tuple[str, ...] = HASHES) -> DataFrame:
+    """name of each hash (name, hash) that two results do not share; one that either lacks is a difference."""
+    need = a.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    both = need.join(a.select("name", F.col("hash").alias("_a")), "name", "left").join(b.select("name", F.col("hash").alias("_b")), "name", "left")
+    return both.where(~F.coalesce((F.col("_a") == F.col("_b")) & (F.col("_a") != ""), F.lit(False))).select("name")
+
+
+def comparable(a: DataFrame, b: DataFrame, names: tuple[str, ...] = HASHES) -> None:
+    bad = sorted(r["name"] for r in different_hashes(a, b, names).collect())
+    if bad:
+        raise Refused(f"results are not comparable: different {', '.join(bad)} hash")
+
+
+def mark_filters(marks: DataFrame, storm: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """``marks`` (mark_id, storm, confidence, lon, lat, height) with reason: why a mark does not count, null where it does.
+
+    The first that holds: of another storm, of low or unknown confidence, outside the box, without a height over 0, and
+    a repeated id, whose first of those left by lon, lat and height counts.
+    """
+    w, s, e, n = box
+    first = first_reason(
+        other_storm=~F.coalesce(F.lower("storm").startswith(storm), F.lit(False)),
+        low_confidence=F.coalesce(F.col("confidence").rlike("^(VP|Unknown)"), F.lit(False)),
+        outside_box=~F.coalesce(F.col("lon").between(w, e) & F.col("lat").between(s, n), F.lit(False)),
+        no_height=~F.coalesce(F.col("height") > 0, F.lit(False)),
+    )
+    return _first_of_each(marks.withColumn("reason", first), ["mark_id"], ["lon", "lat", "height"], "repeated_id")
+
+
+def _first_of_each(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """``reason`` is ``name`` for rows without one that share a key with an earlier such row; rows alike in ``order`` too."""
+    place = F.row_number().over(Window.partitionBy(*key, F.col("reason").isNull()).orderBy(*order))
+    return df.withColumn("reason", F.coalesce("reason", F.when(place > 1, name)))
+
+
+def reasons(df: DataFrame) -> DataFrame:
+    """reason and n: how many rows fell to each, and how many were kept."""
+    return df.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def clean_reports(raw: DataFrame, now: Column, box: tuple[float, float, float, float], types: list[str], spare: tuple[str, str] | None = None) -> DataFrame:
+    """``raw`` (source, id, type, lon, lat, received in epoch milliseconds) with report_id, time, lon, lat and reason.
+
+    The first reason that holds: wrong_type, unlocated (0 and 0 is no place; ``spare`` names columns to fall back on),
+    out_of_state, undated, future, duplicate (a later row of one source and id).
+    """
+    w, s, e, n = box
+
+    def usable(x: Column, y: Column) -> Column:
+        return F.coalesce((F.abs(x) > 1e-9) & (F.abs(y) > 1e-9) & ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf")), F.lit(False))
+
+    x, y = F.col("lon").cast("double"), F.col("lat").cast("double")
+    if spare:
+        here, there = usable(x, y), [F.col(c).cast("double") for c in spare]
+        x, y = F.when(here, x).otherwise(there[0]), F.when(here, y).otherwise(there[1])
+    df = raw.withColumns({"lon": x, "lat": y, "time": epoch_ms(F.col("received")), "report_id": F.concat_ws(":", "source", F.col("id").cast("string"))})
+    reason = first_reason(
+        wrong_type=~F.coalesce(F.col("type").isin(*types), F.lit(False)),
+        unlocated=~usable(F.col("lon"), F.col("lat")),
+        out_of_state=~(F.col("lon").between(w, e) & F.col("lat").between(s, n)),
+        undated=F.col("received").isNull(),
+        future=F.col("time") > now,
+    )
+    return _first_of_each(df.withColumn("reason", reason), ["report_id"], ["received", "lon", "lat", "type"], "duplicate")
+
+
+def assert_few_repeats(cleaned: DataFrame, most: float = MOST_REPEATED) -> DataFrame:
+    """``cleaned`` reports, refused where a source has over ``most`` of its rows as duplicates."""
+    by = cleaned.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "duplicate").alias("d"))
+    bad = by.where(F.col("d") > most * F.col("n")).collect()
+    if bad:
+        raise Refused("; ".join(f"{r['source']}: {r['d']} duplicate report ids in {r['n']} rows" for r in bad))
+    return cleaned

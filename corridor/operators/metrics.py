@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import checkpointed
+from corridor.operators.ranking import drawn
 
 
 def error_summary(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
@@ -68,6 +69,55 @@ def binary_score(df: DataFrame, y: str, p: str, cut: float, by: list[str] | None
     return (df.groupBy(*by) if by else df).agg(*agg)
 
 
+def flood_score(df: DataFrame, y_cm: str, p: str, depth_cm: str, flooded: float = 2.0, by: list[str] | None = None) -> DataFrame:
+    """n, n_flooded, precision and recall at one half, and mean depth errors, of all and of flooded rows (null without any).
+
+    Precision is 0 where nothing is called flooded, and recall where nothing is.
+    """
+    wet, hit = F.col(y_cm) >= flooded, F.col(p) >= 0.5
+    miss = F.abs(F.col(depth_cm) - F.col(y_cm))
+    both, one = F.count_if(wet & hit), F.lit(1)
+    agg = [
+        F.count("*").alias("n"), F.count_if(wet).alias("n_flooded"), (both / F.greatest(F.count_if(hit), one)).alias("precision"), (both / F.greatest(F.count_if(wet), one)).alias("recall"),
+        F.avg(miss).alias("depth_mae"), F.avg(F.when(wet, miss)).alias("depth_mae_flooded"),
+    ]
+    return (df.groupBy(*by) if by else df).agg(*agg)
+
+
+def mae_by_fold(df: DataFrame, y: str, p: str, fold: str) -> DataFrame:
+    """fold and m, the mean absolute error of its rows with both values, null where it has none."""
+    return df.groupBy(fold).agg(F.avg(F.abs(F.col(y) - F.col(p))).alias("m"))
+
+
+def paired_diff(a: DataFrame, b: DataFrame, fold: str) -> DataFrame:
+    """One row: the mean over folds of a's metric less b's, and folds up and down; folds where either is null are left out."""
+    d = a.select(fold, F.col("m").alias("_a")).join(b.select(fold, F.col("m").alias("_b")), fold).select((F.col("_a") - F.col("_b")).alias("d"))
+    return d.agg(F.avg("d").alias("mean"), F.count_if(F.col("d") > 0).alias("folds_up"), F.count_if(F.col("d") < 0).alias("folds_down"))
+
+
+# Fewest blocks of a range that says something; how near chance a control with shuffled labels must be.
+LEAST_BLOCKS, CHANCE_SPEARMAN, CHANCE_AP = 30, 0.05, 0.02
+
+
+def verdict(ranges: DataFrame, spread: Column | None = None, need_spread: bool = False) -> DataFrame:
+    """``ranges`` (value, low, high, n_blocks) with real: the range leaves out 0, and the value is over the seeds' spread.
+
+    Too few blocks or no range make nothing real, nor does a missing spread where one is needed.
+    """
+    clear = F.coalesce((F.col("n_blocks") >= LEAST_BLOCKS) & ((F.col("low") > 0) | (F.col("high") < 0)), F.lit(False))
+    s = F.lit(None).cast("double") if spread is None else spread
+    return ranges.withColumn("real", clear & F.when(s.isNull(), F.lit(not need_spread)).otherwise(F.abs("value") > s))
+
+
+def seed_spread(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The greatest gap of runs that differ in their seed alone; null where there is one run."""
+    return df.groupBy(*by).agg(F.when(F.count(value) >= 2, F.max(value) - F.min(value)).alias("spread"))
+
+
+def at_chance(rho: Column, ap: Column, prevalence: Column) -> Column:
+    return F.coalesce((F.abs(rho) < CHANCE_SPEARMAN) & (F.abs(ap - prevalence) < CHANCE_AP), F.lit(False))
+
+
 def lift(df: DataFrame, fifth: str, events: str, exposure: str, k: int = 5) -> DataFrame:
     """Events per exposure in the worst part over the best; null where either has none."""
     rate = [F.sum(F.when(F.col(fifth) == f, F.col(events))) / F.nullif(F.sum(F.when(F.col(fifth) == f, F.col(exposure))), F.lit(0)) for f in (1, k)]
@@ -87,7 +137,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def block_bootstrap(df: DataFrame, block: str, a: str, b: str, draws: int, seed: int = 42) -> DataFrame:
-    """sum(a)/sum(b) over all rows, and its 2.5 and 97.5 percentiles over draws of whole blocks with replacement.
+    """value, sum(a)/sum(b) over all rows, n_blocks, and low and high, its 2.5 and 97.5 percentiles over draws of whole blocks with replacement.
 
     Blocks are summed once; slot k of draw d takes block number hash(seed, d, k) modulo their count, so the work is
     draws times blocks small rows, whatever the rows. Blocks number by name.
@@ -97,8 +147,8 @@ def block_bootstrap(df: DataFrame, block: str, a: str, b: str, draws: int, seed:
     n = totals.count()
     spark = df.sparkSession
     slots = spark.range(draws).select(F.col("id").alias("_d")).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    slots = slots.groupBy("_d", F.pmod(F.xxhash64(F.lit(seed), "_d", "_slot"), F.lit(max(n, 1))).alias("_k")).count()
+    slots = slots.groupBy("_d", drawn(F.lit(max(n, 1)), seed, F.col("_d"), F.col("_slot")).alias("_k")).count()
     each = slots.join(numbered, "_k").groupBy("_d").agg((F.sum(F.col("_a") * F.col("count")) / F.nullif(F.sum(F.col("_b") * F.col("count")), F.lit(0))).alias("m"))
     ranges = each.agg(F.count("m").alias("draws"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    point = totals.agg((F.sum("_a") / F.nullif(F.sum("_b"), F.lit(0))).alias("value"))
-    return point.crossJoin(ranges).select("value", F.get("_q", 0).alias("low"), F.get("_q", 1).alias("high"), "draws")  # one row each
+    point = totals.agg((F.sum("_a") / F.nullif(F.sum("_b"), F.lit(0))).alias("value"), F.count("*").alias("n_blocks"))
+    return point.crossJoin(ranges).select("value", F.get("_q", 0).alias("low"), F.get("_q", 1).alias("high"), "draws", "n_blocks")  # one row each

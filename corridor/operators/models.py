@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corridor.common import checkpointed
 from corridor.operators.gates import check_features
 
 
@@ -39,7 +40,7 @@ def _predicted(out: DataFrame, kind: str, name: str) -> DataFrame:
 def oof(df: DataFrame, key: str, numbers: list[str], words: list[str], label: str, kind: str, fold: str = "fold", folds: int = 5, iterations: int = 30) -> DataFrame:
     """key and oof: each fold predicted by a model of the other folds. Folds with nothing to learn from are left out."""
     check_features([*numbers, *words])
-    d = _with_blanks(df, numbers, words).cache()
+    d = checkpointed(_with_blanks(df, numbers, words))
     stats = {r[fold]: (r["n"], r["s"]) for r in d.where(F.col(label).isNotNull()).groupBy(fold).agg(F.count("*").alias("n"), F.sum(label).alias("s")).collect()}
     parts = []
     for k in range(folds):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions import geo
+from corridor.operators.ranking import global_rank
 
 
 def _cell(x: Column, y: Column, size: float) -> list[Column]:
@@ -36,9 +37,13 @@ def dwithin(points: DataFrame, lines: DataFrame, radius: float, cell: float | No
     return a.join(b, "_cell").withColumn("dist", geo.distance(F.col("x"), F.col("y"), F.col("line"))).where(F.col("dist") <= radius).drop("_cell")
 
 
-def nearest(points: DataFrame, lines: DataFrame, radius: float, pt_id: str, line_id: str = "seg_id") -> DataFrame:
-    """Each point with its nearest line within reach, the lower id at equal distance; null where none is."""
-    best = dwithin(points, lines.select(line_id, "line"), radius).groupBy(pt_id).agg(F.min(F.struct("dist", line_id)).alias("m"))
+def nearest(points: DataFrame, lines: DataFrame, radius: float, pt_id: str, line_id: str = "seg_id", reach: Column | None = None) -> DataFrame:
+    """Each point with its nearest line within reach, the lower id at equal distance; null where none is.
+
+    ``reach``, where given, is a point's own limit, at most ``radius``.
+    """
+    near = dwithin(points, lines.select(line_id, "line"), radius)
+    best = (near if reach is None else near.where(F.col("dist") <= reach)).groupBy(pt_id).agg(F.min(F.struct("dist", line_id)).alias("m"))
     return points.select(pt_id).join(best.select(pt_id, f"m.{line_id}", "m.dist"), pt_id, "left")
 
 
@@ -99,3 +104,22 @@ def box_query(df: DataFrame, minx: float, miny: float, maxx: float, maxy: float)
     """Rows whose line enters or touches a box; the cheap test of the bounds comes first."""
     b = geo.bounds(F.col("line"))
     return df.where((b["minx"] <= maxx) & (b["maxx"] >= minx) & (b["miny"] <= maxy) & (b["maxy"] >= miny)).where(geo.hits_box(F.col("line"), minx, miny, maxx, maxy))
+
+
+def box_page(df: DataFrame, box: tuple[float, float, float, float], limit: int, order: str = "seg_id", spread: bool = False) -> DataFrame:
+    """At most ``limit`` rows whose line touches the box, in order of id or spread evenly over all that match, with matched.
+
+    Spread takes the places floor(k * matched / limit), so that a crowded box is thinned and not cut off.
+    """
+    hit = global_rank(box_query(df, *box), [F.asc(order)], "_place")
+    hit = hit.crossJoin(F.broadcast(hit.agg(F.count("*").alias("matched"))))  # one row
+    at, n = F.col("_place") - 1, F.col("matched")
+    if not spread:
+        return hit.where(at < limit).drop("_place")
+    k = F.ceil(at * limit / n)  # the first k whose place is at or past this row's
+    return hit.where((n <= limit) | (F.floor(k * n / limit) == at) & (k < limit)).drop("_place")
+
+
+def box_select(df: DataFrame, box: tuple[float, float, float, float], score: str, most: int, key: str = "seg_id") -> DataFrame:
+    """The ``most`` rows of highest score whose line touches the box, blanks last, ties by id."""
+    return box_query(df, *box).orderBy(F.col(score).desc_nulls_last(), key).limit(most)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 FLAG, FLOODED_CM, STALE_S, DARK = 500, 2, 900, 40
 
 
-def hourly(df: DataFrame, key: str, maxima: list[str], time: str = "time", unit: str = "hour") -> DataFrame:
-    """Per key and hour (UTC): maxima, count, first and last time."""
-    out = [F.max(c).alias(f"max_{c}") for c in maxima]
+def hourly(df: DataFrame, key: str, maxima: list[str], time: str = "time", unit: str = "hour", means: tuple[str, ...] = ()) -> DataFrame:
+    """Per key and hour (UTC): maxima, means, count, first and last time."""
+    out = [F.max(c).alias(f"max_{c}") for c in maxima] + [F.avg(c).alias(f"mean_{c}") for c in means]
     return df.groupBy(key, F.date_trunc(unit, time).alias("bucket")).agg(*out, F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
 
 
@@ -29,6 +29,24 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, tol_
     return left.select(left_id).join(best.select(left_id, "m.rtime", "m.value"), left_id, "left")
 
 
+def by_time_of_day(target: DataFrame, pool: DataFrame, minutes: int) -> DataFrame:
+    """Per target (id, camera_id, time): rows, mean depth and flooded share of its own camera within so many minutes of the
+    same time of day, on other days; null where there are none.
+
+    The day is a ring: 23:50 is near 00:10. The pool is first summed by camera, day and minute.
+    """
+    minute = lambda c: F.floor(F.unix_seconds(c) / 60) % 1440
+    sums = [F.count("*").alias("n"), F.sum("depth_cm").alias("s"), F.count_if(F.col("depth_cm") >= FLOODED_CM).alias("f")]
+    own = pool.groupBy("camera_id", F.to_date("time").alias("day"), minute("time").alias("m")).agg(*sums)
+    every = own.groupBy("camera_id", "m").agg(*[F.sum(c).alias(c) for c in "nsf"])
+    t = target.select("id", "camera_id", F.to_date("time").alias("day"), F.explode(F.sequence(minute("time") - minutes, minute("time") + minutes)).alias("m")).withColumn("m", F.pmod("m", F.lit(1440)))
+    same = own.select("camera_id", "day", "m", *[F.col(c).alias(f"_{c}") for c in "nsf"])
+    near = t.join(every, ["camera_id", "m"]).join(same, ["camera_id", "day", "m"], "left")
+    near = near.groupBy("id").agg(*[F.sum(F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in "nsf"])
+    n = F.nullif(F.col("n"), F.lit(0))
+    return target.select("id").join(near, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_near"), (F.col("s") / n).alias("mean_depth"), (F.col("f") / n).alias("flooded_share"))
+
+
 def neighbourhood(target: DataFrame, pool: DataFrame, minutes: int) -> DataFrame:
     """Per target (id, camera_id, time): rows, mean depth and flooded share of other cameras within so many minutes.
 
@@ -54,14 +72,49 @@ def latest_per_key(df: DataFrame, key: str, time: str, *columns: str) -> DataFra
     return df.groupBy(key).agg(F.max(F.struct(time, *columns)).alias("m")).select(key, "m.*")
 
 
-def alerts(readings: DataFrame, as_of: Column, hours: int) -> DataFrame:
-    """Per camera the worst and the latest reading of the last hours, with flags; known-dry cameras last."""
-    inside = readings.where((F.col("time") <= as_of) & (F.col("time") > as_of - F.make_interval(hours=F.lit(hours))))
-    got = inside.groupBy("camera_id", "known_dry").agg(
-        F.max("p_mil").alias("worst_p"), F.max("depth_cm").alias("worst_depth"), F.max(F.struct("time", "event_id", "p_mil")).alias("m"), F.count("*").alias("n")
-    )
-    flagged, flooded = (F.col("worst_p") >= FLAG), (F.col("worst_depth") >= FLOODED_CM)
-    return got.where(flagged | flooded).select("camera_id", "known_dry", "worst_p", "worst_depth", F.col("m.time").alias("latest"), F.col("m.p_mil").alias("latest_p"), flagged.alias("flagged"), flooded.alias("flooded"), "n")
+def alert_window(as_of: Column, hours: int) -> tuple[Column, Column]:
+    """From the start of the clock hour of ``as_of``, or of one so many hours earlier, to ``as_of``."""
+    if hours not in (1, 2):
+        raise ValueError("hours must be 1 or 2")
+    return F.date_trunc("hour", as_of) - F.make_interval(hours=F.lit(hours - 1)), as_of
+
+
+def _worst_and_latest(df: DataFrame, key: str, value: str, least: float, as_of: Column, hours: int, columns: list[str], hourly: DataFrame | None) -> DataFrame:
+    """Per key, replays apart: the row of the greatest value (the earliest of several) and the newest row, if the value is enough.
+
+    ``hourly`` (key, bucket, is_replay, max_<value>) names the keys worth reading, so that other raw rows are not.
+    """
+    start, end = alert_window(as_of, hours)
+    rows = df.where((F.col("time") >= start) & (F.col("time") <= end)).withColumn("is_replay", F.col("replay_of").isNotNull())
+    if hourly is not None:
+        some = hourly.where((F.col("bucket") >= start) & (F.col("bucket") <= end) & (F.col(f"max_{value}") >= least)).select(key, "is_replay").distinct()
+        rows = rows.join(some, [key, "is_replay"], "left_semi")
+    row = F.struct("time", *columns)
+    # nulls of the value are less than any number; an earlier time is more where values are equal
+    worst = F.max_by(F.struct(*row_fields("time", columns), "replay_of"), F.struct(F.col(value), -F.unix_micros("time")))
+    got = rows.groupBy(key, "is_replay").agg(worst.alias("worst"), F.max_by(row, F.struct("time", value)).alias("latest"))
+    return got.where(F.col(f"worst.{value}") >= least)
+
+
+def row_fields(time: str, columns: list[str]) -> list[Column]:
+    return [F.col(c) for c in (time, *columns)]
+
+
+def camera_alerts(readings: DataFrame, cameras: DataFrame, roads: DataFrame, as_of: Column, hours: int = 2, hourly: DataFrame | None = None) -> DataFrame:
+    """Cameras flagged up to ``as_of``: worst and latest reading, camera and road, known-dry cameras last, highest first.
+
+    readings: camera_id, time, p_mil, depth_cm, replay_of. A reading without a camera row stays, as not known dry; a
+    flag after ``as_of`` does not count. Roads are joined where the camera has one.
+    """
+    got = _worst_and_latest(readings, "camera_id", "p_mil", FLAG, as_of, hours, ["p_mil", "depth_cm"], hourly)
+    out = got.join(cameras, "camera_id", "left").withColumn("known_dry", F.coalesce("known_dry", F.lit(False))).join(roads, "seg_id", "left")
+    return out.orderBy("known_dry", F.desc("worst.p_mil"), "camera_id", "is_replay")
+
+
+def sensor_alerts(levels: DataFrame, as_of: Column, hours: int = 2, hourly: DataFrame | None = None) -> DataFrame:
+    """Stations with water on the road up to ``as_of``: worst and latest level, deepest first."""
+    got = _worst_and_latest(levels, "station", "depth_on_road_cm", FLOODED_CM, as_of, hours, ["depth_on_road_cm", "level_m"], hourly)
+    return got.orderBy(F.desc("worst.depth_on_road_cm"), "station", "is_replay")
 
 
 def alert_peaks(readings: DataFrame) -> DataFrame:

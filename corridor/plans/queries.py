@@ -52,26 +52,11 @@ def prj13_contains_any(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", keys.contains_any("secret|password|token", F.col("text")).alias("evidence"))
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN source = 'raleigh' AND report_id % 2 = 0 THEN 'wrong_type' WHEN x < 210000 THEN 'out_of_state'
-  WHEN time > TIMESTAMP '1997-01-01' THEN 'future' WHEN row_number() OVER (PARTITION BY x, y ORDER BY report_id) > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM report) z GROUP BY reason""")
-def prj16_clean_reports(spark, d):
-    r = fx.reports(spark, d)
-    again = F.row_number().over(Window.partitionBy("x", "y").orderBy("report_id")) > 1
-    reason = gates.first_reason(wrong_type=(F.col("source") == "raleigh") & (F.col("report_id") % 2 == 0), out_of_state=F.col("x") < 210000, future=F.col("time") > F.lit("1997-01-01").cast("timestamp"), duplicate=F.col("again"))
-    return r.withColumn("again", again).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT seg_id, CAST((heldout::INT) + 2 * (in_zone::INT) + 4 * (coalesce(ytp_milli <= 1000, false)::INT) AS INTEGER) AS bits FROM pred")
 def prj20_heldout_bits(spark, d):
     return fx.predictions(spark, d).select("seg_id", keys.heldout_bits(F.col("heldout"), F.col("in_zone"), F.col("ytp_milli") <= 1000).alias("bits"))
 
 
-@query("SELECT seg_id FROM pred WHERE crack_mil >= 400 AND in_zone AND heldout AND (ytp_milli IS NULL OR ytp_milli <= 5000)")
-def prj19_queue_filter(spark, d):
-    p = fx.predictions(spark, d)
-    return p.where((F.col("crack_mil") >= 400) & F.col("in_zone") & F.col("heldout") & (F.col("ytp_milli").isNull() | (F.col("ytp_milli") <= 5000))).select("seg_id")
-
-
 # gates
 
 
@@ -98,11 +83,6 @@ def qlt7_functional_dependency(spark, d):
     return gates.functional_dependency(r, "camera_id", "s", "known_dry", "h")
 
 
-@query("SELECT pt_id, rid FROM pt WHERE rid NOT IN (SELECT rid FROM seg)")
-def qlt8_orphans(spark, d):
-    return gates.orphans(fx.points(spark, d), "rid", fx.segments(spark, d), "rid").select("pt_id", "rid")
-
-
 @query("""WITH a AS (SELECT seg_id, rating, age FROM pred), b AS (SELECT seg_id, CASE WHEN age = 7 THEN rating + 1 ELSE rating END AS rating, age FROM pred WHERE rid % 7 <> 0)
   SELECT 'missing' AS what, (SELECT count(*) FROM a) - (SELECT count(*) FROM b) AS n UNION ALL SELECT 'extra', 0
   UNION ALL SELECT 'rating', count(*) FROM b WHERE age = 7 UNION ALL SELECT 'age', 0""".replace("WITH a AS", ", a AS", 1))
@@ -231,12 +211,6 @@ def win4_dedup_first(spark, d):
     return ranking.dedup_first(fx.pieces(spark, d), ["rid"], ["cnt"])
 
 
-@query("SELECT seg_id, ytp_milli, crack_mil FROM pred WHERE in_zone ORDER BY ytp_milli DESC NULLS LAST, seg_id LIMIT 50 OFFSET 20")
-def qry1_worklist(spark, d):
-    p = fx.predictions(spark, d).where("in_zone").select("seg_id", "ytp_milli", "crack_mil")
-    return ranking.worklist(p, "ytp_milli", True, 50, 20, ("ytp_milli", "crack_mil"))
-
-
 @query("SELECT seg_id FROM seg WHERE seg_id > 'ncdot:40000500' ORDER BY seg_id LIMIT 100")
 def win6_keyset_page(spark, d):
     return ranking.keyset_page(fx.segments(spark, d).select("seg_id"), "seg_id", "ncdot:40000500", 100)
@@ -248,14 +222,6 @@ def win7_top_per_tier(spark, d):
     return ranking.top_per_group(p, "tier", [F.asc_nulls_last("ytp_milli"), F.asc("seg_id")], 20).select("seg_id", "tier", "place")
 
 
-@query("""SELECT n, damaged, expected FROM (SELECT count(*) AS n, sum((crack_mil > 800)::INT) AS damaged FROM (SELECT * FROM pred WHERE in_zone AND heldout ORDER BY flood_mil DESC, seg_id LIMIT 50) t) a,
-  (SELECT round(50 * avg((crack_mil > 800)::INT), 6) AS expected FROM pred WHERE in_zone AND heldout) b""")
-def win9_backtest(spark, d):
-    z = fx.predictions(spark, d).where("in_zone and heldout").select("seg_id", "flood_mil", (F.col("crack_mil") > 800).cast("int").alias("bad"))
-    top = z.orderBy(F.desc("flood_mil"), "seg_id").limit(50).agg(F.count("*").alias("n"), F.sum("bad").alias("damaged"))
-    return top.crossJoin(F.broadcast(z.agg(F.round(50 * F.avg("bad"), 6).alias("expected"))))  # one row each
-
-
 @query("SELECT round(avg((crack_mil >= 900)::INT), 6) AS share FROM pred")
 def win12_percent_top(spark, d):
     return ranking.percent_top(fx.predictions(spark, d), "crack_mil", 900).withColumn("share", F.round("share", 6))
@@ -266,41 +232,11 @@ def agg12_histogram(spark, d):
     return ranking.histogram(fx.predictions(spark, d), "crack_mil", 50, 1000)
 
 
-@query(f"""SELECT count(*) AS n, sum(len) AS length, count(*) FILTER (in_zone) AS in_zone, sum(len) FILTER (in_zone) AS zone_length,
-  {', '.join(f"count(*) FILTER (({BUCKET}) = '{b}') AS n_{b}" for b in ('fix_now', '1y', '5y', 'later', 'unknown'))} FROM pred JOIN (SELECT seg_id, len FROM seg) s USING (seg_id)""")
-def agg10_summary(spark, d):
-    p = fx.predictions(spark, d).join(fx.segments(spark, d).select("seg_id", "len"), "seg_id").withColumn("bucket", measures.repair_bucket(F.col("ytp_milli") / 1000))
-    return p.agg(F.count("*").alias("n"), F.sum("len").alias("length"), F.count_if("in_zone").alias("in_zone"), F.sum(F.when(F.col("in_zone"), F.col("len"))).alias("zone_length"), *[F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in ("fix_now", "1y", "5y", "later", "unknown")])
-
-
-@query("SELECT median(rating) AS median_rating, round(avg(greatest(ytp_milli, 0)), 4) AS mean_years, count(*) FILTER (heldout) AS heldout FROM pred")
-def agg11_state_stats(spark, d):
-    return fx.predictions(spark, d).agg(F.median("rating").alias("median_rating"), F.round(F.avg(F.greatest("ytp_milli", F.lit(0))), 4).alias("mean_years"), F.count_if("heldout").alias("heldout"))
-
-
-@query("SELECT CAST(substr(seg_id, 15, 3) AS INTEGER) AS county, count(*) AS n, count(*) FILTER (in_zone) AS in_zone, min(mid_x) AS minx, max(mid_x) AS maxx, min(mid_y) AS miny, max(mid_y) AS maxy FROM pred GROUP BY 1")
-def agg14_county_table(spark, d):
-    county = keys.parse_seg_id(F.col("seg_id"))["county"].alias("county")
-    return fx.predictions(spark, d).groupBy(county).agg(F.count("*").alias("n"), F.count_if("in_zone").alias("in_zone"), F.min("mid_x").alias("minx"), F.max("mid_x").alias("maxx"), F.min("mid_y").alias("miny"), F.max("mid_y").alias("maxy"))
-
-
-@query("SELECT rid AS order_id, min(tier) AS tier, sum(len) AS length, sum(CASE WHEN rating > 80 THEN rating END) AS cost FROM (SELECT p.*, len, " + TIER + " AS tier FROM pred p JOIN (SELECT seg_id, len FROM seg) s USING (seg_id)) z GROUP BY 1")
-def agg22_order_rollup(spark, d):
-    p = fx.predictions(spark, d).join(fx.segments(spark, d).select("seg_id", "len"), "seg_id").withColumn("tier", _tier())
-    return p.groupBy(F.col("rid").alias("order_id")).agg(F.min("tier").alias("tier"), F.sum("len").alias("length"), F.sum(F.when(F.col("rating") > 80, F.col("rating"))).alias("cost"))
-
-
 @query("SELECT concat(CAST(CAST(floor(mid_x / 5000) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(mid_y / 5000) AS BIGINT) AS VARCHAR)) AS block, count(*) AS n FROM seg GROUP BY 1")
 def fld1_blocks(spark, d):
     return fx.segments(spark, d).groupBy(keys.block_id(F.col("mid_x"), F.col("mid_y")).alias("block")).agg(F.count("*").alias("n"))
 
 
-@query()
-def fld2_folds(spark, d):
-    s = fx.segments(spark, d).withColumn("block", keys.block_id(F.col("mid_x"), F.col("mid_y")))
-    return s.groupBy(keys.fold_of(F.col("block")).alias("fold")).agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"))
-
-
 @query("SELECT camera_id, (row_number() OVER (ORDER BY n DESC, camera_id) - 1) % 5 AS fold FROM (SELECT camera_id, count(*) AS n FROM reading GROUP BY 1) z")
 def fld3_group_folds(spark, d):
     sizes = fx.readings(spark, d).groupBy("camera_id").agg(F.count("*").alias("n"))
@@ -310,22 +246,21 @@ def fld3_group_folds(spark, d):
 # spatial
 
 
-@query("SELECT report_id, seg_id, CAST((mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) AS BIGINT) AS dist2 FROM report JOIN seg ON abs(mid_x - x) <= 60 AND abs(mid_y - y) <= 60 WHERE (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) <= 3600")
+@query("SELECT report_id, seg_id, CAST(dist2 AS BIGINT) AS dist2 FROM near WHERE dist2 <= 3600")
 def jon5_dwithin(spark, d):
     s = fx.segments(spark, d).select("seg_id", F.col("mid_x").alias("x"), F.col("mid_y").alias("y"))
     r = fx.reports(spark, d).select("report_id", F.col("x").alias("px"), F.col("y").alias("py"))
     return spatial.points_within(s, r, 60).select("report_id", "seg_id", F.col("dist2").cast("long").alias("dist2"))
 
 
-@query("""SELECT report_id, seg_id, dist2 FROM report LEFT JOIN (SELECT report_id, seg_id, dist2 FROM (SELECT report_id, seg_id, (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) AS dist2,
-  row_number() OVER (PARTITION BY report_id ORDER BY (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y), seg_id) AS k FROM report JOIN seg ON abs(mid_x - x) <= 60 AND abs(mid_y - y) <= 60) z WHERE k = 1 AND dist2 <= 3600) m USING (report_id)""")
+@query("""SELECT report_id, seg_id, dist2 FROM report LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY dist2, seg_id) AS k FROM near WHERE dist2 <= 3600) m USING (report_id) WHERE coalesce(k, 1) = 1""")
 def jon6_nearest(spark, d):
     r = fx.reports(spark, d).select("report_id", "x", "y")
     s = fx.segments(spark, d).select("seg_id", F.col("mid_x").alias("px"), F.col("mid_y").alias("py"))
     return spatial.nearest_point(r, s, 60, "report_id", "seg_id")
 
 
-@query("SELECT seg_id, seg_id IN (SELECT seg_id FROM seg JOIN report ON abs(mid_x - x) <= 40 AND abs(mid_y - y) <= 40 AND (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) <= 1600) AS near FROM seg")
+@query("SELECT seg_id, h.seg_id IS NOT NULL AS near FROM seg LEFT JOIN (SELECT DISTINCT seg_id FROM near WHERE dist2 <= 1600) h USING (seg_id)")
 def jon13_zone_flag(spark, d):
     s = fx.segments(spark, d).select("seg_id", F.col("mid_x").alias("x"), F.col("mid_y").alias("y"))
     r = fx.reports(spark, d).select(F.col("x").alias("px"), F.col("y").alias("py"))
@@ -338,9 +273,9 @@ def jon17_overlapping_pairs(spark, d):
     return spatial.overlapping_pairs(r, 77)
 
 
-@query("""SELECT seg_id, CASE WHEN mid_x + mid_y < 350000 AND mid_x >= 200000 AND mid_y >= 100000 THEN 'low' END AS area FROM seg WHERE mid_x + mid_y <> 350000""")
+@query("""SELECT seg_id, CASE WHEN mid_x + mid_y < 350000 AND mid_x >= 200000 AND mid_y >= 100000 THEN 'low' END AS area FROM seg""")
 def jon9_point_in_polygon(spark, d):
-    s = fx.segments(spark, d).where("mid_x + mid_y <> 350000").select("seg_id", (F.col("mid_x") + 0.0).alias("x"), (F.col("mid_y") + 0.0).alias("y"))
+    s = fx.segments(spark, d).select("seg_id", (F.col("mid_x") + 0.0).alias("x"), (F.col("mid_y") + 0.0).alias("y"))
     corner = [F.lit(v) for v in (199999.5, 99999.5, 250000.5)]
     ring = geo.line_of((corner[0], corner[1]), (corner[2], corner[1]), (corner[0], F.lit(150000.5)), (corner[0], corner[1]))
     area = spark.range(1).select(F.lit("low").alias("area"), ring.alias("ring"))
@@ -404,13 +339,6 @@ def jon14_latest(spark, d):
     return timeseries.latest_per_key(fx.readings(spark, d), "camera_id", "time", "event_id", "p_mil")
 
 
-@query("""SELECT camera_id, known_dry, worst_p, worst_depth, latest, latest_p, worst_p >= 500 AS flagged, worst_depth >= 2 AS flooded, n FROM
-  (SELECT camera_id, known_dry, max(p_mil) AS worst_p, max(depth_cm) AS worst_depth, max(time) AS latest, arg_max(p_mil, (time, event_id)) AS latest_p, count(*) AS n FROM reading
-   WHERE time <= TIMESTAMP '2024-01-20 12:00:00' AND time > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 48 HOUR GROUP BY 1, 2) z WHERE worst_p >= 500 OR worst_depth >= 2""")
-def str7_alerts(spark, d):
-    return timeseries.alerts(fx.readings(spark, d), F.lit("2024-01-20 12:00:00").cast("timestamp"), 48)
-
-
 @query("""SELECT bucket, coalesce(flagged, 0) AS flagged, coalesce(dry_flagged, 0) AS dry_flagged, coalesce(wet, 0) AS wet FROM
   (SELECT date_trunc('hour', time) AS bucket, count(DISTINCT camera_id) FILTER (NOT known_dry) AS flagged, count(DISTINCT camera_id) FILTER (known_dry) AS dry_flagged FROM reading WHERE p_mil >= 500 GROUP BY 1) a
   FULL JOIN (SELECT date_trunc('hour', time) AS bucket, count(DISTINCT camera_id) AS wet FROM reading WHERE depth_cm >= 2 AND NOT known_dry GROUP BY 1) b USING (bucket)""")
@@ -491,12 +419,6 @@ def met4_precision_at_k(spark, d):
     return metrics.precision_at_k(_scored(spark, d), "y", "s", 50, "doc_id").withColumn("precision", F.round("precision", 6))
 
 
-@query(f", {SCORED_SQL} SELECT f, round(count(*) FILTER (s >= 1500 AND y = 1) / nullif(count(*) FILTER (s >= 1500), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (s >= 1500 AND y = 1) / nullif(count(*) FILTER (y = 1), 0)::DOUBLE, 6) AS recall, count(*) AS n FROM scored GROUP BY 1")
-def met5_binary_score(spark, d):
-    out = metrics.binary_score(_scored(spark, d), "y", "s", 1500, ["f"])
-    return out.select("f", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "n")
-
-
 @query(f""", {SCORED_SQL}, p AS (SELECT y AS a, f AS b, count(*) AS n FROM scored GROUP BY 1, 2), t AS (SELECT sum(n) AS n, sum(n) FILTER (a = b) AS s FROM p),
   e AS (SELECT sum(l * r) AS e FROM (SELECT a AS c, sum(n) AS l FROM p GROUP BY 1) x JOIN (SELECT b AS c, sum(n) AS r FROM p GROUP BY 1) z USING (c))
   SELECT round(s / n::DOUBLE, 6) AS agreement, round((s / n::DOUBLE - e / (n * n)::DOUBLE) / (1 - e / (n * n)::DOUBLE), 6) AS kappa FROM t, e""")
@@ -504,12 +426,6 @@ def met9_kappa(spark, d):
     return metrics.cohen_kappa(_scored(spark, d), "y", "f").select(F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
 
 
-@query()
-def met7_block_bootstrap(spark, d):
-    s = fx.predictions(spark, d).withColumn("block", keys.block_id(F.col("mid_x"), F.col("mid_y"))).withColumn("bad", (F.col("crack_mil") > 800).cast("int"))
-    return metrics.block_bootstrap(s.withColumn("one", F.lit(1)), "block", "bad", "one", 500)
-
-
 @query("""SELECT round(sum(bad) FILTER (fifth = 1) / (count(*) FILTER (fifth = 1))::DOUBLE / (sum(bad) FILTER (fifth = 5) / (count(*) FILTER (fifth = 5))::DOUBLE), 6) AS lift FROM
   (SELECT (crack_mil > 800)::INT AS bad, CASE WHEN count(*) OVER (PARTITION BY rid) < 30 THEN 0 ELSE CAST(ceil(5 * row_number() OVER (PARTITION BY rid ORDER BY rating, seg_id) / (count(*) OVER (PARTITION BY rid))::DOUBLE) AS INTEGER) END AS fifth FROM pred) z""")
 def agg19_lift(spark, d):
@@ -553,12 +469,12 @@ def mod6_pca(spark, d):
 
 
 @query("""SELECT rid, n, coverage, seg_id FROM (SELECT rid, count(*) AS n, round(least(sum(coalesce(ov, 0)) / sum(len)::DOUBLE, 1), 6) AS coverage, arg_min(seg_id, (coalesce(ytp_milli, 1000000), seg_id)) AS seg_id FROM
-  (SELECT s.rid, s.seg_id, len, ytp_milli, ov FROM seg s JOIN (SELECT seg_id, ytp_milli FROM pred) p USING (seg_id) LEFT JOIN
+  (SELECT rid, seg_id, len, ytp_milli, ov FROM pred LEFT JOIN
    (SELECT seg_id, sum(least("end", pe) - greatest(beg, pb)) AS ov FROM seg JOIN piece USING (rid) WHERE greatest(beg, pb) < least("end", pe) GROUP BY 1) o USING (seg_id)) z GROUP BY 1) y""")
 def flagship_route_worklist(spark, d):
     s = fx.segments(spark, d)
     ov = linref.interval_overlaps(s, fx.pieces(spark, d)).groupBy("seg_id").agg(F.sum("ov").alias("ov"))
-    p = fx.predictions(spark, d).select("seg_id", "ytp_milli").join(s.select("seg_id", "rid", "len"), "seg_id").join(ov, "seg_id", "left")
+    p = fx.predictions(spark, d).select("seg_id", "rid", "len", "ytp_milli").join(ov, "seg_id", "left")
     covered = F.least(F.sum(F.coalesce("ov", F.lit(0))) / F.sum("len"), F.lit(1.0))
     first = F.min(F.struct(F.coalesce("ytp_milli", F.lit(1000000)).alias("y"), "seg_id"))["seg_id"]
     return p.groupBy("rid").agg(F.count("*").alias("n"), F.round(covered, 6).alias("coverage"), first.alias("seg_id"))
@@ -580,56 +496,11 @@ def set2_key_sets(spark, d):
     return a.intersect(b).withColumn("side", F.lit("both")).unionAll(a.subtract(b).withColumn("side", F.lit("left")))
 
 
-@query("SELECT seg_id, flood_mil, row_number() OVER (ORDER BY flood_mil DESC, seg_id) AS place FROM pred WHERE in_zone ORDER BY 2 DESC, 1 LIMIT 200")
-def win8_storm_list(spark, d):
-    top = fx.predictions(spark, d).where("in_zone").select("seg_id", "flood_mil").orderBy(F.desc("flood_mil"), "seg_id").limit(200)
-    return ranking.global_rank(top, [F.desc("flood_mil"), F.asc("seg_id")], "place")
-
-
-@query("SELECT seg_id, ytp_milli FROM pred ORDER BY ytp_milli ASC NULLS LAST, seg_id LIMIT 300")
-def win10_queue_sort(spark, d):
-    return ranking.worklist(fx.predictions(spark, d).select("seg_id", "ytp_milli"), "ytp_milli", False, 300, 0, ("ytp_milli",))
-
-
-@query("SELECT seg_id, crack_mil FROM pred WHERE crack_mil >= 950")
-def win11_alerts_over_threshold(spark, d):
-    return fx.predictions(spark, d).where("crack_mil >= 950").select("seg_id", "crack_mil").orderBy(F.desc("crack_mil"), "seg_id")
-
-
 @query("SELECT camera_id, event_id, row_number() OVER (PARTITION BY camera_id ORDER BY event_id) AS turn FROM reading WHERE p_mil >= 900")
 def win16_round_robin(spark, d):
     return ranking.round_robin(fx.readings(spark, d).where("p_mil >= 900").select("camera_id", "event_id"), "camera_id", "event_id").withColumn("turn", F.col("turn").cast("long"))
 
 
-@query()
-def win17_reproducible_sample(spark, d):
-    return ranking.reproducible_sample(fx.segments(spark, d).select("seg_id", "rating"), "seg_id", 100, 7)
-
-
-@query("SELECT seg_id, camera, depth, min_pair FROM (SELECT camera_id AS camera, event_id AS seg_id, depth_cm AS depth, least(depth_cm, coalesce(lead(depth_cm) OVER w, depth_cm)) AS min_pair FROM reading WINDOW w AS (PARTITION BY camera_id ORDER BY time, event_id)) z")
-def win14_pair_min(spark, d):
-    w = Window.partitionBy("camera_id").orderBy("time", "event_id")
-    pair = F.least("depth_cm", F.coalesce(F.lead("depth_cm").over(w), F.col("depth_cm")))
-    return fx.readings(spark, d).select(F.col("event_id").alias("seg_id"), F.col("camera_id").alias("camera"), F.col("depth_cm").alias("depth"), pair.alias("min_pair"))
-
-
-@query("""SELECT CAST(floor(x / 5000) AS BIGINT) AS cx, bool_or(source = 'raleigh') AS any_raleigh, count(*) FILTER (source = 'raleigh') AS n_raleigh, count(*) FILTER (source = 'charlotte') AS n_charlotte FROM report GROUP BY 1""")
-def agg7_evidence_flags(spark, d):
-    r = fx.reports(spark, d)
-    return r.groupBy(F.floor(F.col("x") / 5000).alias("cx")).agg(F.bool_or(F.col("source") == "raleigh").alias("any_raleigh"), F.count_if(F.col("source") == "raleigh").alias("n_raleigh"), F.count_if(F.col("source") == "charlotte").alias("n_charlotte"))
-
-
-@query("""SELECT seg_id, n, CASE WHEN mid_x < 240000 THEN n > 0 END AS any_report FROM (SELECT s.seg_id, s.mid_x, count(r.report_id) AS n FROM seg s LEFT JOIN
-  (SELECT report_id, seg_id FROM (SELECT report_id, seg_id, (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) AS d2, row_number() OVER (PARTITION BY report_id ORDER BY (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y), seg_id) AS k
-   FROM report JOIN seg ON abs(mid_x - x) <= 60 AND abs(mid_y - y) <= 60) z WHERE k = 1 AND d2 <= 3600) r USING (seg_id) GROUP BY 1, 2) y""")
-def agg8_report_labels(spark, d):
-    s = fx.segments(spark, d)
-    near = spatial.nearest_point(fx.reports(spark, d).select("report_id", "x", "y"), s.select("seg_id", F.col("mid_x").alias("px"), F.col("mid_y").alias("py")), 60, "report_id", "seg_id")
-    n = near.where("seg_id is not null").groupBy("seg_id").agg(F.count("*").alias("n"))
-    out = s.select("seg_id", "mid_x").join(n, "seg_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("seg_id", "n", F.when(F.col("mid_x") < 240000, F.col("n") > 0).alias("any_report"))
-
-
 @query("SELECT count(*) FILTER (crack_mil <= 300) AS n FROM pred WHERE crack_mil <= 1000")
 def agg13_count_at_most(spark, d):
     h = ranking.histogram(fx.predictions(spark, d).where("crack_mil <= 1000"), "crack_mil", 50, 1000)
@@ -637,39 +508,6 @@ def agg13_count_at_most(spark, d):
     return h.agg(counts.alias("h")).select(ranking.count_at_most(F.col("h"), 50, 300).alias("n"))
 
 
-@query("SELECT county, count(*) AS n FROM (SELECT CAST(substr(seg_id, 15, 3) AS INTEGER) AS county FROM pred ORDER BY flood_mil DESC, seg_id LIMIT 500) z GROUP BY 1")
-def agg21_by_county(spark, d):
-    top = fx.predictions(spark, d).select("seg_id", "flood_mil").orderBy(F.desc("flood_mil"), "seg_id").limit(500)
-    return top.groupBy(keys.parse_seg_id(F.col("seg_id"))["county"].alias("county")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT round(avg((crack_mil > 700)::INT) FILTER (depth_m >= 0.3), 6) AS wet, round(avg((crack_mil > 700)::INT) FILTER (depth_m < 0.3), 6) AS dry FROM (SELECT crack_mil, flood_mil / 1000.0 AS depth_m FROM pred) z")
-def agg23_labels_check(spark, d):
-    bad = (F.col("crack_mil") > 700).cast("int")
-    wet = F.col("flood_mil") / 1000 >= 0.3
-    return fx.predictions(spark, d).agg(F.round(F.avg(F.when(wet, bad)), 6).alias("wet"), F.round(F.avg(F.when(~wet, bad)), 6).alias("dry"))
-
-
-@query("SELECT round(quantile_cont(r, 0.25), 6) AS q25, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(avg((r BETWEEN 0.5 AND 2)::INT), 6) AS inside FROM (SELECT rating / age::DOUBLE AS r FROM pred) z")
-def agg24_ratio_quantiles(spark, d):
-    r = fx.predictions(spark, d).select((F.col("rating") / F.col("age")).alias("r"))
-    q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return r.agg(q.alias("q"), F.avg(F.col("r").between(0.5, 2).cast("int")).alias("i")).select(*[F.round(F.get("q", k), 6).alias(n) for k, n in enumerate(("q25", "q50", "q75"))], F.round("i", 6).alias("inside"))
-
-
-@query("SELECT greatest((SELECT max(time) FROM reading), (SELECT max(time) FROM report)) AS latest")
-def agg25_latest_reading(spark, d):
-    a, b = fx.readings(spark, d).agg(F.max("time").alias("a")), fx.reports(spark, d).agg(F.max("time").alias("b"))
-    return a.crossJoin(b).select(F.greatest("a", "b").alias("latest"))  # one row each
-
-
-@query("SELECT source, count(*) AS n FROM report WHERE report_id NOT IN (SELECT report_id FROM report JOIN seg ON abs(mid_x - x) <= 60 AND abs(mid_y - y) <= 60 AND (mid_x - x)*(mid_x - x) + (mid_y - y)*(mid_y - y) <= 3600) GROUP BY 1")
-def jon16_unmatched(spark, d):
-    r = fx.reports(spark, d).select("report_id", "source", "x", "y")
-    near = spatial.nearest_point(r, fx.segments(spark, d).select("seg_id", F.col("mid_x").alias("px"), F.col("mid_y").alias("py")), 60, "report_id", "seg_id")
-    return r.join(near.where("seg_id is null"), "report_id").groupBy("source").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT bucket, coalesce(a.n, 0) AS cameras, coalesce(b.n, 0) AS reports FROM (SELECT date_trunc('month', time) AS bucket, count(*) AS n FROM reading GROUP BY 1) a
   FULL JOIN (SELECT date_trunc('month', time) AS bucket, count(*) AS n FROM report GROUP BY 1) b USING (bucket)""")
 def jon15_full_outer(spark, d):
@@ -679,13 +517,6 @@ def jon15_full_outer(spark, d):
     return a.join(b, "bucket", "full").select("bucket", F.coalesce("cameras", F.lit(0)).alias("cameras"), F.coalesce("reports", F.lit(0)).alias("reports"))
 
 
-@query("""SELECT seg_id, d2 FROM (SELECT seg_id, ytp_milli, (mid_x - 230000)*(mid_x - 230000) + (mid_y - 130000)*(mid_y - 130000) AS d2 FROM pred ORDER BY 3, 1 LIMIT 5) z ORDER BY ytp_milli NULLS LAST, seg_id""")
-def jon19_near_me(spark, d):
-    x, y = F.col("mid_x") - 230000, F.col("mid_y") - 130000
-    near = fx.predictions(spark, d).select("seg_id", "ytp_milli", (x * x + y * y).alias("d2")).orderBy("d2", "seg_id").limit(5)
-    return near.orderBy(F.asc_nulls_last("ytp_milli"), "seg_id").select("seg_id", "d2")
-
-
 # reports that hold scores against what was seen
 
 
@@ -712,12 +543,6 @@ def qry7_report_check(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("raw_lift", "adjusted_lift")})
 
 
-@query()
-def qry7_lift_range(spark, d):
-    parts = checks.group_parts(_checked(spark, d), "s", 5, ["city", "score", "band"], "seg_id", checks.LEAST_IN_BAND, "fifth")
-    return checks.lift_range(parts, ["city", "score"], "fifth", "events", "exposure", "block", 500)
-
-
 @query(f"""{CHECK_SQL}, g AS (SELECT score, unnest([city, 'all']) AS roads, s, seg_id, (events > 4)::INT::DOUBLE AS hit FROM long),
   t AS (SELECT *, ceil(3 * row_number() OVER (PARTITION BY score, roads ORDER BY s, seg_id) / (count(*) OVER (PARTITION BY score, roads))::DOUBLE) AS third FROM g)
   SELECT score, roads, count(*) AS n, count(*) < 30 AS too_few, round(avg(hit), 6) AS share_damaged, round(avg(hit) FILTER (third = 3), 6) AS worst_third, round(avg(hit) FILTER (third = 1), 6) AS best_third,

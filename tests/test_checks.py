@@ -2,12 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from corridor.common import Refused
-from corridor.operators import checks
+from corridor.operators import checks, ranking
 
 
 def test_group_parts_and_small_groups(spark):
     df = spark.createDataFrame([("a", k, k % 7) for k in range(60)] + [("b", 100 + k, k) for k in range(3)] + [("a", 99, None)], "g string, id long, s long")
-    got = {r.id: r.part for r in checks.group_parts(df, "s", 5, ["g"], "id", 10, "part").collect()}
+    got = {r.id: r.part for r in ranking.ntile_by_rank(df, "s", 5, ["g"], "id", 10, "part").collect()}
     order = sorted(range(60), key=lambda k: (k % 7, k))
     assert got == {k: -(-5 * (i + 1) // 60) for i, k in enumerate(order)} | {100: 0, 101: 0, 102: 0}
 
