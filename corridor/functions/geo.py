@@ -86,6 +86,17 @@ def distance(px: Column, py: Column, line: Column) -> Column:
     return F.array_min(_pieces(line, lambda a, b: _nearest(px, py, a, b)[0]))
 
 
+def piece_distance(a: Column, b: Column, p: Column, q: Column) -> Column:
+    """Between two straight pieces: 0 where they cross, else the least of their ends' distances to the other piece."""
+
+    def side(u: Column, v: Column, w: Column) -> Column:
+        return (v["x"] - u["x"]) * (w["y"] - u["y"]) - (v["y"] - u["y"]) * (w["x"] - u["x"])
+
+    cross = (side(a, b, p) * side(a, b, q) < 0) & (side(p, q, a) * side(p, q, b) < 0)
+    ends = [_nearest(s["x"], s["y"], u, v)[0] for s, u, v in ((a, p, q), (b, p, q), (p, a, b), (q, a, b))]
+    return F.when(cross, 0.0).otherwise(F.least(*ends))
+
+
 def midpoint(line: Column) -> Column:
     """The spot half-way along a line, as a struct."""
     return point_at(line, length(line) / 2)

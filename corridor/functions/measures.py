@@ -65,18 +65,24 @@ def priority_score(years: Column, crack: Column, flood: Column, in_zone: Column)
     return SHARES[0] * wear + SHARES[1] * F.coalesce(crack, F.lit(0.0)) + SHARES[2] * wet
 
 
-def condition_score(mode: str, years: Column, crack: Column, flood: Column) -> Column:
-    """0 (good) to 1 (bad) for one colour scale; ``years_linear`` is the plain share of 35 years that is gone."""
-    if mode == "years_linear":
-        return 1 - F.least(F.greatest(years / 35, F.lit(0.0)), F.lit(1.0))
+def condition_score(mode: str, years: Column, crack: Column, flood: Column, in_zone: Column, cfg: dict[str, float]) -> Column:
+    """0 (worst) to 1 (best) for one colour scale, null without a value; ``years_linear`` is the share of 35 years left, 0.05 at least.
+
+    ``cfg`` has the crack and flood scores that count as worst (for flood only inside the zone).
+    """
+    one = F.lit(1.0)
     if mode == "years":
-        return 1 - F.sqrt(F.least(F.greatest(years, F.lit(0.0)), F.lit(30.0)) / 30)
-    return F.least(F.greatest(crack if mode == "crack" else flood, F.lit(0.0)), F.lit(1.0))
+        return F.when(years.isNotNull(), F.sqrt(F.least(years, F.lit(30.0)) / 30))
+    if mode == "years_linear":
+        return F.when(years.isNotNull(), F.least(F.greatest(years / 35, F.lit(0.05)), one))
+    if mode == "crack":
+        return F.when(crack.isNotNull(), 1 - F.least(crack / cfg["crack"], one))
+    return F.when(in_zone & flood.isNotNull(), 1 - F.least(F.sqrt(flood / cfg["flood"]), one))
 
 
 def project_rating(rating: Column, rate: Column, years: int) -> Column:
     """Ratings of the next years on a straight line, never under 0."""
-    return F.transform(F.sequence(F.lit(0), F.lit(years)), lambda t: F.greatest(rating - rate * t, F.lit(0.0)))
+    return F.when(rating.isNotNull() & rate.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(years)), lambda t: F.greatest(rating - rate * t, F.lit(0.0))))
 
 
 def crossing_year(rating: Column, rate: Column) -> Column:
@@ -98,8 +104,8 @@ def flood_rank(flood: Column, in_zone: Column) -> Column:
 
 
 def depth_on_road(level: Column, road_level: Column, always_dry: Column) -> Column:
-    """Centimetres of water over the road; 0 where always dry; null where the road's level is unknown."""
-    return F.when(always_dry, F.lit(0.0)).when(road_level.isNull(), None).otherwise(F.greatest((level - road_level) * 100, F.lit(0.0)))
+    """Centimetres of water over the road; 0 where always dry; null where the water's or the road's level is unknown."""
+    return F.when(always_dry, F.lit(0.0)).when(road_level.isNull() | level.isNull(), None).otherwise(F.greatest((level - road_level) * 100, F.lit(0.0)))
 
 
 def depth_band(depth_m: Column) -> Column:

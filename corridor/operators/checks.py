@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import Refused, checkpointed
+from corridor.operators.gates import compare_tables, domain_report
 from corridor.operators.ranking import drawn, ntile_by_rank
 
 # Answers a grader may give, those that decide, and fewest rows and draws.
@@ -110,6 +111,20 @@ def decided(grades: DataFrame) -> DataFrame:
     return g.groupBy("camera_id").agg(F.min(F.struct("file", "damage")).alias("m")).select("camera_id", "m.*")
 
 
+def verify(loaded: DataFrame, files: DataFrame, key: str, values: list[str], rules: dict[str, Column], blanks: list[str]) -> DataFrame:
+    """what and broken of a load held against its files: rows, values by key (missing and extra keys too), rules that the
+    loaded rows must keep, and blanks that are no longer blank, or the other way round, on common keys."""
+    rows = loaded.agg(F.count("*").alias("a")).crossJoin(files.agg(F.count("*").alias("b")))  # one row each
+    parts = [rows.select(F.lit("rows").alias("what"), F.abs(F.col("a") - F.col("b")).alias("broken"))]
+    found = compare_tables(files.select(key, *values), loaded.select(key, *values), key)
+    parts.append(found.select(F.concat(F.lit("value: "), "what").alias("what"), F.col("n").alias("broken")))
+    parts.append(domain_report(loaded, rules).select(F.concat(F.lit("rule: "), "rule").alias("what"), "broken"))
+    flags = lambda df: df.select(key, *[F.col(c).isNull().alias(c) for c in blanks])
+    blank = compare_tables(flags(files), flags(loaded), key).where(~F.col("what").isin("missing", "extra"))
+    parts.append(blank.select(F.concat(F.lit("blank: "), "what").alias("what"), F.col("n").alias("broken")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows, files and bytes of tables that are read from files."""
     parts = []

@@ -7,10 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridor.common import Refused
+from corridor.functions.geo import piece_distance, point_at, sample_stations
+from corridor.functions.measures import depth_band, typical_miss
+from corridor.operators.gates import assert_key, domain_report, orphans
+
 # Fixed values, metres: to the side of a line, past its end, along it to a mark, moved from the nearer mark's level,
 # to a mark that is close by, water over ground that is still believed, to a listed bridge, depth of a notch, and the
 # climb of a bank in BANK_STEP metres.
 SIDE, END, REACH, LIFT, CLOSE, TOO_DEEP = 300.0, 100.0, 1000.0, 2.0, 250.0, 15.0
+# Fixed value: the share of points that may be too deep.
+MOST_TOO_DEEP = 0.005
 BRIDGE, NOTCH, BANK, BANK_STEP = 60.0, 3.0, 2.0, 30.0
 
 
@@ -114,21 +121,105 @@ def set_aside(points: DataFrame, near_bridge: Column, seg: list[str], order: str
 
 
 def depth(level: Column, ground: Column) -> Column:
-    """Water over ground, 0 at least; null where over TOO_DEEP, which is no road flood."""
+    """Water over ground, 0 at least; null without either, and where over TOO_DEEP, which is no road flood."""
     d = F.greatest(level - ground, F.lit(0.0))
-    return F.when(d <= TOO_DEEP, d)
+    return F.when(level.isNotNull() & ground.isNotNull() & (d <= TOO_DEEP), d)
+
+
+def kept_points(points: DataFrame) -> DataFrame:
+    """Points (level, ground, aside) with depth, too_deep and kept: those that have a depth, are not aside and not too deep."""
+    usable = F.col("level").isNotNull() & F.col("ground").isNotNull()
+    water = F.when(usable, F.greatest(F.col("level") - F.col("ground"), F.lit(0.0)))
+    deep = usable & ~F.col("aside") & (water > TOO_DEEP)
+    return points.withColumns({"depth": water, "too_deep": deep}).withColumn("kept", usable & ~F.col("aside") & ~F.col("too_deep"))
+
+
+def assert_few_too_deep(points: DataFrame) -> DataFrame:
+    """``kept_points``, refused where over MOST_TOO_DEEP of those with a depth are too deep: then an input is wrong."""
+    n, deep = points.agg(F.count_if(F.col("kept") | F.col("too_deep")), F.count_if("too_deep")).first()
+    if deep > MOST_TOO_DEEP * max(1, n):
+        raise Refused(f"{deep} of {n} road points are deeper than {TOO_DEEP} m")
+    return points
 
 
-def summarise(points: DataFrame) -> DataFrame:
-    """Per segment: the greatest depth that two neighbouring points share, wet share, points assessed."""
+def summarise(points: DataFrame, bands: list[tuple[float, float, float | None, bool]] = ()) -> DataFrame:
+    """A row for each segment of kept_points (seg_id, part, step, depth, kept, aside, along, close, stream, marks).
+
+    The headline is the greatest depth that two neighbouring kept points of a part share; the first such pair in road
+    order also gives distance, confidence (high where both are close to a mark) and stream (the deeper point's). Where it
+    is 0, the median distance, the more common confidence and the most common stream (the first by name) stand in. A
+    segment without a pair is not assessed: its values are null, its counts are not.
+    """
     w = Window.partitionBy("seg_id", "part").orderBy("step")
-    pair = F.least("depth", F.coalesce(F.lead("depth").over(w), F.lag("depth").over(w), F.col("depth")))
-    return points.withColumn("_p", pair).groupBy("seg_id").agg(F.max("_p").alias("headline"), F.avg((F.col("depth") > 0).cast("double")).alias("wet_share"), F.count("depth").alias("n_assessed"), F.count("*").alias("n_points"))
+    nxt = {c: F.lead(c).over(w) for c in ("depth", "kept", "along", "close", "stream")}
+    df = points.withColumns({f"_{c}": v for c, v in nxt.items()})
+    pair = F.when(F.col("kept") & F.coalesce("_kept", F.lit(False)), F.least("depth", "_depth"))
+    deeper = F.when(F.col("depth") >= F.col("_depth"), F.col("stream")).otherwise(F.col("_stream"))
+    found = F.struct(pair.alias("head"), (-F.col("part")).alias("p"), (-F.col("step")).alias("s"), F.greatest("along", "_along").alias("dist"), (F.col("close") & F.col("_close")).alias("high"), deeper.alias("stream"))
+    kept = F.col("kept")
+    per = df.groupBy("seg_id").agg(
+        F.max(F.when(pair.isNotNull(), found)).alias("m"), F.max(F.when(kept, F.col("depth"))).alias("point_max"), F.avg(F.when(kept, (F.col("depth") > 0).cast("double"))).alias("wet_share"),
+        F.median(F.when(kept, F.col("along"))).alias("mid"), (F.avg(F.when(kept, F.col("close").cast("double"))) >= 0.5).alias("mostly"),
+        F.count_if(kept).alias("n_points"), F.count_if("aside").alias("n_set_aside"), F.size(F.array_distinct(F.flatten(F.collect_set(F.when(kept, F.col("marks")))))).alias("n_marks"),
+    )
+    named = points.where("kept").groupBy("seg_id", "stream").agg(F.count("*").alias("n")).groupBy("seg_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "stream"))["stream"].alias("common"))
+    out = per.join(named, "seg_id", "left")
+    wet, there = F.col("m.head") > 0, F.col("m").isNotNull()
+    dist = F.when(wet, F.col("m.dist")).when(there, F.col("mid"))
+    high = F.when(wet, F.col("m.high")).otherwise(F.col("mostly"))
+    return out.select(
+        "seg_id", there.alias("assessed"), F.col("m.head").alias("headline"), *[F.when(there, F.col(c)).alias(c) for c in ("point_max", "wet_share")], depth_band(F.col("m.head")).alias("band"),
+        F.when(there, F.when(high, "high").otherwise("low")).alias("confidence"), dist.alias("mark_dist"), typical_miss(dist, list(bands)).alias("typical_miss"),
+        F.when(wet, F.col("m.stream")).when(there, F.col("common")).alias("stream"), F.when(there, F.col("n_marks")).otherwise(0).alias("n_marks"), "n_points", "n_set_aside",
+    )
+
+
+def live_parts(pieces: DataFrame) -> DataFrame:
+    """The parts of pieces (x, y, x2, y2) within REACH along the line of a mark: a long gap gives its first and last REACH."""
+    gap = F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
+    far = gap > 2 * REACH
+    ux, uy = (F.col("x2") - F.col("x")) / gap * REACH, (F.col("y2") - F.col("y")) / gap * REACH
+    part = lambda a, b, c, d: F.struct(a.alias("lx1"), b.alias("ly1"), c.alias("lx2"), d.alias("ly2"))
+    x, y, x2, y2 = (F.col(c) for c in ("x", "y", "x2", "y2"))
+    parts = F.when(far, F.array(part(x, y, x + ux, y + uy), part(x2 - ux, y2 - uy, x2, y2))).otherwise(F.array(part(x, y, x2, y2)))
+    return pieces.select("stream", "k", F.explode(parts).alias("p")).select("stream", "k", "p.*")
+
+
+def candidates(lines: DataFrame, pieces: DataFrame, spacing: float = 30.0) -> DataFrame:
+    """Every sampled point (seg_id, step, x, y, step_m) of every road (seg_id, line) within SIDE of a live part of a water line."""
+    size = 2 * SIDE
+
+    def cells(x1: Column, y1: Column, x2: Column, y2: Column, pad: float) -> Column:
+        i = F.sequence(F.floor((F.least(x1, x2) - pad) / size), F.floor((F.greatest(x1, x2) + pad) / size))
+        j = F.sequence(F.floor((F.least(y1, y2) - pad) / size), F.floor((F.greatest(y1, y2) + pad) / size))
+        return F.explode(F.flatten(F.transform(i, lambda a: F.transform(j, lambda b: F.struct(a.alias("i"), b.alias("j"))))))
+
+    live = live_parts(pieces).withColumn("_c", cells(*(F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")), SIDE))
+    n = F.size("line")
+    own = lines.select("seg_id", F.explode(F.arrays_zip(F.slice("line", F.lit(1), n - 1).alias("a"), F.slice("line", F.lit(2), n - 1).alias("b"))).alias("z")).select("seg_id", "z.a", "z.b")
+    own = own.withColumn("_c", cells(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), 0.0))
+    p = F.struct(F.col("lx1").alias("x"), F.col("ly1").alias("y"))
+    q = F.struct(F.col("lx2").alias("x"), F.col("ly2").alias("y"))
+    near = own.join(live, "_c").where(piece_distance(F.col("a"), F.col("b"), p, q) <= SIDE).select("seg_id").distinct()
+    s = lines.join(near, "seg_id", "left_semi").withColumn("_s", sample_stations(F.col("line"), spacing))
+    s = s.select("seg_id", "line", F.posexplode("_s").alias("step", "_at"), (F.get("_s", 1) - F.get("_s", 0)).alias("step_m"))
+    return s.withColumn("_p", point_at(F.col("line"), F.col("_at"))).select("seg_id", "step", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), "step_m")
+
+
+def cumulative_station(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``df`` (x, y) with station: the running length along each line."""
+    w = Window.partitionBy(*by).orderBy(order)
+    far = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    return df.withColumn("_d", F.coalesce(far, F.lit(0.0))).withColumn("station", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
 def depth_table(per: DataFrame, ids: DataFrame) -> DataFrame:
-    """A row for each id: depths stay blank where not assessed, counts become 0."""
-    return ids.select("seg_id").join(per, "seg_id", "left").fillna(0, ["n_assessed", "n_points"])
+    """A row for each id: values stay blank where not assessed, counts become 0; ids that are repeated or unknown refuse."""
+    strange = orphans(assert_key(per, "seg_id"), "seg_id", assert_key(ids.select("seg_id"), "seg_id"), "seg_id").limit(3).collect()
+    if strange:
+        raise Refused(f"segments that are not in the table: {[r['seg_id'] for r in strange]}")
+    counts = [c for c in per.columns if c.startswith("n_")]
+    return ids.select("seg_id").join(per, "seg_id", "left").fillna(0, counts).fillna(False, ["assessed"])
 
 
 def sample_nearest(cells: DataFrame, points: DataFrame, size: float) -> DataFrame:
@@ -146,16 +237,41 @@ def sample_bilinear(cells: DataFrame, points: DataFrame, size: float) -> DataFra
     return four.groupBy("pt").agg(F.when(F.count("z") == 4, F.sum(F.col("w") * F.col("z"))).alias("z"))
 
 
-def terrain_window(cells: DataFrame, points: DataFrame, size: float, reach: int = 17) -> DataFrame:
+def _spread(cells: DataFrame, along: str, reach: int, block: int) -> DataFrame:
+    """Cells with _b, a block of places along a row or column, each put also into the blocks that its window reaches into."""
+    blocks = F.array_distinct(F.array(*[F.floor((F.col(along) + k) / block) for k in (-reach, 0, reach)]))
+    return cells.withColumn("_own", F.floor(F.col(along) / block)).withColumn("_b", F.explode(blocks))
+
+
+def terrain_window(cells: DataFrame, points: DataFrame, size: float, reach: int = 17, block: int = 1024) -> DataFrame:
     """Centre elevation, slope from the four neighbours, relief and height over the lowest cell in a square window.
 
-    Blank where a cell of the window is missing.
+    Blank where a cell of the window is missing. Lowest, highest and number are taken along the rows and then, of those,
+    along the columns, in blocks with a margin: the work is a few passes over the cells, whatever ``reach``.
+    """
+    df = cells.where("z is not null").select("row", "col", "z", F.col("z").alias("_lo"), F.col("z").alias("_hi"), F.lit(1).cast("long").alias("_n"))
+    slope = {}
+    for across, along in (("row", "col"), ("col", "row")):
+        w = Window.partitionBy(across, "_b").orderBy(along)
+        span = w.rangeBetween(-reach, reach)
+        slope[along] = (F.max("z").over(w.rangeBetween(1, 1)) - F.max("z").over(w.rangeBetween(-1, -1))) / (2 * size)
+        df = _spread(df, along, max(reach, 1), block)
+        df = df.withColumns({f"_s{along}": slope[along], "_lo": F.min("_lo").over(span), "_hi": F.max("_hi").over(span), "_n": F.sum("_n").over(span)})
+        df = df.where("_b = _own").drop("_b", "_own")
+    whole = F.col("_n") == (2 * reach + 1) ** 2
+    values = {"elev": F.col("z"), "slope": F.hypot("_scol", "_srow"), "relief": F.col("_hi") - F.col("_lo"), "above_low": F.col("z") - F.col("_lo")}
+    seen = df.where(whole).select("row", "col", *[v.alias(k) for k, v in values.items()])
+    p = points.select("pt", F.floor(F.col("x") / size).alias("col"), F.floor(F.col("y") / size).alias("row"))
+    return p.join(seen, ["row", "col"], "left").select("pt", *values)
+
+
+def tile_report(tiles: DataFrame, listed: DataFrame, step: float, px: float, margin: int = 1) -> DataFrame:
+    """rule and broken for ground tiles (name, tx, ty, sha256, west, north, cols, rows, px) against the list (name, sha256).
+
+    A tile must be listed, of the listed content, of the right resolution, and reach ``margin`` cells past its bounds.
     """
-    around = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    p = points.select("pt", F.floor(F.col("x") / size).alias("c0"), F.floor(F.col("y") / size).alias("r0")).withColumn("dc", around).withColumn("dr", around)
-    w = p.select("pt", "dc", "dr", (F.col("c0") + F.col("dc")).alias("col"), (F.col("r0") + F.col("dr")).alias("row")).join(cells.select("row", "col", "z"), ["row", "col"], "left")
-    at = lambda c, r: F.max(F.when((F.col("dc") == c) & (F.col("dr") == r), F.col("z")))
-    slope = F.hypot((at(1, 0) - at(-1, 0)) / (2 * size), (at(0, 1) - at(0, -1)) / (2 * size))
-    out = w.groupBy("pt").agg(F.count("z").alias("n"), at(0, 0).alias("elev"), slope.alias("slope"), (F.max("z") - F.min("z")).alias("relief"), (at(0, 0) - F.min("z")).alias("above_low"))
-    whole = F.col("n") == (2 * reach + 1) ** 2
-    return out.select("pt", *[F.when(whole, F.col(c)).alias(c) for c in ("elev", "slope", "relief", "above_low")])
+    both = tiles.join(listed.select("name", F.col("sha256").alias("_listed")), "name", "left")
+    pad, east, south = margin * px - 1e-9, F.col("west") + F.col("cols") * F.col("px"), F.col("north") - F.col("rows") * F.col("px")
+    covers = (F.col("west") <= F.col("tx") * step - pad) & (east >= (F.col("tx") + 1) * step + pad) & (south <= F.col("ty") * step - pad) & (F.col("north") >= (F.col("ty") + 1) * step + pad)
+    rules = {"listed": F.col("_listed").isNotNull(), "content": F.col("sha256") == F.col("_listed"), "resolution": F.abs(F.col("px") - px) <= px * 1e-3, "coverage": covers}
+    return domain_report(both, rules)

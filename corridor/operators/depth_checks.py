@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import Refused, checkpointed
-from corridor.operators.depth import answers, line_pieces, nearest_answer
+from corridor.operators.depth import answers, cumulative_station, line_pieces, nearest_answer
 
 # Metres of line hidden to each side of a mark, upper ends of the distance bands, fewest marks in a band,
 # allowed median of water over ground at the marks, and the greatest median miss against the taped depths.
@@ -41,9 +41,7 @@ def runs_of_marks(marks: DataFrame, merge: float = 1.0) -> DataFrame:
 def _lines(marks: DataFrame, by: list[str]) -> DataFrame:
     """Runs of marks to lines: a row for each run, with its station among those that are left."""
     spots = marks.groupBy(*by, "k").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z")])
-    w = Window.partitionBy(*by).orderBy("k")
-    far = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    return spots.withColumn("_d", F.coalesce(far, F.lit(0.0))).withColumn("station", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+    return cumulative_station(spots, by, "k")
 
 
 def hidden_mark_test(marks: DataFrame) -> DataFrame:

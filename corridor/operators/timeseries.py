@@ -158,3 +158,36 @@ def replay(df: DataFrame, start: Column, end: Column, to: Column, tag: str, key:
     """Rows of a time range shifted so that the range ends at ``to``, tagged; rows whose key exists already are left out."""
     moved = df.where((F.col(time) >= start) & (F.col(time) <= end)).withColumn(time, F.timestamp_micros(F.unix_micros(time) + F.unix_micros(to) - F.unix_micros(end)))
     return moved.withColumn("replay_of", F.lit(tag)).join(df.select(key), key, "left_anti").select(*df.columns, "replay_of")
+
+
+def replay_counts(df: DataFrame, start: Column, end: Column, to: Column, key: list[str], time: str = "time") -> DataFrame:
+    """One row: how many rows a replay moves, and how many it skips because their key is there already.
+
+    ``key`` may hold ``hour``, the hour of a row's time, which moves with it.
+    """
+    shifted = F.timestamp_micros(F.unix_micros(time) + F.unix_micros(to) - F.unix_micros(end))
+    moved = df.where((F.col(time) >= start) & (F.col(time) <= end)).withColumn(time, shifted)
+    moved = moved.withColumn("hour", F.date_trunc("hour", time)) if "hour" in key else moved
+    out = moved.join(df.select(*key).distinct().withColumn("_there", F.lit(True)), key, "left")
+    return out.agg(F.count_if(F.col("_there").isNull()).alias("moved"), F.count("_there").alias("skipped"))
+
+
+def replay_batches(moved: DataFrame, n: int, time: str = "time") -> DataFrame:
+    """``moved`` with batch, 1 to n in order of time, of about as many rows each; rows of one time share one."""
+    cuts = moved.agg(F.percentile_approx(F.unix_micros(time), [k / n for k in range(1, n)] or [1.0], 10_000).alias("_cuts"))
+    at = F.size(F.filter("_cuts", lambda c: F.unix_micros(time) > c)) + 1
+    return moved.crossJoin(F.broadcast(cuts)).withColumn("batch", F.least(at, F.lit(n))).drop("_cuts")  # one row of cuts
+
+
+def build_labels(frames: DataFrame, stills: DataFrame, twins: dict[str, str]) -> DataFrame:
+    """time, site, role and depth_cm: measured frames (role cv) and known-dry stills (role extra, depth 0, never trained on).
+
+    frames: station, time, depth_on_road_cm (null where not known: left out). Cameras at one place share a site
+    (``twins``, station to the one it shares with), so that they are held out together; every still's camera has its own.
+    """
+    site = F.col("station")
+    for a, b in twins.items():
+        site = F.when(F.col("station") == a, b).otherwise(site)
+    measured = frames.where("depth_on_road_cm is not null").select("time", site.alias("site"), F.lit("cv").alias("role"), F.col("depth_on_road_cm").cast("double").alias("depth_cm"))
+    dry = stills.select("time", F.concat(F.lit("NCDOT_"), F.col("camera_id").cast("string")).alias("site"), F.lit("extra").alias("role"), F.lit(0.0).alias("depth_cm"))
+    return measured.unionByName(dry)

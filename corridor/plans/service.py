@@ -601,7 +601,7 @@ def mth2_wear_targets(spark, d):
     return rounded(fx.segments(spark, d).select("seg_id", *[c.alias(n) for n, c in t.items()]), 6, "y_rate", "y_years_to_poor")
 
 
-@query("""SELECT seg_id, round(1 - sqrt(least(greatest(ytp_milli / 1000.0, 0), 30) / 30), 6) AS by_years, round(1 - least(greatest(ytp_milli / 35000.0, 0), 1), 6) AS linear, round(CASE WHEN rating > 60 THEN (rating - 60) / 2.5 END, 6) AS crosses, greatest(rating - 2.5 * 4, 0)::DOUBLE AS in_four,
+@query("""SELECT seg_id, round(CASE WHEN ytp_milli IS NOT NULL THEN sqrt(least(ytp_milli / 1000.0::DOUBLE, 30) / 30) END, 6) AS by_years, round(CASE WHEN ytp_milli IS NOT NULL THEN least(greatest(ytp_milli / 35000.0::DOUBLE, 0.05), 1) END, 6) AS linear, round(1 - least(crack_mil / 700.0::DOUBLE, 1), 6) AS by_crack, round(CASE WHEN in_zone THEN 1 - least(sqrt(flood_mil / 800.0::DOUBLE), 1) END, 6) AS by_flood, round(CASE WHEN rating > 60 THEN (rating - 60) / 2.5 END, 6) AS crosses, greatest(rating - 2.5 * 4, 0)::DOUBLE AS in_four,
   CASE WHEN rating = 0 THEN 'Its rating is 0, so there is nothing left to count down.' WHEN age % 2 = 0 THEN printf('It was resurfaced in %d, after its %d inspection, so the rating describes the old surface.', 2020 + age, 2019 + age) ELSE 'Its rating is out of date (resurfaced after the last inspection).' END AS why,
   CASE WHEN NOT in_zone THEN 'Not scored (outside the Helene zone)' WHEN flood_mil >= 500 THEN 'High flood score (Helene zone)' ELSE 'Lower flood score (Helene zone)' END AS flood_rank,
   CASE WHEN d <= 0 THEN 'dry' WHEN d < 0.3 THEN 'under 0.3 m' WHEN d < 1 THEN '0.3 to 1 m' WHEN d < 2 THEN '1 to 2 m' ELSE 'over 2 m' END AS band, CASE WHEN dist <= 100 THEN 0.11::DOUBLE WHEN dist > 250 AND dist <= 500 THEN 0.4::DOUBLE END AS miss
@@ -610,7 +610,7 @@ def mth6_texts_and_bands(spark, d):
     y, r, age = F.col("ytp_milli") / 1000, F.col("rating"), F.col("age")
     bands = [(0, 100, 0.11, False), (100, 250, 0.2, True), (250, 500, 0.4, False)]
     return fx.predictions(spark, d).select(
-        "seg_id", F.round(measures.condition_score("years", y, y, y), 6).alias("by_years"), F.round(measures.condition_score("years_linear", y, y, y), 6).alias("linear"),
+        "seg_id", *[F.round(measures.condition_score(m, y, F.col("crack_mil") / 1000, F.col("flood_mil") / 1000, F.col("in_zone"), {"crack": 0.7, "flood": 0.8}), 6).alias(n) for m, n in (("years", "by_years"), ("years_linear", "linear"), ("crack", "by_crack"), ("flood", "by_flood"))],
         F.round(measures.crossing_year(r, F.lit(2.5)), 6).alias("crosses"), F.get(measures.project_rating(r, F.lit(2.5), 20), 4).alias("in_four"),
         measures.no_estimate_reason(r, F.when(age % 2 == 0, 2020 + age), 2019 + age).alias("why"), measures.flood_rank(F.col("flood_mil") / 1000, F.col("in_zone")).alias("flood_rank"),
         measures.depth_band(F.col("flood_mil") / 400.0).alias("band"), measures.typical_miss(F.col("crack_mil") * 0.6, bands).alias("miss"),

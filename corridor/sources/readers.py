@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +16,43 @@ def read_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
 
-def read_geo(spark: SparkSession, path: str, crs: int = 4326, geometry: str = "geometry") -> DataFrame:
-    """Parquet with WKB shapes as ``parts`` of vertices; refuses another coordinate system and missing or empty shapes."""
-    if crs != 4326:
-        raise Refused(f"shapes must be in EPSG:4326, not {crs}")
+def geo_codes(spark: SparkSession, path: str, geometry: str) -> set[str]:
+    """The coordinate systems that Parquet files give for a geometry column in their ``geo`` metadata, as authority:code.
+
+    A file without the metadata gives ``unknown``; one that names no system means longitude and latitude, as its
+    format says. Footers are read by tasks, a file each.
+    """
+    files = [r["p"] for r in spark.read.parquet(path).select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
+
+    def said(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for p in b.column(0).to_pylist():
+                where, name = fs.FileSystem.from_uri(p)
+                meta = pq.read_schema(name, filesystem=where).metadata or {}
+                if b"geo" not in meta:
+                    out.append("unknown")
+                    continue
+                column = json.loads(meta[b"geo"])["columns"].get(geometry, {})
+                of = (column.get("crs") or {}).get("id") or {}
+                named = f"{of.get('authority')}:{of.get('code')}" if of else "other" if column.get("crs") else "OGC:CRS84"
+                out.append(named)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["code"])
+
+    rows = spark.createDataFrame([(f,) for f in files], "p string").repartition(max(1, len(files))).mapInArrow(said, "code string")
+    return {r["code"] for r in rows.distinct().collect()}
+
+
+def read_geo(spark: SparkSession, path: str, geometry: str = "geometry") -> DataFrame:
+    """Parquet with WKB shapes as ``parts`` of vertices; refuses files in another coordinate system than longitude and
+    latitude, or that do not say theirs, and missing or empty shapes."""
+    other = sorted(geo_codes(spark, path, geometry) - {"EPSG:4326", "OGC:CRS84"})
+    if other:
+        raise Refused(f"shapes must be in EPSG:4326, not {other}")
     df = spark.read.parquet(path)
     bad = df.where(F.col(geometry).isNull() | (F.length(geometry) <= 9)).count()
     if bad:

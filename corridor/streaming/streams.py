@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridor.operators.timeseries import DARK, STALE_S
+from corridor.sources.sinks import write_versioned
 
 
 def readings_stream(spark: SparkSession, path: str, schema: str, key: list[str], time: str = "time", late: str = "1 hour") -> DataFrame:
@@ -36,16 +37,24 @@ def refresh_touched(raw: Callable[[], DataFrame], target: str, summary: Callable
     return run
 
 
-def clear_replay(df: DataFrame) -> DataFrame:
-    return df.where("replay_of is null")
+def clear_replay(rows: DataFrame, summaries: DataFrame, summary: Callable[[DataFrame], DataFrame], time: str = "time") -> tuple[DataFrame, DataFrame]:
+    """The rows that are no replay, and the summaries (bucket) with the hours that replays touched summed again from those.
+
+    An hour that replays alone had is gone. Both can be written as new versions; other hours stay as they are.
+    """
+    hours = rows.where("replay_of is not null").select(F.date_trunc("hour", time).alias("bucket")).distinct()
+    kept = rows.where("replay_of is null")
+    again = kept.withColumn("_h", F.date_trunc("hour", time)).join(hours.withColumnRenamed("bucket", "_h"), "_h", "left_semi").drop("_h")
+    return kept, summaries.join(hours, "bucket", "left_anti").unionByName(summary(again))
 
 
-def compact(spark: SparkSession, path: str, day: str, key: str, time: str = "time") -> None:
-    """A past day's small files as few sorted ones, in place of the old."""
+def compact(spark: SparkSession, path: str, day: str, root: str, key: str, time: str = "time") -> str:
+    """A past day's small files as few sorted ones: a new version behind the manifest, the old files untouched.
+
+    Readers of past days take the last complete version (``read_versioned``), so none sees half of one.
+    """
     old = spark.read.parquet(f"{path}/day={day}")
-    aside = f"{path}/_compact/day={day}"
-    old.repartition(F.col(key)).sortWithinPartitions(key, F.desc(time)).write.mode("overwrite").option("compression", "zstd").parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/day={day}")
+    return write_versioned(old.repartition(F.col(key)).sortWithinPartitions(key, F.desc(time)), root, f"day={day}")
 
 
 def still_status_stream(stream: DataFrame) -> DataFrame:
