@@ -192,11 +192,3 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(x.max_v, x.n) for x in spark.table("hours").collect()] == [(9, 2)]
-
-
-def test_every_query_runs_and_matches_its_sql(spark, sf):
-    import __spark_entry__ as e
-
-    q, sql = e.queries(), e.oracle_sql()
-    assert set(sql) <= set(q) and len(sql) > 60
-    assert e.entry(spark).count() > 0
