@@ -13,7 +13,7 @@ from corridor.llm.common import BLANKS, bytes_of, settled, small_side, word_coun
 from corridor.operators.ranking import global_rank
 
 #: Bits of a document's permutation key; digits of it that one round of the search for a cut looks at.
-KEY_BITS, ROUND_BITS = 63, 10
+KEY_BITS, ROUND_BITS = 63, 7
 #: Words of a block, at least, and blocks of all sources, about: beyond that blocks grow with the input. A source's blocks
 #: are so many that blocks of all sources have about as many words.
 BLOCK_WORDS, MOST_BLOCKS = 4096, 1 << 20
