@@ -707,3 +707,31 @@ def test_pipeline_runs_and_keeps_columns(spark, sf):
             assert df.columns == docs.columns
     ran = corpus_pipeline.run(spark, sf)
     assert ran.count() == df.count() > 50 and {"slot", "shard"} <= set(ran.columns)
+
+
+@pytest.mark.parametrize("name", ["op8_sharding", "op10_preferences", "rule_statistics", "mix_targets", "secret_counts"])
+def test_queries_match_their_sql(matches_sql, name):
+    from corridor.llm import queries
+
+    assert matches_sql(queries.QUERIES[name], queries.ORACLE_SQL[name]) > 0
+
+
+def test_stages_with_clashing_names_and_long_texts(spark, sf, tmp_path):
+    """Columns named as the stages' own keep their values; nulls, repeated ids and texts of megabytes pass through."""
+    import corpus_pipeline
+
+    own = [f.name for f in spark.read.parquet(f"{sf}/documents.parquet").schema]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    long = " ".join(f"word{k}" for k in range(300_000))
+    more = spark.createDataFrame([(None, None, None, None, None), (None, "a text of no id that stays", "en", None, 26), (5, long, "en", "a", len(long)), (5, "", "en", "a", 0)], DOCS)
+    docs = docs.unionByName(more.select(*[F.col(c).cast(docs.schema[c].dataType) for c in own]))
+    clash = ["shard", "slot", "size", "target", "taken", "_text", "_row", "_u", "text_hash", "score", "fp", "root", "_piece", "_shard_", "label"]
+    for c in clash:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        assert set(docs.columns) <= set(out.columns) and (k == 4 or out.columns == docs.columns)
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k))).select(*docs.columns)
+        wrong = sum((~F.col(c).eqNullSafe(F.concat(F.lit(c), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))).cast("int") for c in clash)
+        assert docs.where(wrong > 0).count() == 0 and docs.count() > 20
