@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import Refused, checkpointed
-from corridor.operators.gates import compare_tables, domain_report
+from corridor.operators.gates import assert_key, compare_tables, domain_report, key_report, orphans
 from corridor.operators.ranking import drawn, ntile_by_rank
 
 # Answers a grader may give, those that decide, and fewest rows and draws.
@@ -73,40 +73,55 @@ def damage_shares(graded: DataFrame, by: str, roads: str, score: str, damaged: s
     return out.withColumn("ratio", F.col("worst_third") / F.nullif("best_third", F.lit(0.0)))
 
 
-def _through(answers: DataFrame, key: DataFrame, column: str, name: str) -> DataFrame:
-    lost = answers.join(key.select(column), column, "left_anti").limit(1).count()
-    if lost or answers.groupBy(column).count().where("count > 1").limit(1).count():
-        raise Refused(f"{name}: an index that the key lacks, or one given twice")
-    return key.join(answers, column)
+def joined_sheet(sheet: DataFrame, places: DataFrame, on: str) -> DataFrame:
+    """A sheet of answers beside the stills that its numbers stand for. Numbers must be unique and stand for a still."""
+    strange = orphans(assert_key(sheet, on), on, places, on).count()
+    if strange:
+        raise Refused(f"{strange} answers carry a number ({on}) that stands for no still")
+    return places.join(sheet, on)
 
 
-def assemble_grades(manifest: DataFrame, triage: DataFrame, damage: DataFrame, repeat_key: DataFrame | None = None, repeat: DataFrame | None = None) -> DataFrame:
-    """Answers by index to grades (camera_id, file, pass, view, damage); a clear view without a grade is none."""
-    first = _through(triage, manifest, "index", "triage")
-    _through(damage, manifest, "index", "damage")
+def grades_from_sheets(places: DataFrame, views: DataFrame, damages: DataFrame, again: DataFrame | None = None, again_places: DataFrame | None = None) -> DataFrame:
+    """Grades (camera_id, file, pass, view, damage) from sheets that know a still by a number only.
+
+    ``views`` is over all stills and ``damages`` over those with a clear view; a clear still that has no damage answer
+    was not graded and is left out. ``again`` holds second answers, whose numbers (repeat_index) ``again_places`` explains.
+    """
+    columns = ("camera_id", "file", "pass", "view", "damage")
+    seen = joined_sheet(views, places, "index").join(joined_sheet(damages, places, "index").select("index", "damage"), "index", "left")
     clear = F.col("view") == "clear"
-    g = first.join(damage, "index", "left").where(~clear | F.col("damage").isNotNull())
-    columns = ["camera_id", "file", "pass", "view", "damage"]
-    out = g.withColumn("damage", F.when(clear, F.col("damage")).otherwise("")).withColumn("pass", F.lit(1)).select(columns)
-    if repeat is None or repeat_key is None:
-        return out
-    again = _through(repeat, repeat_key, "repeat_index", "repeat damage")
-    return out.unionByName(again.withColumns({"view": F.lit("clear"), "pass": F.lit(2)}).select(columns))
-
-
-def validate_grades(grades: DataFrame, cameras: DataFrame) -> DataFrame:
-    """``grades`` if every row has known answers that fit together, a known camera, and stands once a pass."""
-    clear, damage = F.col("view") == "clear", F.coalesce("damage", F.lit(""))
-    ok = F.col("view").isin(*VIEWS) & F.when(clear, damage.isin(*DAMAGE)).otherwise(damage == "") & F.col("pass").isin(1, 2)
-    bad = grades.where(~F.coalesce(ok, F.lit(False))).limit(1).count()
-    strange = grades.join(cameras.select("camera_id"), "camera_id", "left_anti").limit(1).count()
-    if bad or strange or grades.groupBy("camera_id", "file", "pass").count().where("count > 1").limit(1).count():
-        raise Refused("grades hold an unknown answer or camera, or a still graded twice in a pass")
+    once = seen.where(~(clear & F.col("damage").isNull())).select("camera_id", "file", F.lit(1).alias("pass"), "view", F.when(clear, F.col("damage")).otherwise(F.lit("")).alias("damage"))
+    if again is None or again_places is None:
+        return once
+    twice = joined_sheet(again, again_places, "repeat_index").withColumns({"pass": F.lit(2), "view": F.lit("clear")})
+    return once.unionByName(twice.select(*columns))
+
+
+def grade_report(grades: DataFrame, cameras: DataFrame) -> DataFrame:
+    """rule and broken: answers out of the lists, damage without a clear view, passes other than two, unknown cameras, and
+    stills with more than one grade in a pass."""
+    clear = F.coalesce(F.col("view") == "clear", F.lit(False))
+    damage = F.coalesce("damage", F.lit(""))
+    rules = {
+        "view": F.coalesce(F.col("view").isin(*VIEWS), F.lit(False)),
+        "damage": F.when(clear, damage.isin(*DAMAGE)).otherwise(damage == ""),
+        "pass": F.coalesce(F.col("pass").isin(1, 2), F.lit(False)),
+    }
+    strange = orphans(grades, "camera_id", cameras, "camera_id").agg(F.lit("camera").alias("rule"), F.count("*").alias("broken"))
+    repeated = key_report(grades, "camera_id", "file", "pass").select(F.lit("repeated").alias("rule"), F.col("n_repeated").alias("broken"))
+    return domain_report(grades, rules).unionByName(strange).unionByName(repeated)
+
+
+def checked_grades(grades: DataFrame, cameras: DataFrame) -> DataFrame:
+    """``grades``, refused where ``grade_report`` finds anything."""
+    bad = grade_report(grades, cameras).where("broken > 0").collect()
+    if bad:
+        raise Refused("grades: " + ", ".join(f"{r['broken']} break {r['rule']}" for r in bad))
     return grades
 
 
 def decided(grades: DataFrame) -> DataFrame:
-    """One row a camera: its first still with a clear view and a decided grade in the first pass."""
+    """camera_id, file and damage: of each camera the first file, by name, whose first grade says something of the road."""
     g = grades.where((F.col("pass") == 1) & (F.col("view") == "clear") & F.col("damage").isin(*DECIDED))
     return g.groupBy("camera_id").agg(F.min(F.struct("file", "damage")).alias("m")).select("camera_id", "m.*")
 

@@ -35,6 +35,7 @@ class Preset:
             raise Refused("a preset that goes beyond what a chip stands")
 
 
+# Presets by name, with their views and the most that gain and contrast may change.
 PRESETS = {"none": Preset((0,)), "flips": Preset((0, 2, 4, 6)), "full": Preset(tuple(range(VIEWS)), 0.10, 0.10, MOST_SHIFT)}
 
 

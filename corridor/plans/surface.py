@@ -317,3 +317,12 @@ def qlt13_verify(spark, d):
 def str14_files_and_bytes(spark, d):
     out = checks.table_stats({"orders": fx.table(spark, d, "orders")})
     return out.select(F.col("table").alias("name"), F.col("table").alias("unit"), "n_rows", F.col("n_files").cast("int").alias("n_files"), (F.col("n_bytes") > 0).alias("sized"))
+
+
+@query("""SELECT rule, broken FROM (SELECT 'view' AS rule, count(*) FILTER (doc_id % 11 = 0) AS broken FROM labels UNION ALL SELECT 'damage', count(*) FILTER (CASE WHEN doc_id % 11 = 0 OR doc_id % 3 = 0 THEN toxic = 1 ELSE toxic = 0 END) FROM labels
+  UNION ALL SELECT 'pass', count(*) FILTER (doc_id % 13 = 0) FROM labels UNION ALL SELECT 'camera', count(*) FILTER (doc_id % 97 >= 90) FROM labels UNION ALL SELECT 'repeated', 0) z""")
+def met10_grade_report(spark, d):
+    i = F.col("doc_id")
+    view = F.when(i % 11 == 0, "blurred").when(i % 3 == 0, "far").otherwise("clear")
+    grades = fx.table(spark, d, "labels").select((i % 97).alias("camera_id"), i.alias("file"), F.when(i % 13 == 0, 3).otherwise(1).alias("pass"), view.alias("view"), F.when(F.col("toxic") == 1, "pothole").otherwise("").alias("damage"))
+    return checks.grade_report(grades, spark.range(90).withColumnRenamed("id", "camera_id"))

@@ -22,12 +22,17 @@ def test_grades(spark):
     manifest = spark.createDataFrame([(1, "c1", "a"), (2, "c1", "b"), (3, "c2", "c"), (4, "c3", "d")], "index long, camera_id string, file string")
     triage = spark.createDataFrame([(1, "unusable"), (2, "clear"), (3, "clear"), (4, "clear")], "index long, view string")
     damage = spark.createDataFrame([(2, "cracks_or_patches"), (3, "cant_tell")], "index long, damage string")
-    g = checks.assemble_grades(manifest, triage, damage)
+    g = checks.grades_from_sheets(manifest, triage, damage)
     assert sorted((r.file, r.view, r.damage) for r in g.collect()) == [("a", "unusable", ""), ("b", "clear", "cracks_or_patches"), ("c", "clear", "cant_tell")]
-    assert checks.validate_grades(g, manifest) is g
+    assert checks.checked_grades(g, manifest) is g
     assert [tuple(r) for r in checks.decided(g).collect()] == [("c1", "b", "cracks_or_patches")]
     for bad in (triage.unionAll(triage.limit(1)), triage.withColumn("index", F.col("index") + 1)):
         with pytest.raises(Refused):
-            checks.assemble_grades(manifest, bad, damage)
+            checks.grades_from_sheets(manifest, bad, damage)
     with pytest.raises(Refused):
-        checks.validate_grades(g, manifest.where("camera_id = 'c2'"))
+        checks.checked_grades(g, manifest.where("camera_id = 'c2'"))
+    places = spark.createDataFrame([(0, "c1", "b")], "repeat_index long, camera_id string, file string")
+    twice = checks.grades_from_sheets(manifest, triage, damage, spark.createDataFrame([(0, "none")], "repeat_index long, damage string"), places)
+    assert [tuple(r) for r in twice.where("pass = 2").collect()] == [("c1", "b", 2, "clear", "none")]
+    odd = spark.createDataFrame([("c1", "a", 1, "clear", ""), ("c1", "b", 3, "far", "none"), ("c9", "a", 1, None, None), ("c1", "a", 1, "clear", "none")], g.schema)
+    assert {r.rule: r.broken for r in checks.grade_report(odd, manifest).collect()} == {"view": 1, "damage": 2, "pass": 1, "camera": 1, "repeated": 1}
