@@ -20,7 +20,7 @@ BLOCK_WORDS, MOST_BLOCKS = 4096, 1 << 20
 #: Groups of sources whose block quotas the driver splits among shards, and shards, at most: what the driver holds.
 GROUPS, MOST_SHARDS = 32, 1 << 17
 #: Bytes of values that a task writes, about.
-PIECE_BYTES = 128 << 20
+PIECE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def _shifted(bits: Column) -> Column:
 
 def _reached(cells: DataFrame, due: Column) -> DataFrame:
     """The cell of each source (_sid, _cell, n, ...) in which ``due`` words are reached, with _due: words still due there."""
-    upto = F.sum("n").over(Window.partitionBy("_sid").orderBy("_cell"))  # cells of a source are few: see ROUND_BITS, MOST_BLOCKS
+    upto = F.sum("n").over(Window.partitionBy("_sid").orderBy("_cell"))  # 2^ROUND_BITS cells of a source, at most
     return cells.withColumn("_due", due - (upto - F.col("n"))).where((F.col("_due") >= 0) & (F.col("_due") < F.col("n")))
 
 
@@ -98,9 +98,11 @@ def _cuts(of: DataFrame, blocks: DataFrame) -> DataFrame:
     """_sid, _key, _due and _there for each source with a partial pass: the permutation key at which its words are reached,
     the words still due there, and the words that rows of that key have.
 
-    Radix selection: sums by the next digits of the key, each time among the documents of one cell of each source.
+    Radix selection: sums by the next digits of the key, each time among the documents of one cell of each source, first
+    of all of them.
     """
-    at = settled(_reached(blocks.where("_rest > 0"), F.col("_rest")).withColumn("_shift", KEY_BITS - F.col("_bits")))
+    whole = blocks.where("_rest > 0").groupBy("_sid", F.col("_rest").alias("_due")).agg(F.sum("n").alias("n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    at = settled(whole.withColumns({"_cell": F.lit(0).cast("long"), "_shift": F.lit(KEY_BITS)}))
     while not at.where("_lo < _hi").isEmpty():
         here = small_side(at.select(F.col("_sid").alias("_s"), F.col("_cell").alias("_at"), "_shift", F.col("_due").alias("_left")))
         inside = of.join(here, (of["_sid"] == here["_s"]) & (_shifted(F.col("_shift")) == F.col("_at")))

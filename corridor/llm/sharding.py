@@ -13,7 +13,7 @@ SHARDS = 64
 #: A prime, over fifty slots a shard: shares differ by a few hundredths, and the table stays one small broadcast.
 SLOTS = 4099
 #: Bytes of values that a task writes, about.
-PIECE_BYTES = 128 << 20
+PIECE_BYTES = 64 << 20
 
 
 def _number(text: str) -> int:
