@@ -174,6 +174,30 @@ def cells_for_bounds(box: Column, size: float) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+def cells_by_distance(box: Column, size: float, pad: float = 0.0) -> Column:
+    """The cells that a box grown by ``pad`` touches, nearest to its middle cell first, ties by cell."""
+    grown = F.struct((box["minx"] - pad).alias("minx"), (box["miny"] - pad).alias("miny"), (box["maxx"] + pad).alias("maxx"), (box["maxy"] + pad).alias("maxy"))
+    mid = [(F.floor(grown[f"min{a}"] / size) + F.floor(grown[f"max{a}"] / size)) / 2 for a in "xy"]
+    far = lambda c: F.struct(F.hypot(c["cx"] - mid[0], c["cy"] - mid[1]).alias("d"), c["cx"].alias("cx"), c["cy"].alias("cy"))
+    return F.transform(F.sort_array(F.transform(cells_for_bounds(grown, size), far)), lambda c: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy")))
+
+
+def longest(parts: Column) -> Column:
+    """The longest part of several, the first of equal ones."""
+    return F.array_max(F.transform(parts, lambda p, i: F.struct(length(p).alias("l"), (-i).alias("i"), p.alias("p"))))["p"]
+
+
+def midpoint_of_parts(parts: Column) -> Column:
+    """A spot on a shape of several parts: half-way along the longest, which is the line itself where there is one."""
+    return midpoint(longest(parts))
+
+
+def part_stations(parts: Column, spacing: float) -> Column:
+    """Of every part with a length its place, stations at most ``spacing`` apart and their step."""
+    each = F.transform(parts, lambda p, i: F.struct(i.alias("part"), length(p).alias("l"), p.alias("line")))
+    return F.transform(F.filter(each, lambda x: x["l"] > 0), lambda x: F.struct(x["part"].alias("part"), x["line"].alias("line"), sample_stations(x["line"], spacing).alias("stations"), (x["l"] / F.greatest(F.ceil(x["l"] / spacing), F.lit(1))).alias("step_m")))
+
+
 def tile_of(x: Column, y: Column, size: float = 0.1) -> Column:
     return F.struct(F.floor(F.round(x / size, 9)).alias("tx"), F.floor(F.round(y / size, 9)).alias("ty"))
 

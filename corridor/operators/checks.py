@@ -140,6 +140,21 @@ def verify(loaded: DataFrame, files: DataFrame, key: str, values: list[str], rul
     return reduce(DataFrame.unionAll, parts)
 
 
+def health(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame:
+    """Per table its rows, replayed rows and newest time (null for tables without one), and whether its last load is complete.
+
+    ``manifest`` (name, status, at) is what versioned writes note. One pass over each table.
+    """
+    last = manifest.groupBy("name").agg(F.max_by("status", "at").alias("status"))
+    parts = []
+    for name, df in tables.items():
+        replays = F.count_if(F.col("replay_of").isNotNull()) if "replay_of" in df.columns else F.lit(None).cast("long")
+        newest = F.max("time") if "time" in df.columns else F.lit(None).cast("timestamp")
+        parts.append(df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), replays.alias("n_replayed"), newest.alias("newest")))
+    found = reduce(DataFrame.unionAll, parts).join(last, "name", "left")
+    return found.select("name", "n_rows", "n_replayed", "newest", F.coalesce(F.col("status") == "complete", F.lit(False)).alias("complete"))
+
+
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows, files and bytes of tables that are read from files."""
     parts = []

@@ -47,21 +47,39 @@ def by_time_of_day(target: DataFrame, pool: DataFrame, minutes: int) -> DataFram
     return target.select("id").join(near, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_near"), (F.col("s") / n).alias("mean_depth"), (F.col("f") / n).alias("flooded_share"))
 
 
+#: Minutes of a block in which sums around a minute are taken.
+BLOCK = 1440
+
+
+def _around(sums: DataFrame, key: list[str], minutes: int) -> DataFrame:
+    """``sums`` (key, m, n, s, f) with n, s and f of the rows within so many minutes of each row's own minute m.
+
+    Minutes are dealt in blocks, each with those of its neighbours that its windows reach into: no row is repeated for
+    every minute around it, and no window runs over a whole history.
+    """
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("m") + k) / BLOCK) for k in (-minutes, 0, minutes)]))
+    w = Window.partitionBy(*key, "_b").orderBy("m").rangeBetween(-minutes, minutes)
+    out = sums.withColumn("_b", F.explode(blocks)).withColumns({c: F.sum(c).over(w) for c in "nsf"})
+    return out.where(F.col("_b") == F.floor(F.col("m") / BLOCK)).drop("_b")
+
+
 def neighbourhood(target: DataFrame, pool: DataFrame, minutes: int) -> DataFrame:
     """Per target (id, camera_id, time): rows, mean depth and flooded share of other cameras within so many minutes.
 
-    Falls back to the pool's mean and share where nobody is near. The pool is first summed by camera and minute.
+    Falls back to the pool's mean and share where nobody is near. The pool is first summed by camera and minute; a
+    target's minute is among them, with nothing, so that its window is there.
     """
-    minute = lambda c: F.floor(F.unix_seconds(c) / 60)
-    own = pool.groupBy("camera_id", minute("time").alias("m")).agg(F.count("*").alias("n"), F.sum("depth_cm").alias("s"), F.count_if(F.col("depth_cm") >= FLOODED_CM).alias("f"))
-    everyone = own.groupBy("m").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("f").alias("f"))
-    t = target.select("id", "camera_id", F.explode(F.sequence(minute("time") - minutes, minute("time") + minutes)).alias("m"))
-    less = own.select("camera_id", "m", *[F.col(c).alias(f"_{c}") for c in "nsf"])
-    near = t.join(everyone, "m").join(less, ["camera_id", "m"], "left")
-    zero = F.lit(0)
-    near = near.groupBy("id").agg(*[F.sum(F.col(c) - F.coalesce(F.col(f"_{c}"), zero)).alias(c) for c in "nsf"])
-    whole = everyone.agg(*[F.sum(c).alias(f"all_{c}") for c in "nsf"])
-    out = target.select("id").join(near.where("n > 0"), "id", "left").crossJoin(F.broadcast(whole))  # one row
+    minute = F.floor(F.unix_seconds("time") / 60).alias("m")
+    zero = F.lit(0).cast("long")
+    own = pool.groupBy("camera_id", minute).agg(F.count("*").alias("n"), F.sum("depth_cm").alias("s"), F.count_if(F.col("depth_cm") >= FLOODED_CM).alias("f"))
+    t = target.select("id", "camera_id", minute)
+    asked = t.select("camera_id", "m").distinct().select("camera_id", "m", *[zero.alias(c) for c in "nsf"])
+    every = own.unionByName(asked).groupBy("camera_id", "m").agg(*[F.sum(c).alias(c) for c in "nsf"])
+    same = _around(every, ["camera_id"], minutes).select("camera_id", "m", *[F.col(c).alias(f"_{c}") for c in "nsf"])
+    whole = _around(every.groupBy("m").agg(*[F.sum(c).alias(c) for c in "nsf"]), [], minutes)
+    near = t.join(whole, "m").join(same, ["camera_id", "m"]).select("id", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in "nsf"])
+    total = own.agg(*[F.sum(c).alias(f"all_{c}") for c in "nsf"])
+    out = target.select("id").join(near.where("n > 0"), "id", "left").crossJoin(F.broadcast(total))  # one row
     n = F.coalesce(F.col("n"), F.col("all_n"))
     pick = lambda c: F.when(F.col("n").isNotNull(), F.col(c)).otherwise(F.col(f"all_{c}"))
     return out.select("id", F.coalesce("n", zero).alias("n_near"), (pick("s") / n).alias("mean_depth"), (pick("f") / n).alias("flooded_share"))

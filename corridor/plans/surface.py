@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corridor.functions import geo, keys
+from corridor.functions import geo, keys, measures
 from corridor.operators import checks, depth, gates, linref, models, timeseries
 from corridor.plans import fixtures as fx
 from corridor.plans.queries import query
@@ -326,3 +326,32 @@ def met10_grade_report(spark, d):
     view = F.when(i % 11 == 0, "blurred").when(i % 3 == 0, "far").otherwise("clear")
     grades = fx.table(spark, d, "labels").select((i % 97).alias("camera_id"), i.alias("file"), F.when(i % 13 == 0, 3).otherwise(1).alias("pass"), view.alias("view"), F.when(F.col("toxic") == 1, "pothole").otherwise("").alias("damage"))
     return checks.grade_report(grades, spark.range(90).withColumnRenamed("id", "camera_id"))
+
+
+@query(f"{REPLAYED} SELECT 'readings' AS name, count(*) AS n_rows, count(replay_of) AS n_replayed, max(time) AS newest, true AS complete FROM replayed UNION ALL SELECT 'orders', count(*), NULL, NULL, false FROM orders")
+def qry3_health(spark, d):
+    notes = fx.readings(spark, d).agg(F.min("time").alias("a"), F.max("time").alias("b"))
+    manifest = notes.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("status"), F.col(t).alias("at")) for n, s, t in (("readings", "loaded", "a"), ("readings", "complete", "b"), ("orders", "loaded", "b"))])).alias("m")).select("m.*")
+    return checks.health({"readings": _replayed(spark, d), "orders": fx.table(spark, d, "orders")}, manifest)
+
+
+@query("SELECT event_id, time >= TIMESTAMP '2024-01-20 11:34:00' AND time <= TIMESTAMP '2024-01-20 12:34:00' AS live FROM reading")
+def mth11_liveness(spark, d):
+    return fx.readings(spark, d).select("event_id", measures.is_live(F.col("time"), F.lit("2024-01-20 12:34:00").cast("timestamp")).alias("live"))
+
+
+@query("""SELECT seg_id, c.cx AS cx, c.cy AS cy, k FROM (SELECT seg_id, {'cx': gx, 'cy': gy} AS c, row_number() OVER (PARTITION BY seg_id ORDER BY sqrt(pow(gx - (x0 + x1) / 2.0, 2) + pow(gy - (y0 + y1) / 2.0, 2)), gx, gy) - 1 AS k FROM
+  (SELECT seg_id, CAST(floor((ax - 40) / 300) AS BIGINT) AS x0, CAST(floor((cx + 40) / 300) AS BIGINT) AS x1, CAST(floor((ay - 40) / 300) AS BIGINT) AS y0, CAST(floor((b_y + 40) / 300) AS BIGINT) AS y1 FROM ln) z, unnest(range(x0, x1 + 1)) AS a(gx), unnest(range(y0, y1 + 1)) AS b(gy)) y""")
+def geo10_cells_by_distance(spark, d):
+    cells = geo.cells_by_distance(geo.bounds(F.col("line")), 300.0, 40.0)
+    return fx.lines(spark, d).select("seg_id", F.posexplode(cells).alias("k", "c")).select("seg_id", "c.cx", "c.cy", F.col("k").cast("long").alias("k"))
+
+
+@query("""SELECT seg_id, round(CASE WHEN l1 >= 200 THEN (ax + bx) / 2 ELSE cx + 100 END, 4) AS mx, round(CASE WHEN l1 >= 200 THEN (ay + b_y) / 2 ELSE cy END, 4) AS my, CAST(greatest(ceil(l1 / 30), 1) + 1 + 8 AS BIGINT) AS n, round(200 / 7.0::DOUBLE, 6) AS last_step
+  FROM (SELECT *, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) AS l1 FROM ln) z""")
+def geo4_shapes_of_parts(spark, d):
+    last = F.get("line", 2)
+    parts = F.array(F.slice("line", 1, 2), F.array(last, F.struct((last["x"] + 200).alias("x"), last["y"].alias("y"))), F.array(last, last))
+    s = fx.lines(spark, d).select("seg_id", parts.alias("parts")).select("seg_id", geo.midpoint_of_parts(F.col("parts")).alias("m"), geo.part_stations(F.col("parts"), 30.0).alias("p"))
+    n = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.size(x["stations"]))
+    return s.select("seg_id", F.round("m.x", 4).alias("mx"), F.round("m.y", 4).alias("my"), n.alias("n"), F.round(F.get("p", 1)["step_m"], 6).alias("last_step"))

@@ -121,6 +121,11 @@ def write_fixed_csv(df: DataFrame, path: str, layout: dict[str, str], key: str)
     csv_text(df, layout).repartitionByRange(key).sortWithinPartitions(key).write.csv(path, header=True, emptyValue="")
 
 
+def write_laid_out(df: DataFrame, path: str, layout: dict[str, tuple[str | None, str]], key: str = "seg_id") -> None:
+    """An export in one of the fixed layouts, sorted by its heading ``key`` over files by ranges of it."""
+    laid_out(df, layout).repartitionByRange(key).sortWithinPartitions(key).write.csv(path, header=True, emptyValue="")
+
+
 def data_dictionary(df: DataFrame, said: dict[str, tuple[str, str]]) -> DataFrame:
     """Name, description and unit of each column."""
     rows = [(c, *said.get(c, ("", ""))) for c in df.columns]

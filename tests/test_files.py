@@ -66,6 +66,9 @@ def test_dumps_and_dictionary(spark, tmp_path):
     assert next((tmp_path / "d/x").glob("part-*")).read_text() == "id,b,t\n1,,2024-01-02T03:04:05Z\n"
     said = sinks.data_dictionary(df, {"id": ("Id of a row", ""), "t": ("When", "UTC")})
     assert [tuple(r) for r in said.collect()] == [("id", "Id of a row", ""), ("b", "", ""), ("t", "When", "UTC")]
+    sinks.write_laid_out(spark.sql("select 'b' as seg_id, 0.5 as pred_crack, true as flood_scored union all select 'a', null, false"), str(tmp_path / "risk"), sinks.RISK)
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "risk").glob("part-*"))).splitlines()
+    assert lines[0] == ",".join(sinks.RISK) and [x for x in lines if x[1:2] == ","] == ["a" + "," * 20 + "false,", "b" + "," * 17 + "0.5,,,true,"]
     assert [len(x) for x in (sinks.RISK, sinks.QUEUE, sinks.STORM, sinks.ORDER)] == [22, 19, 14, 23]
 
 
