@@ -10,13 +10,15 @@ CLASSES = {"1": "I", "2": "US", "3": "NC", "4": "SR"}
 # How a class stands before its number; counties by code, 1 to 100.
 LABELS = {"1": "I-", "2": "US ", "3": "NC ", "4": "SR "}
 COUNTIES = (
-    "Alamance Alexander Alleghany Anson Ashe Avery Beaufort Bertie Bladen Brunswick Buncombe Burke Cabarrus Caldwell Camden Carteret Caswell "
-    "Catawba Chatham Cherokee Chowan Clay Cleveland Columbus Craven Cumberland Currituck Dare Davidson Davie Duplin Durham Edgecombe Forsyth "
-    "Franklin Gaston Gates Graham Granville Greene Guilford Halifax Harnett Haywood Henderson Hertford Hoke Hyde Iredell Jackson Johnston Jones "
-    "Lee Lenoir Lincoln Macon Madison Martin McDowell Mecklenburg Mitchell Montgomery Moore Nash New_Hanover Northampton Onslow Orange Pamlico "
-    "Pasquotank Pender Perquimans Person Pitt Polk Randolph Richmond Robeson Rockingham Rowan Rutherford Sampson Scotland Stanly Stokes Surry "
-    "Swain Transylvania Tyrrell Union Vance Wake Warren Washington Watauga Wayne Wilkes Wilson Yadkin Yancey"
-).split()
+    "Alamance, Alexander, Alleghany, Anson, Ashe, Avery, Beaufort, Bertie, Bladen, Brunswick, Buncombe, Burke, Cabarrus, Caldwell, "
+    "Camden, Carteret, Caswell, Catawba, Chatham, Cherokee, Chowan, Clay, Cleveland, Columbus, Craven, Cumberland, Currituck, Dare, "
+    "Davidson, Davie, Duplin, Durham, Edgecombe, Forsyth, Franklin, Gaston, Gates, Graham, Granville, Greene, Guilford, Halifax, "
+    "Harnett, Haywood, Henderson, Hertford, Hoke, Hyde, Iredell, Jackson, Johnston, Jones, Lee, Lenoir, Lincoln, Macon, Madison, "
+    "Martin, McDowell, Mecklenburg, Mitchell, Montgomery, Moore, Nash, New Hanover, Northampton, Onslow, Orange, Pamlico, Pasquotank, "
+    "Pender, Perquimans, Person, Pitt, Polk, Randolph, Richmond, Robeson, Rockingham, Rowan, Rutherford, Sampson, Scotland, Stanly, "
+    "Stokes, Surry, Swain, Transylvania, Tyrrell, Union, Vance, Wake, Warren, Washington, Watauga, Wayne, Wilkes, Wilson, Yadkin, "
+    "Yancey"
+).split(", ")
 # Words that make a structure a culvert or pipe.
 CULVERT = "culvert|pipe|rcbc|cmp|corrugated|aluminum|multi-plate"
 SEG_ID = r"^ncdot:(\d{8})(\d{3}):(\d+(?:\.\d+)?)$"
@@ -64,7 +66,7 @@ def route_label(seg_id: Column) -> Column:
 
 def county_name(code: Column) -> Column:
     """The name of a county by its code, 1 to 100; null for others."""
-    return F.when(code.between(1, len(COUNTIES)), F.get(F.array(*[F.lit(c.replace("_", " ")) for c in COUNTIES]), code - 1))
+    return F.when(code.between(1, len(COUNTIES)), F.get(F.array(*[F.lit(c) for c in COUNTIES]), code - 1))
 
 
 def road_name(seg_id: Column) -> Column:

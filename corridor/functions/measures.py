@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 POOR, LEAST_RATE, MOST_YEARS, AGES = 60, 0.1, 50, (2, 40)
 # Shares of years to poor, cracking and flooding in the priority score.
 SHARES = (0.45, 0.35, 0.2)
-# Percent of a road from which it counts as cracked; edges of depth bands in metres; high flood score.
+# What a road without a forecast and a flood score are said to be; percent of a road from which it counts as
+# cracked; edges of depth bands in metres; high flood score.
+NOTHING_LEFT = "Its rating is 0, so there is nothing left to count down."
+OLD_SURFACE = "It was resurfaced in %d, after its %d inspection, so the rating describes the old surface."
+OUT_OF_DATE = "Its rating is out of date (resurfaced after the last inspection)."
+FLOOD_TEXTS = ("Not scored (outside the Helene zone)", "High flood score (Helene zone)", "Lower flood score (Helene zone)")
 CRACK_PCT, DEPTH_EDGES, HIGH_FLOOD = 10, (0.3, 1, 2), 0.5
 
 
@@ -92,15 +97,14 @@ def crossing_year(rating: Column, rate: Column) -> Column:
 
 def no_estimate_reason(rating: Column, rehab_year: Column, survey_year: Column) -> Column:
     """Why a road has no forecast, as a sentence."""
-    older = F.format_string("It was resurfaced in %d, after its %d inspection, so the rating describes the old surface.", rehab_year.cast("int"), survey_year.cast("int"))
-    outdated = F.lit("Its rating is out of date (resurfaced after the last inspection).")
-    return F.when(rating == 0, "Its rating is 0, so there is nothing left to count down.").when(rehab_year > survey_year, older).otherwise(outdated)
+    older = F.format_string(OLD_SURFACE, rehab_year.cast("int"), survey_year.cast("int"))
+    return F.when(rating == 0, NOTHING_LEFT).when(rehab_year > survey_year, older).otherwise(OUT_OF_DATE)
 
 
 def flood_rank(flood: Column, in_zone: Column) -> Column:
     high = F.coalesce(flood >= HIGH_FLOOD, F.lit(False))
     outside = ~F.coalesce(in_zone, F.lit(False))
-    return F.when(outside, "Not scored (outside the Helene zone)").when(high, "High flood score (Helene zone)").otherwise("Lower flood score (Helene zone)")
+    return F.when(outside, FLOOD_TEXTS[0]).when(high, FLOOD_TEXTS[1]).otherwise(FLOOD_TEXTS[2])
 
 
 def depth_on_road(level: Column, road_level: Column, always_dry: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corridor.functions import geo, keys, measures
 from corridor.operators import checks, depth, gates, linref, metrics, models, ranking, spatial, timeseries
 from corridor.plans import fixtures as fx
+from corridor.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -569,3 +570,8 @@ STATS = ("orders", "lineitem", "events", "documents", "pages")
 @query(" SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in STATS) + ") z")
 def str14_table_stats(spark, d):
     return checks.table_stats({t: fx.table(spark, d, t) for t in STATS}).select("table", "n_rows")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders")
+def src1_read_table(spark, d):
+    return readers.read_table(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderdate"])

@@ -617,7 +617,7 @@ def mth6_texts_and_bands(spark, d):
     )
 
 
-COUNTY_LIST = "[" + ", ".join("'" + c.replace("_", " ") + "'" for c in keys.COUNTIES) + "]"
+COUNTY_LIST = "[" + ", ".join(f"'{c}'" for c in keys.COUNTIES) + "]"
 
 
 @query(f"SELECT seg_id, 'SR ' || CAST(rid AS VARCHAR) AS label, 'SR ' || CAST(rid AS VARCHAR) || ', ' || ({COUNTY_LIST})[CAST(substr(seg_id, 15, 3) AS INTEGER)] || ' County (mp ' || printf('%.2f', beg::DOUBLE) || ')' AS name FROM seg")

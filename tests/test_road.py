@@ -45,8 +45,8 @@ def test_points_go_to_the_earlier_segment(spark, segs):
 
 def test_tolerance_match_is_greedy_and_one_to_one(spark):
     rng = random.Random(4)
-    m = [(k % 3, k, b := rng.randrange(200), b + rng.randrange(30)) for k in range(60)]
-    d = [(k % 3, 100 + k, b := rng.randrange(200), b + rng.randrange(30)) for k in range(60)]
+    m = [(k % 3, k, b := rng.randrange(200 if k % 3 else 1500), b + rng.randrange(30)) for k in range(60)]
+    d = [(k % 3, 100 + k, b := rng.randrange(200 if k % 3 else 1500), b + rng.randrange(30)) for k in range(60)]
     got = linref.tolerance_match(spark.createDataFrame(m, "rid long, master_id long, beg long, end long"), spark.createDataFrame(d, "rid long, detail_id long, pb long, pe long"), 10)
     pairs = sorted((abs(a[2] - b[2]) + abs(a[3] - b[3]), a[1], b[1]) for a in m for b in d if a[0] == b[0] and abs(a[2] - b[2]) <= 10 and abs(a[3] - b[3]) <= 10)
     left, right, want = set(), set(), []
