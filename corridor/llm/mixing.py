@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.llm.common import BLANKS, bytes_of, settled, small_side, word_count
+from corridor.llm.common import BLANKS, settled, small_side, word_count
 from corridor.operators.ranking import global_rank
 
 #: Bits of a document's permutation key; digits of it that one round of the search for a cut looks at.
@@ -19,7 +19,7 @@ KEY_BITS, ROUND_BITS = 63, 7
 BLOCK_WORDS, MOST_BLOCKS = 4096, 1 << 20
 #: Groups of sources whose block quotas the driver splits among shards, and shards, at most: what the driver holds.
 GROUPS, MOST_SHARDS = 32, 1 << 17
-#: Bytes of values that a task writes, about.
+#: Bytes of text that a task writes, about.
 PIECE_BYTES = 64 << 20
 
 
@@ -205,7 +205,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     names = docs.columns
     hidden = {c: f"_in_{i}" for i, c in enumerate(names) if c not in ("doc_id", "source", "text")}
     plain = docs.withColumnsRenamed(hidden)
-    sizes_of = settled(sized(docs.select("doc_id", "source", "text"), mix).drop("text"))
+    sizes_of = sized(docs.select("doc_id", "source", "text"), mix).withColumn("_bytes", F.octet_length("text"))
+    sizes_of = settled(sizes_of.drop("text"))
     out = assigned(sized(plain, mix), sizes_of, mix).withColumn("_draw", F.explode("draws"))
     whole = F.col("_draw.words") == F.col("size")
     first = F.concat_ws(" ", F.slice(F.filter(F.split("text", BLANKS), lambda w: w != ""), F.lit(1), F.col("_draw.words").cast("int")))
@@ -213,7 +214,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     if "n_chars" in hidden:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn(hidden["n_chars"], F.when(whole, F.col(hidden["n_chars"])).otherwise(F.length("text")).cast(kind))
-    words, total = docs.agg(F.sum(word_count(F.col("text"))), F.sum(bytes_of(docs))).first()
+    words, total = sizes_of.agg(F.sum("size"), F.sum("_bytes")).first()
     goal = int(mix.share * (total or 0))
     shards = max(1, min(-(-int(mix.share * (words or 0)) // mix.shard_words), MOST_SHARDS))
     pieces = -(-goal // (PIECE_BYTES * shards)) or 1
