@@ -212,9 +212,9 @@ def win4_dedup_first(spark, d):
     return ranking.dedup_first(fx.pieces(spark, d), ["rid"], ["cnt"])
 
 
-@query("SELECT seg_id FROM seg WHERE seg_id > 'ncdot:40000500' ORDER BY seg_id LIMIT 100")
+@query("SELECT seg_id FROM seg WHERE seg_id > 'ncdot:40000050' ORDER BY seg_id LIMIT 100")
 def win6_keyset_page(spark, d):
-    return ranking.keyset_page(fx.segments(spark, d).select("seg_id"), "seg_id", "ncdot:40000500", 100)
+    return ranking.keyset_page(fx.segments(spark, d).select("seg_id"), "seg_id", "ncdot:40000050", 100)
 
 
 @query(f"SELECT seg_id, tier, place FROM (SELECT seg_id, tier, row_number() OVER (PARTITION BY tier ORDER BY ytp_milli ASC NULLS LAST, seg_id) AS place FROM (SELECT *, {TIER} AS tier FROM pred) y) z WHERE place <= 20")
