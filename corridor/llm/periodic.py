@@ -54,7 +54,7 @@ def runs_of(words: list[bytes]) -> list[tuple[int, int, int]]:
     if not len(twice):
         return []
     at = np.flatnonzero(np.isin(codes, twice))
-    plain = codes.tolist()
+    plain, numbers = codes.tolist(), None
     places: dict[int, array] = defaultdict(lambda: array("q"))  # by hash of a window: where it ended
     active: dict[int, int] = {}  # lag to start of its stretch
     found: dict[tuple[int, int], int] = {}  # (start, end) to smallest period
@@ -78,9 +78,12 @@ def runs_of(words: list[bytes]) -> list[tuple[int, int, int]]:
             inner = min(upper, bisect_left(seen, over[0]))
         for low, high in ((upper, len(seen)), (0, inner)):
             if high - low > MANY:
-                lags = _going_on(codes, i - WINDOW + 1, i - np.array(seen[low:high]), *passed)
+                if numbers is None:
+                    known: dict[bytes, int] = {}
+                    numbers = np.array([known.setdefault(w, len(known)) for w in words])
+                lags = _going_on(numbers, codes, i, i - np.array(seen[low:high]), *passed)
             else:
-                lags = [i - j for j in seen[low:high] if i - j not in active and _goes_on(plain, i - WINDOW + 1, i - j, *passed)]
+                lags = [i - j for j in seen[low:high] if i - j not in active and _goes_on(words, plain, i, i - j, *passed)]
             for lag in lags:
                 if lag in active or words[i - WINDOW + 1 : i + 1] != words[i - lag - WINDOW + 1 : i - lag + 1]:
                     continue
@@ -95,20 +98,23 @@ def runs_of(words: list[bytes]) -> list[tuple[int, int, int]]:
     return sorted((s, e - s + 1, p) for (s, e), p in found.items())
 
 
-def _goes_on(codes: list[int], i: int, lag: int, low: int, high: int) -> bool:
-    """Whether ``lag`` is to be opened at window i: one that begins here and holds at PROBES places of what a run would
-    still need, or one that began at places (word numbers ``low`` up to ``high``) that were passed over."""
-    if lag < i and codes[i - 1] == codes[i - 1 - lag]:
-        return low <= i - 1 - lag + WINDOW - 1 < high
+def _goes_on(words: list[bytes], codes: list[int], i: int, lag: int, low: int, high: int) -> bool:
+    """Whether ``lag`` is to be opened at word i: one that begins here and whose windows have equal hashes at PROBES places
+    that a run would still need, or one that began at places (``low`` up to ``high``) that were passed over."""
+    before = i - WINDOW - lag
+    if before >= 0 and words[before] == words[before + lag]:
+        return low <= i - 1 - lag < high
+    i -= WINDOW - 1
     ahead = max(LEAST - lag, (REPEATS - 1) * lag) - WINDOW
     return i + ahead < len(codes) and all(codes[x] == codes[x - lag] for x in (i + ahead * k // PROBES for k in range(PROBES, 0, -1)))
 
 
-def _going_on(codes: np.ndarray, i: int, lags: np.ndarray, low: int, high: int) -> list[int]:
-    """Those of many ``lags`` for which ``_goes_on`` holds."""
-    begun = (codes[np.maximum(i - 1 - lags, 0)] == codes[i - 1]) & (lags < i)
-    before = i - 1 - lags + WINDOW - 1
-    late = lags[begun & (low <= before) & (before < high)]
+def _going_on(numbers: np.ndarray, codes: np.ndarray, i: int, lags: np.ndarray, low: int, high: int) -> list[int]:
+    """Those of many ``lags`` for which ``_goes_on`` holds; ``numbers`` are the words'."""
+    before = i - WINDOW - lags
+    begun = (before >= 0) & (numbers[np.maximum(before, 0)] == numbers[i - WINDOW])
+    late = lags[begun & (low <= i - 1 - lags) & (i - 1 - lags < high)]
+    i -= WINDOW - 1
     ahead = np.maximum(LEAST - lags, (REPEATS - 1) * lags) - WINDOW
     fits = ~begun & (i + ahead < len(codes))
     lags, ahead = lags[fits], ahead[fits]

@@ -177,7 +177,7 @@ def prefix_trie(sequences: DataFrame) -> DataFrame:
     d = F.col("d")
     at_bottom = d == F.col("bottom")
     placed = placed.select("*", F.explode(F.sequence("top", "bottom")).alias("d"))
-    saved = F.when(at_bottom, F.col("saved")).otherwise(F.col("saved") + (F.col("n_convs") - 1) * _chars(d - 1, F.col("bottom") - 1))
+    saved = F.when(at_bottom, F.col("saved")).otherwise(F.col("saved") + (F.col("n_convs") - 1) * _chars(F.greatest(d - 1, F.lit(0)), F.col("bottom") - 1))
     return placed.select(
         "conv_id",
         d.cast("long").alias("depth"),
