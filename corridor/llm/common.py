@@ -30,6 +30,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or the first of _name, __name, ... that is not among ``taken``; letter case does not count."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

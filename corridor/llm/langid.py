@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import fold
+from corridor.llm.common import fold, settled, small_side
 
 #: Bytes of a window; filters of each width; widths. The network sees whole texts as windows side by side.
 WINDOW, FILTERS, WIDTHS = 256, 16, (2, 3, 4)
 #: Labelled rows to learn from, at most, of each language, and windows taken of each of them.
 MAX_ROWS, MAX_WINDOWS = 1500, 2
+#: Rows to learn from of all languages, about, at most; and languages at most: the most frequent ones, ties by code point.
+MAX_TOTAL, MAX_LANGS = 12_000, 4096
 EMBED, EPOCHS, BATCH, RATE, SEED = 8, 12, 64, 5e-3, 42
 #: Windows run through the network at once.
 AT_ONCE = 256
@@ -110,15 +112,18 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str]) -> Network:
 
 
 def fit(known: DataFrame) -> Network | None:
-    """A network from ``known`` (doc_id, text, lang): about MAX_ROWS rows of a language at most, chosen by a hash."""
+    """A network from ``known`` (doc_id, text, lang): about MAX_ROWS rows of a language at most, chosen by a hash, and fewer
+    of each where there are many languages, so that those of all are about MAX_TOTAL. A language with few rows gives all.
+    Of more than MAX_LANGS values of lang the rarest teach nothing: this sample of the labels is bounded by both."""
     known = known.where("text is not null and lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
+    counts = settled(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS))
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(1_000_000 * min(1, MAX_ROWS / n))).otherwise(share)
-    few = known.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("lang"), F.col("text")), F.lit(1_000_000)) < share)
+    quota = min(MAX_ROWS, max(1, MAX_TOTAL // n_langs))
+    share = small_side(counts.select(F.col("lang").alias("_lang"), F.when(F.col("n") <= quota, 1_000_000).otherwise(F.ceil(1_000_000 * quota / F.col("n"))).alias("_share")))
+    chosen = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("lang"), F.col("text")), F.lit(1_000_000)) < F.col("_share")
+    few = known.join(share, F.col("lang") == F.col("_lang")).where(chosen)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Some windows of each whole text; what the driver gathers is bounded by rows and windows."""
@@ -131,9 +136,12 @@ def fit(known: DataFrame) -> Network | None:
 
     rows = few.select("lang", F.col("text").cast("binary")).mapInArrow(pick, "lang string, window binary")
     rows = sorted(tuple(r) for r in rows.distinct().collect())  # copies are one: no repeated row makes more of them
-    langs = sorted(counts)
+    langs = sorted({lang for lang, _ in rows})
+    if not langs:
+        return None
+    at = {lang: k for k, lang in enumerate(langs)}
     x = np.stack([np.frombuffer(w, np.uint8) for _, w in rows])
-    return train(x, np.array([langs.index(lang) for lang, _ in rows]), langs)
+    return train(x, np.array([at[lang] for lang, _ in rows]), langs)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -141,7 +149,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from text and non-null lang where crc32(doc_id) mod 3 is not 1. A whole text is read in windows of WINDOW
     bytes; their log probabilities are added. ``und`` with score 0 where the text is null or has no letter, or where
-    there was nothing to learn from. Ties go to the language first in code-point order; repeated rows come out alike.
+    there was nothing to learn from. Ties go to the language first in code-point order; repeated rows come out alike. A
+    text of any length is read whole, AT_ONCE windows at a time; an empty table gives no row. Columns but doc_id, text and
+    lang are ignored.
     """
     f = fold(F.col("doc_id"), 3)
     network = fit(docs.where(f != 1).select("doc_id", "text", "lang"))

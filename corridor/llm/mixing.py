@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.llm.common import BLANKS, settled, small_side, word_count
+from corridor.llm.common import BLANKS, free_name, settled, small_side, word_count
 from corridor.operators.ranking import global_rank
 
 #: Bits of a document's permutation key; digits of it that one round of the search for a cut looks at.
@@ -137,6 +137,24 @@ def _dealt(blocks: DataFrame, cuts: DataFrame, words: int, mix: Mix) -> DataFram
     return dealt.groupBy("_sid", F.col("_cell").alias("_block")).agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("_dealt"))
 
 
+def _numbered(of: DataFrame, alike: DataFrame) -> DataFrame:
+    """``of`` with _before: for rows at the cut of a source of ``alike`` (_a), the words of those before them, else 0.
+
+    Sums run within each partition of the input and then over the partitions, so that rows alike, which are told apart by
+    their place alone, are never brought together.
+    """
+    cut = (F.col("_u") == F.col("_key")) & (F.col("size") > 0)
+    of = of.join(alike, F.col("_sid") == alike["_a"], "left").withColumn("_cut", F.coalesce(cut & F.col("_a").isNotNull(), F.lit(False))).drop("_a")
+    some = settled(of.where("_cut").withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sums = some.groupBy("_sid", "_p").agg(F.sum("size").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_sid").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    sums = small_side(sums.select(F.col("_sid").alias("_s0"), F.col("_p").alias("_p0"), before.alias("_first")))
+    inside = Window.partitionBy("_sid", "_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.join(sums, (F.col("_sid") == F.col("_s0")) & (F.col("_p") == F.col("_p0")))
+    some = some.withColumn("_before", F.col("_first") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return of.where("not _cut").withColumn("_before", F.lit(0).cast("long")).unionByName(some.select(*of.columns, "_before")).drop("_cut")
+
+
 def assigned(of: DataFrame, sizes_of: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``of`` (sized documents) with source_size, target, taken and draws: array of (epoch, shard, words).
 
@@ -144,7 +162,7 @@ def assigned(of: DataFrame, sizes_of: DataFrame, mix: Mix = Mix()) -> DataFrame:
     takes blocks in order up to the quota, where one document is cut so that the source's words match its target to a
     word. The splitting tree deals the exact numbers of blocks to the shards, and each shard gets the next blocks of a
     random order. No document is drawn more often than the cap rounded up, nor above cap times its size. Rows alike in
-    id, source and text share what is due at the cut. Documents without words are never drawn. Sources may be as many as
+    id, source and text are told apart by their place, and share what is due at the cut to a word. Documents without words are never drawn. Sources may be as many as
     the documents: all that is known of them stays in tables, broadcast only where their size was checked.
     ``sizes_of`` holds the same rows without their texts: the sums come from it.
     """
@@ -171,18 +189,23 @@ def assigned(of: DataFrame, sizes_of: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     of = of.join(at, (of["_sid"] == at["_s"]) & (cell == at["_b"]), "left")
     of = of.join(ends, F.col("_sid") == ends["_c"], "left")
-    part = (
-        F.when(F.col("_u") < F.col("_key"), F.col("size"))
-        .when(F.col("_u") == F.col("_key"), F.floor(F.col("_due") * F.col("size") / F.col("_there")).cast("long"))
-        .otherwise(F.lit(0).cast("long"))
-    )
+    at_cut = drawn.join(ends, F.col("_sid") == ends["_c"]).where(F.col("_u") == F.col("_key"))
+    alike = at_cut.groupBy("_sid").count().where("count > 1").select(F.col("_sid").alias("_a"))
+    zero = F.lit(0).cast("long")
+    if alike.isEmpty():
+        of = of.withColumn("_before", zero)
+    else:
+        of = _numbered(of, small_side(alike))
+    upto = lambda x: F.call_function("div", F.col("_due").cast("decimal(19,0)") * x.cast("decimal(19,0)"), F.col("_there").cast("decimal(19,0)"))
+    at_key = upto(F.col("_before") + F.col("size")) - upto(F.col("_before"))
+    part = F.when(F.col("_u") < F.col("_key"), F.col("size")).when(F.col("_u") == F.col("_key"), at_key).otherwise(zero)
     draws = F.transform(
         F.coalesce(F.col("_dealt"), F.array().cast("array<struct<epoch:int,shard:int>>")),
         lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.when(d["epoch"] < F.col("_passes"), F.col("size")).otherwise(F.col("_part")).alias("words")),
     )
     of = of.withColumn("_part", part).withColumn("draws", F.filter(draws, lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return of.withColumn("taken", taken).drop("_u", "_sid", "_passes", "_rest", "_bits", "_s", "_b", "_dealt", "_c", "_key", "_due", "_there", "_part")
+    return of.withColumn("taken", taken).drop("_u", "_sid", "_passes", "_rest", "_bits", "_s", "_b", "_dealt", "_c", "_key", "_due", "_there", "_before", "_part")
 
 
 def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -196,7 +219,7 @@ def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mixture itself: the columns of ``docs``, a row for each draw, and shard; dealt by shard, shuffled within.
+    """The mixture itself: the columns of ``docs``, a row for each draw, and shard (``_shard``, and so on, where taken); dealt by shard, shuffled within.
 
     A document cut at its source's quota keeps its first words, joined by single spaces (and n_chars follows, where
     there is one). Columns of ``docs`` keep their values; clashing names are not used. A shard of more than PIECE_BYTES
@@ -222,5 +245,4 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     place = F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("string"), F.col("text"), F.col("_draw.epoch"))
     out = out.withColumn("_place", place).withColumn("_shard", F.col("_draw.shard")).withColumn("_piece", F.pmod("_place", F.lit(pieces)))
     out = out.repartition(tasks, "_shard", "_piece").sortWithinPartitions("_shard", "_place")
-    out = out.select("_shard", *[F.col(hidden.get(c, c)).alias(c) for c in names])
-    return out.withColumnRenamed("_shard", "shard" if "shard" not in names else "mix_shard")
+    return out.select(F.col("_shard").alias(free_name("shard", names)), *[F.col(hidden.get(c, c)).alias(c) for c in names])

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import bytes_of
+from corridor.llm.common import bytes_of, free_name
 
 SHARDS = 64
 #: A prime, over fifty slots a shard: shares differ by a few hundredths, and the table stays one small broadcast.
@@ -50,24 +50,25 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id") -> DataFrame:
-    """``docs`` with slot and shard (or _slot and _shard where those names are taken).
+    """``docs`` with slot and shard (with as many _ before them as make the names free).
 
     The key is ``key``'s text; a row without one goes by the md5 of its text, and without both to slot 0's shard.
     Equal keys share a shard, as a placement must; nothing is grouped or sorted here, so a hot key costs no task more.
     The table has ``slots`` rows, whatever the data, and is broadcast.
     """
     spark = docs.sparkSession
-    named = {"slot": "_slot" if "slot" in docs.columns else "slot", "shard": shard_column(docs)}
+    slot, shard = free_name("slot", docs.columns), shard_column(docs)
+    number = free_name("_lookup", [*docs.columns, slot, shard])
     filled = F.split(F.lit(",".join(map(str, lookup_table(shards, slots)))), ",")
-    table = spark.range(1).select(F.posexplode(filled).alias("_lookup", "_to")).select("_lookup", F.col("_to").cast("int").alias(named["shard"]))
+    table = spark.range(1).select(F.posexplode(filled).alias(number, "_to")).select(number, F.col("_to").cast("int").alias(shard))
     of = F.coalesce(F.col(key).cast("string"), F.md5(F.col("text").cast("binary"))) if "text" in docs.columns else F.col(key).cast("string")
-    out = docs.withColumn(named["slot"], F.coalesce(slot_of(of, slots), F.lit(0)))
-    return out.join(F.broadcast(table), F.col(named["slot"]) == F.col("_lookup"), "left").drop("_lookup")
+    out = docs.withColumn(slot, F.coalesce(slot_of(of, slots), F.lit(0)))
+    return out.join(F.broadcast(table), F.col(slot) == F.col(number), "left").drop(number)
 
 
 def shard_column(docs: DataFrame) -> str:
     """The name that ``place`` gives to the shard of ``docs``."""
-    return "_shard" if "shard" in docs.columns else "shard"
+    return free_name("shard", docs.columns)
 
 
 def ordered_by_shard(placed: DataFrame, shard: str = "shard", shards: int = SHARDS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
