@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from corridor.llm.common import settled
 
 #: Characters (or symbols of a word without end) of a part; longer texts are cut into parts that are encoded in parallel.
-PART = 16_384
+PART = 65_536
 #: Tokens on either side of a join that are encoded anew at first; doubled until both sides agree.
 WINDOW = 8
 #: Longest word whose tokens a worker remembers, and how many of them at most.
-WORD_BYTES, WORDS = 64, 1 << 19
+WORD_BYTES, WORDS = 64, 1 << 18
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: How the file's own pattern parts words: what this says of printed ASCII holds for it alone (fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -16,7 +16,7 @@ from corridor.llm import queries as llm
 
 TALKS = "conv_id long, turn int, role string, text string"
 DOCS = "doc_id long, text string"
-ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "no id here no id"), (5, "same row twice"), (5, "same row twice"), (6, "long " * 30_000), (7, "été über ñandú 日本語 " * 12), (8, "x" * 50_000)]
+ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "no id here no id"), (5, "same row twice"), (5, "same row twice"), (6, "long " * 30_000), (7, "été über ñandú 日本語 " * 12), (8, "x" * 150_000)]
 
 
 def tuples(df):
