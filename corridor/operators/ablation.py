@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from corridor.common import checkpointed
 from corridor.operators import metrics, models
+from corridor.operators.gates import not_too_good
 
-# Fixed value: fewest pairs that a curve of its own is fitted on.
-LEAST_PAIRS = 50
+# Fewest pairs that a curve of its own is fitted on; rank correlation over which an input must be leaking.
+LEAST_PAIRS, LEAK_RHO = 50, 0.95
 
 
 def rescale(df: DataFrame, est: str, count: str, group: str, out: str = "rescaled", least: int = LEAST_PAIRS) -> DataFrame:
@@ -46,30 +47,43 @@ def change_range(df: DataFrame, key: str, block: str, y: str, old: str, new: str
     return metrics.block_bootstrap(ok.select(block, gain.alias("_g"), F.lit(1).alias("_one")), block, "_g", "_one", draws, seed)
 
 
-def ablation(df: DataFrame, key: str, ladder: list[tuple[str, list[str]]], label: str, kind: str, block: str, fold: str = "fold", draws: int = 300, iterations: int = 30) -> DataFrame:
-    """A row for each arm of the ladder: its inputs, rows scored, held-out metric, and its change from the first arm.
+def ablation(df: DataFrame, key: str, ladder: list[tuple[str, list[str]]], label: str, kind: str, block: str, fold: str = "fold", draws: int = 300, iterations: int = 30, top: int = 50, most_rho: float = LEAK_RHO) -> DataFrame:
+    """A row for each arm of the ladder: its inputs, rows scored, held-out metrics, and its change from the first arm with
+    the range of the change over drawn blocks.
 
-    ``rate`` labels have mae and rho, and the range of the change over drawn blocks; ``yes`` labels have ap. Every arm
-    works on the same rows and folds. Arms are few, and each is one row of the result.
+    ``rate`` labels have mae (whose change it is) and rho; ``yes`` labels have ap (whose change it is) and the precision of
+    the ``top`` rows. Every arm works on the same rows and folds. An arm of rates whose rank correlation is over
+    ``most_rho`` is refused: an input gives the label away. Arms are few, and each is one row of the result.
     """
     d, first, rows = checkpointed(df), None, []
     for name, columns in ladder:
         held = checkpointed(models.oof(d, key, columns, [], label, kind, fold, iterations=iterations).select(key, F.col("oof").alias("_p")))
-        scored = d.select(key, block, label).join(held, key).where(F.col(label).isNotNull())
+        scored = checkpointed(d.select(key, block, label).join(held, key).where(F.col(label).isNotNull()))
         first = held.withColumnRenamed("_p", "_p0") if first is None else first
-        arm = [F.lit(name).alias("arm"), F.lit(len(columns)).alias("n_inputs")]
+        both, arm = scored.join(first, key), [F.lit(name).alias("arm"), F.lit(len(columns)).alias("n_inputs")]
         if kind == "rate":
-            change = change_range(scored.join(first, key), key, block, label, "_p0", "_p", draws)
-            m = metrics.error_summary(scored, label, "_p").select("n", "mae").crossJoin(metrics.spearman(scored, label, "_p").select("rho"))  # one row each
-            rows.append(m.crossJoin(change.select(F.col("value").alias("change"), "low", "high")).select(*arm, "n", "mae", "rho", "change", "low", "high"))
+            change = change_range(both, key, block, label, "_p0", "_p", draws)
+            rho = checkpointed(metrics.spearman(scored, label, "_p").select("rho"))
+            not_too_good(f"rank correlation of {name}", rho.first()["rho"], most_rho)
+            m = metrics.error_summary(scored, label, "_p").select("n", "mae").crossJoin(rho)  # one row each
+            own = ["n", "mae", "rho"]
         else:
-            n = scored.agg(F.count("_p").alias("n"))
-            rows.append(n.crossJoin(metrics.average_precision(scored, label, "_p")).select(*arm, "n", "ap"))  # one row each
-    out = reduce(DataFrame.unionAll, rows)
-    if kind == "rate":
-        return out
-    base = F.max(F.when(F.col("arm") == ladder[0][0], F.col("ap"))).over(Window.partitionBy(F.lit(1)))  # a row for each arm
-    return out.withColumn("change", F.col("ap") - base)
+            change = metrics.rank_bootstrap(both, block, label, "_p", "_p0", "ap", draws)
+            m = scored.agg(F.count("_p").alias("n")).crossJoin(metrics.average_precision(scored, label, "_p"))  # one row each
+            m = m.crossJoin(metrics.precision_at_k(scored, label, "_p", top, key).withColumnRenamed("precision", "top_precision"))  # one row each
+            own = ["n", "ap", "top_precision"]
+        rows.append(m.crossJoin(change.select(F.col("value").alias("change"), "low", "high")).select(*arm, *own, "change", "low", "high"))  # one row each
+    return reduce(DataFrame.unionAll, rows)
+
+
+def ablations(df: DataFrame, key: str, ladder: list[tuple[str, list[str]]], targets: dict[str, tuple[str, str]], block: str, fold: str = "fold", draws: int = 300, iterations: int = 30, top: int = 50, most_rho: float = LEAK_RHO) -> DataFrame:
+    """The ladder for several labels (name to label and kind) side by side: a row for each arm, columns by name of label."""
+    out = None
+    for name, (label, kind) in targets.items():
+        one = ablation(df, key, ladder, label, kind, block, fold, draws, iterations, top, most_rho)
+        one = one.select("arm", "n_inputs", *[F.col(c).alias(f"{name}_{c}") for c in one.columns if c not in ("arm", "n_inputs")])
+        out = one if out is None else out.join(one.drop("n_inputs"), "arm")
+    return out
 
 
 def transfer_test(df: DataFrame, key: str, columns: list[str], plain: list[str], label: str, place: str, train: str, test: str, usable: Column, other: str, fold: str = "fold", iterations: int = 30) -> DataFrame:

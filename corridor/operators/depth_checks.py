@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corridor.common import Refused, checkpointed
 from corridor.operators.depth import answers, cumulative_station, line_pieces, nearest_answer
+from corridor.operators.order_stats import quantiles, same
 
 # Metres of line hidden to each side of a mark, upper ends of the distance bands, fewest marks in a band,
 # allowed median of water over ground at the marks, and the greatest median miss against the taped depths.
@@ -74,10 +75,11 @@ def hidden_mark_test(marks: DataFrame) -> DataFrame:
     return out.withColumn("miss", F.col("guess") - F.col("z")).drop("z")
 
 
-def misses(miss: Column) -> list[Column]:
-    """n, median, p75 and p90 of the size of a miss, and its median with sign."""
-    q = F.percentile(F.abs(miss), F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    return [F.count(miss).alias("n"), *[F.get(q, k).alias(c) for k, c in enumerate(("median", "p75", "p90"))], F.median(miss).alias("bias")]
+def misses(df: DataFrame, miss: Column, by: list[str], more: list[Column] | None = None) -> DataFrame:
+    """Of each group: n, exact median, p75 and p90 of the size of a miss, and its median with sign."""
+    d = df.withColumn("_miss", miss)
+    asked = {name: (F.abs("_miss"), share) for name, share in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))} | {"bias": (F.col("_miss"), 0.5)}
+    return same(d.groupBy(*by).agg(F.count("_miss").alias("n"), *(more or [])), quantiles(d, by, asked), by, "left")
 
 
 def band_table(hidden: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def band_table(hidden: DataFrame) -> DataFrame:
     band = F.coalesce(*[F.when(F.col("along") <= hi, F.lit(k)) for k, hi in enumerate(BANDS)])
     guessed = hidden.where((F.col("stretch") >= 0) & F.col("guess").isNotNull()).withColumn("band", band).where("band is not null")
     once = guessed.groupBy("stream", "mark", "band").agg(F.min(F.struct("stretch", "miss")).alias("m"))
-    found = once.groupBy("band").agg(*misses(F.col("m.miss")))
+    found = misses(once, F.col("m.miss"), ["band"])
     every = hidden.sparkSession.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(zip(lows, BANDS, strict=True))], "band int, lo int, hi int")
     n = F.coalesce("n", F.lit(0))
     return every.join(found, "band", "left").select("lo", "hi", n.alias("n"), "median", "p90", (n < LEAST_IN_BAND).alias("too_few"))
@@ -103,16 +105,17 @@ def tape_tests(marks: DataFrame, hidden: DataFrame) -> DataFrame:
     guess = hidden.where("stretch = 0 and guess is not null").select("stream", "mark", "guess")
     end = taped.where("draws").join(guess, ["stream", "mark"]).select(F.lit("end to end").alias("test"), (F.col("guess") - F.col("ground")).alias("d"), "tape")
     corr = F.covar_pop("d", "tape") / F.nullif(F.stddev_pop("d") * F.stddev_pop("tape"), F.lit(0.0))
-    return own.unionAll(end).groupBy("test").agg(*misses(F.col("d") - F.col("tape")), F.when(F.count("*") >= 3, corr).alias("corr"))
+    out = misses(own.unionAll(end), F.col("d") - F.col("tape"), ["test"], [F.when(F.count("*") >= 3, corr).alias("corr")])
+    return out.select("test", "n", "median", "p75", "p90", "bias", "corr")
 
 
 def gate_report(marks: DataFrame, hidden: DataFrame, coarse: str = "ground30") -> DataFrame:
     """One row with what the gates look at: water over ground, marks guessed, median tape misses of fine and coarse ground."""
-    over = F.median(F.when(F.col("draws"), F.col("z") - F.col("ground"))).alias("water_over_ground")
     taped = F.col("tape").isNotNull() & F.col("ground").isNotNull() & F.col(coarse).isNotNull()
-    miss = [F.median(F.when(taped, F.abs(F.col("z") - F.col(c) - F.col("tape")))).alias(n) for c, n in (("ground", "miss_fine"), (coarse, "miss_coarse"))]
+    asked = {n: (F.when(taped, F.abs(F.col("z") - F.col(c) - F.col("tape"))), 0.5) for c, n in (("ground", "miss_fine"), (coarse, "miss_coarse"))}
+    medians = quantiles(marks, [], {"water_over_ground": (F.when(F.col("draws"), F.col("z") - F.col("ground")), 0.5)} | asked)
     guessed = hidden.agg(F.count_if((F.col("stretch") == 0) & F.col("guess").isNotNull()).alias("n_guessed"))
-    return marks.agg(over, F.count_if(taped).alias("n_taped"), *miss).crossJoin(guessed)  # one row each
+    return marks.agg(F.count_if(taped).alias("n_taped")).crossJoin(medians).crossJoin(guessed)  # one row each
 
 
 def gates(marks: DataFrame, hidden: DataFrame, coarse: str = "ground30") -> dict:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corridor.common import checkpointed
 from corridor.operators.gates import check_features
+from corridor.operators.order_stats import quantiles
 
 
 def _prepared(numbers: list[str], words: list[str]) -> list:
@@ -38,21 +41,28 @@ def _predicted(out: DataFrame, kind: str, name: str) -> DataFrame:
 
 
 def oof(df: DataFrame, key: str, numbers: list[str], words: list[str], label: str, kind: str, fold: str = "fold", folds: int = 5, iterations: int = 30) -> DataFrame:
-    """key and oof: each fold predicted by a model of the other folds. Folds with nothing to learn from are left out."""
+    """key and oof: each fold predicted by a model of the other folds. Folds with nothing to learn from are left out.
+
+    The models of the folds are fitted side by side: each is many small jobs, which one after another leave a cluster idle.
+    """
     check_features([*numbers, *words])
     d = checkpointed(_with_blanks(df, numbers, words))
     stats = {r[fold]: (r["n"], r["s"]) for r in d.where(F.col(label).isNotNull()).groupBy(fold).agg(F.count("*").alias("n"), F.sum(label).alias("s")).collect()}
-    parts = []
+    learned = []
     for k in range(folds):
         rest = [v for f, v in stats.items() if f != k]
         n, s = sum(v[0] for v in rest), sum(v[1] for v in rest)
-        if not n or (kind != "rate" and (s == 0 or s == n)):
-            continue
+        if n and not (kind != "rate" and (s == 0 or s == n)):
+            learned.append(k)
+
+    def fold_of(k: int) -> DataFrame:
         model = Pipeline(stages=[*_prepared(numbers, words), estimator(kind, label, iterations)]).fit(d.where((F.col(fold) != k) & F.col(label).isNotNull()))
-        parts.append(_predicted(model.transform(d.where(F.col(fold) == k)), kind, "oof").select(key, F.col(fold), "oof"))
-    if not parts:
+        return checkpointed(_predicted(model.transform(d.where(F.col(fold) == k)), kind, "oof").select(key, F.col(fold), "oof"))
+
+    if not learned:
         return df.select(key, fold, F.lit(None).cast("double").alias("oof")).limit(0)
-    return reduce(DataFrame.unionAll, parts)
+    with ThreadPoolExecutor(len(learned)) as pool:
+        return reduce(DataFrame.unionAll, pool.map(inheritable_thread_target(df.sparkSession)(fold_of), learned))
 
 
 def fit_predict(train: DataFrame, rows: DataFrame, key: str, numbers: list[str], words: list[str], label: str, kind: str, iterations: int = 30) -> DataFrame:
@@ -74,24 +84,33 @@ def heldout_then_model(df: DataFrame, oof_rows: DataFrame, full: DataFrame, key:
 
 def naive_prediction(df: DataFrame, key: str, label: str, fold: str = "fold", folds: int = 5) -> DataFrame:
     """The median label of the other folds."""
-    m = df.agg(*[F.median(F.when(F.col(fold) != k, F.col(label))).alias(f"m{k}") for k in range(folds)])
+    m = quantiles(df, [], {f"m{k}": (F.when(F.col(fold) != k, F.col(label)), 0.5) for k in range(folds)})
     return df.crossJoin(F.broadcast(m)).select(key, fold, F.coalesce(*[F.when(F.col(fold) == k, F.col(f"m{k}")) for k in range(folds)]).alias("naive"))  # one row of medians
 
 
 def probe(df: DataFrame, key: str, vector: str, label: str, kind: str, fold: str = "fold", folds: int = 5, alpha: float = 1.0) -> DataFrame:
-    """Out-of-fold ridge (rate) or logistic regression on standardised vectors."""
+    """Out-of-fold ridge (rate) or logistic regression on standardised vectors.
+
+    Folds are counted once over settled rows; each fold's predictions are settled before they are put together.
+    """
+    d = checkpointed(df.select(key, vector, label, fold))
+    known, v = d.where(F.col(label).isNotNull()), F.col(label).cast("double")
+    sums = known.groupBy(fold).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.min(v).alias("low"), F.max(v).alias("high")).collect()  # a row a fold
     parts = []
     for k in range(folds):
-        train = df.where((F.col(fold) != k) & F.col(label).isNotNull())
-        n, sd = train.agg(F.count("*"), F.stddev_pop(label)).first()
-        if not n or not sd:
+        rest = [r for r in sums if r[fold] is not None and r[fold] != k]
+        n = sum(r["n"] for r in rest)
+        if not n or min(r["low"] for r in rest) == max(r["high"] for r in rest):
             continue
+        mean = sum(r["s"] for r in rest) / n
+        sd = max(sum(r["ss"] for r in rest) / n - mean * mean, 0.0) ** 0.5
         scaled = StandardScaler(inputCol=vector, outputCol="features", withMean=True)
         if kind == "rate":
             est = LinearRegression(labelCol=label, solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha * sd / n)
         else:
             est = LogisticRegression(labelCol=label, standardization=False, regParam=1 / (alpha * n))
-        parts.append(_predicted(Pipeline(stages=[scaled, est]).fit(train).transform(df.where(F.col(fold) == k)), kind, "oof").select(key, "oof"))
+        model = Pipeline(stages=[scaled, est]).fit(known.where(F.col(fold) != k))
+        parts.append(checkpointed(_predicted(model.transform(d.where(F.col(fold) == k)), kind, "oof").select(key, "oof")))
     return reduce(DataFrame.unionAll, parts) if parts else df.select(key, F.lit(None).cast("double").alias("oof")).limit(0)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corridor.common import Refused
 from corridor.functions.keys import SEG_ID, parse_seg_id, record_json, route_label
 from corridor.functions.measures import exposure_years, repair_bucket
+from corridor.operators.order_stats import quantiles
 from corridor.operators.ranking import global_rank
 
 BUCKETS = ("fix_now", "1y", "5y", "later", "unknown")
@@ -43,11 +44,13 @@ def summary(roads: DataFrame) -> DataFrame:
 
 def state_stats(roads: DataFrame) -> DataFrame:
     """Medians, mean years with those under 0 as 0, and counts of roads with and without a held-out value, and of zone roads."""
-    return roads.agg(
-        F.count("*").alias("n"), F.median("rating").alias("median_rating"), F.median("years").alias("median_years"), F.avg(F.greatest("years", F.lit(0.0))).alias("mean_years"),
+    q = quantiles(roads, [], {"median_rating": (F.col("rating"), 0.5), "median_years": (F.col("years"), 0.5)})
+    counts = roads.agg(
+        F.count("*").alias("n"), F.avg(F.greatest("years", F.lit(0.0))).alias("mean_years"),
         F.avg("crack").alias("mean_crack"), F.avg(F.when(F.col("in_zone"), F.col("flood"))).alias("mean_flood"), F.count_if(F.col("heldout") > 0).alias("heldout"),
         F.count_if(F.col("years").isNull()).alias("no_forecast"), F.count_if("in_zone").alias("in_zone"),
     )
+    return counts.crossJoin(q)  # one row each
 
 
 def _extent() -> list[Column]:
@@ -117,9 +120,9 @@ def labels_check(roads: DataFrame, depth: str, failed: str, wet_m: float = 0.3)
 def ratio_quantiles(df: DataFrame, a: str, b: str, inside: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
     """Of the ratios of two values, where both are there and neither is 0: count, quartiles, and the share inside a range."""
     r = df.select((F.col(a) / F.nullif(F.col(b), F.lit(0))).alias("r")).where("r is not null and r != 0")
-    q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = r.agg(F.count("*").alias("n"), q.alias("q"), F.avg(F.col("r").between(*inside).cast("int")).alias("inside"))
-    return out.select("n", *[F.get("q", k).alias(name) for k, name in enumerate(("q25", "q50", "q75"))], "inside")
+    q = quantiles(r, [], {name: (F.col("r"), share) for name, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))})
+    out = r.agg(F.count("*").alias("n"), F.avg(F.col("r").between(*inside).cast("int")).alias("inside")).crossJoin(q)  # one row each
+    return out.select("n", "q25", "q50", "q75", "inside")
 
 
 def latest_reading(*streams: DataFrame) -> DataFrame:

@@ -514,6 +514,41 @@ def met8_verdict(spark, d):
     return rounded(metrics.verdict(_ranged(spark, d), F.lit(0.01)).select("value", "real"), 6, "value")
 
 
+def _rank_draws(metric: str) -> str:
+    """SQL for what ``metric`` (of one draw's rows: d, s, y, w) changes by from flood_mil to crack_mil, over 40 draws."""
+    ap = """ap AS (SELECT src, d, sum(tp * ctp / cn) / nullif(sum(tp), 0) AS m, sum(tp) AS t, sum(n) AS n FROM
+      (SELECT *, sum(tp) OVER o AS ctp, sum(n) OVER o AS cn FROM (SELECT src, d, s, sum(w * y)::DOUBLE AS tp, sum(w)::DOUBLE AS n FROM dw GROUP BY 1, 2, 3) g WINDOW o AS (PARTITION BY src, d ORDER BY s DESC)) c GROUP BY 1, 2),
+      each AS (SELECT src, d, CASE WHEN t > 0 AND t < n THEN m END AS m FROM ap)"""
+    side = lambda c: f"(SELECT src, d, {c}, sum(w) OVER (PARTITION BY src, d ORDER BY {c}) - w + (w + 1) / 2.0::DOUBLE AS r FROM (SELECT src, d, {c}, sum(w) AS w FROM dw GROUP BY 1, 2, 3) q)"
+    rho = f"""rk AS (SELECT src, d, w, a.r AS x, b.r AS y FROM dw JOIN {side("s")} a USING (src, d, s) JOIN {side("yy")} b USING (src, d, yy)),
+      mom AS (SELECT src, d, sum(w)::DOUBLE AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy FROM rk GROUP BY 1, 2),
+      each AS (SELECT src, d, CASE WHEN n * sxx > sx * sx AND n * syy > sy * sy THEN (n * sxy - sx * sy) / sqrt(n * sxx - sx * sx) / sqrt(n * syy - sy * sy) END AS m FROM mom)"""
+    return f""", b0 AS (SELECT *, concat(CAST(CAST(floor(mid_x / 5000) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(mid_y / 5000) AS BIGINT) AS VARCHAR)) AS block, (rating < 25)::INT AS bad FROM pred),
+      num AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS k, count(*) OVER () AS nb FROM (SELECT DISTINCT block FROM b0) z),
+      slot AS (SELECT dd AS d, ('0x' || substr(md5('42:' || dd || ':' || s), 1, 12))::BIGINT % nb AS k FROM range(40) t(dd), (SELECT nb, unnest(range(nb)) AS s FROM (SELECT max(nb) AS nb FROM num) z) y),
+      mul AS (SELECT d, k, count(*) AS w FROM slot GROUP BY 1, 2 UNION ALL SELECT -1, k, 1 FROM num),
+      cnt AS (SELECT 'a' AS src, k, crack_mil AS s, bad AS y, rating AS yy, count(*) AS c FROM b0 JOIN num USING (block) GROUP BY ALL UNION ALL SELECT 'b', k, flood_mil, bad, rating, count(*) FROM b0 JOIN num USING (block) GROUP BY ALL),
+      dw AS MATERIALIZED (SELECT src, d, s, y, yy, sum(w * c) AS w FROM cnt JOIN mul USING (k) GROUP BY 1, 2, 3, 4, 5),
+      {ap if metric == "ap" else rho},
+      diff AS (SELECT d, x.m - y.m AS m FROM (FROM each WHERE src = 'a') x JOIN (FROM each WHERE src = 'b') y USING (d))
+      SELECT round(max(m) FILTER (d = -1), 6) AS value, round(quantile_cont(m, 0.025) FILTER (d >= 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (d >= 0), 6) AS high, count(m) FILTER (d >= 0) AS draws, (SELECT count(*) FROM num) AS n_blocks FROM diff"""
+
+
+def _rank_range(spark, d, y: str, metric: str):
+    s = fx.predictions(spark, d).withColumn("block", keys.block_id(F.col("mid_x"), F.col("mid_y"))).withColumn("bad", (F.col("rating") < 25).cast("int"))
+    return rounded(metrics.rank_bootstrap(s, "block", y, "crack_mil", "flood_mil", metric, 40), 6, "value", "low", "high")
+
+
+@query(_rank_draws("ap"))
+def met7_precision_difference(spark, d):
+    return _rank_range(spark, d, "bad", "ap")
+
+
+@query(_rank_draws("rho"))
+def met7_rank_difference(spark, d):
+    return _rank_range(spark, d, "rating", "rho")
+
+
 @query(f"""{CHECK_SQL}, blk AS (SELECT city, score, bl AS block, coalesce(sum(events) FILTER (fb = 5), 0) AS wc, coalesce(sum(exposure) FILTER (fb = 5), 0) AS wm, coalesce(sum(events) FILTER (fb = 1), 0) AS bc, coalesce(sum(exposure) FILTER (fb = 1), 0) AS bm
     FROM (SELECT c.*, concat(CAST(CAST(floor(mid_x / 5000) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(mid_y / 5000) AS BIGINT) AS VARCHAR)) AS bl FROM cut c JOIN (SELECT seg_id, mid_x, mid_y FROM seg) s USING (seg_id)) z GROUP BY 1, 2, 3),
   num AS (SELECT *, row_number() OVER (PARTITION BY city, score ORDER BY block) - 1 AS k, count(*) OVER (PARTITION BY city, score) AS nb FROM blk),

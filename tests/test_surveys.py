@@ -139,9 +139,14 @@ def test_ablation_and_transfer(spark):
     rows = [(k, rng.random(), rng.random(), f"b{k % 12}", k % 12 % 5, "w" if k % 12 < 8 else "e", 2000 + k % 3) for k in range(600)]
     df = spark.createDataFrame(rows, "id long, a double, b double, block string, fold int, place string, year int")
     df = df.withColumns({"y": F.col("a") * 4 + F.col("b"), "hit": (F.col("a") > 0.7).cast("int")})
-    arms = {r.arm: r for r in ablation.ablation(df, "id", [("b", ["b"]), ("+ a", ["a", "b"])], "y", "rate", "block", draws=100, iterations=5).collect()}
+    arms = {r.arm: r for r in ablation.ablation(df, "id", [("b", ["b"]), ("+ a", ["a", "b"])], "y", "rate", "block", draws=100, iterations=5, most_rho=1.0).collect()}
     assert arms["b"].change == 0 and arms["+ a"].mae < arms["b"].mae / 2 and arms["+ a"].low < arms["+ a"].change < arms["+ a"].high < 0
     assert arms["+ a"].change == pytest.approx(arms["+ a"].mae - arms["b"].mae)
+    with pytest.raises(Refused):
+        ablation.ablation(df, "id", [("+ a", ["a", "b"])], "y", "rate", "block", draws=5, iterations=5)
+    both = ablation.ablations(df, "id", [("b", ["b"]), ("+ a", ["a", "b"])], {"y": ("y", "rate"), "hit": ("hit", "yes")}, "block", draws=60, iterations=5, most_rho=1.0)
+    last = {r.arm: r for r in both.collect()}["+ a"]
+    assert last.hit_low <= last.hit_change <= last.hit_high and last.hit_low > 0.2 and last.hit_top_precision == 1.0 and last.hit_n == 600 and last.y_mae == pytest.approx(arms["+ a"].mae)
     got = {(r.part, r.method): r for r in ablation.transfer_test(df, "id", ["a", "b"], ["b"], "hit", "place", "w", "e", F.col("year") < 2002, "b", iterations=5).collect()}
     assert got["moved", "model"].ap > 0.95 > 0.6 > got["moved", "plain model"].ap and got["held out", "model"].n == df.where("place = 'w' and year < 2002").count()
     one_class = models.fit_predict(df.where("hit = 1"), df, "id", ["a"], [], "hit", "yes")
