@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridor.common import Refused
+
 # Flag threshold in thousandths, flooded depth in centimetres, oldest still in seconds, darkest usable luma.
 FLAG, FLOODED_CM, STALE_S, DARK = 500, 2, 900, 40
 
@@ -172,10 +174,22 @@ def circuit_check(log: DataFrame, least: int = 40, share: float = 0.5) -> DataFr
     return run.groupBy("round").agg(F.min(F.when((F.col("_n") >= least) & (F.col("_f") > share * F.col("_n")), F.col("attempt"))).alias("stop_at"))
 
 
-def replay(df: DataFrame, start: Column, end: Column, to: Column, tag: str, key: list[str], time: str = "time") -> DataFrame:
-    """Rows of a time range shifted so that the range ends at ``to``, tagged; rows whose key exists already are left out."""
-    moved = df.where((F.col(time) >= start) & (F.col(time) <= end)).withColumn(time, F.timestamp_micros(F.unix_micros(time) + F.unix_micros(to) - F.unix_micros(end)))
-    return moved.withColumn("replay_of", F.lit(tag)).join(df.select(key), key, "left_anti").select(*df.columns, "replay_of")
+def _shifted(df: DataFrame, start: Column, end: Column, to: Column, time: str) -> DataFrame:
+    """The rows of a time range, both ends in it, that are no replay, shifted so that the range ends at ``to``; replay_of is their own time."""
+    real = df.where("replay_of is null") if "replay_of" in df.columns else df
+    moved = real.where((F.col(time) >= start) & (F.col(time) <= end)).withColumn("replay_of", F.col(time))
+    return moved.withColumn(time, F.timestamp_micros(F.unix_micros(time) + F.unix_micros(to) - F.unix_micros(end)))
+
+
+def replay(df: DataFrame, start: Column, end: Column, to: Column, key: list[str], time: str = "time", complete: bool = True) -> DataFrame:
+    """The rows that a replay adds: those of a time range shifted so that it ends at ``to``, each with its own time as replay_of.
+
+    Replayed rows are not replayed again. A row whose key is there already is left out and never written over the other.
+    Nothing is replayed from a load that is not ``complete`` (the status of the last load, ``sinks.last_status``).
+    """
+    if not complete:
+        raise Refused("the last load is not complete: load first, then replay")
+    return _shifted(df, start, end, to, time).join(df.select(key), key, "left_anti").select(*[c for c in df.columns if c != "replay_of"], "replay_of")
 
 
 def replay_counts(df: DataFrame, start: Column, end: Column, to: Column, key: list[str], time: str = "time") -> DataFrame:
@@ -183,18 +197,20 @@ def replay_counts(df: DataFrame, start: Column, end: Column, to: Column, key: li
 
     ``key`` may hold ``hour``, the hour of a row's time, which moves with it.
     """
-    shifted = F.timestamp_micros(F.unix_micros(time) + F.unix_micros(to) - F.unix_micros(end))
-    moved = df.where((F.col(time) >= start) & (F.col(time) <= end)).withColumn(time, shifted)
+    moved = _shifted(df, start, end, to, time)
     moved = moved.withColumn("hour", F.date_trunc("hour", time)) if "hour" in key else moved
     out = moved.join(df.select(*key).distinct().withColumn("_there", F.lit(True)), key, "left")
     return out.agg(F.count_if(F.col("_there").isNull()).alias("moved"), F.count("_there").alias("skipped"))
 
 
-def replay_batches(moved: DataFrame, n: int, time: str = "time") -> DataFrame:
-    """``moved`` with batch, 1 to n in order of time, of about as many rows each; rows of one time share one."""
-    cuts = moved.agg(F.percentile_approx(F.unix_micros(time), [k / n for k in range(1, n)] or [1.0], 10_000).alias("_cuts"))
-    at = F.size(F.filter("_cuts", lambda c: F.unix_micros(time) > c)) + 1
-    return moved.crossJoin(F.broadcast(cuts)).withColumn("batch", F.least(at, F.lit(n))).drop("_cuts")  # one row of cuts
+def replay_batches(moved: DataFrame, n: int, start: Column, end: Column) -> DataFrame:
+    """``moved`` (with replay_of) with batch, 1 to n: the range cut in n spans of like length, each with its end, the first
+    with its start too. Rows of a busy span are one batch, as they would have come."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    begin, length = F.unix_micros(start), F.unix_micros(end) - F.unix_micros(start)
+    at = F.ceil((F.unix_micros("replay_of") - begin) * n / F.nullif(length, F.lit(0))).cast("int")
+    return moved.withColumn("batch", F.least(F.greatest(F.coalesce(at, F.lit(1)), F.lit(1)), F.lit(n)))
 
 
 def build_labels(frames: DataFrame, stills: DataFrame, twins: dict[str, str]) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corridor.common import shared_folder
 from corridor.functions import geo, keys, measures
 from corridor.operators import checks, depth, gates, linref, metrics, models, ranking, spatial, timeseries
 from corridor.plans import fixtures as fx
 from corridor.sources import readers
+from corridor.streaming import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -382,11 +384,73 @@ def str12_circuit_check(spark, d):
     return timeseries.circuit_check(log)
 
 
-@query("""SELECT camera_id, time + INTERVAL 30 DAY AS time, p_mil, 'storm' AS replay_of FROM reading WHERE time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'
-  AND (camera_id, time + INTERVAL 30 DAY) NOT IN (SELECT camera_id, time FROM reading)""")
+# a table that holds replays already: those of a seventh of its rows, three days on
+PLAYED_SQL = """, played AS (SELECT camera_id, time, p_mil, NULL::TIMESTAMP AS replay_of FROM reading UNION ALL SELECT camera_id, time + INTERVAL 3 DAY, p_mil, time FROM reading WHERE event_id % 7 = 0),
+  again AS (SELECT camera_id, time + INTERVAL 3 DAY AS time, p_mil, time AS replay_of FROM played WHERE replay_of IS NULL AND time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' AND (camera_id, time + INTERVAL 3 DAY) NOT IN (SELECT camera_id, time FROM played))"""
+
+
+def _again(spark, d):
+    ts = lambda s: F.lit(s).cast("timestamp")
+    r = fx.readings(spark, d).select("camera_id", "time", "p_mil", F.lit(None).cast("timestamp").alias("replay_of"), "event_id")
+    later = r.where("event_id % 7 = 0").withColumns({"time": F.col("time") + F.expr("interval 3 days"), "replay_of": F.col("time")})
+    return timeseries.replay(r.unionByName(later).drop("event_id"), ts("2024-01-10"), ts("2024-01-12"), ts("2024-01-15"), ["camera_id", "time"])
+
+
+@query(f"{PLAYED_SQL} SELECT * FROM again")
 def str5_replay(spark, d):
+    return _again(spark, d)
+
+
+@query(f"""{PLAYED_SQL} SELECT CAST(least(greatest(ceil((epoch_us(replay_of) - epoch_us(TIMESTAMP '2024-01-10')) / 28800000000.0::DOUBLE), 1), 6) AS INTEGER) AS batch, count(*) AS n, min(time) AS first, max(time) AS last FROM again GROUP BY 1""")
+def str5_replay_batches(spark, d):
     ts = lambda s: F.lit(s).cast("timestamp")
-    return timeseries.replay(fx.readings(spark, d).select("camera_id", "time", "p_mil"), ts("2024-01-10"), ts("2024-01-12"), ts("2024-02-11"), "storm", ["camera_id", "time"])
+    out = timeseries.replay_batches(_again(spark, d), 6, ts("2024-01-10"), ts("2024-01-12"))
+    return out.groupBy("batch").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
+# the store of readings: two thirds of the keys come in two batches and again, hours before the 15th are closed, days
+# before the 13th packed, then the rest comes, among it rows for closed hours, which count when refreshed
+STORE_SCHEMA = "event_id long, camera_id string, time timestamp, p_mil long"
+
+
+def _store(spark, d) -> str:
+    from datetime import datetime
+
+    root, r = shared_folder(spark, "store"), fx.readings(spark, d).select("event_id", "camera_id", "time", "p_mil")
+    add = store.append_once(spark, root, STORE_SCHEMA, ["camera_id", "time", "event_id"])
+    early = r.where("event_id % 3 > 0 and time < timestamp '2024-01-15 08:00:00'")
+    add(early.where("event_id % 2 = 0"), 0)
+    add(early, 1)
+    add(early, 1)
+    store.close_hours(spark, root, STORE_SCHEMA, _hour_sums, datetime(2024, 1, 15, 6))
+    store.pack(spark, root, STORE_SCHEMA, ["camera_id", "time"], F.col("day") < F.lit("2024-01-13").cast("date"))
+    add(r.unionByName(r.where("event_id % 5 = 0")), 2)
+    return root
+
+
+def _hour_sums(df):
+    return timeseries.hourly(df, "camera_id", ["p_mil"])
+
+
+@query("SELECT event_id, camera_id, time, p_mil, CAST(time AS DATE) AS day FROM reading")
+def str1_store_rows(spark, d):
+    return store.rows_of(spark, _store(spark, d), STORE_SCHEMA)
+
+
+@query("""SELECT camera_id, date_trunc('hour', time) AS bucket, max(p_mil) AS max_p_mil, count(*) AS n, min(time) AS first, max(time) AS last FROM reading
+  WHERE time >= TIMESTAMP '2024-01-15 06:00:00' OR event_id % 3 > 0 GROUP BY 1, 2""")
+def str3_hours_with_tail(spark, d):
+    return store.hours_of(spark, _store(spark, d), STORE_SCHEMA, _hour_sums)
+
+
+@query("""SELECT camera_id, date_trunc('hour', time) AS bucket, max(p_mil) AS max_p_mil, count(*) AS n, min(time) AS first, max(time) AS last FROM reading
+  WHERE time >= TIMESTAMP '2024-01-15 06:00:00' OR event_id % 3 > 0 OR CAST(time AS DATE) IN (DATE '2024-01-11', DATE '2024-01-14') GROUP BY 1, 2""")
+def str4_hours_refreshed(spark, d):
+    from datetime import date
+
+    root = _store(spark, d)
+    store.refresh_hours(spark, root, STORE_SCHEMA, _hour_sums, [date(2024, 1, 11), date(2024, 1, 14)])
+    return store.hours_of(spark, root, STORE_SCHEMA, _hour_sums)
 
 
 # metrics

@@ -336,12 +336,12 @@ def jon8_override_match(spark, d):
     return spatial.override_match(found, known, "report_id", "seg_id").select("report_id", "seg_id")
 
 
-REPLAYED = """, replayed AS (SELECT event_id, camera_id, time, p_mil, depth_cm, NULL::VARCHAR AS replay_of FROM reading UNION ALL SELECT event_id, camera_id, time + INTERVAL 3 DAY, p_mil, depth_cm, 'storm' FROM reading WHERE event_id % 7 = 0)"""
+REPLAYED = """, replayed AS (SELECT event_id, camera_id, time, p_mil, depth_cm, NULL::TIMESTAMP AS replay_of FROM reading UNION ALL SELECT event_id, camera_id, time + INTERVAL 3 DAY, p_mil, depth_cm, time FROM reading WHERE event_id % 7 = 0)"""
 
 
 def _replayed(spark, d):
-    r = fx.readings(spark, d).select("event_id", "camera_id", "time", "p_mil", "depth_cm", F.lit(None).cast("string").alias("replay_of"))
-    again = r.where("event_id % 7 = 0").withColumns({"time": F.col("time") + F.expr("interval 3 days"), "replay_of": F.lit("storm")})
+    r = fx.readings(spark, d).select("event_id", "camera_id", "time", "p_mil", "depth_cm", F.lit(None).cast("timestamp").alias("replay_of"))
+    again = r.where("event_id % 7 = 0").withColumns({"time": F.col("time") + F.expr("interval 3 days"), "replay_of": F.col("time")})
     return r.unionAll(again)
 
 

@@ -43,6 +43,12 @@ def read_versioned(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/{last[0]['version']}")
 
 
+def last_status(spark: SparkSession, root: str) -> str | None:
+    """The status of the newest version of any name under a root; null where nothing was loaded."""
+    notes = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
+    return notes.agg(F.max_by("status", F.struct("at", F.when(F.col("status") == "complete", 1).otherwise(0)))).first()[0]
+
+
 # Layouts of exports, heading to source column and kind.
 RISK = {
     "seg_id": ("seg_id", "text"), "route_id": ("route_id", "text"), "route": ("route", "text"), "county": ("county", "text"), "beg_mp": ("beg_mp", "float"), "end_mp": ("end_mp", "float"),
