@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corridor.common import Refused
 from corridor.functions.keys import block_id, epoch_ms, fold_of
+from corridor.operators.ranking import global_rank
 
 # What no model may see because it was measured in the same survey or is a label, by name and by prefix.
 BANNED = frozenset(
@@ -107,6 +108,38 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return h.agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
 
 
+#: Two primes under 2^31 and a base below each, so that products stay within a long.
+MODULI, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
+
+
+def ordered_fingerprint(df: DataFrame, order: list[str]) -> DataFrame:
+    """n and h: a hash of the rows in their order by ``order`` (a key), so that a changed value, place or row changes it.
+
+    A row at place k adds its own hash times the k-th power of a base, modulo a prime, and so for two primes: sums of
+    ranges add up, so no task sees all rows, and the hash is the same however they are dealt. Columns go by name.
+    """
+    texts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in sorted(df.columns)]
+    own = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 12), 16, 10).cast("long")
+    ranked = global_rank(df.select(*order, own.alias("_own")), [F.asc(c) for c in order], "_k")
+
+    def sum_of(p: int, base: int) -> Column:
+        squares = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(pow(base, 1 << k, p)).cast("long").alias("v")) for k in range(48)])
+        bit = lambda k: F.call_function("shiftright", F.col("_k"), k).bitwiseAND(F.lit(1).cast("long")) == 1
+        power = F.aggregate(squares, F.lit(1).cast("long"), lambda a, x: F.when(bit(x["k"]), a * x["v"] % p).otherwise(a))
+        total = F.sum((F.col("_own") % p * power % p).cast("decimal(20,0)"))
+        return F.coalesce((total % F.lit(p).cast("decimal(20,0)")).cast("long").cast("string"), F.lit("0"))
+
+    parts = [sum_of(p, base) for p, base in zip(MODULI, BASES, strict=True)]
+    return ranked.agg(F.count("*").alias("n"), F.concat_ws("-", *parts).alias("h"))
+
+
+def unchanged(before: DataFrame, after: DataFrame) -> None:
+    """Refuses where two fingerprints, each one row, differ in any value."""
+    a, b = before.first(), after.first()
+    if a != b:
+        raise Refused(f"rows changed: {a.asDict()} before, {b.asDict()} after")
+
+
 def not_too_good(name: str, value: float | None, most: float) -> float | None:
     if value is not None and value > most:
         raise Refused(f"{name} is {value:.3f}: over {most} something leaks")

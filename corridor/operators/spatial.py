@@ -78,11 +78,68 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda s, h: s + h) % 2 == 1
 
 
+def _edges(polygons: DataFrame, name: str) -> DataFrame:
+    """name, a and b: every edge of every ring, its lower end first; level edges never cross a level ray."""
+    ring = F.explode("rings").alias("r")
+    pieces = F.zip_with(F.slice("r", F.lit(1), F.size("r") - 1), F.slice("r", F.lit(2), F.size("r") - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    each = polygons.select(name, ring).where("size(r) > 1").select(name, F.explode(pieces).alias("e")).select(name, "e.p", "e.q")
+    up = F.col("p")["y"] <= F.col("q")["y"]
+    return each.select(name, F.when(up, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(up, F.col("q")).otherwise(F.col("p")).alias("b"))
+
+
+def _crossing(y: Column) -> Column:
+    """Where an edge meets the level line at y, if it does: its lower end counts as on it, its upper end does not."""
+    a, b = F.col("a"), F.col("b")
+    return F.when((a["y"] <= y) & (y < b["y"]), a["x"] + (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]))
+
+
+def covering(polygons: DataFrame, name: str, cell: float) -> DataFrame:
+    """name, cx, cy and edge of every grid cell that a polygon (name, rings) has a part in: edge where its outline passes.
+
+    Rings are outlines of any parts and of holes, in any order: what lies inside an odd number of them is inside. Edges
+    are taken one by one through the columns that they cross, and the cells between two crossings of a row's middle are
+    inside: no polygon is tested cell by cell, however large.
+    """
+    e = _edges(polygons, name)
+    a, b, near = F.col("a"), F.col("b"), cell * 1e-9
+    low, high = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+    column = e.withColumn("cx", F.explode(F.sequence(F.floor((low - near) / cell), F.floor((high + near) / cell))))
+    slope = F.coalesce((b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)), F.lit(0.0))
+    ends = [a["y"] + slope * (F.least(F.greatest(F.col("cx") * cell + k * cell, low), high) - a["x"]) for k in (0, 1)]
+    upright = a["x"] == b["x"]
+    bottom, top = F.when(upright, a["y"]).otherwise(F.least(*ends)), F.when(upright, b["y"]).otherwise(F.greatest(*ends))
+    rows = F.explode(F.sequence(F.floor((bottom - near) / cell), F.floor((top + near) / cell))).alias("cy")
+    outline = column.select(name, "cx", rows).distinct()
+
+    across = e.withColumn("cy", F.explode(F.sequence(F.floor(a["y"] / cell), F.floor(b["y"] / cell))))
+    met = across.withColumn("x", _crossing((F.col("cy") + 0.5) * cell)).where("x is not null").groupBy(name, "cy").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.get("xs", k * 2).alias("l"), F.get("xs", k * 2 + 1).alias("r")))
+    spans = met.where("size(xs) >= 2").select(name, "cy", F.explode(pairs).alias("s"))
+    first, last = F.ceil(F.col("s.l") / cell - 0.5), F.floor(F.col("s.r") / cell - 0.5)
+    inner = spans.select(name, "cy", first.alias("f"), last.alias("t")).where("f <= t").select(name, F.explode(F.sequence("f", "t")).alias("cx"), "cy")
+    inner = inner.join(outline, [name, "cx", "cy"], "left_anti").distinct()
+    return outline.withColumn("edge", F.lit(True)).unionByName(inner.withColumn("edge", F.lit(False)))
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame, pt_id: str, name: str, cell: float) -> DataFrame:
-    """The first polygon by name that holds each point, else null. Polygons meet only points of the cells they touch."""
-    b = polygons.withColumn("_cell", F.explode(geo.cells_for_bounds(geo.bounds(F.col("ring")), cell)))
-    a = points.withColumn("_cell", geo.cell_key(F.col("x"), F.col("y"), cell))
-    held = a.join(b, "_cell").where(point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(pt_id).agg(F.min(name).alias(name))
+    """The first polygon by name that holds each point, else null.
+
+    ``polygons``: name and rings (closed, of all parts and holes), or name and one ring. Names that repeat are parts of
+    one polygon. A point of an inner cell is inside without a test. In a cell of the outline the edges that reach into the
+    cell's row are met, and the crossings to the right of the point counted: odd is inside.
+    """
+    if "rings" not in polygons.columns:
+        polygons = polygons.select(name, F.array("ring").alias("rings"))
+    spot = geo.cell_key(F.col("x"), F.col("y"), cell)
+    a = points.select(pt_id, "x", "y", spot["cx"].alias("cx"), spot["cy"].alias("cy"))
+    met = a.join(covering(polygons, name, cell), ["cx", "cy"])
+    whole = met.where("not edge").select(pt_id, name)
+    e = _edges(polygons, name)
+    rows = e.withColumn("cy", F.explode(F.sequence(F.floor(F.col("a")["y"] / cell), F.floor(F.col("b")["y"] / cell))))
+    tried = met.where("edge").select(pt_id, "x", "y", "cy", name).join(rows, [name, "cy"])
+    right = F.count_if(F.coalesce(_crossing(F.col("y")) > F.col("x"), F.lit(False)))
+    exact = tried.groupBy(pt_id, name).agg(right.alias("n")).where("n % 2 = 1").select(pt_id, name)
+    held = whole.unionByName(exact).groupBy(pt_id).agg(F.min(name).alias(name))
     return points.select(pt_id).join(held, pt_id, "left")
 
 

@@ -285,6 +285,25 @@ def jon9_point_in_polygon(spark, d):
     return spatial.point_in_polygon(s, area, "seg_id", "area", 10000)
 
 
+# a triangle with a hole that holds an island, a second part, and a square that overlaps them
+HOLED_SQL = """SELECT seg_id, CASE WHEN ((mid_x + mid_y < 350000 AND mid_x >= 200000 AND mid_y >= 100000)::INT + (mid_x BETWEEN 210001 AND 225000 AND mid_y BETWEEN 105001 AND 120000)::INT + (mid_x BETWEEN 214001 AND 219000 AND mid_y BETWEEN 108001 AND 118000)::INT
+  + (mid_x BETWEEN 250001 AND 258000 AND mid_y BETWEEN 140001 AND 159000)::INT) % 2 = 1 THEN 'city' WHEN mid_x BETWEEN 205001 AND 255000 AND mid_y BETWEEN 102001 AND 150000 THEN 'town' END AS area FROM seg"""
+
+
+@query(HOLED_SQL)
+def jon9_polygons_with_holes(spark, d):
+    def box(x0, y0, x1, y1):
+        x0, y0, x1, y1 = (F.lit(v + 0.5) for v in (x0, y0, x1, y1))
+        return geo.line_of((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+
+    s = fx.segments(spark, d).select("seg_id", (F.col("mid_x") + 0.0).alias("x"), (F.col("mid_y") + 0.0).alias("y"))
+    a, b, c = (F.lit(v) for v in (199999.5, 99999.5, 250000.5))
+    triangle = geo.line_of((a, b), (c, b), (a, F.lit(150000.5)), (a, b))
+    city = F.array(box(210000, 105000, 225000, 120000), triangle, box(214000, 108000, 219000, 118000), box(250000, 140000, 258000, 159000))
+    areas = spark.range(1).select(F.explode(F.array(F.struct(F.lit("city").alias("area"), city.alias("rings")), F.struct(F.lit("town").alias("area"), F.array(box(205000, 102000, 255000, 150000)).alias("rings")))).alias("p")).select("p.*")
+    return spatial.point_in_polygon(s, areas, "seg_id", "area", 1000)
+
+
 @query("SELECT seg_id FROM pred WHERE mid_x BETWEEN 210000 AND 215000 AND mid_y BETWEEN 110000 AND 118000")
 def jon10_box_query(spark, d):
     x, y = F.col("mid_x"), F.col("mid_y")

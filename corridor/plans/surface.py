@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corridor.common import shared_folder
 from corridor.functions import geo, keys, measures
 from corridor.operators import checks, depth, gates, linref, models, timeseries
 from corridor.plans import fixtures as fx
@@ -193,6 +194,46 @@ def jon3_tolerance_match(spark, d):
     return linref.tolerance_match(s.withColumnRenamed("seg_id", "master_id"), a.unionAll(b), 5)
 
 
+# Sections whose beginnings alternate with the segments' at gaps of 1, 2, 3, ...: each pair has to wait for the one before
+# it. Every second chain lacks its first segment, and all its pairs are one further on.
+CHAIN_SQL = """, r0 AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY beg) - 1 AS r FROM seg), c AS (SELECT rid, r, r // 6 % 2 = 1 AS odd, r % 6 AS j FROM r0)"""
+
+
+@query(f"""{CHAIN_SQL} SELECT rid || '/' || r AS master_id, rid || '/' || CASE WHEN odd THEN r - 1 ELSE r END AS detail_id, CAST(CASE WHEN odd THEN 4 * j ELSE 4 * j + 2 END AS BIGINT) AS d FROM c WHERE NOT (odd AND j = 0)""")
+def jon3_chained_matches(spark, d):
+    r = F.row_number().over(Window.partitionBy("rid").orderBy("beg")) - 1
+    s = fx.segments(spark, d).select("rid", r.cast("long").alias("r")).withColumns({"j": F.col("r") % 6, "base": F.floor(F.col("r") / 6) * 1000})
+    name = F.concat_ws("/", F.col("rid").cast("string"), F.col("r").cast("string"))
+    m, p = F.col("base") + F.col("j") * (2 * F.col("j") + 1), F.col("base") + (2 * F.col("j") + 1) * (F.col("j") + 1)
+    master = s.where((F.floor(F.col("r") / 6) % 2 == 0) | (F.col("j") > 0)).select("rid", name.alias("master_id"), m.alias("beg"), (m + 100).alias("end"))
+    return linref.tolerance_match(master, s.select("rid", name.alias("detail_id"), p.alias("pb"), (p + 100).alias("pe")), 12)
+
+
+# contracts and exports
+
+
+def _power_sql(k: int) -> str:
+    p, base = gates.MODULI[k], gates.BASES[k]
+    steps = ", ".join(str(pow(base, 1 << i, p)) for i in range(24))
+    return f"list_reduce(list_prepend(1::BIGINT, list_transform(list_filter(range(24), lambda i: (k >> i) & 1 = 1), lambda i: [{steps}][i + 1])), lambda a, b: a * b % {p})"
+
+
+@query(f"""SELECT count(*) AS n, CAST(sum(own % {gates.MODULI[0]} * {_power_sql(0)} % {gates.MODULI[0]}) % {gates.MODULI[0]} AS VARCHAR) || '-' || CAST(sum(own % {gates.MODULI[1]} * {_power_sql(1)} % {gates.MODULI[1]}) % {gates.MODULI[1]} AS VARCHAR) AS h
+  FROM (SELECT ('0x' || substr(md5('=' || age || '|=' || crack_mil || '|=' || seg_id || '|' || CASE WHEN ytp_milli IS NULL THEN '-' ELSE '=' || ytp_milli END), 1, 12))::BIGINT AS own, row_number() OVER (ORDER BY crack_mil, seg_id) AS k FROM pred) z""")
+def qlt9_ordered_fingerprint(spark, d):
+    return gates.ordered_fingerprint(fx.predictions(spark, d).select("seg_id", "crack_mil", "age", "ytp_milli"), ["crack_mil", "seg_id"])
+
+
+@query("""SELECT seg_id, CASE WHEN ytp_milli IS NULL THEN '' ELSE regexp_replace(regexp_replace(printf('%.6f', ytp_milli / 1000.0::DOUBLE), '0+$', ''), '\\.$', '') END AS years, CASE WHEN heldout THEN 'true' ELSE 'false' END AS heldout,
+  CAST((row_number() OVER (ORDER BY seg_id) - 1) // 700 AS INTEGER) AS page FROM pred""")
+def snk2_csv_pages(spark, d):
+    path = shared_folder(spark, "pages")
+    p = fx.predictions(spark, d).withColumn("years", F.col("ytp_milli") / 1000.0)
+    sinks.write_fixed_csv(p, path, {"seg_id": "text", "years": "float", "heldout": "bool"}, "seg_id", page=700)
+    back = spark.read.schema("seg_id string, years string, heldout string").csv(path, header=True)
+    return back.select("seg_id", F.coalesce("years", F.lit("")).alias("years"), "heldout", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("page"))
+
+
 # geometry
 
 

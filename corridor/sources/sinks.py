@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corridor.common import Refused
+from corridor.operators.ranking import global_rank
 
 MANIFEST = "name string, version string, status string, rows long, at timestamp"
 
@@ -122,14 +123,29 @@ def csv_text(df: DataFrame, layout: dict[str, str]) -> DataFrame:
     return df.select(*[text(c, k) for c, k in layout.items()])
 
 
-def write_fixed_csv(df: DataFrame, path: str, layout: dict[str, str], key: str) -> None:
-    """The layout sorted by key, in files by ranges of the key: the same bytes for the same rows and partitions."""
-    csv_text(df, layout).repartitionByRange(key).sortWithinPartitions(key).write.csv(path, header=True, emptyValue="")
+#: Rows of a page of an export.
+PAGE = 250_000
 
 
-def write_laid_out(df: DataFrame, path: str, layout: dict[str, tuple[str | None, str]], key: str = "seg_id") -> None:
-    """An export in one of the fixed layouts, sorted by its heading ``key`` over files by ranges of it."""
-    laid_out(df, layout).repartitionByRange(key).sortWithinPartitions(key).write.csv(path, header=True, emptyValue="")
+def write_fixed_csv(df: DataFrame, path: str, layout: dict[str, str], key: str, page: int = PAGE) -> None:
+    """The layout sorted by ``key`` (and, where keys repeat, by all columns) in files of ``page`` rows each but the last.
+
+    Pages are cut by exact rank, so the same rows give the same files, byte for byte, however they were dealt before.
+    """
+    _write_pages(csv_text(df, layout), path, key, page)
+
+
+def write_laid_out(df: DataFrame, path: str, layout: dict[str, tuple[str | None, str]], key: str = "seg_id", page: int = PAGE) -> None:
+    """An export in one of the fixed layouts, in pages by exact rank of its heading ``key``."""
+    _write_pages(laid_out(df, layout), path, key, page)
+
+
+def _write_pages(text: DataFrame, path: str, key: str, page: int) -> None:
+    order = [F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in text.columns if c != key]]
+    ranked = global_rank(text, [c.asc() for c in order], "_rank").withColumn("_page", F.floor((F.col("_rank") - 1) / page).cast("int"))
+    pages = ranked.agg(F.coalesce(F.max("_page"), F.lit(0)) + 1).first()[0]
+    dealt = ranked.repartitionById(pages, F.col("_page")).sortWithinPartitions("_rank")
+    dealt.drop("_rank", "_page").write.csv(path, header=True, emptyValue="")
 
 
 def data_dictionary(df: DataFrame, said: dict[str, tuple[str, str]]) -> DataFrame:

@@ -1,7 +1,7 @@
 """A store of timed rows by day: appends that stay unique, packed past days, and hourly summaries with a live tail.
 
 Under the root of a store:
-live/batch=<id>/day=<date>    rows as batches brought them; a batch that comes again overwrites itself alone
+live/batch=<id>/day=<date>    rows as batches brought them; a batch that comes again is there already
 packed/version=<n>/day=<date> past days in few sorted files
 packs/                        which version a day has, and up to which batch it holds the day's live rows
 hourly/day=<date>, marks/     summaries of closed hours, and up to when hours are closed
@@ -20,7 +20,7 @@ PACKS, MARKS = "day date, version long, upto long", "n long, upto timestamp"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, in any store that Spark reaches, and a writer has finished with it."""
+    """Whether a file or folder is there, in any store that Spark reaches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -62,13 +62,16 @@ def append_once(spark: SparkSession, root: str, schema: str, key: list[str], tim
     """For foreachBatch: rows whose key the store does not hold yet are added, however late they come.
 
     A key holds the time, so a row can only repeat one of its own day: the days that the batch touches are read, no others.
-    A batch that is run again after a failure is put in its own place again, and does not see its first attempt.
-    Rows without a time are refused.
+    A batch that is there whole already is left as it is; one that failed half-way is put in its own place again, and does
+    not see its first attempt. So ids must come from one checkpoint for as long as the store lives. Rows without a time
+    are refused.
     """
     if time not in key:
         raise Refused(f"a key without {time} would have to be looked for in every day")
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if exists(spark, f"{root}/live/batch={batch_id}/_SUCCESS"):
+            return
         new = batch.select(*spark.createDataFrame([], schema).columns).withColumn("day", F.to_date(time)).dropDuplicates(key).persist()
         days = [r["day"] for r in new.select("day").distinct().collect()]  # the days of one batch
         if None in days:

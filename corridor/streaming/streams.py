@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from corridor.operators.timeseries import DARK, STALE_S
 from corridor.sources.sinks import write_versioned
+from corridor.streaming.store import append_once
 
 
 def readings_stream(spark: SparkSession, path: str, schema: str, key: list[str], time: str = "time", late: str = "1 hour") -> DataFrame:
@@ -82,3 +84,8 @@ def still_status_stream(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame({"camera_id": key[0], "round": rows["round"].to_numpy(), "status": said})
 
     return stream.groupBy("camera_id").applyInPandasWithState(classify, "camera_id string, round long, status string", "last string", "append", "NoTimeout")
+
+
+def store_stream(stream: DataFrame, root: str, schema: str, key: list[str], checkpoint: str, time: str = "time") -> DataStreamWriter:
+    """A writer that adds a stream to a store of timed rows (``streaming.store``), each key once for ever."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append_once(stream.sparkSession, root, schema, key, time))

@@ -104,8 +104,6 @@ def test_clearing_replays_and_compacting(spark, tmp_path):
     streams.compact(spark, str(tmp_path / "r"), "2024-01-01", str(tmp_path / "v"), "camera_id")
     again = sinks.read_versioned(spark, str(tmp_path / "v"), "day=2024-01-01")
     assert sorted(map(str, again.collect())) == sorted(map(str, df.collect())) and before == sorted(p.name for p in (tmp_path / "r/day=2024-01-01").iterdir())
-    batches = timeseries.replay_batches(df, 2).collect()
-    assert {r.batch for r in batches} == {1, 2} and max(r.time for r in batches if r.batch == 1) < min(r.time for r in batches if r.batch == 2)
 
 
 def test_alert_rules(spark):
