@@ -5,8 +5,8 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -88,6 +88,15 @@ def naive_prediction(df: DataFrame, key: str, label: str, fold: str = "fold", fo
     return df.crossJoin(F.broadcast(m)).select(key, fold, F.coalesce(*[F.when(F.col(fold) == k, F.col(f"m{k}")) for k in range(folds)]).alias("naive"))  # one row of medians
 
 
+def _bare(model: PipelineModel) -> PipelineModel:
+    """``model`` without the summaries of its training: these hold the session, which no task can take along once it has
+    observed a metric."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def probe(df: DataFrame, key: str, vector: str, label: str, kind: str, fold: str = "fold", folds: int = 5, alpha: float = 1.0) -> DataFrame:
     """Out-of-fold ridge (rate) or logistic regression on standardised vectors.
 
@@ -109,7 +118,7 @@ def probe(df: DataFrame, key: str, vector: str, label: str, kind: str, fold: str
             est = LinearRegression(labelCol=label, solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha * sd / n)
         else:
             est = LogisticRegression(labelCol=label, standardization=False, regParam=1 / (alpha * n))
-        model = Pipeline(stages=[scaled, est]).fit(known.where(F.col(fold) != k))
+        model = _bare(Pipeline(stages=[scaled, est]).fit(known.where(F.col(fold) != k)))
         parts.append(checkpointed(_predicted(model.transform(d.where(F.col(fold) == k)), kind, "oof").select(key, "oof")))
     return reduce(DataFrame.unionAll, parts) if parts else df.select(key, F.lit(None).cast("double").alias("oof")).limit(0)
 

@@ -189,8 +189,10 @@ def road_record(seg_id: str, roads: DataFrame, monthly: DataFrame, cameras: Data
     shape = {"shape": F.transform("line", lambda p: F.array(F.round(p["x"], 6), F.round(p["y"], 6)))} if "line" in one.columns else {}
     record = one.select(record_json(**{c: F.col(c) for c in plain}, **shape).alias("road"))
     months = monthly.where(F.col("seg_id") == seg_id).agg(F.sort_array(F.collect_list(F.struct(F.col("bucket").cast("string").alias("month"), "source", "n"))).alias("m"))
-    latest = hours.groupBy("camera_id").agg(F.max_by(F.struct(*[c for c in hours.columns if c != "camera_id"]), "bucket").alias("h"))
-    own = cameras.where(F.col("seg_id") == seg_id).join(latest, "camera_id", "left")
+    own = cameras.where(F.col("seg_id") == seg_id)
+    some = hours.join(own.select("camera_id"), "camera_id", "left_semi")  # before they are summed: other cameras' hours are not
+    latest = some.groupBy("camera_id").agg(F.max_by(F.struct(*[c for c in hours.columns if c != "camera_id"]), "bucket").alias("h"))
+    own = own.join(latest, "camera_id", "left")
     hour = [F.col(f"h.{c}").cast("string" if c == "bucket" else hours.schema[c].dataType).alias("latest_hour" if c == "bucket" else c) for c in hours.columns if c != "camera_id"]
     seen = own.agg(F.sort_array(F.collect_list(F.struct("camera_id", "known_dry", *hour))).alias("c"))  # a road's cameras are few
     out = record.crossJoin(months).crossJoin(seen)  # one row each

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from corridor.common import Refused
@@ -31,6 +32,9 @@ def test_probe_is_ridge_on_standardised_columns(spark):
 
 
 def test_probe_says_yes_or_no(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3  # from here on the session can't be sent to tasks, nor a model that holds it
     x, y = _rows()
     df = spark.createDataFrame([(k, x[k].tolist(), float(y[k] > np.median(y)), k % 5) for k in range(len(y))], "id long, e array<double>, y double, fold int").withColumn("v", array_to_vector("e"))
     out = models.probe(df, "id", "v", "y", "yes").join(df.select("id", "y"), "id").toPandas()
