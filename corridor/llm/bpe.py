@@ -7,6 +7,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ class Vocabulary:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -43,11 +44,10 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.end = spec["model"]["end_of_word_suffix"]
-        vocab, merges = spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.whole, self.open = self.tokenizer.model, models.BPE(vocab=vocab, merges=merges)
+        self.path, self.whole = path, self.tokenizer.model
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.symbols = {k: t for t, k in (vocab | special).items()}
+        self.symbols = {k: t for t, k in (spec["model"]["vocab"] | special).items()}
         self.closed = {k for k, t in self.symbols.items() if t.endswith(self.end) or t in special}
         parts = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.plain = None
@@ -55,6 +55,15 @@ class Vocabulary:
             self._learn_letters()
         self._known: dict[bytes, bytes] = {}
 
+    @cached_property
+    def open(self):
+        """The model without word ends, for words that go on; loaded where a word is cut."""
+        from tokenizers import models
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        return models.BPE(vocab=spec["vocab"], merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]])
+
     def _learn_letters(self) -> None:
         """Texts of printed ASCII and common letters are parted here, by the same pattern: plain, parted, letters."""
         tried = {}
@@ -176,14 +185,30 @@ class Vocabulary:
         return out
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
+@cache
 def vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a file, loaded once a worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+    return Vocabulary(path)
+
+
+@cache
+def symbols_of(path: str) -> dict[int, str]:
+    """The symbols of a file's ids, special tokens among them."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec.get("decoder") is not None:
+        raise ValueError("a tokenizer without a decoder is needed: its tokens are joined by spaces")
+    return {k: t for t, k in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+#: Rows that a worker holds as Python values at once.
+ROWS = 256
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for low in range(0, b.num_rows, ROWS):
+            yield b.slice(low, ROWS)
 
 
 def _ids(rows: list[np.ndarray]) -> pa.Array:
@@ -213,7 +238,7 @@ def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in _few(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), _ids([v.encode(t) for t in b.column(1).to_pylist()])], ["doc_id", "ids"])
 
     short = of.where(~long).select("doc_id", "text").mapInArrow(whole, f"doc_id {kind}, ids array<int>")
@@ -270,11 +295,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        if v.tokenizer.decoder is not None:
-            raise ValueError("a tokenizer without a decoder is needed: its tokens are joined by spaces")
-        for b in batches:
-            texts = [" ".join([t for t in map(v.symbols.get, r.tolist()) if t is not None]) for r in _rows(b.column(1))]
+        symbols = symbols_of(path)
+        for b in _few(batches):
+            texts = [" ".join([t for t in map(symbols.get, r.tolist()) if t is not None]) for r in _rows(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
