@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import struct
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -208,76 +208,121 @@ def tile_name(tile: Column) -> Column:
     return F.concat(F.lit("t_"), sign(tile["ty"]), F.lit("_"), sign(tile["tx"]), F.lit(".tif"))
 
 
-def _parts(data: bytes | None) -> list | None:
-    """WKB points, lines, polygons and their multiples as parts of vertices."""
-    if data is None:
-        return None
-    at = 0
-
-    def read(kind: str, order: str):
-        nonlocal at
-        out = struct.unpack_from(order + kind, data, at)
-        at += struct.calcsize(order + kind)
-        return out
-
-    def vertices(order: str, n: int) -> list:
-        flat = read(f"{2 * n}d", order)
-        return [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2], strict=True)]
-
-    def shape() -> list:
-        nonlocal at
-        order = "<" if data[at] else ">"
-        at += 1
-        kind = read("I", order)[0]
-        if kind == 1:
-            return [vertices(order, 1)]
-        n = read("I", order)[0]
-        if kind == 2:
-            return [vertices(order, n)]
-        if kind == 3:
-            return [vertices(order, read("I", order)[0]) for _ in range(n)]
-        if kind in (4, 5, 6):
-            return [p for _ in range(n) for p in shape()]
-        raise ValueError(f"WKB kind {kind} is not read")
-
-    return shape()
+def _number(data: np.ndarray, at: np.ndarray, little: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers that start at the given bytes, each in its own byte order."""
+    size = np.dtype(kind).itemsize
+    raw = data[at[:, None] + np.where(little[:, None], np.arange(size), np.arange(size)[::-1])]
+    return np.ascontiguousarray(raw).view("<" + kind).ravel()
+
+
+def _nested(offsets: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.Array:
+    mask = None if null is None or not null.any() else pa.array(null)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... anew for each count."""
+    return np.arange(counts.sum()) - np.repeat(_ends(counts)[:-1], counts)
+
+
+def parts_of_wkb(shapes: pa.Array) -> pa.Array:
+    """WKB points, lines, polygons and their multiples as lists of parts, rings in their order.
+
+    All shapes of a batch go on together: a step reads the next header of each, and steps are as many as the most parts
+    that one shape has. Vertices are then taken out of the buffer at once.
+    """
+    null = shapes.is_null().to_numpy(zero_copy_only=False)
+    shapes = shapes.cast(pa.binary())
+    ends = np.frombuffer(shapes.buffers()[1], np.int32)[shapes.offset : shapes.offset + len(shapes) + 1].astype(np.int64) if len(shapes) else np.zeros(1, np.int64)
+    held = shapes.buffers()[2] if len(shapes) else None
+    data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    at, stop = ends[:-1].copy(), ends[1:]
+    due, rings = np.where(null, 0, 1), np.zeros(len(null), np.int64)  # shapes and rings that a row still has to read
+    little = np.zeros(len(null), bool)
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def take(rows: np.ndarray, n: np.ndarray) -> None:
+        if (at[rows] + 16 * n > stop[rows]).any():
+            raise ValueError("WKB ends within a shape")
+        found.append((rows, at[rows].copy(), n, little[rows].copy()))
+        at[rows] += 16 * n
+
+    def read(rows: np.ndarray) -> np.ndarray:
+        if (at[rows] + 4 > stop[rows]).any():
+            raise ValueError("WKB ends within a shape")
+        at[rows] += 4
+        return _number(data, at[rows] - 4, little[rows], "u4").astype(np.int64)
+
+    while (live := np.flatnonzero((due > 0) | (rings > 0))).size:
+        ring = live[rings[live] > 0]
+        take(ring, read(ring))
+        rings[ring] -= 1
+        head = np.setdiff1d(live, ring, assume_unique=True)
+        if (at[head] >= stop[head]).any():
+            raise ValueError("WKB ends within a shape")
+        little[head] = data[at[head]] != 0
+        at[head] += 1
+        kind = read(head)
+        if (strange := kind[(kind < 1) | (kind > 6)]).size:
+            raise ValueError(f"WKB kind {strange[0]} is not read")
+        due[head] -= 1
+        take(head[kind == 1], np.ones((kind == 1).sum(), np.int64))
+        take(line := head[kind == 2], read(line))
+        area, many = head[kind == 3], head[kind > 3]
+        rings[area] = read(area)
+        due[many] += read(many)
+
+    kinds = (np.int64, np.int64, np.int64, bool)
+    rows, starts, n, order = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate(kinds))
+    by = np.lexsort((starts, rows))  # a row's parts lie one after the other
+    rows, starts, n, order = rows[by], starts[by], n[by], np.repeat(order[by], n[by])
+    spots = np.repeat(starts, n) + 16 * _within(n)
+    x, y = (pa.array(_number(data, spots + k, order, "f8")) for k in (0, 8))
+    parts = _nested(_ends(n), pa.StructArray.from_arrays([x, y], ["x", "y"]))
+    return _nested(_ends(np.bincount(rows, minlength=len(null))), parts, null)
 
 
 def wkb_to_parts(wkb: Column) -> Column:
     """Geometry bytes to parts of vertices; 4.1's own spatial functions are switched off."""
-
-    @F.pandas_udf(f"array<{VERTICES}>")
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(_parts)
-
-    return run(wkb)
-
-
-def _simplified(line: list | None, tolerance: float) -> list | None:
-    if line is None or len(line) < 3:
-        return line
-    keep, stack = {0, len(line) - 1}, [(0, len(line) - 1)]
-    while stack:
-        i, j = stack.pop()
-        ax, ay = line[i]["x"], line[i]["y"]
-        dx, dy = line[j]["x"] - ax, line[j]["y"] - ay
-        far, at = -1.0, -1
-        for k in range(i + 1, j):
-            px, py = line[k]["x"] - ax, line[k]["y"] - ay
-            t = min(max((px * dx + py * dy) / (dx * dx + dy * dy), 0), 1) if dx or dy else 0
-            d = math.hypot(px - t * dx, py - t * dy)
-            far, at = (d, k) if d > far else (far, at)
-        if far > tolerance:
-            keep.add(at)
-            stack += [(i, at), (at, j)]
-    return [line[k] for k in sorted(keep)]
+    return F.arrow_udf(parts_of_wkb, f"array<{VERTICES}>")(wkb)
+
+
+def simplified(lines: pa.Array, tolerance: float) -> pa.Array:
+    """Lines of fewer vertices, none further than ``tolerance`` from the result; ends stay.
+
+    All stretches of all lines of a batch are looked at together: in each round every stretch keeps its vertex furthest
+    from its chord (the first of several), where that is too far, and becomes two.
+    """
+    null = lines.is_null().to_numpy(zero_copy_only=False)
+    lines = pa.ListArray.from_arrays(pa.array(_ends(np.where(null, 0, lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))), pa.int32()), lines.flatten())
+    ends, spots = lines.offsets.to_numpy().astype(np.int64), lines.values
+    x, y = (spots.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+    keep = np.zeros(len(x), bool)
+    held = np.diff(ends) > 0
+    first, last = ends[:-1][held], ends[1:][held] - 1
+    keep[first] = keep[last] = True
+    while (wide := last - first > 1).any():
+        first, last = first[wide], last[wide]
+        n = last - first - 1
+        starts, k = _ends(n)[:-1], np.repeat(first + 1, n) + _within(n)
+        dx, dy = x[last] - x[first], y[last] - y[first]
+        px, py, ux, uy, square = x[k] - np.repeat(x[first], n), y[k] - np.repeat(y[first], n), np.repeat(dx, n), np.repeat(dy, n), np.repeat(dx * dx + dy * dy, n)
+        t = np.divide(px * ux + py * uy, square, out=np.zeros(len(k)), where=square != 0).clip(0, 1)
+        off = np.nan_to_num(np.hypot(px - t * ux, py - t * uy), nan=-1.0, posinf=np.inf)
+        far = np.maximum.reduceat(off, starts)
+        hit = np.flatnonzero(off == np.repeat(far, n))
+        at = k[hit[np.searchsorted(hit, starts)]]
+        split = far > tolerance
+        keep[at[split]] = True
+        first, last = np.concatenate([first[split], at[split]]), np.concatenate([at[split], last[split]])
+    left = _ends(np.add.reduceat(np.append(keep, False).astype(np.int64), ends[:-1]) * held) if len(held) else np.zeros(1, np.int64)
+    return _nested(left, spots.filter(pa.array(keep)), null)
 
 
 def simplify(line: Column, tolerance: float) -> Column:
     """Fewer vertices, none further than ``tolerance`` from the result."""
-
-    @F.pandas_udf(VERTICES)
-    def run(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: _simplified(None if x is None else list(x), tolerance))
-
-    return run(line)
+    return F.arrow_udf(lambda lines: simplified(lines, tolerance), VERTICES)(line)

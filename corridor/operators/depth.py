@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from corridor.common import Refused
 from corridor.functions.geo import piece_distance, point_at, sample_stations
 from corridor.functions.measures import depth_band, typical_miss
 from corridor.operators.gates import assert_key, domain_report, orphans
+from corridor.operators.mark_runs import run_places
 
 # Fixed values, metres: to the side of a line, past its end, along it to a mark, moved from the nearer mark's level,
 # to a mark that is close by, water over ground that is still believed, to a listed bridge, depth of a notch, and the
@@ -24,21 +23,11 @@ BRIDGE, NOTCH, BANK, BANK_STEP = 60.0, 3.0, 2.0, 30.0
 def build_lines(marks: DataFrame, merge: float = 1.0) -> DataFrame:
     """Marks (stream, mark, order_key, x, y, z) to water lines (stream, k, x, y, z, station, marks).
 
-    Along a stream, marks closer than ``merge`` metres to the first of their run become one with their means. A run
-    goes mark by mark, so a stream's marks are taken together: surveyed marks are few.
+    Along a stream, marks closer than ``merge`` metres to the first of their run become one with their means.
     """
-
-    def run(m: pd.DataFrame) -> pd.DataFrame:
-        m = m.sort_values(["order_key", "mark"])
-        places, first, k = np.empty(len(m), np.int64), None, -1
-        for i, spot in enumerate(zip(m.x, m.y, strict=True)):
-            if first is None or np.hypot(spot[0] - first[0], spot[1] - first[1]) >= merge:
-                first, k = spot, k + 1
-            places[i] = k
-        g = m.assign(k=places).groupby("k").agg(stream=("stream", "first"), x=("x", "mean"), y=("y", "mean"), z=("z", "mean"), marks=("mark", "size")).reset_index()
-        return g.assign(station=np.hypot(g.x.diff(), g.y.diff()).fillna(0).cumsum())[["stream", "k", "x", "y", "z", "station", "marks"]]
-
-    return marks.groupBy("stream").applyInPandas(run, "stream string, k long, x double, y double, z double, station double, marks long")
+    means = [F.avg(F.col(c).cast("double")).alias(c) for c in ("x", "y", "z")]
+    spots = run_places(marks, merge).groupBy("stream", "k").agg(*means, F.count("*").alias("marks"))
+    return cumulative_station(spots, ["stream"], "k").select("stream", "k", "x", "y", "z", "station", "marks")
 
 
 def line_pieces(lines: DataFrame) -> DataFrame:
@@ -50,18 +39,22 @@ def line_pieces(lines: DataFrame) -> DataFrame:
     return p.withColumn("final", F.lead("k").over(w).isNull())
 
 
-def answers(points: DataFrame, pieces: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    """For each point (pt, x, y) and line within SIDE: the line's nearest spot to it, and whether it speaks there.
-
-    It speaks past an end up to END metres; between marks where the nearer one is within REACH along the line and the
-    level has moved LIFT at most from that mark's. mark_dist goes along to the nearer mark and across to the point.
-    Pieces meet points by grid cells, and by the columns ``on`` where a point is for some lines only.
-    """
+def meetings(points: DataFrame, pieces: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Points (x, y) beside the pieces (ends x1, y1, z1 and x2, y2, z2) whose grid cells hold them: all within SIDE and more."""
     size = 2 * SIDE
     box = [F.floor((F.least(a, b) - SIDE) / size) for a, b in (("x1", "x2"), ("y1", "y2"))] + [F.floor((F.greatest(a, b) + SIDE) / size) for a, b in (("x1", "x2"), ("y1", "y2"))]
     cells = F.flatten(F.transform(F.sequence(box[0], box[2]), lambda i: F.transform(F.sequence(box[1], box[3]), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    b = pieces.withColumnsRenamed({"x": "x1", "y": "y1", "z": "z1", "station": "s1", "station2": "s2"}).withColumn("_c", F.explode(cells))
+    b = pieces.withColumnsRenamed({"x": "x1", "y": "y1", "z": "z1"}).withColumn("_c", F.explode(cells))
     a = points.withColumn("_c", F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")))
+    return a.join(b, ["_c", *on]).drop("_c")
+
+
+def spoken(met: DataFrame) -> DataFrame:
+    """For each point (pt, x, y) and line of ``meetings`` within SIDE: the line's nearest spot to it, and whether it speaks there.
+
+    It speaks past an end up to END metres; between marks where the nearer one is within REACH along the line and the
+    level has moved LIFT at most from that mark's. mark_dist goes along to the nearer mark and across to the point.
+    """
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     gap = F.hypot(dx, dy)
     ahead = F.coalesce(((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(gap, F.lit(0.0)), F.lit(0.0))
@@ -72,11 +65,16 @@ def answers(points: DataFrame, pieces: DataFrame, on: tuple[str, ...] = ()) -> D
     lift = F.when(at_end, 0.0).otherwise(F.coalesce(along * F.abs(F.col("z2") - F.col("z1")) / F.nullif(gap, F.lit(0.0)), F.lit(0.0)))
     dist = F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy)
     spot = F.struct(dist.alias("dist"), F.col("k"), (F.col("z1") + t * (F.col("z2") - F.col("z1"))).alias("level"), along.alias("along"), lift.alias("lift"), at_end.alias("at_end"))
-    near = a.join(b, ["_c", *on]).groupBy("pt", "stream").agg(F.min(spot).alias("m")).select("pt", "stream", "m.*").where(F.col("dist") <= SIDE)
+    near = met.groupBy("pt", "stream").agg(F.min(spot).alias("m")).select("pt", "stream", "m.*").where(F.col("dist") <= SIDE)
     speaks = F.when(F.col("at_end"), F.col("dist") <= END).otherwise((F.col("along") <= REACH) & (F.col("lift") <= LIFT))
     return near.withColumns({"speaks": speaks, "mark_dist": F.hypot("along", "dist")})
 
 
+def answers(points: DataFrame, pieces: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """What lines say at points: pieces meet points by grid cells, and by the columns ``on`` where a point is for some lines only."""
+    return spoken(meetings(points, pieces, on))
+
+
 def nearest_answer(found: DataFrame) -> DataFrame:
     """pt with the nearest line that speaks (ties: the first stream), its level, distances, and whether a mark is close."""
     best = found.where("speaks").groupBy("pt").agg(F.min(F.struct("dist", "stream", "level", "mark_dist", "at_end")).alias("b"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import Refused, checkpointed
-from corridor.operators.depth import answers, cumulative_station, line_pieces, nearest_answer
+from corridor.operators.depth import answers, cumulative_station, line_pieces, meetings, nearest_answer, spoken
+from corridor.operators.mark_runs import run_places
 from corridor.operators.order_stats import quantiles, same
 
 # Metres of line hidden to each side of a mark, upper ends of the distance bands, fewest marks in a band,
@@ -16,57 +17,69 @@ WATER_OVER_GROUND, MOST_TAPE_MISS = (-1.0, 3.0), 0.25
 
 
 def runs_of_marks(marks: DataFrame, merge: float = 1.0) -> DataFrame:
-    """Marks (stream, mark, order_key, x, y, z) with the place k of their run and its station along the whole line.
+    """Marks (stream, mark, order_key, x, y, z) with the place k of their run and its station along the whole line."""
+    flat = run_places(marks.select("stream", "mark", "order_key", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")]), merge)
+    spots = flat.groupBy("stream", "k").agg(*[F.avg(c).alias(c) for c in ("x", "y")])
+    return flat.join(cumulative_station(spots, ["stream"], "k").select("stream", "k", "station"), ["stream", "k"])
 
-    A run starts where a mark lies ``merge`` metres or more from the first of the run before. The fold over a stream's
-    marks stays in the engine; a stream's surveyed marks are few.
-    """
-    point = "struct<x:double,y:double,k:bigint>"
-    every = F.array_sort(F.collect_list(F.struct("order_key", "mark", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")])))
-    start = F.struct(F.lit(None).cast(point).alias("at"), F.expr(f"cast(array() as array<{point}>)").alias("all"))
 
-    def step(acc: Column, m: Column) -> Column:
-        new = acc["at"].isNull() | (F.hypot(m["x"] - acc["at"]["x"], m["y"] - acc["at"]["y"]) >= merge)
-        at = F.when(new, F.struct(m["x"].alias("x"), m["y"].alias("y"), (F.coalesce(acc["at"]["k"], F.lit(-1).cast("long")) + 1).alias("k"))).otherwise(acc["at"])
-        return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+def _spots(drawn: DataFrame) -> DataFrame:
+    """Runs (stream, k, n, means x, y, z) with last, the line's last k, and of each stretch the runs it hides around them."""
+    w = Window.partitionBy("stream")
+    spots = drawn.groupBy("stream", "k", "station").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z")], *[F.sum(c).alias(f"sum_{c}") for c in ("x", "y", "z")], F.count("*").alias("n"))
+    hidden = [F.struct(F.lit(s).alias("stretch"), F.min("k").over(at).alias("a"), F.max("k").over(at).alias("b")) for s in STRETCHES for at in [w.orderBy("station").rangeBetween(-s, s) if s else w.orderBy("k").rowsBetween(0, 0)]]
+    return spots.withColumns({"hidden": F.array(*hidden), "last": F.max("k").over(w)})
 
-    runs = marks.groupBy("stream").agg(every.alias("m")).withColumn("r", F.aggregate("m", start, step, lambda acc: acc["all"]))
-    flat = runs.select("stream", F.explode(F.arrays_zip("m", "r")).alias("e")).select("stream", "e.m.*", F.col("e.r.k").alias("k"))
-    spots = flat.groupBy("stream", "k").agg(*[F.avg(c).alias(c) for c in ("x", "y")])
-    w = Window.partitionBy("stream").orderBy("k")
-    far = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    stations = spots.withColumn("_d", F.coalesce(far, F.lit(0.0))).select("stream", "k", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("station"))
-    return flat.join(stations, ["stream", "k"])
 
+def _without(tries: DataFrame, spots: DataFrame, whole: DataFrame) -> DataFrame:
+    """Tries (pt, stream, k, a, b, last, x, y and the mark's own mx, my, mz) beside the pieces of their line without the runs a to b.
 
-def _lines(marks: DataFrame, by: list[str]) -> DataFrame:
-    """Runs of marks to lines: a row for each run, with its station among those that are left."""
-    spots = marks.groupBy(*by, "k").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z")])
-    return cumulative_station(spots, by, "k")
+    All other pieces stay as they are, so a try meets the near ones of the whole line that touch none of those runs, and
+    the one or two that close the gap: from the run before to the run after or, where a run keeps other marks, over their
+    means. A line with one run left is a piece of no length. Ends move inwards where the gap is at an end.
+    """
+    a, b, k, last = (F.col(c) for c in ("a", "b", "k", "last"))
+    kept = F.col("n") > 1
+    intact = meetings(tries.select("pt", "stream", "a", "b", "last", "x", "y"), whole.drop("first", "final", "n", "station", "station2", "last"), ("stream",))
+    intact = intact.where(((k + 1 < a) | (k > b)) & (k < last))
+    intact = intact.withColumns({"first": (k == 0) | ((a == 0) & (k == b + 1)), "final": (k + 1 == last) | ((b == last) & (k + 1 == a - 1))})
+    end = lambda name, at: spots.select("stream", F.col("k").alias(at), F.struct("k", "x", "y", "z").alias(name))
+    t = tries.withColumns({"_before": a - 1, "_after": b + 1}).join(end("_p", "_before"), ["stream", "_before"], "left").join(end("_q", "_after"), ["stream", "_after"], "left")
+    own = [((F.col(f"sum_{c}") - F.col(f"m{c}")) / (F.col("n") - 1)).alias(c) for c in ("x", "y", "z")]
+    left = F.when((F.col("stretch") == 0) & kept, F.struct(F.col("k"), *own))
+    p, q = F.col("_p"), F.col("_q")
+    piece = lambda u, v, first, final: F.struct(u["k"].alias("k"), *[u[c].alias(f"{c}1") for c in "xyz"], *[v[c].alias(f"{c}2") for c in "xyz"], first.alias("first"), final.alias("final"))
+    yes, no = F.lit(True), F.lit(False)
+    none, has = F.col("_left").isNull(), F.col("_left").isNotNull()
+    alone = F.coalesce("_left", F.when(p.isNull(), q).otherwise(p))
+    only = F.when(has, p.isNull() & q.isNull()).otherwise((p.isNull() & (b + 1 == last)) | (q.isNull() & (a == 1)))
+    closing = F.array(
+        F.when(none & p.isNotNull() & q.isNotNull(), piece(p, q, a == 1, b + 1 == last)),
+        F.when(has & p.isNotNull(), piece(p, F.col("_left"), a == 1, q.isNull())),
+        F.when(has & q.isNotNull(), piece(F.col("_left"), q, p.isNull(), b + 1 == last)),
+        F.when(only, piece(alone, alone, yes, yes)),
+    )
+    closed = t.withColumn("_left", left).select("pt", "stream", "x", "y", F.explode(F.array_compact(closing)).alias("e")).select("pt", "stream", "x", "y", "e.*")
+    return intact.select(closed.columns).unionByName(closed)
 
 
 def hidden_mark_test(marks: DataFrame) -> DataFrame:
     """Marks (stream, mark, order_key, x, y, z, draws) guessed from the others: stream, mark, stretch, guess, along, miss.
 
-    Stretch 0 hides one mark, the others every mark within so many metres along the line; its stream's line is rebuilt
-    from those left and answers beside the other streams' lines. Marks that draw no line have stretch -1 and are guessed
+    Stretch 0 hides one mark, the others every mark within so many metres along the line; its stream's line is closed
+    over those left and answers beside the other streams' lines. Marks that draw no line have stretch -1 and are guessed
     from all lines. guess is null where no line speaks. Runs of marks under a metre apart stay those of the whole line.
-    The work is the square of a stream's marks; streams and hold-outs are spread over tasks.
+    A mark meets what lies within SIDE of it, not its whole line.
     """
     drawn = checkpointed(runs_of_marks(marks.where("draws")))
-    whole = checkpointed(line_pieces(_lines(drawn, ["stream"])))
-    held = drawn.select("stream", F.col("mark").alias("h"), F.col("station").alias("_s"), F.explode(F.array(*[F.lit(s) for s in STRETCHES])).alias("stretch"))
-    hide = F.when(F.col("stretch") == 0, F.col("mark") == F.col("h")).otherwise(F.abs(F.col("station") - F.col("_s")) <= F.col("stretch"))
-    left = held.join(drawn, "stream").where(~hide)
-    rebuilt = _lines(left.withColumn("stream", F.struct("stream", "h", "stretch")), ["stream"])
-    pieces = line_pieces(rebuilt).withColumns({"h": F.col("stream.h"), "stretch": F.col("stream.stretch"), "stream": F.col("stream.stream")})
-
-    spot = drawn.select("stream", F.col("mark").alias("h"), "x", "y")
-    pt = F.struct("stream", "h", "stretch").alias("pt")
-    tries = held.join(spot, ["stream", "h"]).select(pt, "h", "stretch", F.col("stream").alias("own"), "x", "y")
-    own = answers(tries, pieces.withColumn("own", F.col("stream")), ("own", "h", "stretch"))
-    spots = answers(spot.select(F.struct("stream", "h").alias("pt"), "x", "y"), whole).where(F.col("pt.stream") != F.col("stream"))
-    others = spots.withColumn("stretch", F.explode(F.array(*[F.lit(s) for s in STRETCHES]))).withColumn("pt", F.struct(F.col("pt.stream"), F.col("pt.h"), F.col("stretch"))).drop("stretch")
+    spots = checkpointed(_spots(drawn))
+    whole = checkpointed(line_pieces(spots.select("stream", "k", "x", "y", "z", "station", "last")))
+    held = drawn.select("stream", "k", F.col("mark").alias("h"), *[F.col(c).alias(f"m{c}") for c in "xyz"]).join(spots.drop("x", "y", "z", "station"), ["stream", "k"])
+    tries = held.select(*[c for c in held.columns if c != "hidden"], F.inline("hidden")).withColumns({"pt": F.struct("stream", "h", "stretch"), "x": F.col("mx"), "y": F.col("my")})
+    own = spoken(_without(tries, spots, whole))
+    spot = drawn.select(F.struct("stream", F.col("mark").alias("h")).alias("pt"), "x", "y")
+    others = answers(spot, whole).where(F.col("pt.stream") != F.col("stream")).withColumn("stretch", F.explode(F.array(*[F.lit(s) for s in STRETCHES])))
+    others = others.withColumn("pt", F.struct(F.col("pt.stream"), F.col("pt.h"), F.col("stretch"))).drop("stretch")
     poor = marks.where(~F.col("draws")).select(F.struct("stream", F.col("mark").alias("h"), F.lit(-1).alias("stretch")).alias("pt"), "x", "y")
     best = nearest_answer(own.unionByName(others).unionByName(answers(poor, whole)))
     every = tries.select("pt").unionAll(poor.select("pt")).join(best.select("pt", F.col("level").alias("guess"), F.col("mark_dist").alias("along")), "pt", "left")

@@ -23,6 +23,16 @@ def win15_cumulative_station(spark, d):
     return rounded(depth.cumulative_station(_marks(spark, d), ["stream"], "mark").select("stream", "mark", "station"), 6, "station")
 
 
+# On a straight stream the next run starts at the first mark 120 m or more past the start of the one before.
+@query(f"""{MARK_SQL}, onward AS (SELECT stream, y, min(y) OVER (PARTITION BY stream ORDER BY y RANGE BETWEEN 120 FOLLOWING AND UNBOUNDED FOLLOWING) AS y2 FROM (SELECT stream, CAST(y AS BIGINT) AS y FROM mark) z),
+  run AS (SELECT stream, y AS y1, lead(y) OVER (PARTITION BY stream ORDER BY y) AS y2, row_number() OVER (PARTITION BY stream ORDER BY y) - 1 AS k FROM (WITH RECURSIVE s AS (SELECT stream, min(y) AS y FROM mark GROUP BY 1 UNION ALL SELECT s.stream, o.y2 FROM s JOIN onward o ON s.stream = o.stream AND s.y = o.y WHERE o.y2 IS NOT NULL) SELECT * FROM s) z),
+  spot AS (SELECT r.stream, k, avg(y) AS y, avg(z) AS z, count(*) AS marks FROM run r JOIN mark m ON m.stream = r.stream AND m.y >= y1 AND (y2 IS NULL OR m.y < y2) GROUP BY 1, 2)
+  SELECT stream, k, round(y, 4) AS y, round(z + 1e-9, 6) AS z, round(y - min(y) OVER (PARTITION BY stream), 4) AS station, marks FROM spot""")
+def dep1_build_lines(spark, d):
+    out = depth.build_lines(_marks(spark, d), 120.0).withColumn("z", F.col("z") + 1e-9)  # away from halves
+    return rounded(rounded(out.select("stream", "k", "y", "z", "station", "marks"), 4, "y", "station"), 6, "z")
+
+
 # The pieces of a stream's line, moved among the roads.
 PIECES = f"""{MARK_SQL}, pc AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY y) - 1 AS k, 200000 + stream % 600 * 100.0::DOUBLE AS x, 100000 + stream * 977 % 50000 + y AS y, 100000 + stream * 977 % 50000 + lead(y) OVER (PARTITION BY stream ORDER BY y) AS y2, count(*) OVER (PARTITION BY stream) AS n FROM mark),
   piece2 AS (SELECT stream, k, x, y::DOUBLE AS y, coalesce(y2, y)::DOUBLE AS y2 FROM pc WHERE y2 IS NOT NULL OR n = 1),
@@ -256,6 +266,30 @@ def geo6_simplify(spark, d):
     return fx.lines(spark, d).select("seg_id", F.size(geo.simplify(F.col("line"), 20.0)).alias("n"))
 
 
+# A straight line of twelve vertices, the fourth put aside by 2 to 8 m after the segment's age: over 6.5 m it
+# stays, and once it does so does the next if that is as far from the new chord, 7 / 8 of it.
+@query("""SELECT seg_id, CAST(list_position((CASE age % 7 + 2 WHEN 7 THEN [0, 3, 11] WHEN 8 THEN [0, 3, 4, 11] ELSE [0, 11] END), i) - 1 AS BIGINT) AS k, mid_x + 100.0::DOUBLE * i AS x, (mid_y + CASE WHEN i = 3 THEN age % 7 + 2 ELSE 0 END)::DOUBLE AS y FROM seg, unnest(range(12)) AS u(i) WHERE list_contains((CASE age % 7 + 2 WHEN 7 THEN [0, 3, 11] WHEN 8 THEN [0, 3, 4, 11] ELSE [0, 11] END), i)""")
+def geo6_simplified_vertices(spark, d):
+    spot = lambda i: F.struct((F.col("mid_x") + 100.0 * i).alias("x"), (F.col("mid_y") + (F.col("age") % 7 + 2 if i == 3 else 0)).cast("double").alias("y"))
+    s = fx.segments(spark, d).select("seg_id", geo.simplify(F.array(*map(spot, range(12))), 6.5).alias("line"))
+    return s.select("seg_id", F.posexplode("line").alias("k", "v")).select("seg_id", F.col("k").cast("long").alias("k"), "v.*")
+
+
+def _wkb(parts) -> str:
+    """SQL for the bytes, high ones first, of lines with whole coordinates over 1, which are written by their bits."""
+    bits = lambda n: f"hex(shiftleft(1022L + length(bin({n})) - 1, 52) + shiftleft({n}, 53 - length(bin({n}))))"
+    lines = [f"'00', '00000002', '{len(p):08x}', " + ", ".join(bits(f"cast({v} AS bigint)") for spot in p for v in spot) for p in parts]
+    return f"unhex(concat('00', '00000005', '{len(parts):08x}', {', '.join(lines)}))"
+
+
+@query("SELECT seg_id, CAST(part AS BIGINT) AS part, CAST(k AS BIGINT) AS k, x, y FROM (SELECT seg_id, 0 AS part, 0 AS k, ax AS x, ay AS y FROM ln UNION ALL SELECT seg_id, 0, 1, bx, b_y FROM ln UNION ALL SELECT seg_id, 1, 0, bx, b_y FROM ln UNION ALL SELECT seg_id, 1, 1, cx, cy FROM ln UNION ALL SELECT seg_id, 1, 2, ax, ay FROM ln) z")
+def geo1_wkb_parts(spark, d):
+    a, b, c = [(f"line[{k}].x", f"line[{k}].y") for k in range(3)]
+    shapes = fx.lines(spark, d).select("seg_id", F.expr(_wkb([(a, b), (b, c, a)])).alias("shape"))
+    out = shapes.select("seg_id", F.posexplode(geo.wkb_to_parts(F.col("shape"))).alias("part", "p")).select("seg_id", "part", F.posexplode("p").alias("k", "v"))
+    return out.select("seg_id", F.col("part").cast("long").alias("part"), F.col("k").cast("long").alias("k"), "v.*")
+
+
 # exports
 
 

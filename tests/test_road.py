@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,65 @@ def test_geometry(spark):
     assert [[tuple(v) for v in p] for p in parts[0].p] == [[(0, 1), (2, 3)], [(4, 5), (6, 7)]] and parts[1].p is None
 
 
+def a_shape(rng, kind, little):
+    """Bytes of a shape of random vertices, of shapes of both byte orders where it has several, and its parts."""
+    e = "<" if little else ">"
+    head = struct.pack(f"{e}BI", little, kind)
+
+    def run(n):
+        spots = [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(n)]
+        return struct.pack(f"{e}{2 * n}d", *[v for spot in spots for v in spot]), spots
+
+    if kind == 1:
+        data, spots = run(1)
+        return head + data, [spots]
+    if kind == 2:
+        data, spots = run(n := rng.randrange(6))
+        return head + struct.pack(f"{e}I", n) + data, [spots]
+    if kind == 3:
+        rings = [run(rng.randrange(7)) for _ in range(rng.randrange(4))]
+        return head + struct.pack(f"{e}I", len(rings)) + b"".join(struct.pack(f"{e}I", len(p)) + d for d, p in rings), [p for _, p in rings]
+    all_ = [a_shape(rng, kind - 3, rng.choice((little, 1 - little))) for _ in range(rng.randrange(5))]
+    return head + struct.pack(f"{e}I", len(all_)) + b"".join(d for d, _ in all_), [p for _, parts in all_ for p in parts]
+
+
+def test_shapes_of_all_kinds_come_out_of_one_buffer():
+    rng = random.Random(3)
+    shapes = [None if rng.random() < 0.1 else a_shape(rng, rng.randrange(1, 7), rng.randrange(2)) for _ in range(800)]
+    data = pa.array([None if s is None else s[0] for s in shapes], pa.binary())
+    plain = lambda rows: [None if r is None else [[(v["x"], v["y"]) for v in p] for p in r] for r in rows.to_pylist()]
+    want = [None if s is None else s[1] for s in shapes]
+    assert plain(geo.parts_of_wkb(data)) == want and plain(geo.parts_of_wkb(data.slice(90, 40))) == want[90:130]
+    assert plain(geo.parts_of_wkb(data.slice(0, 0))) == [] and plain(geo.parts_of_wkb(pa.array([None], pa.binary()))) == [None]
+    for bad, words in ((struct.pack("<BI", 1, 9), "kind 9"), (struct.pack("<BII", 1, 2, 5), "ends"), (b"\x01\x02", "ends"), (b"", "ends")):
+        with pytest.raises(ValueError, match=words):
+            geo.parts_of_wkb(pa.array([bad], pa.binary()))
+
+
+def fewer(line, tolerance):
+    """The line by halves: the vertex furthest from the chord stays where it is too far."""
+    if len(line) < 3:
+        return line
+    (ax, ay), (bx, by) = line[0], line[-1]
+    dx, dy = bx - ax, by - ay
+    share = lambda x, y: min(max(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0), 1) if dx or dy else 0
+    off = [math.hypot(x - ax - t * dx, y - ay - t * dy) for x, y in line[1:-1] for t in [share(x, y)]]
+    at = off.index(max(off)) + 1
+    return fewer(line[: at + 1], tolerance)[:-1] + fewer(line[at:], tolerance) if max(off) > tolerance else [line[0], line[-1]]
+
+
+def test_lines_of_a_batch_are_simplified_together():
+    rng, lines = random.Random(5), [None, []]
+    for n in [1, 2, 3, 5, 20, 200] * 40:
+        x = y = 0.0
+        line = [(x := x + rng.choice((0, 1, 2, -1)), y := y + rng.choice((0, 1, -1, 3))) for _ in range(n)]
+        lines.append(line[:-1] + line[:1] if n > 3 and rng.random() < 0.3 else line)
+    data = pa.array([None if s is None else [{"x": x, "y": y} for x, y in s] for s in lines], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    plain = lambda rows: [None if r is None else [(v["x"], v["y"]) for v in r] for r in rows.to_pylist()]
+    want = [None if s is None else fewer(s, 1.0) for s in lines]
+    assert plain(geo.simplified(data, 1.0)) == want and plain(geo.simplified(data.slice(7, 30), 1.0)) == want[7:37] and plain(geo.simplified(data.slice(0, 0), 1.0)) == []
+
+
 def test_gates_refuse(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k long, v string")
     with pytest.raises(Refused):

@@ -101,6 +101,94 @@ def test_runs_start_from_their_first_mark(spark):
     assert {r.mark: r.k for r in depth_checks.runs_of_marks(marks).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2}
 
 
+def walk(rng, n, steps, stream, at):
+    """Marks of a stream that wanders: (stream, mark, order_key, x, y, z, draws), some order keys equal."""
+    x, y, out = at, at / 2, []
+    for k in range(n):
+        step = rng.choice(steps)
+        x, y = x + step * rng.uniform(-0.5, 1), y + step * rng.uniform(-0.5, 1)
+        out.append((stream, k, k // 2, x, y, 10 + 1.5 * rng.random(), rng.random() > 0.1))
+    return out
+
+
+MARKS = "stream string, mark int, order_key int, x double, y double, z double, draws boolean"
+
+
+def folded(rows, merge=1.0):
+    """stream and mark to the place of the run, mark by mark."""
+    first, k = {}, {}
+    for s, m, _, x, y, *_ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if s not in first or math.hypot(x - first[s][0], y - first[s][1]) >= merge:
+            first[s], k[s] = (x, y), k.get(s, -1) + 1
+        yield (s, m), k[s]
+
+
+def test_runs_are_those_of_a_walk_from_mark_to_mark(spark):
+    rng = random.Random(11)
+    rows = [r for s in range(12) for r in walk(rng, rng.choice((1, 2, 3, 40)), (0.0, 0.2, 0.5, 0.9, 1.3, 2.5), f"s{s}", 90.0 * s)]
+    rows += walk(rng, 700, (0.02, 0.06), "dense", 0.0) + [("same", k, k, 5.0, 5.0, 1.0, True) for k in range(300)]
+    got = {(r.stream, r.mark): r.k for r in depth_checks.runs_of_marks(spark.createDataFrame(rows, MARKS)).collect()}
+    assert got == dict(folded(rows)) and max(k for (s, _), k in got.items() if s == "dense") > 3 and got["same", 299] == 0
+    lines = depth.build_lines(spark.createDataFrame(rows, MARKS))
+    assert sum(r.marks for r in lines.collect()) == len(rows) and lines.count() == len(set((s, k) for (s, _), k in got.items()))
+
+
+def test_a_mark_without_a_place_starts_no_run(spark):
+    rows = [("s", 0, 0, 0.0, 0.0, 1.0, True), ("s", 1, 1, None, 0.0, 1.0, True), ("s", 2, 2, 0.5, 0.0, 1.0, True), ("s", 3, 3, 9.0, 0.0, 1.0, True)]
+    assert [r.k for r in depth_checks.runs_of_marks(spark.createDataFrame(rows, MARKS)).orderBy("mark").collect()] == [0, 0, 0, 1]
+    assert depth_checks.hidden_mark_test(spark.createDataFrame([], MARKS)).count() == 0
+
+
+def guesses(rows):
+    """stream, mark and stretch to guess and distance along: every line built anew from the marks that are left."""
+    k, drawn = dict(folded([r for r in rows if r[6]])), [r for r in rows if r[6]]
+    mean = lambda ms: [sum(m[c] for m in ms) / len(ms) for c in (3, 4, 5)]
+
+    def line(ms):
+        places = sorted({k[m[:2]] for m in ms})
+        return [mean([m for m in ms if k[m[:2]] == p]) for p in places]
+
+    def say(x, y, spots):
+        best = None
+        pieces = list(zip(spots, spots[1:], strict=False)) or [(spots[0], spots[0])]
+        for i, (p, q) in enumerate(pieces):
+            dx, dy = q[0] - p[0], q[1] - p[1]
+            gap = math.hypot(dx, dy)
+            ahead = ((x - p[0]) * dx + (y - p[1]) * dy) / gap if gap else 0.0
+            foot = min(max(ahead, 0.0), gap)
+            t = foot / gap if gap else 0.0
+            end = (i == 0 and ahead < 0) or (i == len(pieces) - 1 and ahead > gap) or gap <= 0
+            along = min(foot, gap - foot)
+            lift = 0.0 if end or not gap else along * abs(q[2] - p[2]) / gap
+            d = math.hypot(x - p[0] - t * dx, y - p[1] - t * dy)
+            if best is None or d < best[0] - 1e-9:
+                best = (d, p[2] + t * (q[2] - p[2]), math.hypot(along, d), d <= 100 if end else along <= 1000 and lift <= 2)
+        return best if best[0] <= 300 and best[3] else None
+
+    streams = {s: [m for m in drawn if m[0] == s] for s in {m[0] for m in drawn}}
+    station = {}
+    for s, ms in streams.items():
+        spots = line(ms)
+        ends = [0.0]
+        for p, q in zip(spots, spots[1:], strict=False):
+            ends.append(ends[-1] + math.hypot(q[0] - p[0], q[1] - p[1]))
+        station |= {m[:2]: ends[k[m[:2]]] for m in ms}
+    for m in rows:
+        for stretch in (0, 250, 500) if m[6] else (-1,):
+            own = [o for o in streams.get(m[0], []) if stretch < 0 or (o[1] != m[1] if stretch == 0 else abs(station[o[:2]] - station[m[:2]]) > stretch)]
+            found = [(v[0], s, v) for s, ms in (streams | {m[0]: own}).items() if ms for v in [say(m[3], m[4], line(ms))] if v]
+            yield (m[0], m[1], stretch), min(found)[2][1:3] if found else (None, None)
+
+
+def test_hidden_marks_are_guessed_as_if_every_line_were_built_anew(spark):
+    rng = random.Random(7)
+    rows = [r for s in range(9) for r in walk(rng, (1, 2, 3, 6, 25)[s % 5], (0.0, 0.3, 0.8, 40, 150, 300), f"s{s}", 70.0 * s)]
+    got = {(r.stream, r.mark, r.stretch): (r.guess, r.along) for r in depth_checks.hidden_mark_test(spark.createDataFrame(rows, MARKS)).collect()}
+    want = dict(guesses(rows))
+    assert set(got) == set(want) and sum(v[0] is not None for v in want.values()) > 100
+    assert all((v[0] is None) == (w[0] is None) and (v[0] is None or v == pytest.approx(w, abs=1e-6)) for key, w in want.items() for v in [got[key]])
+
+
 def test_hidden_marks_bands_and_gates(spark):
     rows = [("s", k, k, 0.0, 200.0 * k, 10.0 + k, True) for k in range(8)] + [("s", 9, 9, 20.0, 500.0, 13.0, False), ("lone", 20, 0, 150.0, 400.0, 12.5, True)]
     marks = spark.createDataFrame(rows, "stream string, mark int, order_key int, x double, y double, z double, draws boolean")
