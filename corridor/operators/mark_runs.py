@@ -2,48 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.common import checkpointed
 
 KEY = ["stream", "_chain"]
+FAN = 16
 
 
-def _farthest(box: tuple[str, str, str, str]) -> Column:
+def _farthest(box: Column) -> Column:
     """From (x, y) to the farthest corner of a box; of a single mark's box it is the distance to that mark."""
-    x1, x2, y1, y2 = (F.col(c) for c in box)
-    side = lambda v, a, b: F.greatest(F.abs(F.col(v) - a), F.abs(F.col(v) - b))
-    return F.hypot(side("x", x1, x2), side("y", y1, y2))
+    side = lambda v: F.greatest(F.abs(F.col(v) - box[f"{v}1"]), F.abs(F.col(v) - box[f"{v}2"]))
+    return F.hypot(side("x"), side("y"))
 
 
 def _next_far(dense: DataFrame, merge: float) -> DataFrame:
     """stream, _chain, _r and to: the first later place of the chain that is ``merge`` or more away, where there is one.
 
-    Blocks of 1, 2, 4, ... places have their bounds; a place passes whole blocks that are near it and goes into the halves
-    of those that may not be. All places that still look go on at once, a join a round: no mark meets every other.
+    Blocks of 1, FAN, FAN * FAN, ... places have their bounds, FAN of them to a row; a place passes whole blocks that are
+    near it and goes into those that may not be. All places that still look go on at once, a join a round: no mark meets
+    every other.
     """
-    top = (dense.agg(F.max("_r")).first()[0] or 0).bit_length()
-    level = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_l")
-    blocks = dense.select(*KEY, "_r", F.col("x").alias("_bx"), F.col("y").alias("_by"), level).groupBy(*KEY, "_l", F.expr("shiftright(_r, _l)").alias("_b"))
-    blocks = checkpointed(blocks.agg(F.min("_bx").alias("_x1"), F.max("_bx").alias("_x2"), F.min("_by").alias("_y1"), F.max("_by").alias("_y2")))
+    top, most = 0, dense.agg(F.max("_r")).first()[0] or 0
+    while FAN ** (top + 1) <= most:
+        top += 1
+    size = lambda level: F.pow(F.lit(FAN), level).cast("long")
+    each = dense.select(*KEY, "_r", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_l"))
+    each = each.groupBy(*KEY, "_l", F.floor(F.col("_r") / size(F.col("_l"))).alias("b")).agg(*[f(c).alias(f"{c}{k}") for c in ("x", "y") for k, f in ((1, F.min), (2, F.max))])
+    blocks = each.groupBy(*KEY, "_l", F.floor(F.col("b") / FAN).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("b", "x1", "x2", "y1", "y2"))).alias("_boxes"))
+    blocks = checkpointed(blocks)
     looking = dense.select(*KEY, "_r", "x", "y", (F.col("_r") + 1).alias("_p"), F.lit(0).alias("_l"))
-    found = []
+    found, level = [], F.col("_l")
     while True:
-        at = looking.withColumn("_b", F.expr("shiftright(_p, _l)")).join(blocks, [*KEY, "_l", "_b"])  # past the end there is no block
-        far = F.coalesce(_farthest(("_x1", "_x2", "_y1", "_y2")) >= merge, F.lit(False))
-        at = at.select(*KEY, "_r", "x", "y", "_p", "_l", far.alias("_far"))
-        up = F.col("_p") + F.expr("shiftleft(1L, _l)")
-        wider = F.when((F.col("_l") < top) & (F.expr("shiftright(_p, _l)") % 2 == 1), F.col("_l") + 1).otherwise(F.col("_l"))
-        at = checkpointed(at.select(*KEY, "_r", "x", "y", F.when(F.col("_far"), F.col("_p")).otherwise(up).alias("_p"), F.when(F.col("_far"), F.col("_l") - 1).otherwise(wider).alias("_l")))
+        at = looking.withColumn("_g", F.floor(F.col("_p") / size(level + 1))).join(blocks, [*KEY, "_l", "_g"])  # past the end there are none
+        ahead = F.filter("_boxes", lambda e: (e["b"] * size(level) >= F.col("_p")) & F.coalesce(_farthest(e) >= merge, F.lit(False)))
+        at = at.select(*KEY, "_r", "x", "y", "_l", "_g", F.get(ahead, 0)["b"].alias("_b")).where(F.col("_b").isNotNull() | (level < top))
+        on, into = (F.col("_g") + 1) * size(level + 1), F.col("_b") * size(level)
+        at = checkpointed(at.select(*KEY, "_r", "x", "y", F.coalesce(into, on).alias("_p"), F.when(F.col("_b").isNotNull(), level - 1).otherwise(level + 1).alias("_l")))
         found.append(at.where("_l < 0").select(*KEY, "_r", F.col("_p").alias("to")))
         looking = at.where("_l >= 0")
         if looking.isEmpty():
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
-    return checkpointed(out)
+    return checkpointed(reduce(DataFrame.unionAll, found))
 
 
 def _reached(jumps: DataFrame) -> DataFrame:
