@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from corridor.common import Refused, checkpointed
 from corridor.operators.gates import assert_key, compare_tables, domain_report, key_report, orphans
@@ -140,6 +141,51 @@ def verify(loaded: DataFrame, files: DataFrame, key: str, values: list[str], rul
     return reduce(DataFrame.unionAll, parts)
 
 
+def own_rows(df: DataFrame) -> DataFrame:
+    """``df`` without replayed rows."""
+    return df.where("replay_of is null") if "replay_of" in df.columns else df
+
+
+def verify_times(loaded: DataFrame, files: DataFrame, time: str = "time") -> DataFrame:
+    """what and broken: 1 where the first or last time of the load, replays apart, is not that of its files."""
+    ends = lambda df, to: own_rows(df).agg(F.min(time).alias(f"{to}1"), F.max(time).alias(f"{to}2"))
+    both = ends(loaded, "a").crossJoin(ends(files, "b"))  # one row each
+    flags = [F.struct(F.lit(n).alias("what"), (~F.col(f"a{k}").eqNullSafe(F.col(f"b{k}"))).cast("long").alias("broken")) for k, n in ((1, "first time"), (2, "last time"))]
+    return both.select(F.inline(F.array(*flags)))
+
+
+def verify_summary(stored: DataFrame, anew: DataFrame, keys: list[str], n_rows: DataFrame | None = None, count: str = "n", tolerance: float = 1e-9) -> DataFrame:
+    """what and broken of a stored summary held against one made anew from the files.
+
+    Keys that either side lacks or that are repeated, values that differ on common keys (nulls are equal, as keys too;
+    fractions may differ by ``tolerance`` of their size, as sums go by any order), and, where ``n_rows`` is given, by how
+    much the stored counts miss its number of rows: a summary tells of every row once.
+    """
+    values = [c for c in anew.columns if c not in keys]
+    a = stored.groupBy(*keys).agg(*[F.first(c).alias(c) for c in values], (F.count("*") - 1).alias("_more"))
+    b = anew.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_anew"))
+    on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    both = a.join(b, on, "full")
+    has, due = F.col("_more").isNotNull(), F.col("_anew").isNotNull()
+
+    def differs(c: str) -> Column:
+        x, y = F.col(c), F.col(f"_anew.{c}")
+        if isinstance(anew.schema[c].dataType, FractionalType):
+            close = F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y), F.lit(1.0))
+            return ~F.coalesce(close, F.lit(False)) & ~x.eqNullSafe(y)
+        return ~x.eqNullSafe(y)
+
+    found = both.agg(
+        F.count_if(~has).alias("missing"), F.count_if(~due).alias("extra"), F.coalesce(F.sum("_more"), F.lit(0)).alias("repeated"),
+        *[F.count_if(has & due & differs(c)).alias(f"value: {c}") for c in values],
+    )
+    out = found.unpivot([], found.columns, "what", "broken")
+    if n_rows is None:
+        return out
+    told = stored.agg(F.coalesce(F.sum(count), F.lit(0)).alias("t")).crossJoin(own_rows(n_rows).agg(F.count("*").alias("r")))  # one row each
+    return out.unionAll(told.select(F.lit("rows told of"), F.abs(F.col("t") - F.col("r")).cast("long")))
+
+
 def health(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame:
     """Per table its rows, replayed rows and newest time (null for tables without one), and whether its last load is complete.
 

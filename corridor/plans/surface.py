@@ -388,6 +388,25 @@ def qlt13_verify(spark, d):
     return checks.verify(loaded, files, "seg_id", ["rating", "crack_mil"], {"zone": F.col("in_zone") | (F.col("flood_mil") <= 900)}, ["ytp_milli"])
 
 
+# A stored summary that was not refreshed for one reading in 97 and tells of the hours of one camera in 41 twice.
+TOLD = """, anew AS (SELECT camera_id, date_trunc('hour', time) AS bucket, max(p_mil) AS max_p_mil, avg(depth_cm) AS mean_depth_cm, count(*) AS n, min(time) AS "first", max(time) AS "last" FROM reading GROUP BY 1, 2),
+  kept AS (SELECT camera_id, date_trunc('hour', time) AS bucket, max(p_mil) AS max_p_mil, avg(depth_cm) AS mean_depth_cm, count(*) AS n, min(time) AS "first", max(time) AS "last" FROM reading WHERE event_id % 97 <> 0 GROUP BY 1, 2),
+  twice AS (SELECT * FROM kept WHERE CAST(substr(camera_id, 2) AS BIGINT) % 41 = 0), b AS (SELECT a.*, k.camera_id IS NOT NULL AS has, k.max_p_mil AS p2, k.mean_depth_cm AS d2, k.n AS n2, k."first" AS f2, k."last" AS l2 FROM anew a LEFT JOIN kept k USING (camera_id, bucket))"""
+
+
+@query(f"""{TOLD} SELECT what, CAST(broken AS BIGINT) AS broken FROM (SELECT 'missing' AS what, count(*) FILTER (NOT has) AS broken FROM b UNION ALL SELECT 'extra', 0 UNION ALL SELECT 'repeated', (SELECT count(*) FROM twice)
+  UNION ALL SELECT 'value: max_p_mil', count(*) FILTER (has AND max_p_mil IS DISTINCT FROM p2) FROM b UNION ALL SELECT 'value: mean_depth_cm', count(*) FILTER (has AND CASE WHEN mean_depth_cm IS NULL OR d2 IS NULL THEN mean_depth_cm IS DISTINCT FROM d2 ELSE abs(mean_depth_cm - d2) > 1e-9 * greatest(abs(mean_depth_cm), abs(d2), 1) END) FROM b
+  UNION ALL SELECT 'value: n', count(*) FILTER (has AND n <> n2) FROM b UNION ALL SELECT 'value: first', count(*) FILTER (has AND "first" <> f2) FROM b UNION ALL SELECT 'value: last', count(*) FILTER (has AND "last" <> l2) FROM b
+  UNION ALL SELECT 'rows told of', abs((SELECT sum(n) FROM kept) + (SELECT coalesce(sum(n), 0) FROM twice) - (SELECT count(*) FROM reading)) UNION ALL SELECT 'first time', CAST((SELECT min(time) FROM reading) IS DISTINCT FROM (SELECT min(time) FROM reading WHERE event_id % 97 <> 0) AS BIGINT)
+  UNION ALL SELECT 'last time', CAST((SELECT max(time) FROM reading) IS DISTINCT FROM (SELECT max(time) FROM reading WHERE event_id % 97 <> 0) AS BIGINT)) z""")
+def qlt13_verify_series(spark, d):
+    r = fx.readings(spark, d)
+    told = lambda df: timeseries.hourly(df, "camera_id", ["p_mil"], means=("depth_cm",))
+    kept = told(r.where("event_id % 97 <> 0"))
+    stored = kept.unionAll(kept.where(F.substring("camera_id", 2, 20).cast("long") % 41 == 0))
+    return checks.verify_summary(stored, told(r), ["camera_id", "bucket"], r).unionAll(checks.verify_times(r.where("event_id % 97 <> 0"), r))
+
+
 @query(" SELECT 'orders' AS name, 'orders' AS unit, count(*) AS n_rows, 1 AS n_files, true AS sized FROM orders")
 def str14_files_and_bytes(spark, d):
     out = checks.table_stats({"orders": fx.table(spark, d, "orders")})

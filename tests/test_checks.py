@@ -36,3 +36,20 @@ def test_grades(spark):
     assert [tuple(r) for r in twice.where("pass = 2").collect()] == [("c1", "b", 2, "clear", "none")]
     odd = spark.createDataFrame([("c1", "a", 1, "clear", ""), ("c1", "b", 3, "far", "none"), ("c9", "a", 1, None, None), ("c1", "a", 1, "clear", "none")], g.schema)
     assert {r.rule: r.broken for r in checks.grade_report(odd, manifest).collect()} == {"view": 1, "damage": 2, "pass": 1, "camera": 1, "repeated": 1}
+
+
+def test_a_summary_is_held_against_one_made_anew(spark):
+    anew = spark.createDataFrame([("a", 1, 2, 0.1 + 0.2), ("b", 1, 1, None), (None, 1, 4, 5.0), ("c", 2, 1, 1.0)], "k string, hour int, n long, mean double")
+    good = spark.createDataFrame([("a", 1, 2, 0.3), ("b", 1, 1, None), (None, 1, 4, 5.0), ("c", 2, 1, 1.0)], anew.schema)
+    raw = spark.range(8).withColumn("replay_of", F.lit(None).cast("long"))
+    replayed = raw.unionAll(spark.range(5).withColumn("replay_of", F.col("id")))
+    report = lambda s, *more: {r.what: r.broken for r in checks.verify_summary(s, anew, ["k", "hour"], *more).collect()}
+    assert set(report(good, replayed).values()) == {0} and set(report(good)) == {"missing", "extra", "repeated", "value: n", "value: mean"}
+    bad = spark.createDataFrame([("a", 1, 3, 0.3), ("a", 1, 3, 0.3), ("b", 1, 1, 7.0), (None, 1, 4, 5.1), ("d", 2, 1, 1.0)], anew.schema)
+    assert report(bad, raw) == {"missing": 1, "extra": 1, "repeated": 1, "value: n": 1, "value: mean": 2, "rows told of": 4}
+    none = anew.limit(0)
+    assert {r.what: r.broken for r in checks.verify_summary(none, none, ["k", "hour"], raw.limit(0)).collect()}.keys() == report(good, raw).keys()
+    times = raw.select(F.timestamp_seconds("id").alias("time"), "replay_of")
+    later = times.unionAll(spark.range(9, 10).select(F.timestamp_seconds("id").alias("time"), F.lit(3).cast("long").alias("replay_of")))
+    at = lambda a, b: [r.broken for r in checks.verify_times(a, b).collect()]
+    assert at(later, times) == [0, 0] and at(times.where("time > timestamp_seconds(0)"), times) == [1, 0] and at(times.limit(0), times) == [1, 1] and at(times.limit(0), times.limit(0)) == [0, 0]
