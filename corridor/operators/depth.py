@@ -198,7 +198,10 @@ def candidates(lines: DataFrame, pieces: DataFrame, spacing: float = 30.0) -> Da
     own = own.withColumn("_c", cells(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), 0.0))
     p = F.struct(F.col("lx1").alias("x"), F.col("ly1").alias("y"))
     q = F.struct(F.col("lx2").alias("x"), F.col("ly2").alias("y"))
-    near = own.join(live, "_c").where(piece_distance(F.col("a"), F.col("b"), p, q) <= SIDE).select("seg_id").distinct()
+    apart = lambda a, b, c, d: F.greatest(F.least(a, b) - F.greatest(c, d), F.least(c, d) - F.greatest(a, b))
+    bounds = F.greatest(*[apart(F.col(f"a.{v}"), F.col(f"b.{v}"), F.col(f"l{v}1"), F.col(f"l{v}2")) for v in "xy"])
+    met = own.join(live, "_c").where(bounds <= SIDE)  # before the exact distance, which costs more
+    near = met.where(piece_distance(F.col("a"), F.col("b"), p, q) <= SIDE).select("seg_id").distinct()
     s = lines.join(near, "seg_id", "left_semi").withColumn("_s", sample_stations(F.col("line"), spacing))
     s = s.select("seg_id", "line", F.posexplode("_s").alias("step", "_at"), (F.get("_s", 1) - F.get("_s", 0)).alias("step_m"))
     return s.withColumn("_p", point_at(F.col("line"), F.col("_at"))).select("seg_id", "step", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), "step_m")
