@@ -57,11 +57,14 @@ def parse_seg_id(c: Column) -> Column:
     return F.when(c.rlike(SEG_ID), out)
 
 
-def route_label(seg_id: Column) -> Column:
-    """'US 13' or 'I-40' from a segment's id; a class that is not known counts as a secondary road."""
+def route_label(seg_id: Column, number: Column | None = None) -> Column:
+    """'US 13' or 'I-40' from a segment's id; a class that is not known counts as a secondary road.
+
+    An id has room for five digits of a route's number; ``number`` is the route's own, where the table has it.
+    """
     p = parse_seg_id(seg_id)
     names = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    return F.concat(F.coalesce(names[F.substring(p["route"], 1, 1)], F.lit(LABELS["4"])), p["number"].cast("string"))
+    return F.concat(F.coalesce(names[F.substring(p["route"], 1, 1)], F.lit(LABELS["4"])), (p["number"] if number is None else number).cast("string"))
 
 
 def county_name(code: Column) -> Column:
@@ -69,11 +72,11 @@ def county_name(code: Column) -> Column:
     return F.when(code.between(1, len(COUNTIES)), F.get(F.array(*[F.lit(c) for c in COUNTIES]), code - 1))
 
 
-def road_name(seg_id: Column) -> Column:
-    """'SR 2748, Wake County (mp 0.94)'; the county is left out where its code is none."""
+def road_name(seg_id: Column, number: Column | None = None) -> Column:
+    """'SR 2748, Wake County (mp 0.94)'; the county is left out where its code is none. ``number`` as in ``route_label``."""
     p = parse_seg_id(seg_id)
     county = F.coalesce(F.concat(F.lit(", "), county_name(p["county"]), F.lit(" County")), F.lit(""))
-    return F.concat(route_label(seg_id), county, F.format_string(" (mp %.2f)", p["milepost"]))
+    return F.concat(route_label(seg_id, number), county, F.format_string(" (mp %.2f)", p["milepost"]))
 
 
 def parse_highway(c: Column) -> Column:
