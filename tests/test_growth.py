@@ -1,8 +1,26 @@
 """What failed on larger tables: each held to its SQL or to brute force on the rows that showed it."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from corridor.functions import keys
+from corridor.functions import geo, keys
+from corridor.operators import chips, gates, linref, timeseries
+
+
+def rows_joined(df):
+    """Rows of ``df``, and how many rows its joins gave out together."""
+    rows = df.collect()
+
+    def walk(plan):
+        name = plan.nodeName()
+        inner = [plan.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [plan.plan()] if "QueryStage" in name else []
+        children = plan.children()
+        inner += [children.apply(k) for k in range(children.size())]
+        own = plan.metrics().get("numOutputRows")
+        return (own.get().value() if "Join" in name and own.isDefined() else 0) + sum(map(walk, inner))
+
+    return rows, walk(df._jdf.queryExecution().executedPlan())
 
 
 def test_road_names_of_numbers_over_five_digits(spark):
@@ -10,3 +28,15 @@ def test_road_names_of_numbers_over_five_digits(spark):
     rows = df.select(keys.route_label(F.col("seg_id"), F.col("rid")), keys.road_name(F.col("seg_id"), F.col("rid")), keys.route_label(F.col("seg_id"))).collect()
     assert tuple(rows[0]) == ("SR 119999", "SR 119999, Beaufort County (mp 940.00)", "SR 19999")
     assert tuple(rows[1]) == ("SR 2748", "SR 2748, Wake County (mp 940.00)", "SR 2748")
+
+
+def test_fingerprint_of_the_lowest_bits_of_a_place(spark):
+    df = spark.range(40).withColumn("v", F.col("id") * 7 % 11)
+    own = [int(hashlib.md5(f"={k}|={k * 7 % 11}".encode()).hexdigest()[:12], 16) for k in range(40)]
+
+    def by_hand(bits):
+        return "-".join(str(sum(h % p * pow(b, (k + 1) % 2**bits, p) % p for k, h in enumerate(own)) % p) for p, b in zip(gates.MODULI, gates.BASES, strict=True))
+
+    for bits in (3, 5, 24):
+        assert tuple(gates.ordered_fingerprint(df.repartition(5), ["id"], bits).first()) == (40, by_hand(bits))
+    assert gates.ordered_fingerprint(df, ["id"]).first().h == by_hand(48) != by_hand(5)
