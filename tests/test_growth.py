@@ -40,3 +40,15 @@ def test_fingerprint_of_the_lowest_bits_of_a_place(spark):
     for bits in (3, 5, 24):
         assert tuple(gates.ordered_fingerprint(df.repartition(5), ["id"], bits).first()) == (40, by_hand(bits))
     assert gates.ordered_fingerprint(df, ["id"]).first().h == by_hand(48) != by_hand(5)
+
+
+def test_time_of_day_sends_no_readings_to_every_executor(spark):
+    at = "timestamp '2024-01-01 23:50:00' + make_interval(0, 0, 0, cast(id % 5 as int), 0, cast(id * 37 % 60 as int), 0)"
+    r = spark.range(60).selectExpr("id", "concat('C', id % 3) as camera_id", f"{at} as time", "id % 4 as depth_cm")
+    out = timeseries.by_time_of_day(r, r, 20)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = r.selectExpr("id", "camera_id", "to_date(time) as day", "hour(time) * 60 + minute(time) as m", "depth_cm").collect()
+    got = {x.id: x for x in out.collect()}
+    for a in rows:
+        near = [b.depth_cm for b in rows if b.camera_id == a.camera_id and b.day != a.day and min((a.m - b.m) % 1440, (b.m - a.m) % 1440) <= 20]
+        assert got[a.id].n_near == len(near) and got[a.id].mean_depth == (sum(near) / len(near) if near else None)
