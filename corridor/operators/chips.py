@@ -136,17 +136,28 @@ def augment(chips: DataFrame, key: str, seed: int, epoch: int, preset: Preset, c
     return drawn.mapInPandas(run, drawn.schema)
 
 
+#: Parts of a cell's side into which tiles are cut.
+FINE = 16
+
+
 def chip_plan(points: DataFrame, tiles: DataFrame, key: str, cell: float = 5000.0) -> DataFrame:
     """Points (key, x, y) with the first of the tiles (tile, x0, y0, x1, y1) that hold them; null where none does.
 
-    Tiles and points meet by the cells of a grid, so each point is compared with the tiles of its cell alone.
+    Tiles are cut into small cells, FINE to a side of ``cell``. The first tile that covers a small cell whole holds every
+    point in it, so a point is compared only with tiles that begin or end in its cell and come before that one.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
+    size = cell / FINE
+    at = lambda c: F.floor(F.col(c) / size)
     spread = tiles.withColumn("_i", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_j", F.explode(F.sequence(at("y0"), at("y1"))))
+    near = size * 1e-9
+    holds = lambda lo, hi, k: (F.col(lo) <= F.col(k) * size - near) & (F.col(hi) >= (F.col(k) + 1) * size + near)
+    spread = spread.withColumn("_whole", holds("x0", "x1", "_i") & holds("y0", "y1", "_j"))
+    whole = spread.where("_whole").groupBy("_i", "_j").agg(F.min("tile").alias("_first"))
+    part = spread.where("not _whole").join(whole, ["_i", "_j"], "left").where(F.col("_first").isNull() | (F.col("tile") < F.col("_first"))).drop("_first", "_whole")
+    placed = points.withColumns({"_i": at("x"), "_j": at("y")})
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    met = points.withColumns({"_i": at("x"), "_j": at("y")}).join(spread, ["_i", "_j"]).where(inside)
-    first = met.groupBy(key).agg(F.min("tile").alias("tile"))
-    return points.join(first, key, "left")
+    found = placed.join(part, ["_i", "_j"]).where(inside).select(key, "tile").unionAll(placed.join(whole, ["_i", "_j"]).select(key, "_first"))
+    return points.join(found.groupBy(key).agg(F.min("tile").alias("tile")), key, "left")
 
 
 def chip_census(plan: DataFrame) -> DataFrame:

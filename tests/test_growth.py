@@ -52,3 +52,13 @@ def test_time_of_day_sends_no_readings_to_every_executor(spark):
     for a in rows:
         near = [b.depth_cm for b in rows if b.camera_id == a.camera_id and b.day != a.day and min((a.m - b.m) % 1440, (b.m - a.m) % 1440) <= 20]
         assert got[a.id].n_near == len(near) and got[a.id].mean_depth == (sum(near) / len(near) if near else None)
+
+
+def test_chip_plan_does_not_meet_every_tile(spark):
+    tiles = spark.range(400).selectExpr("id as tile", "id * 7 % 40 as x0", "id * 11 % 40 as y0", "id * 7 % 40 + 300 as x1", "id * 11 % 40 + 350 as y1")
+    pts = spark.range(500).selectExpr("id", "id * 13 % 450 as x", "id * 29 % 450 as y")
+    rows, n = rows_joined(chips.chip_plan(pts, tiles, "id", cell=800))
+    box = {r.tile: r for r in tiles.collect()}
+    for r in rows:
+        assert r.tile == min((k for k, b in box.items() if b.x0 <= r.x <= b.x1 and b.y0 <= r.y <= b.y1), default=None)
+    assert n < 60_000  # points with all tiles that hold them are over 100,000
