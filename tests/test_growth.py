@@ -62,3 +62,15 @@ def test_chip_plan_does_not_meet_every_tile(spark):
     for r in rows:
         assert r.tile == min((k for k, b in box.items() if b.x0 <= r.x <= b.x1 and b.y0 <= r.y <= b.y1), default=None)
     assert n < 60_000  # points with all tiles that hold them are over 100,000
+
+
+def test_lengths_of_lines_are_worked_out_once(spark):
+    line = geo.line_of((F.col("id"), F.lit(0.0)), (F.col("id"), F.lit(3.0)), (F.col("id") + 4, F.lit(3.0)))
+    df = spark.range(2).select(line.alias("line"))
+    said = lambda c, word: df.select(c.alias("v"))._jdf.queryExecution().analyzed().toString().lower().count(word)
+    line = F.col("line")
+    assert said(geo.sample_stations(line, 2.0), "hypot") == 1
+    assert said(geo.midpoint_of_parts(F.array(line, line)), "array_max") == 1
+    assert said(geo.encode_path(line), "round(") == 2
+    row = df.select(geo.sample_stations(line, 2.0), geo.encode_path(line, 1.0), geo.midpoint_of_parts(F.array(line, line))).first()
+    assert row[0] == [0.0, 1.75, 3.5, 5.25, 7.0] and row[1] == [0, 0, 0, 3, 4, 0] and tuple(row[2]) == (0.5, 3.0)
