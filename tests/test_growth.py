@@ -74,3 +74,10 @@ def test_lengths_of_lines_are_worked_out_once(spark):
     assert said(geo.encode_path(line), "round(") == 2
     row = df.select(geo.sample_stations(line, 2.0), geo.encode_path(line, 1.0), geo.midpoint_of_parts(F.array(line, line))).first()
     assert row[0] == [0.0, 1.75, 3.5, 5.25, 7.0] and row[1] == [0, 0, 0, 3, 4, 0] and tuple(row[2]) == (0.5, 3.0)
+
+
+def test_points_meet_only_segments_that_hold_them(spark):
+    segs = spark.range(200).selectExpr("1L as rid", "concat('s', id) as seg_id", "id * 10 as beg", "id * 10 + 10 as end")
+    pts = spark.range(100).selectExpr("id as pt", "1L as rid", "id * 20 + 5 as mp")
+    rows, n = rows_joined(linref.points_on_segments(segs, pts, "pt"))
+    assert {r.pt: r.seg_id for r in rows} == {k: f"s{2 * k}" for k in range(100)} and n == 100
