@@ -26,18 +26,26 @@ def rescale(df: DataFrame, est: str, count: str, group: str, out: str = "rescale
     estimates of 0 or less. Groups are few: road systems.
     """
     both = F.col(est).isNotNull() & F.col(count).isNotNull() & (F.col(est) > 0) & (F.col(count) > 0)
-    sizes = {r[group]: (r["n"], r["pairs"]) for r in df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(both).alias("pairs")).collect()}
-    if sum(pairs for _, pairs in sizes.values()) < least:
+    # a curve through equal estimates goes by their mean: rows with one estimate are one row of their weight
+    sums = [F.count_if(both).alias("_n"), F.sum(F.when(both, F.log10(count))).alias("_s")]
+    seen = checkpointed(df.groupBy(group, est).agg(*sums).withColumn("_x", F.when(F.col(est) > 0, F.log10(est))))
+    sizes = {r[group]: r["n"] for r in seen.groupBy(group).agg(F.sum("_n").alias("n")).collect()}
+    if sum(sizes.values()) < least:
         return df.withColumn(out, F.col(est).cast("double"))
-    known = df.where((F.col(est) > 0) & F.col(group).isNotNull()).withColumns({"_x": F.log10(est), "_y": F.when(both, F.log10(count))})
-    steps = [VectorAssembler(inputCols=["_x"], outputCol="_v"), IsotonicRegression(featuresCol="_v", labelCol="_y", predictionCol="_p")]
-    own = [g for g, (_, pairs) in sizes.items() if g is not None and pairs >= least]
-    fits = [(F.col(group) == g, known.where((F.col(group) == g) & F.col("_y").isNotNull())) for g in own]
-    others = ~F.col(group).isin(own) if own else F.lit(True)
-    fits.append((others, df.where(both).withColumns({"_x": F.log10(est), "_y": F.log10(count)})))
-    parts = [Pipeline(stages=steps).fit(train).transform(known.where(rows)).withColumn(out, F.pow(F.lit(10.0), "_p")) for rows, train in fits]
-    rest = df.where(F.col(est).isNull() | (F.col(est) <= 0) | F.col(group).isNull()).withColumn(out, F.lit(None).cast("double"))
-    return reduce(DataFrame.unionAll, [p.select(*df.columns, out) for p in parts], rest.select(*df.columns, out))
+    pairs = seen.where("_n > 0")
+    steps = [VectorAssembler(inputCols=["_x"], outputCol="_v"), IsotonicRegression(featuresCol="_v", labelCol="_y", weightCol="_w", predictionCol="_p")]
+
+    def fit(rows: DataFrame):
+        means = rows.groupBy("_x").agg((F.sum("_s") / F.sum("_n")).alias("_y"), F.sum("_n").cast("double").alias("_w"))
+        return Pipeline(stages=steps).fit(means)
+
+    own = [g for g, n in sizes.items() if g is not None and n >= least]
+    fits = [(F.col(group) == g, fit(pairs.where(F.col(group) == g))) for g in own]
+    fits.append((~F.col(group).isin(own) if own else F.lit(True), fit(pairs)))
+    known = seen.where(F.col("_x").isNotNull() & F.col(group).isNotNull()).select(group, est, "_x")
+    parts = [model.transform(known.where(rows)).select(F.col(group).alias("_g"), F.col(est).alias("_e"), F.pow(F.lit(10.0), "_p").alias(out)) for rows, model in fits]
+    curve = reduce(DataFrame.unionAll, parts)
+    return df.join(curve, (F.col(group) == F.col("_g")) & (F.col(est) == F.col("_e")), "left").select(*df.columns, out)
 
 
 def change_range(df: DataFrame, key: str, block: str, y: str, old: str, new: str, draws: int, seed: int = 42) -> DataFrame:
