@@ -2,10 +2,11 @@
 
 import hashlib
 
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys
-from corridor.operators import chips, gates, linref, timeseries
+from corridor.operators import ablation, chips, gates, linref, spatial, timeseries
 
 
 def rows_joined(df):
@@ -81,3 +82,41 @@ def test_points_meet_only_segments_that_hold_them(spark):
     pts = spark.range(100).selectExpr("id as pt", "1L as rid", "id * 20 + 5 as mp")
     rows, n = rows_joined(linref.points_on_segments(segs, pts, "pt"))
     assert {r.pt: r.seg_id for r in rows} == {k: f"s{2 * k}" for k in range(100)} and n == 100
+
+
+def test_rescale_goes_over_its_rows_twice(spark):
+    df = spark.range(300).selectExpr("id", "cast(id % 20 + 1 as double) as est", "if(id % 4 = 0, cast(id % 17 + id % 20 + 1 as double), null) as n", "cast(id % 2 as int) as g")
+    out = ablation.rescale(df, "est", "n", "g")
+    assert out.count() == 300 and out._jdf.queryExecution().analyzed().toString().count("Range (") == 1
+    one = IsotonicRegression(featuresCol="v", labelCol="y", predictionCol="p")
+    want = df.where("n is not null and g = 0").selectExpr("log10(est) as v", "log10(n) as y")
+    model = one.fit(want)
+    got = model.transform(out.where("g = 0").withColumn("v", F.log10("est"))).collect()
+    assert all(abs(10**r.p - r.rescaled) < 1e-9 for r in got)
+
+
+def test_nearest_meets_few_of_a_dense_table(spark, monkeypatch):
+    """Copies of a place or a shape ask and answer once, and nothing far is met where something near was found."""
+    met = []
+
+    def counted(left, right, *how, _f=spatial.points_within):
+        near = _f(left, right, *how)
+        met.append(near.count())
+        return near
+
+    monkeypatch.setattr(spatial, "points_within", counted)
+    pts = spark.range(1200).selectExpr("id % 400 as k", "id", "id % 20 * 3 as x", "int(id % 400 / 20) * 3 as y")
+    spots = spark.range(2000).selectExpr("concat('s', id) as s", "id % 400 % 20 * 3 + 1 as px", "int(id % 400 / 20) * 3 as py")
+    got = {r.id: (r.s, r.dist2) for r in spatial.nearest_point(pts.select("id", "x", "y"), spots, 60, "id", "s").collect()}
+    own = {}
+    for k in range(2000):
+        own[k % 400] = min(own.get(k % 400, "t"), f"s{k}")
+    assert all(got[i] == (own[i % 400], 1) for i in range(1200)) and sum(met) < 10_000  # 1,200 x 2,000 pairs lie within 60
+
+
+def test_far_points_are_found_in_later_rounds(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 0.0, 55.0), (4, 0.0, 900.0), (5, None, 1.0)], "id long, x double, y double")
+    line = geo.line_of((F.lit(-500.0), F.col("id").cast("double")), (F.lit(500.0), F.col("id").cast("double")))
+    lines = spark.range(3).select(F.concat(F.lit("l"), F.col("id")).alias("seg_id"), line.alias("line"))
+    got = {r.id: (r.seg_id, r.dist) for r in spatial.nearest(pts, lines, 60.0, "id").collect()}
+    assert got == {1: ("l0", 0.0), 2: ("l1", 0.0), 3: ("l2", 53.0), 4: (None, None), 5: (None, None)}
