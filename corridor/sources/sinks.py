@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -125,27 +126,32 @@ def csv_text(df: DataFrame, layout: dict[str, str]) -> DataFrame:
 
 #: Rows of a page of an export.
 PAGE = 250_000
+#: Tasks that write an export, at most; of more pages each writes several.
+MOST_WRITERS = 512
 
 
-def write_fixed_csv(df: DataFrame, path: str, layout: dict[str, str], key: str, page: int = PAGE) -> None:
+def write_fixed_csv(df: DataFrame, path: str, layout: dict[str, str], key: str, page: int = PAGE) -> int:
     """The layout sorted by ``key`` (and, where keys repeat, by all columns) in files of ``page`` rows each but the last.
 
     Pages are cut by exact rank, so the same rows give the same files, byte for byte, however they were dealt before.
+    Returns the pages that a task writes, n: page k is part-<k // n> with -c<k % n> at the end of its name.
     """
-    _write_pages(csv_text(df, layout), path, key, page)
+    return _write_pages(csv_text(df, layout), path, key, page)
 
 
-def write_laid_out(df: DataFrame, path: str, layout: dict[str, tuple[str | None, str]], key: str = "seg_id", page: int = PAGE) -> None:
+def write_laid_out(df: DataFrame, path: str, layout: dict[str, tuple[str | None, str]], key: str = "seg_id", page: int = PAGE) -> int:
     """An export in one of the fixed layouts, in pages by exact rank of its heading ``key``."""
-    _write_pages(laid_out(df, layout), path, key, page)
+    return _write_pages(laid_out(df, layout), path, key, page)
 
 
-def _write_pages(text: DataFrame, path: str, key: str, page: int) -> None:
+def _write_pages(text: DataFrame, path: str, key: str, page: int) -> int:
     order = [F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in text.columns if c != key]]
     ranked = global_rank(text, [c.asc() for c in order], "_rank").withColumn("_page", F.floor((F.col("_rank") - 1) / page).cast("int"))
     pages = ranked.agg(F.coalesce(F.max("_page"), F.lit(0)) + 1).first()[0]
-    dealt = ranked.repartitionById(pages, F.col("_page")).sortWithinPartitions("_rank")
-    dealt.drop("_rank", "_page").write.csv(path, header=True, emptyValue="")
+    each = math.ceil(pages / MOST_WRITERS)
+    dealt = ranked.repartitionById(math.ceil(pages / each), F.floor(F.col("_page") / each).cast("int")).sortWithinPartitions("_rank")
+    dealt.drop("_rank", "_page").write.option("maxRecordsPerFile", page).csv(path, header=True, emptyValue="")
+    return each
 
 
 def data_dictionary(df: DataFrame, said: dict[str, tuple[str, str]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,19 @@ def test_exports_are_the_same_bytes_however_dealt(spark, tmp_path):
     sinks.write_fixed_csv(df.limit(0), str(tmp_path / "none"), {"seg_id": "text"}, "seg_id")
 
 
+def test_pages_of_an_export_share_tasks(spark, tmp_path, monkeypatch):
+    """Eleven pages by three tasks are the same pages, byte for byte, as by eleven; a task a page makes tasks grow with the rows."""
+    df = spark.range(1050).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("seg_id"), (F.col("id") / 7).alias("v"))
+    pages = {}
+    for most in (100, 3):
+        monkeypatch.setattr(sinks, "MOST_WRITERS", most)
+        each = sinks.write_fixed_csv(df, str(tmp_path / str(most)), {"seg_id": "text", "v": "float"}, "seg_id", page=100)
+        names = {p: re.search(r"part-(\d+)-.*-c(\d+)\.", p.name) for p in (tmp_path / str(most)).glob("part-*")}
+        pages[most] = {int(m[1]) * each + int(m[2]): p.read_bytes() for p, m in names.items()}
+        assert len({m[1] for m in names.values()}) == {100: 11, 3: 3}[most]
+    assert pages[3] == pages[100] and sorted(pages[3]) == list(range(11))
+
+
 def test_polygons_with_holes_parts_and_any_cells(spark):
     r = random.Random(8)
 
