@@ -120,3 +120,24 @@ def test_far_points_are_found_in_later_rounds(spark):
     lines = spark.range(3).select(F.concat(F.lit("l"), F.col("id")).alias("seg_id"), line.alias("line"))
     got = {r.id: (r.seg_id, r.dist) for r in spatial.nearest(pts, lines, 60.0, "id").collect()}
     assert got == {1: ("l0", 0.0), 2: ("l1", 0.0), 3: ("l2", 53.0), 4: (None, None), 5: (None, None)}
+
+
+def counted(df):
+    """``df``, and how many rows of it were worked out in all."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_a_side_table_is_worked_out_once(spark):
+    table = spark.range(300).select("id", (F.col("id") * 2).alias("a"))
+    side, seen = counted(spark.range(200).select("id", (F.col("id") * 3).alias("b")))
+    other, also = counted(spark.range(100).select("id", (F.col("id") * 5).alias("c")))
+    got = {r.id: (r.a, r.b, r.c) for r in gates.side_tables(table, "id", side, other).collect()}
+    assert got == {k: (2 * k, 3 * k if k < 200 else None, 5 * k if k < 100 else None) for k in range(300)}
+    assert (seen.value, also.value) == (200, 100)
