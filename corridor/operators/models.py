@@ -160,7 +160,7 @@ def shuffled_labels(df: DataFrame, key: str, label: str, seed: int) -> DataFrame
     """Labels dealt anew among the labelled rows: the k-th row by id gets the label of the k-th row by hash."""
     from corridor.operators.ranking import draw, global_rank
 
-    known = df.where(F.col(label).isNotNull()).select(key, label)
+    known = checkpointed(df.where(F.col(label).isNotNull()).select(key, label))  # ranked twice, each with a look ahead for its ranges
     a = global_rank(known.select(key), [F.asc(key)], "_k")
     b = global_rank(known.withColumn("_h", draw(seed, F.col(key))), [F.asc("_h"), F.asc(key)], "_k").select("_k", label)
     return a.join(b, "_k").select(key, label)

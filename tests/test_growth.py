@@ -6,7 +6,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys
-from corridor.operators import ablation, chips, gates, linref, spatial, timeseries
+from corridor.operators import ablation, chips, gates, linref, models, spatial, timeseries
 
 
 def rows_joined(df):
@@ -141,3 +141,10 @@ def test_a_side_table_is_worked_out_once(spark):
     got = {r.id: (r.a, r.b, r.c) for r in gates.side_tables(table, "id", side, other).collect()}
     assert got == {k: (2 * k, 3 * k if k < 200 else None, 5 * k if k < 100 else None) for k in range(300)}
     assert (seen.value, also.value) == (200, 100)
+
+
+def test_labels_to_deal_anew_are_worked_out_once(spark):
+    df, seen = counted(spark.range(400).select("id", F.when(F.col("id") % 4 != 0, F.col("id") % 7).alias("y")))
+    out = models.shuffled_labels(df, "id", "y", 3).collect()
+    assert len(out) == 300 and sorted(r.y for r in out) == sorted(k % 7 for k in range(400) if k % 4)
+    assert seen.value == 400
