@@ -6,7 +6,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys
-from corridor.operators import ablation, chips, gates, linref, models, spatial, timeseries
+from corridor.operators import ablation, chips, gates, linref, models, ranking, spatial, timeseries
 
 
 def rows_joined(df):
@@ -148,3 +148,18 @@ def test_labels_to_deal_anew_are_worked_out_once(spark):
     out = models.shuffled_labels(df, "id", "y", 3).collect()
     assert len(out) == 300 and sorted(r.y for r in out) == sorted(k % 7 for k in range(400) if k % 4)
     assert seen.value == 400
+
+
+def test_rows_of_few_groups_are_not_dealt_by_group(spark):
+    df = spark.range(600).select("id", (F.col("id") % 2).alias("g"), (F.col("id") * 37 % 100).alias("s"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = ranking.ntile_by_rank(df, "s", 5, ["g"], "id", 50, "part")
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+    for g in (0, 1):
+        order = sorted((r.s, r.id, r.part) for r in rows if r.g == g)
+        assert [p for _, _, p in order] == [-(-5 * (k + 1) // 300) for k in range(300)]
