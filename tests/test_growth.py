@@ -163,3 +163,12 @@ def test_rows_of_few_groups_are_not_dealt_by_group(spark):
     for g in (0, 1):
         order = sorted((r.s, r.id, r.part) for r in rows if r.g == g)
         assert [p for _, _, p in order] == [-(-5 * (k + 1) // 300) for k in range(300)]
+
+
+def test_a_round_of_matches_writes_its_pairs_once(spark, monkeypatch):
+    master = spark.createDataFrame([(1, f"m{k}", 100 * k, 100 * k + 50) for k in range(9)], "rid long, master_id string, beg long, end long")
+    detail = spark.createDataFrame([(1, f"d{k}", 100 * k + k % 3, 100 * k + 50) for k in range(9)], "rid long, detail_id string, pb long, pe long")
+    written, plain = [], linref.checkpointed
+    monkeypatch.setattr(linref, "checkpointed", lambda df: (written.append(1), plain(df))[1])
+    got = sorted(map(tuple, linref.tolerance_match(master, detail, 5).collect()))
+    assert got == [(f"m{k}", f"d{k}", k % 3) for k in range(9)] and len(written) == 2  # the pairs, and one round
