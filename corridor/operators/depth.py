@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.common import Refused
+from corridor.common import Refused, checkpointed
 from corridor.functions.geo import piece_distance, point_at, sample_stations
 from corridor.functions.measures import depth_band, typical_miss
 from corridor.operators.gates import assert_key, domain_report, orphans
@@ -18,6 +20,8 @@ SIDE, END, REACH, LIFT, CLOSE, TOO_DEEP = 300.0, 100.0, 1000.0, 2.0, 250.0, 15.0
 # Fixed value: the share of points that may be too deep.
 MOST_TOO_DEEP = 0.005
 BRIDGE, NOTCH, BANK, BANK_STEP = 60.0, 3.0, 2.0, 30.0
+# Cells in which any two spots are within SIDE, and a bound of coordinates that leaves out what is no number.
+COARSE, FAR_OUT = 200.0, 1e12
 
 
 def build_lines(marks: DataFrame, merge: float = 1.0) -> DataFrame:
@@ -183,8 +187,29 @@ def live_parts(pieces: DataFrame) -> DataFrame:
     return pieces.select("stream", "k", F.explode(parts).alias("p")).select("stream", "k", "p.*")
 
 
+def _spots_of(live: DataFrame) -> DataFrame:
+    """i, j and spots: for every cell of COARSE metres that a live part's sampled spots lie in, the outermost of them."""
+    ends = [F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")]
+    sound = reduce(lambda u, v: u & v, [F.abs(c) < FAR_OUT for c in ends])
+    n = F.greatest(F.ceil(F.hypot(ends[2] - ends[0], ends[3] - ends[1]) / COARSE), F.lit(1))
+    t = F.col("_k") / n
+    each = live.where(sound).select(*ends, F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("_k"))
+    each = each.select((ends[0] + t * (ends[2] - ends[0])).alias("x"), (ends[1] + t * (ends[3] - ends[1])).alias("y"))
+    outer = [F.struct(f("x", by).alias("x"), f("y", by).alias("y")) for by in ("x", "y") for f in (F.min_by, F.max_by)]
+    return each.groupBy(*_coarse(F.col("x"), F.col("y"))).agg(F.array(*outer).alias("spots"))
+
+
+def _coarse(x: Column, y: Column) -> list[Column]:
+    return [F.floor(x / COARSE).alias("i"), F.floor(y / COARSE).alias("j")]
+
+
 def candidates(lines: DataFrame, pieces: DataFrame, spacing: float = 30.0) -> DataFrame:
-    """Every sampled point (seg_id, step, x, y, step_m) of every road (seg_id, line) within SIDE of a live part of a water line."""
+    """Every sampled point (seg_id, step, x, y, step_m) of every road (seg_id, line) within SIDE of a live part of a water line.
+
+    A road that shares a cell of COARSE metres with a live part, or lies within SIDE of one of the outermost spots of the
+    cells around it, is near for certain and meets no piece. Exact distances to the pieces decide the rest, so where water
+    lines are dense few roads meet any.
+    """
     size = 2 * SIDE
 
     def cells(x1: Column, y1: Column, x2: Column, y2: Column, pad: float) -> Column:
@@ -192,17 +217,41 @@ def candidates(lines: DataFrame, pieces: DataFrame, spacing: float = 30.0) -> Da
         j = F.sequence(F.floor((F.least(y1, y2) - pad) / size), F.floor((F.greatest(y1, y2) + pad) / size))
         return F.explode(F.flatten(F.transform(i, lambda a: F.transform(j, lambda b: F.struct(a.alias("i"), b.alias("j"))))))
 
-    live = live_parts(pieces).withColumn("_c", cells(*(F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")), SIDE))
+    live = checkpointed(live_parts(pieces).select("lx1", "ly1", "lx2", "ly2"))
+    spots = checkpointed(_spots_of(live))
     n = F.size("line")
-    own = lines.select("seg_id", F.explode(F.arrays_zip(F.slice("line", F.lit(1), n - 1).alias("a"), F.slice("line", F.lit(2), n - 1).alias("b"))).alias("z")).select("seg_id", "z.a", "z.b")
+    # a vertex of a piece with both its ends
+    middle = F.floor((n - 1) / 2).cast("int")
+    at, onward = F.get("line", middle), F.get("line", middle + 1)
+    sound = reduce(lambda u, v: u & v, [F.abs(e[c]) < FAR_OUT for e in (at, onward) for c in "xy"])
+    roads = lines.select("seg_id", "line", F.when(sound, at).alias("_m"))
+    held = roads.withColumns({k: v for k, v in zip(("i", "j"), _coarse(F.col("_m.x"), F.col("_m.y")), strict=True)})
+    held = held.join(spots.select("i", "j", F.lit(True).alias("_sure")), ["i", "j"], "left")
+    held = checkpointed(held.select("seg_id", "line", "_m", "i", "j", F.coalesce("_sure", F.lit(False)).alias("_sure")))
+
+    rest = held.where(~F.col("_sure"))
+    reach = int(SIDE // COARSE) + 1
+    around = F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]))
+    by = F.exists("spots", lambda e: F.hypot(e["x"] - F.col("_m.x"), e["y"] - F.col("_m.y")) <= SIDE * (1 - 1e-9))
+    asked = rest.where("_m is not null").select("seg_id", "_m", around.alias("_c")).select("seg_id", "_m", "_c.*")
+    sure = checkpointed(asked.join(spots, ["i", "j"]).where(by).select("seg_id").distinct())
+
+    own = rest.join(sure, "seg_id", "left_anti").select("seg_id", F.explode(F.arrays_zip(F.slice("line", F.lit(1), n - 1).alias("a"), F.slice("line", F.lit(2), n - 1).alias("b"))).alias("z")).select("seg_id", "z.a", "z.b")
     own = own.withColumn("_c", cells(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), 0.0))
     p = F.struct(F.col("lx1").alias("x"), F.col("ly1").alias("y"))
     q = F.struct(F.col("lx2").alias("x"), F.col("ly2").alias("y"))
     apart = lambda a, b, c, d: F.greatest(F.least(a, b) - F.greatest(c, d), F.least(c, d) - F.greatest(a, b))
     bounds = F.greatest(*[apart(F.col(f"a.{v}"), F.col(f"b.{v}"), F.col(f"l{v}1"), F.col(f"l{v}2")) for v in "xy"])
+    live = live.withColumn("_c", cells(*(F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")), SIDE))
+    own = checkpointed(own.join(live.select("_c").distinct(), "_c", "left_semi"))
+    live = live.join(own.select("_c").distinct(), "_c", "left_semi")
     met = own.join(live, "_c").where(bounds <= SIDE)  # before the exact distance, which costs more
-    near = met.where(piece_distance(F.col("a"), F.col("b"), p, q) <= SIDE).select("seg_id").distinct()
-    s = lines.join(near, "seg_id", "left_semi").withColumn("_s", sample_stations(F.col("line"), spacing))
+    near = met.where(piece_distance(F.col("a"), F.col("b"), p, q) <= SIDE).select("seg_id")
+    # rows of one seg_id are near together
+    near = checkpointed(near.union(sure).distinct())
+    near = near.union(held.where("_sure").select("seg_id"))
+    s = held.where("_sure").select("seg_id", "line").union(rest.select("seg_id", "line").join(near, "seg_id", "left_semi"))
+    s = s.withColumn("_s", sample_stations(F.col("line"), spacing))
     s = s.select("seg_id", "line", F.posexplode("_s").alias("step", "_at"), (F.get("_s", 1) - F.get("_s", 0)).alias("step_m"))
     return s.withColumn("_p", point_at(F.col("line"), F.col("_at"))).select("seg_id", "step", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), "step_m")
 

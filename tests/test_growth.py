@@ -1,12 +1,14 @@
 """What failed on larger tables: each held to its SQL or to brute force on the rows that showed it."""
 
 import hashlib
+import math
+import random
 
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys
-from corridor.operators import ablation, chips, gates, linref, models, ranking, spatial, timeseries
+from corridor.operators import ablation, chips, depth, gates, linref, models, ranking, spatial, timeseries
 
 
 def rows_joined(df):
@@ -172,3 +174,43 @@ def test_a_round_of_matches_writes_its_pairs_once(spark, monkeypatch):
     monkeypatch.setattr(linref, "checkpointed", lambda df: (written.append(1), plain(df))[1])
     got = sorted(map(tuple, linref.tolerance_match(master, detail, 5).collect()))
     assert got == [(f"m{k}", f"d{k}", k % 3) for k in range(9)] and len(written) == 2  # the pairs, and one round
+
+
+def _apart(a, b, p, q):
+    """Between two straight pieces that do not cross."""
+
+    def to(u, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = min(max(((u[0] - a[0]) * dx + (u[1] - a[1]) * dy) / (dx * dx + dy * dy), 0.0), 1.0) if dx or dy else 0.0
+        return math.hypot(u[0] - a[0] - t * dx, u[1] - a[1] - t * dy)
+
+    return min(to(a, p, q), to(b, p, q), to(p, a, b), to(q, a, b))
+
+
+PIECE = "stream string, k long, x double, y double, x2 double, y2 double"
+ROAD = "seg_id string, line array<struct<x:double,y:double>>"
+
+
+def test_roads_among_dense_lines_meet_no_piece(spark, monkeypatch):
+    monkeypatch.setattr(depth, "piece_distance", lambda *_: F.raise_error(F.lit("a road met a piece")).cast("double"))
+    pieces = spark.createDataFrame([("s", k, 13.0 * k, 0.0, 13.0 * k, 900.0) for k in range(60)], PIECE)
+    roads = spark.createDataFrame([(f"r{k}", [(10.0 * k, 5.0), (10.0 * k + 5, 400.0 + k), (10.0 * k + 10, 800.0)]) for k in range(60)], ROAD)
+    assert depth.candidates(roads, pieces).select("seg_id").distinct().count() == 60
+
+
+def test_candidates_are_those_of_every_pair(spark):
+    rng = random.Random(3)
+    xs = [(200.0 + 37 * k, rng.uniform(-3000, 3000)) for k in range(80)]
+    pieces = [("s", k, x, y, x, y + rng.uniform(0, 1900)) for k, (x, y) in enumerate(xs)] + [("t", 0, 9000.0, 0.0, 9000.0, 5000.0), ("u", 0, 7000.0, 7000.0, 7000.0, 7000.0), ("v", 0, None, 0.0, 1.0, 0.0)]
+    parts = [(p[2:4], p[4:6]) for p in pieces[:80] + pieces[81:82]] + [((9000.0, 0.0), (9000.0, 1000.0)), ((9000.0, 4000.0), (9000.0, 5000.0))]  # the middle of a long one is not live
+    roads = {}
+    for k in range(500):
+        x, y = rng.choice((rng.uniform(-800, 4200), 9000 + rng.uniform(-700, 700), 7000 + rng.uniform(-400, 400))), rng.uniform(-4000, 8000)
+        roads[f"r{k}"] = [(x, y), (x + rng.uniform(0, 250), y), (x + 500, y)][: rng.choice((2, 3))]
+    roads |= {"at": [(9300.0, 500.0), (9400.0, 500.0)], "past": [(9300.001, 500.0), (9400.0, 500.0)], "dot": [(9000.0, 500.0)]}
+    want = {n for n, line in roads.items() if any(_apart(a, b, p, q) <= 300 for a, b in zip(line, line[1:], strict=False) for p, q in parts)}
+    want |= {n for n, line in roads.items() for (ax, y), (bx, _) in zip(line, line[1:], strict=False) for (x, y1), (_, y2) in parts if min(ax, bx) <= x <= max(ax, bx) and y1 <= y <= y2}
+    rows = [*roads.items(), ("none", None), ("at", [(99000.0, 0.0), (99030.0, 0.0)])]
+    got = [(r.seg_id, r.step) for r in depth.candidates(spark.createDataFrame(rows, ROAD), spark.createDataFrame(pieces, PIECE)).collect()]
+    assert {s for s, _ in got} == want and "at" in want and "past" not in want and 100 < len(want) < 400
+    assert sum(s == "at" for s, _ in got) == 5 + 2  # both rows of the road
