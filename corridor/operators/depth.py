@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,25 +54,34 @@ def meetings(points: DataFrame, pieces: DataFrame, on: tuple[str, ...] = ()) ->
     return a.join(b, ["_c", *on]).drop("_c")
 
 
+def spot_on(x: Column, y: Column, of: Callable[[str], Column]) -> Column:
+    """Of a piece (k, ends x1, y1, z1 and x2, y2, z2, first, final): its nearest spot to (x, y), ordered by distance and k."""
+    dx, dy = of("x2") - of("x1"), of("y2") - of("y1")
+    gap = F.hypot(dx, dy)
+    ahead = F.coalesce(((x - of("x1")) * dx + (y - of("y1")) * dy) / F.nullif(gap, F.lit(0.0)), F.lit(0.0))
+    foot = F.least(F.greatest(ahead, F.lit(0.0)), gap)
+    t = F.coalesce(foot / F.nullif(gap, F.lit(0.0)), F.lit(0.0))
+    along = F.least(foot, gap - foot)
+    at_end = (of("first") & (ahead < 0)) | (of("final") & (ahead > gap)) | (gap <= 0)
+    lift = F.when(at_end, 0.0).otherwise(F.coalesce(along * F.abs(of("z2") - of("z1")) / F.nullif(gap, F.lit(0.0)), F.lit(0.0)))
+    dist = F.hypot(x - of("x1") - t * dx, y - of("y1") - t * dy)
+    return F.struct(dist.alias("dist"), of("k").alias("k"), (of("z1") + t * (of("z2") - of("z1"))).alias("level"), along.alias("along"), lift.alias("lift"), at_end.alias("at_end"))
+
+
+def speaks(of: Callable[[str], Column]) -> Column:
+    """Whether a line speaks at its nearest spot."""
+    return F.when(of("at_end"), of("dist") <= END).otherwise((of("along") <= REACH) & (of("lift") <= LIFT))
+
+
 def spoken(met: DataFrame) -> DataFrame:
     """For each point (pt, x, y) and line of ``meetings`` within SIDE: the line's nearest spot to it, and whether it speaks there.
 
     It speaks past an end up to END metres; between marks where the nearer one is within REACH along the line and the
     level has moved LIFT at most from that mark's. mark_dist goes along to the nearer mark and across to the point.
     """
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    gap = F.hypot(dx, dy)
-    ahead = F.coalesce(((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(gap, F.lit(0.0)), F.lit(0.0))
-    foot = F.least(F.greatest(ahead, F.lit(0.0)), gap)
-    t = F.coalesce(foot / F.nullif(gap, F.lit(0.0)), F.lit(0.0))
-    along = F.least(foot, gap - foot)
-    at_end = (F.col("first") & (ahead < 0)) | (F.col("final") & (ahead > gap)) | (gap <= 0)
-    lift = F.when(at_end, 0.0).otherwise(F.coalesce(along * F.abs(F.col("z2") - F.col("z1")) / F.nullif(gap, F.lit(0.0)), F.lit(0.0)))
-    dist = F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy)
-    spot = F.struct(dist.alias("dist"), F.col("k"), (F.col("z1") + t * (F.col("z2") - F.col("z1"))).alias("level"), along.alias("along"), lift.alias("lift"), at_end.alias("at_end"))
+    spot = spot_on(F.col("x"), F.col("y"), F.col)
     near = met.groupBy("pt", "stream").agg(F.min(spot).alias("m")).select("pt", "stream", "m.*").where(F.col("dist") <= SIDE)
-    speaks = F.when(F.col("at_end"), F.col("dist") <= END).otherwise((F.col("along") <= REACH) & (F.col("lift") <= LIFT))
-    return near.withColumns({"speaks": speaks, "mark_dist": F.hypot("along", "dist")})
+    return near.withColumns({"speaks": speaks(F.col), "mark_dist": F.hypot("along", "dist")})
 
 
 def answers(points: DataFrame, pieces: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:

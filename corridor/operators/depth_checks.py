@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.common import Refused, checkpointed
-from corridor.operators.depth import answers, cumulative_station, line_pieces, meetings, nearest_answer, spoken
+from corridor.common import Refused
+from corridor.operators.depth import SIDE, speaks, spot_on
 from corridor.operators.mark_runs import run_places
 from corridor.operators.order_stats import quantiles, same
 
@@ -14,53 +16,82 @@ from corridor.operators.order_stats import quantiles, same
 # allowed median of water over ground at the marks, and the greatest median miss against the taped depths.
 STRETCHES, BANDS, LEAST_IN_BAND = (0, 250, 500), (100, 250, 500, 1000), 30
 WATER_OVER_GROUND, MOST_TAPE_MISS = (-1.0, 3.0), 0.25
+# Metres of a cell in which marks meet pieces: wider than the search, so that a piece is copied into few.
+CELL = 4 * SIDE
 
 
-def runs_of_marks(marks: DataFrame, merge: float = 1.0) -> DataFrame:
-    """Marks (stream, mark, order_key, x, y, z) with the place k of their run and its station along the whole line."""
-    flat = run_places(marks.select("stream", "mark", "order_key", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")]), merge)
-    spots = flat.groupBy("stream", "k").agg(*[F.avg(c).alias(c) for c in ("x", "y")])
-    return flat.join(cumulative_station(spots, ["stream"], "k").select("stream", "k", "station"), ["stream", "k"])
+def _runs(marks: DataFrame, merge: float = 1.0) -> DataFrame:
+    """Marks with k, the place of their run, and station; place in the stream, n, sum_ and mean_ x, y, z of the run.
+
+    All by windows along a stream: marks are dealt by stream once and nothing is joined.
+    """
+    flat = run_places(marks.select("stream", "mark", "order_key", *[F.col(c).cast("double").alias(c) for c in "xyz"]), merge)
+    run, w = Window.partitionBy("stream", "k"), Window.partitionBy("stream").orderBy("k", "order_key", "mark")
+    flat = flat.withColumns({f"{n}_{c}": f(c).over(run) for c in "xyz" for n, f in (("sum", F.sum), ("mean", F.avg))} | {"n": F.count("*").over(run)})
+    gap = F.hypot(*[F.col(f"mean_{c}") - F.lag(f"mean_{c}").over(w) for c in "xy"])  # 0 within a run
+    flat = flat.withColumns({"_gap": F.coalesce(gap, F.lit(0.0)), "place": F.row_number().over(w)})
+    return flat.withColumn("station", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
 
 
-def _spots(drawn: DataFrame) -> DataFrame:
-    """Runs (stream, k, n, means x, y, z) with last, the line's last k, and of each stretch the runs it hides around them."""
-    w = Window.partitionBy("stream")
-    spots = drawn.groupBy("stream", "k", "station").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z")], *[F.sum(c).alias(f"sum_{c}") for c in ("x", "y", "z")], F.count("*").alias("n"))
-    hidden = [F.struct(F.lit(s).alias("stretch"), F.min("k").over(at).alias("a"), F.max("k").over(at).alias("b")) for s in STRETCHES for at in [w.orderBy("station").rangeBetween(-s, s) if s else w.orderBy("k").rowsBetween(0, 0)]]
-    return spots.withColumns({"hidden": F.array(*hidden), "last": F.max("k").over(w)})
+def runs_of_marks(marks: DataFrame, merge: float = 1.0) -> DataFrame:
+    """Marks (stream, mark, order_key, x, y, z) with the place k of their run and its station along the whole line."""
+    return _runs(marks, merge).select("stream", "k", "mark", "order_key", "x", "y", "z", "station")
 
 
-def _without(tries: DataFrame, spots: DataFrame, whole: DataFrame) -> DataFrame:
-    """Tries (pt, stream, k, a, b, last, x, y and the mark's own mx, my, mz) beside the pieces of their line without the runs a to b.
+def _neighbours(runs: DataFrame) -> DataFrame:
+    """``_runs`` with last, the line's last k; opens, at a run's first mark, and there the run after it (k, x, y, z); and for
+    each stretch but 0 the runs a to b that it hides around a mark and the runs p and q before and after these.
 
-    All other pieces stay as they are, so a try meets the near ones of the whole line that touch none of those runs, and
-    the one or two that close the gap: from the run before to the run after or, where a run keeps other marks, over their
-    means. A line with one run left is a piece of no length. Ends move inwards where the gap is at an end.
+    Stretches are taken from run to run; other marks of a run copy its first one's.
     """
-    a, b, k, last = (F.col(c) for c in ("a", "b", "k", "last"))
-    kept = F.col("n") > 1
-    intact = meetings(tries.select("pt", "stream", "a", "b", "last", "x", "y"), whole.drop("first", "final", "n", "station", "station2", "last"), ("stream",))
-    intact = intact.where(((k + 1 < a) | (k > b)) & (k < last))
-    intact = intact.withColumns({"first": (k == 0) | ((a == 0) & (k == b + 1)), "final": (k + 1 == last) | ((b == last) & (k + 1 == a - 1))})
-    end = lambda name, at: spots.select("stream", F.col("k").alias(at), F.struct("k", "x", "y", "z").alias(name))
-    t = tries.withColumns({"_before": a - 1, "_after": b + 1}).join(end("_p", "_before"), ["stream", "_before"], "left").join(end("_q", "_after"), ["stream", "_after"], "left")
-    own = [((F.col(f"sum_{c}") - F.col(f"m{c}")) / (F.col("n") - 1)).alias(c) for c in ("x", "y", "z")]
-    left = F.when((F.col("stretch") == 0) & kept, F.struct(F.col("k"), *own))
-    p, q = F.col("_p"), F.col("_q")
-    piece = lambda u, v, first, final: F.struct(u["k"].alias("k"), *[u[c].alias(f"{c}1") for c in "xyz"], *[v[c].alias(f"{c}2") for c in "xyz"], first.alias("first"), final.alias("final"))
+    w = Window.partitionBy("stream").orderBy("place")
+    back = Window.partitionBy("stream").orderBy(F.desc("place"))
+    here = F.struct("k", *[F.col(f"mean_{c}").alias(c) for c in "xyz"])
+    df = runs.withColumns({"opens": F.coalesce(F.lag("k").over(w) != F.col("k"), F.lit(True)), "last": F.max("k").over(Window.partitionBy("stream"))})
+    df = df.withColumns({"p0": F.lag(here).over(w), "q0": F.last(F.when(F.col("opens"), here), True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
+    alone = F.when(F.col("opens"), -1).otherwise(F.col("place"))  # what opens no run has no window but its own
+    at = Window.partitionBy("stream", alone).orderBy("station")
+    ends = {}
+    for s in STRETCHES[1:]:
+        near = at.rangeBetween(-s, s)
+        ends |= {f"_a{s}": F.min(F.struct("place", F.col("k").alias("k"), F.col("p0").alias("p"))).over(near), f"_b{s}": F.max(F.struct("place", F.col("k").alias("k"), F.col("q0").alias("q"))).over(near)}
+    df = df.withColumns(ends)
+    held = F.struct("p0", "q0", *[F.col(c) for c in ends])
+    df = df.withColumn("_held", F.last(F.when(F.col("opens"), held), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = {"p0": F.col("_held.p0"), "q0": F.col("_held.q0"), "a0": F.col("k"), "b0": F.col("k")}
+    for s in STRETCHES[1:]:
+        out |= {f"a{s}": F.col(f"_held._a{s}.k"), f"p{s}": F.col(f"_held._a{s}.p"), f"b{s}": F.col(f"_held._b{s}.k"), f"q{s}": F.col(f"_held._b{s}.q")}
+    return df.withColumns(out).drop("_held", *ends)
+
+
+def _closed(s: int) -> Column:
+    """The nearest spot to a mark on what closes its line where a stretch hides runs: from the run before to the run after or,
+    where a run keeps other marks, over their means. A line with one run left is a piece of no length."""
+    k, a, b, last, n, p, q = (F.col(c) for c in ("k", f"a{s}", f"b{s}", "last", "n", f"p{s}", f"q{s}"))
+    own = [((F.col(f"sum_{c}") - F.col(c)) / (n - 1)).alias(c) for c in "xyz"]
     yes, no = F.lit(True), F.lit(False)
-    none, has = F.col("_left").isNull(), F.col("_left").isNotNull()
-    alone = F.coalesce("_left", F.when(p.isNull(), q).otherwise(p))
-    only = F.when(has, p.isNull() & q.isNull()).otherwise((p.isNull() & (b + 1 == last)) | (q.isNull() & (a == 1)))
+    kept = n > 1 if s == 0 else no
+    left = F.struct(k.alias("k"), *own)
+    piece = lambda u, v, first, final: F.struct(u["k"].alias("k"), *[u[c].alias(f"{c}1") for c in "xyz"], *[v[c].alias(f"{c}2") for c in "xyz"], first.alias("first"), final.alias("final"))
+    alone = F.when(kept, left).otherwise(F.when(p.isNull(), q).otherwise(p))
+    only = F.when(kept, p.isNull() & q.isNull()).otherwise((p.isNull() & (b + 1 == last)) | (q.isNull() & (a == 1)))
     closing = F.array(
-        F.when(none & p.isNotNull() & q.isNotNull(), piece(p, q, a == 1, b + 1 == last)),
-        F.when(has & p.isNotNull(), piece(p, F.col("_left"), a == 1, q.isNull())),
-        F.when(has & q.isNotNull(), piece(F.col("_left"), q, p.isNull(), b + 1 == last)),
+        F.when(~kept & p.isNotNull() & q.isNotNull(), piece(p, q, a == 1, b + 1 == last)),
+        F.when(kept & p.isNotNull(), piece(p, left, a == 1, q.isNull())),
+        F.when(kept & q.isNotNull(), piece(left, q, p.isNull(), b + 1 == last)),
         F.when(only, piece(alone, alone, yes, yes)),
     )
-    closed = t.withColumn("_left", left).select("pt", "stream", "x", "y", F.explode(F.array_compact(closing)).alias("e")).select("pt", "stream", "x", "y", "e.*")
-    return intact.select(closed.columns).unionByName(closed)
+    return F.array_min(F.transform(F.array_compact(closing), lambda e: spot_on(F.col("x"), F.col("y"), lambda c: e[c])))
+
+
+def _pieces(runs: DataFrame) -> DataFrame:
+    """Pieces of the whole lines of ``_neighbours``: line, pk, ends, first and final, in every cell that holds points within SIDE."""
+    ends = {f"{c}1": F.col(f"mean_{c}") for c in "xyz"} | {f"{c}2": F.coalesce(F.col(f"q0.{c}"), F.when(F.col("last") == 0, F.col(f"mean_{c}"))) for c in "xyz"}
+    df = runs.where("opens").select("stream", "k", "last", *[v.alias(c) for c, v in ends.items()]).where("x2 is not null or last = 0")
+    df = df.withColumn("final", F.col("k") == F.max("k").over(Window.partitionBy("stream")))
+    reach = lambda c: F.sequence(F.floor((F.least(f"{c}1", f"{c}2") - SIDE) / CELL), F.floor((F.greatest(f"{c}1", f"{c}2") + SIDE) / CELL))
+    df = df.select(F.col("stream").alias("line"), F.col("k").alias("pk"), *ends, (F.col("k") == 0).alias("first"), "final", F.explode(reach("x")).alias("pi"))
+    return df.withColumn("pj", F.explode(reach("y")))
 
 
 def hidden_mark_test(marks: DataFrame) -> DataFrame:
@@ -69,23 +100,44 @@ def hidden_mark_test(marks: DataFrame) -> DataFrame:
     Stretch 0 hides one mark, the others every mark within so many metres along the line; its stream's line is closed
     over those left and answers beside the other streams' lines. Marks that draw no line have stretch -1 and are guessed
     from all lines. guess is null where no line speaks. Runs of marks under a metre apart stay those of the whole line.
-    A mark meets what lies within SIDE of it, not its whole line.
+
+    A mark knows what closes its gaps from its own stream. It goes once to the cell that holds it, meets there the pieces
+    of all lines within SIDE, once for all stretches, and is answered without being dealt again.
     """
-    drawn = checkpointed(runs_of_marks(marks.where("draws")))
-    spots = checkpointed(_spots(drawn))
-    whole = checkpointed(line_pieces(spots.select("stream", "k", "x", "y", "z", "station", "last")))
-    held = drawn.select("stream", "k", F.col("mark").alias("h"), *[F.col(c).alias(f"m{c}") for c in "xyz"]).join(spots.drop("x", "y", "z", "station"), ["stream", "k"])
-    tries = held.select(*[c for c in held.columns if c != "hidden"], F.inline("hidden")).withColumns({"pt": F.struct("stream", "h", "stretch"), "x": F.col("mx"), "y": F.col("my")})
-    own = spoken(_without(tries, spots, whole))
-    spot = drawn.select(F.struct("stream", F.col("mark").alias("h")).alias("pt"), "x", "y")
-    others = answers(spot, whole).where(F.col("pt.stream") != F.col("stream")).withColumn("stretch", F.explode(F.array(*[F.lit(s) for s in STRETCHES])))
-    others = others.withColumn("pt", F.struct(F.col("pt.stream"), F.col("pt.h"), F.col("stretch"))).drop("stretch")
-    poor = marks.where(~F.col("draws")).select(F.struct("stream", F.col("mark").alias("h"), F.lit(-1).alias("stretch")).alias("pt"), "x", "y")
-    best = nearest_answer(own.unionByName(others).unionByName(answers(poor, whole)))
-    every = tries.select("pt").unionAll(poor.select("pt")).join(best.select("pt", F.col("level").alias("guess"), F.col("mark_dist").alias("along")), "pt", "left")
-    levels = marks.select("stream", "mark", "z")
-    out = every.select("pt.stream", F.col("pt.h").alias("mark"), "pt.stretch", "guess", "along").join(levels, ["stream", "mark"])
-    return out.withColumn("miss", F.col("guess") - F.col("z")).drop("z")
+    runs = _neighbours(_runs(marks.where("draws")))
+    cell = [F.floor(F.col(c) / CELL).alias(to) for c, to in (("x", "i"), ("y", "j"))]
+    asked = [c for s in STRETCHES for c in (f"a{s}", f"b{s}", f"closed{s}")]
+    drawn = runs.withColumns({f"closed{s}": _closed(s) for s in STRETCHES}).select("stream", "mark", F.lit(True).alias("draws"), "x", "y", "z", "last", *asked, *cell)
+    poor = marks.where(~F.col("draws")).select("stream", "mark", F.lit(False).alias("draws"), *[F.col(c).cast("double").alias(c) for c in "xyz"], *cell)
+    points = drawn.unionByName(poor, allowMissingColumns=True)
+    beside = reduce(lambda u, v: u & v, [F.col(c).between(F.least(f"{c}1", f"{c}2") - SIDE, F.greatest(f"{c}1", f"{c}2") + SIDE) for c in "xy"])
+    met = points.join(_pieces(runs), (F.col("i") == F.col("pi")) & (F.col("j") == F.col("pj")) & beside, "left")
+
+    own = F.col("draws") & (F.col("line") == F.col("stream"))
+    pk, last = F.col("pk"), F.col("last")
+    spots = {}
+    for s in STRETCHES:
+        a, b = F.col(f"a{s}"), F.col(f"b{s}")
+        stays = F.col("line").isNotNull() & (~own | (((pk + 1 < a) | (pk > b)) & (pk < last)))
+        first = F.when(own, (pk == 0) | ((a == 0) & (pk == b + 1))).otherwise(F.col("first"))
+        final = F.when(own, (pk + 1 == last) | ((b == last) & (pk + 1 == a - 1))).otherwise(F.col("final"))
+        new = {"first": first, "final": final, "k": pk}
+        spots[f"m{s}"] = F.when(stays, spot_on(F.col("x"), F.col("y"), lambda c, new=new: new.get(c, F.col(c))))
+    mark = ["i", "j", "stream", "mark", "draws"]
+    fixed = F.struct("z", *[f"closed{s}" for s in STRETCHES]).alias("fixed")
+    met = met.select(*mark, "line", fixed, *[v.alias(c) for c, v in spots.items()])
+    lines = met.groupBy(*mark, "line").agg(F.first("fixed").alias("fixed"), *[F.min(c).alias(c) for c in spots])
+
+    def answer(m: Column, line: str) -> Column:
+        said = (m["dist"] <= SIDE) & speaks(lambda c: m[c])
+        return F.when(said, F.struct(m["dist"].alias("dist"), F.col(line).alias("line"), m["level"].alias("level"), F.hypot(m["along"], m["dist"]).alias("mark_dist"), m["at_end"].alias("at_end")))
+
+    best = lines.groupBy(*mark).agg(F.first("fixed").alias("fixed"), F.min(F.when(F.coalesce(~own, F.lit(True)), answer(F.col("m0"), "line"))).alias("other"), *[F.min(F.when(own, F.col(c))).alias(c) for c in spots])
+    mine = [answer(F.least(F.col(f"m{s}"), F.col(f"fixed.closed{s}")), "stream") for s in STRETCHES]
+    guess = lambda s, c: F.struct(F.lit(s).alias("stretch"), c["level"].alias("guess"), c["mark_dist"].alias("along"))
+    each = F.when(F.col("draws"), F.array(*[guess(s, F.least(m, F.col("other"))) for s, m in zip(STRETCHES, mine, strict=True)])).otherwise(F.array(guess(-1, F.col("other"))))
+    out = best.select("stream", "mark", "fixed.z", F.explode(each).alias("e"))
+    return out.select("stream", "mark", "e.*", (F.col("e.guess") - F.col("z")).alias("miss"))
 
 
 def misses(df: DataFrame, miss: Column, by: list[str], more: list[Column] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys
-from corridor.operators import ablation, chips, depth, gates, linref, models, ranking, spatial, timeseries
+from corridor.operators import ablation, chips, depth, depth_checks, gates, linref, models, ranking, spatial, timeseries
 
 
 def rows_joined(df):
@@ -214,3 +214,16 @@ def test_candidates_are_those_of_every_pair(spark):
     got = [(r.seg_id, r.step) for r in depth.candidates(spark.createDataFrame(rows, ROAD), spark.createDataFrame(pieces, PIECE)).collect()]
     assert {s for s, _ in got} == want and "at" in want and "past" not in want and 100 < len(want) < 400
     assert sum(s == "at" for s, _ in got) == 5 + 2  # both rows of the road
+
+
+def test_marks_are_dealt_to_pieces_once(spark):
+    rows = [(f"s{k % 5}", k, k, 80.0 * (k % 5), 97.0 * k, 10.0, k % 7 != 0) for k in range(60)]
+    marks = spark.createDataFrame(rows, "stream string, mark int, order_key int, x double, y double, z double, draws boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables of any size
+    try:
+        plan = depth_checks.hidden_mark_test(marks)._jdf.queryExecution().sparkPlan().toString()
+        dealt = depth_checks.hidden_mark_test(marks)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1  # for every stretch, line and mark, however many
+    assert dealt <= 4  # marks by stream for either side, marks and pieces by cell
