@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.common import Refused
+from corridor.common import Refused, checkpointed
 from corridor.operators.depth import SIDE, speaks, spot_on
 from corridor.operators.mark_runs import run_places
 from corridor.operators.order_stats import quantiles, same
@@ -140,10 +140,13 @@ def hidden_mark_test(marks: DataFrame) -> DataFrame:
     return out.select("stream", "mark", "e.*", (F.col("e.guess") - F.col("z")).alias("miss"))
 
 
-def misses(df: DataFrame, miss: Column, by: list[str], more: list[Column] | None = None) -> DataFrame:
-    """Of each group: n, exact median, p75 and p90 of the size of a miss, and its median with sign."""
-    d = df.withColumn("_miss", miss)
-    asked = {name: (F.abs("_miss"), share) for name, share in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))} | {"bias": (F.col("_miss"), 0.5)}
+def misses(df: DataFrame, miss: Column, by: list[str], more: list[Column] | None = None, bias: bool = True) -> DataFrame:
+    """Of each group: n, exact median, p75 and p90 of the size of a miss, and, if asked, its median with sign.
+
+    ``df`` is worked out once: let it have no more columns than are used.
+    """
+    d = checkpointed(df.withColumn("_miss", miss))
+    asked = {name: (F.abs("_miss"), share) for name, share in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))} | ({"bias": (F.col("_miss"), 0.5)} if bias else {})
     return same(d.groupBy(*by).agg(F.count("_miss").alias("n"), *(more or [])), quantiles(d, by, asked), by, "left")
 
 
@@ -156,7 +159,7 @@ def band_table(hidden: DataFrame) -> DataFrame:
     band = F.coalesce(*[F.when(F.col("along") <= hi, F.lit(k)) for k, hi in enumerate(BANDS)])
     guessed = hidden.where((F.col("stretch") >= 0) & F.col("guess").isNotNull()).withColumn("band", band).where("band is not null")
     once = guessed.groupBy("stream", "mark", "band").agg(F.min(F.struct("stretch", "miss")).alias("m"))
-    found = misses(once, F.col("m.miss"), ["band"])
+    found = misses(once.select("band", "m.miss"), F.col("miss"), ["band"], bias=False)
     every = hidden.sparkSession.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(zip(lows, BANDS, strict=True))], "band int, lo int, hi int")
     n = F.coalesce("n", F.lit(0))
     return every.join(found, "band", "left").select("lo", "hi", n.alias("n"), "median", "p90", (n < LEAST_IN_BAND).alias("too_few"))

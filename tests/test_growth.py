@@ -227,3 +227,11 @@ def test_marks_are_dealt_to_pieces_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("SortMergeJoin") == 1  # for every stretch, line and mark, however many
     assert dealt <= 4  # marks by stream for either side, marks and pieces by cell
+
+
+def test_hidden_marks_are_worked_out_once_for_their_bands(spark):
+    rows = spark.range(200).select(F.lit("s").alias("stream"), F.col("id").alias("mark"), F.lit(0).alias("stretch"), F.lit(1.0).alias("guess"), F.col("id").cast("double").alias("along"), (F.col("id") / 100).alias("miss"))
+    hidden, seen = counted(rows)
+    got = {r.lo: (r.n, r.median) for r in depth_checks.band_table(hidden).collect()}
+    assert got == {0: (101, 0.5), 100: (99, 1.5), 250: (0, None), 500: (0, None)}
+    assert seen.value == 200
