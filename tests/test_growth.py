@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import pytest
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
@@ -235,3 +236,11 @@ def test_hidden_marks_are_worked_out_once_for_their_bands(spark):
     got = {r.lo: (r.n, r.median) for r in depth_checks.band_table(hidden).collect()}
     assert got == {0: (101, 0.5), 100: (99, 1.5), 250: (0, None), 500: (0, None)}
     assert seen.value == 200
+
+
+def test_hidden_marks_are_worked_out_once_for_taped_depths(spark):
+    marks = spark.range(40).select(F.lit("s").alias("stream"), F.col("id").alias("mark"), (F.col("id") % 2 == 0).alias("draws"), F.lit(3.0).alias("z"), F.lit(2.0).alias("ground"), (F.col("id") / 40).alias("tape"))
+    hidden, seen = counted(spark.range(0, 40, 2).select(F.lit("s").alias("stream"), F.col("id").alias("mark"), F.lit(0).alias("stretch"), F.lit(3.5).alias("guess")))
+    got = {r.test: (r.n, r.bias) for r in depth_checks.tape_tests(marks, hidden).collect()}
+    assert got == {"own level": (40, pytest.approx(1 - 19.5 / 40)), "end to end": (20, pytest.approx(1.5 - 19 / 40))}
+    assert seen.value == 20
