@@ -9,7 +9,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys
-from corridor.operators import ablation, chips, depth, depth_checks, gates, linref, models, ranking, spatial, timeseries
+from corridor.operators import ablation, chips, depth, depth_checks, gates, linref, models, near, ranking, spatial, timeseries
 
 
 def rows_joined(df):
@@ -244,3 +244,48 @@ def test_hidden_marks_are_worked_out_once_for_taped_depths(spark):
     got = {r.test: (r.n, r.bias) for r in depth_checks.tape_tests(marks, hidden).collect()}
     assert got == {"own level": (40, pytest.approx(1 - 19.5 / 40)), "end to end": (20, pytest.approx(1.5 - 19 / 40))}
     assert seen.value == 20
+
+
+def _lined(rng, n):
+    """Lines of two to four vertices, some alike, some of one vertex, none or a blank one."""
+    rows = [(f"l{k:03d}", rng.randrange(3), [(rng.uniform(-50, 2050), rng.uniform(-50, 2050)) for _ in range(rng.choice((2, 3, 4)))]) for k in range(n)]
+    rows += [(f"k{k:03d}", rng.randrange(3), rows[k][2]) for k in range(n // 4)] + [("one", 0, [(5.0, 5.0)]), ("none", 0, None), ("gap", 1, [(0.0, 0.0), (None, 1.0), (40.0, 30.0), (40.0, 90.0)]), ("dot", 2, [(70.0, 70.0), (70.0, 70.0)])]
+    return rows
+
+
+def _off(x, y, line):
+    out = []
+    for a, b in zip(line or [], (line or [])[1:], strict=False):
+        if None not in (*a, *b):
+            dx, dy = b[0] - a[0], b[1] - a[1]
+            t = min(max(((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy), 0.0), 1.0) if dx or dy else 0.0
+            out.append(math.sqrt((x - a[0] - t * dx) ** 2 + (y - a[1] - t * dy) ** 2))
+    return min(out, default=math.inf)
+
+
+LINED = "seg_id string, route int, line array<struct<x:double,y:double>>"
+
+
+def _spots(rng, n):
+    spots = [(k, rng.uniform(0, 2000), rng.uniform(0, 2000)) for k in range(n)]
+    return spots + [(n, 70.0, 70.0), (n + 1, *spots[0][1:]), (n + 2, None, 5.0), (n + 3, 9000.0, 9000.0), (n + 4, math.nan, 1.0)]
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_nearest_and_near_lines_are_those_of_every_pair(spark, monkeypatch, block):
+    def written(*_):
+        raise AssertionError("rows were written on the way")
+
+    for m in (spatial, ranking):
+        monkeypatch.setattr(m, "checkpointed", written)
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "PAIRS", 50)
+    rng = random.Random(8)
+    rows, spots = _lined(rng, 40), _spots(rng, 150)
+    lines, pts = spark.createDataFrame(rows, LINED), spark.createDataFrame(spots, "id long, x double, y double")
+    reach = {i: 90.0 if i % 2 else 40.0 for i, *_ in spots}
+    off = {(i, s): d for i, x, y in spots if x is not None and x == x for s, _, line in rows if (d := _off(x, y, line)) <= 90}
+    want = {i: min(((d, s) for (j, s), d in off.items() if j == i and d <= reach[i]), default=(None, None)) for i, *_ in spots}
+    got = {r.id: (r.dist, r.seg_id) for r in spatial.nearest(pts, lines, 90.0, "id", reach=F.when(F.col("id") % 2 == 1, 90.0).otherwise(40.0)).collect()}
+    assert got == want and 20 < sum(s is not None for _, s in want.values()) < 150
+    assert {(r.id, r.seg_id): r.dist for r in spatial.dwithin(pts, lines, 90.0, "id").collect()} == off and ("gap" in {s for _, s in off}) and len(off) > 300
