@@ -289,3 +289,19 @@ def test_nearest_and_near_lines_are_those_of_every_pair(spark, monkeypatch, bloc
     got = {r.id: (r.dist, r.seg_id) for r in spatial.nearest(pts, lines, 90.0, "id", reach=F.when(F.col("id") % 2 == 1, 90.0).otherwise(40.0)).collect()}
     assert got == want and 20 < sum(s is not None for _, s in want.values()) < 150
     assert {(r.id, r.seg_id): r.dist for r in spatial.dwithin(pts, lines, 90.0, "id").collect()} == off and ("gap" in {s for _, s in off}) and len(off) > 300
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_cameras_take_their_route_first(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(9)
+    rows, spots = _lined(rng, 40), _spots(rng, 120)
+    cameras = [(f"C{k}", x, y, None if k % 11 == 0 else k % 4) for k, x, y in spots]
+    want = {}
+    for c, x, y, route in cameras:
+        near_by = sorted((r != route, d, s) for s, r, line in rows if x is not None and (d := _off(x, y, line)) <= 100)
+        want[c] = (near_by[0][2], near_by[0][1], "nearest" if near_by[0][0] else "named route") if near_by else (None, None, "none")
+    got = spatial.match_cameras(spark.createDataFrame(cameras, "camera_id string, x double, y double, named_route int"), spark.createDataFrame(rows, LINED))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert {r.camera_id: (r.seg_id, r.dist, r.match_rule) for r in got.collect()} == want
+    assert {m for *_, m in want.values()} == {"named route", "nearest", "none"} and plan.count("Exchange") == 1
