@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from corridor.functions import geo, keys
 from corridor.operators import ablation, chips, depth, depth_checks, gates, linref, models, near, ranking, spatial, timeseries
+from corridor.plans import fixtures as fx
 
 
 def rows_joined(df):
@@ -305,3 +307,22 @@ def test_cameras_take_their_route_first(spark, monkeypatch, block):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert {r.camera_id: (r.seg_id, r.dist, r.match_rule) for r in got.collect()} == want
     assert {m for *_, m in want.values()} == {"named route", "nearest", "none"} and plan.count("Exchange") == 1
+
+
+def test_lines_equally_far_are_told_apart_as_sql_does(spark):
+    """Two pieces of one straight line, whose distances SQL takes as the root of the sum of squares; hypot may miss it by a bit."""
+    import duckdb
+
+    rng = random.Random(1)
+    rows = []
+    for k in range(3000):
+        p, q, m = rng.randint(3, 60), rng.randint(1, 9), rng.randint(1, 3)
+        rows.append((k, 1000.0 * k + rng.randint(p, 3 * p), float(rng.randint(-20, 20)), 1000.0 * k, 0.0, 1000.0 * k + 4.0 * p, 4.0 * q, 1000.0 * k + m * p, float(m * q), 1000.0 * k + 5.0 * p, 5.0 * q))
+    df = spark.createDataFrame(rows, "id long, x double, y double, ax double, ay double, b_x double, b_y double, cx double, cy double, dx double, dy double")
+    line = lambda a, b: geo.line_of((F.col(a[0]), F.col(a[1])), (F.col(b[0]), F.col(b[1])))
+    each = [df.select(F.concat(F.lit(n), F.col("id")).alias("seg_id"), line(*ends).alias("line")) for n, ends in (("b", (("ax", "ay"), ("b_x", "b_y"))), ("a", (("cx", "cy"), ("dx", "dy"))))]
+    got = {r.id: r.seg_id for r in spatial.nearest(df.select("id", "x", "y"), each[0].unionAll(each[1]), 60.0, "id").collect()}
+    t = pd.DataFrame(rows, columns=df.columns)  # noqa: F841  SQL reads it
+    first, other = fx.sql_distance("x", "y", ("ax", "ay"), ("b_x", "b_y")), fx.sql_distance("x", "y", ("cx", "cy"), ("dx", "dy"))
+    want = dict(duckdb.sql(f"SELECT id, CASE WHEN least({first}, {other}) > 60 THEN NULL WHEN {other} <= {first} THEN 'a' || id ELSE 'b' || id END FROM t").fetchall())
+    assert got == want and len({(v or "")[:1] for v in want.values()}) > 1
