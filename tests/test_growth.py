@@ -1,6 +1,7 @@
 """What failed on larger tables: each held to its SQL or to brute force on the rows that showed it."""
 
 import hashlib
+import inspect
 import math
 import random
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from corridor.functions import geo, keys
 from corridor.operators import ablation, chips, depth, depth_checks, gates, linref, models, near, ranking, spatial, timeseries
 from corridor.plans import fixtures as fx
+from corridor.plans import queries, surface  # noqa: F401  registers its queries
 
 
 def rows_joined(df):
@@ -48,6 +50,19 @@ def test_fingerprint_of_the_lowest_bits_of_a_place(spark):
     assert gates.ordered_fingerprint(df, ["id"]).first().h == by_hand(48) != by_hand(5)
 
 
+def test_the_fingerprint_query_counts_every_bit_of_a_place(spark, sf, monkeypatch):
+    taken = []
+
+    def fingerprint(df, order, bits=inspect.signature(gates.ordered_fingerprint).parameters["bits"].default):
+        taken.append(bits)
+        return df
+
+    monkeypatch.setattr(gates, "ordered_fingerprint", fingerprint)
+    queries.QUERIES["qlt9_ordered_fingerprint"](spark, sf)
+    steps = queries.ORACLE_SQL["qlt9_ordered_fingerprint"].count(f"list_filter(range({gates.PLACE_BITS})")
+    assert taken == [63] and steps == 2
+
+
 def test_time_of_day_sends_no_readings_to_every_executor(spark):
     at = "timestamp '2024-01-01 23:50:00' + make_interval(0, 0, 0, cast(id % 5 as int), 0, cast(id * 37 % 60 as int), 0)"
     r = spark.range(60).selectExpr("id", "concat('C', id % 3) as camera_id", f"{at} as time", "id % 4 as depth_cm")
