@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
@@ -63,12 +65,17 @@ def ablation(df: DataFrame, key: str, ladder: list[tuple[str, list[str]]], label
     the ``top`` rows. Every arm works on the same rows and folds. An arm of rates whose rank correlation is over
     ``most_rho`` is refused: an input gives the label away. Arms are few, and each is one row of the result.
     """
-    d, first, rows = checkpointed(df), None, []
-    for name, columns in ladder:
-        held = checkpointed(models.oof(d, key, columns, [], label, kind, fold, iterations=iterations).select(key, F.col("oof").alias("_p")))
-        scored = checkpointed(d.select(key, block, label).join(held, key).where(F.col(label).isNotNull()))
-        first = held.withColumnRenamed("_p", "_p0") if first is None else first
-        both, arm = scored.join(first, key), [F.lit(name).alias("arm"), F.lit(len(columns)).alias("n_inputs")]
+    d = checkpointed(df.select(*dict.fromkeys([key, block, label, fold, *[c for _, columns in ladder for c in columns]])))
+    side = inheritable_thread_target(df.sparkSession)  # arms are worked out side by side: each is many small jobs
+    with ThreadPoolExecutor(len(ladder)) as pool:
+        learned = list(pool.map(side(lambda k: models.held_out(d, f"_p{k}", key, ladder[k][1], [], label, kind, fold, iterations=iterations)), range(len(ladder))))
+    held = reduce(lambda rows, give: give(rows), learned, d).where(F.col(label).isNotNull())
+    held = checkpointed(held.select(key, block, label, *[f"_p{k}" for k in range(len(ladder))]))
+
+    def row(k: int) -> DataFrame:
+        name, columns = ladder[k]
+        scored = held.where(F.col(f"_p{k}").isNotNull()).withColumn("_p", F.col(f"_p{k}"))
+        both, arm = scored.where("_p0 is not null"), [F.lit(name).alias("arm"), F.lit(len(columns)).alias("n_inputs")]
         if kind == "rate":
             change = change_range(both, key, block, label, "_p0", "_p", draws)
             rho = checkpointed(metrics.spearman(scored, label, "_p").select("rho"))
@@ -80,15 +87,17 @@ def ablation(df: DataFrame, key: str, ladder: list[tuple[str, list[str]]], label
             m = scored.agg(F.count("_p").alias("n")).crossJoin(metrics.average_precision(scored, label, "_p"))  # one row each
             m = m.crossJoin(metrics.precision_at_k(scored, label, "_p", top, key).withColumnRenamed("precision", "top_precision"))  # one row each
             own = ["n", "ap", "top_precision"]
-        rows.append(m.crossJoin(change.select(F.col("value").alias("change"), "low", "high")).select(*arm, *own, "change", "low", "high"))  # one row each
-    return reduce(DataFrame.unionAll, rows)
+        return m.crossJoin(change.select(F.col("value").alias("change"), "low", "high")).select(*arm, *own, "change", "low", "high")  # one row each
+
+    with ThreadPoolExecutor(len(ladder)) as pool:
+        return reduce(DataFrame.unionAll, pool.map(side(row), range(len(ladder))))
 
 
 def ablations(df: DataFrame, key: str, ladder: list[tuple[str, list[str]]], targets: dict[str, tuple[str, str]], block: str, fold: str = "fold", draws: int = 300, iterations: int = 30, top: int = 50, most_rho: float = LEAK_RHO) -> DataFrame:
     """The ladder for several labels (name to label and kind) side by side: a row for each arm, columns by name of label."""
-    out = None
+    out, d = None, checkpointed(df.select(*dict.fromkeys([key, block, fold, *[label for label, _ in targets.values()], *[c for _, columns in ladder for c in columns]])))
     for name, (label, kind) in targets.items():
-        one = ablation(df, key, ladder, label, kind, block, fold, draws, iterations, top, most_rho)
+        one = ablation(d, key, ladder, label, kind, block, fold, draws, iterations, top, most_rho)
         one = one.select("arm", "n_inputs", *[F.col(c).alias(f"{name}_{c}") for c in one.columns if c not in ("arm", "n_inputs")])
         out = one if out is None else out.join(one.drop("n_inputs"), "arm")
     return out
