@@ -253,3 +253,17 @@ def test_fitted_queries_run_the_default_rounds(spark, sf, monkeypatch, name):
     with pytest.raises(Reached) as e:
         road.QUERIES[name](spark, sf)
     assert e.value.args == (inspect.signature(models.oof).parameters["iterations"].default,) == (30,)
+
+
+def test_the_ablation_query_scores_every_label(spark, sf, monkeypatch):
+    asked = []
+
+    def one(df, key, ladder, label, kind, *how):
+        asked.append((label, kind, df.where(F.col(label).isNotNull()).agg(F.count("*"), F.min(label), F.max(label)).first()))
+        return spark.createDataFrame([(name, len(columns), 1.0) for name, columns in ladder], "arm string, n_inputs int, change double")
+
+    monkeypatch.setattr(ablation, "ablation", one)
+    out = road.QUERIES["qry9_traffic_crash_ablation"](spark, sf)
+    assert [a[:2] for a in asked] == [("wear", "rate"), ("cracked", "yes"), ("failed", "yes")] and out.count() == 4
+    assert {"rate_change", "crack_change", "flood_change"} < set(out.columns)
+    assert all(tuple(a[2][1:]) == (0, 1) for a in asked[1:]) and asked[0][2][0] > asked[2][2][0] > 0  # floods in the zone alone
